@@ -180,8 +180,8 @@ def report(statuses: DataFrame, chain_checks: DataFrame | None = None) -> DataFr
     else:
         chain = chain_checks.agg(F.coalesce(F.bool_and("chain_valid"), F.lit(True)).alias("chain_valid"),
                                  F.min("first_broken").alias("broken_at"))
-        # Both sides are single rows.
-        full = totals.join(chain, F.lit(True))
+        both = totals.unionByName(chain, allowMissingColumns=True)
+        full = both.agg(*[F.max(c).alias(c) for c in both.columns])
     ok = F.col("chain_valid")
     counts = {c: F.when(ok, F.col(c)).otherwise(F.lit(0)) for c in ("checked", "valid", "tampered", "missing",
                                                                        "orphans")}
