@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -27,7 +28,8 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:
-    return any_of(col.contains(w) for w in words)
+    """True when any of the words occurs; one pass over the text for all of them."""
+    return col.rlike("|".join(re.escape(w) for w in words))
 
 
 def matches_any(col: Column, patterns: Iterable[str], ignore_case: bool = True) -> Column:
@@ -117,3 +119,9 @@ def fenced_json(col: Column) -> Column:
     """Body of the first fenced block, or the text itself when there is none."""
     block = F.regexp_extract(col, r"(?s)```(?:json)?\s*(.*?)```", 1)
     return F.when(col.contains("```"), F.trim(block)).otherwise(F.trim(col))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Number with fixed decimals, ties to even and without digit grouping."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", value, F.lit(pattern))

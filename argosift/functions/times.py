@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from argosift.functions.text import first_label
+from argosift.functions.text import first_label, fixed
 
 
 def micros(ts: Column) -> Column:
@@ -79,6 +79,6 @@ def human_uptime(seconds: Column) -> Column:
 
 def human_bytes(count: Column) -> Column:
     size = count.cast("double")
-    tests = [(size < 1024.0 ** (i + 1), F.format_string(f"%.2f {unit}", size / 1024.0 ** i))
+    tests = [(size < 1024.0 ** (i + 1), F.concat(fixed(size / 1024.0 ** i, 2), F.lit(f" {unit}")))
              for i, unit in enumerate(["B", "KB", "MB", "GB", "TB"])]
-    return first_label(tests, F.format_string("%.2f PB", size / 1024.0 ** 5))
+    return first_label(tests, F.concat(fixed(size / 1024.0 ** 5, 2), F.lit(" PB")))

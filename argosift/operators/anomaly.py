@@ -114,7 +114,7 @@ def temporal(df: DataFrame) -> DataFrame:
         "temporal_score": F.least(F.when(burst, F.greatest(base, F.lit(0.7))).otherwise(base), F.lit(1.0)),
         "temporal_reasons": X.labels([
             (off_hours & severe, "High-severity event outside business hours"),
-            (burst, F.format_string("High event frequency (%.0f/min)", F.col("events_per_minute"))),
+            (burst, F.concat(F.lit("High event frequency ("), X.fixed(F.col("events_per_minute"), 0), F.lit("/min)"))),
         ]),
     })
 
@@ -138,7 +138,7 @@ def combine(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     if "isolation_score" not in df.columns:
         df = df.withColumn("isolation_score", F.lit(None).cast("double"))
     iso = X.labels([(F.col("isolation_score") > 0.5,
-                     F.format_string("Isolated pattern (score: %.2f)", F.col("isolation_score")))])
+                     F.concat(F.lit("Isolated pattern (score: "), X.fixed(F.col("isolation_score"), 2), F.lit(")")))])
     scored = df.withColumn("anomaly_score", weighted(_methods("stat_score")))
     return scored.withColumns({
         "anomaly_severity": S.anomaly_severity(F.col("anomaly_score")),
@@ -213,4 +213,4 @@ def top_contributions(contributions: Column, n: int = 5) -> Column:
         F.map_entries(contributions),
         lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1)
         .when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-    return F.transform(F.slice(order, 1, n), lambda e: F.format_string("%s=%.2f", e["key"], e["value"]))
+    return F.transform(F.slice(order, 1, n), lambda e: F.concat(e["key"], F.lit("="), X.fixed(e["value"], 2)))

@@ -70,8 +70,9 @@ def assess_chains(df: DataFrame, keys: Sequence[str] = ("host_id",)) -> DataFram
 def detail_text(df: DataFrame) -> Column:
     """Multi-line description of an anomaly: scores, top contributions and reasons."""
     from argosift.operators.anomaly import top_contributions
-    head = F.format_string("Anomaly in %s at %s, score %.2f (%s)", "source_type", F.col("ts").cast("string"),
-                           "anomaly_score", "anomaly_severity")
+    head = F.concat(F.lit("Anomaly in "), F.col("source_type"), F.lit(" at "), F.col("ts").cast("string"),
+                    F.lit(", score "), X.fixed(F.col("anomaly_score"), 2), F.lit(" ("), F.col("anomaly_severity"),
+                    F.lit(")"))
     return F.concat_ws("\n", head, F.array_join(top_contributions(F.col("contributions")), "\n"),
                        F.array_join("reasons", "\n"))
 
@@ -185,7 +186,7 @@ def alert_rows(df: DataFrame, kind: str, key: Column, ts: Column, message: Colum
 def anomaly_alerts(df: DataFrame) -> DataFrame:
     score = F.col("anomaly_score")
     return alert_rows(df.where("is_anomaly"), "anomaly_detected", F.col("event_id"), F.col("ts"),
-                      F.format_string("Anomaly in %s (score: %.2f)", "source_type", score),
+                      F.concat(F.lit("Anomaly in "), F.col("source_type"), F.lit(" (score: "), X.fixed(score, 2), F.lit(")")),
                       F.when(score > 0.8, "high").otherwise("medium"))
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from argosift.functions.severity import clamp
+from argosift.functions.text import fixed
 from argosift.operators.windows import number_rows
 from argosift.session import cut, small_side
 
@@ -95,8 +96,9 @@ def explain(feature: str) -> Column:
     """Text for a deviating feature."""
     z = z_score(feature)
     side = F.when(z > 0, "Higher").otherwise("Lower")
-    return F.format_string(f"{feature}: %s than normal (value=%.3f, expected≈%.3f±%.3f)", side, F.col(feature),
-                           F.col(f"mean__{feature}"), F.greatest(F.col(f"std__{feature}"), F.lit(STD_FLOOR)))
+    mean, std = fixed(F.col(f"mean__{feature}"), 3), fixed(F.greatest(F.col(f"std__{feature}"), F.lit(STD_FLOOR)), 3)
+    return F.concat(F.lit(f"{feature}: "), side, F.lit(" than normal (value="), fixed(F.col(feature), 3),
+                    F.lit(", expected≈"), mean, F.lit("±"), std, F.lit(")"))
 
 
 # --- moving-average profiles ---------------------------------------------------

@@ -48,7 +48,7 @@ def suspicious_connection(df: DataFrame, per_process: str = "process_connections
     listed = X.labels([
         (port.isin(list(C.PORT_NAMES)), F.format_string("Connection to suspicious port %d (%s)", port, named)),
         (port > 49152, F.format_string("Connection to high port %d", port)),
-        (bits > 3.5, F.format_string("High entropy remote IP: %.2f", bits)),
+        (bits > 3.5, F.concat(F.lit("High entropy remote IP: "), X.fixed(bits, 2))),
         (many > 50, F.format_string("Process has %d connections (potential exfiltration)", many)),
     ])
     warn = port.isin(list(C.PORT_NAMES)) | (many > 50)
