@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from argosift import constants as C
 from argosift.functions import severity as S, text as X, times as T
-from argosift.operators.baseline import explain, z_score
+from argosift.operators.baseline import STD_FLOOR, explain_sql
 from argosift.operators.windows import prior_rows
 
 DEVIATION_Z = 2.0
@@ -30,30 +30,30 @@ def statistical(df: DataFrame, features: Sequence[str], z_threshold: float = 3.0
     The score is the mean |z| of the features beyond 2 deviations, over the
     threshold, at most 1. ``extra_thresholds`` add ``stat_score_<i>``.
     """
-    staged = df.withColumns({f"_z_{f}": F.abs(z_score(f)) for f in features})
-    stable = F.coalesce(F.col("sample_count") >= min_samples, F.lit(False))
-    over = {f: stable & (F.col(f"_z_{f}") > DEVIATION_Z) for f in features}
-    summed = staged.withColumns({
-        "_n": _sum([F.when(over[f], 1).otherwise(0) for f in features]),
-        "_sum": _sum([F.when(over[f], F.col(f"_z_{f}")).otherwise(0.0) for f in features]),
-    })
-
-    def score(threshold: float) -> Column:
-        return F.when(F.col("_n") > 0, F.least(F.col("_sum") / F.col("_n") / F.lit(threshold), F.lit(1.0))
-                      ).otherwise(0.0)
-
-    shares = F.map_from_arrays(
-        X.labels((over[f], f) for f in features),
-        F.array_compact(F.array(*[F.when(over[f], F.col(f"_z_{f}") / F.lit(z_threshold)) for f in features])))
-    out = summed.withColumns({
-        "deviating": X.labels((over[f], f) for f in features),
-        "stat_reasons": X.labels((over[f] & (F.col(f"_z_{f}") > z_threshold), explain(f)) for f in features),
-        "contributions": shares,
-        "stat_score": score(z_threshold),
-        **{f"stat_score_{i}": score(t) for i, t in enumerate(extra_thresholds)},
-    })
+    floor, bound = f"{STD_FLOOR}D", f"{DEVIATION_Z}D"
+    staged = df.selectExpr("*", f"coalesce(sample_count >= {int(min_samples)}, false) as _stable", *[
+        f"({f} - mean__{f}) / greatest(std__{f}, {floor}) as _z_{f}" for f in features])
+    over = {f: f"(_stable and abs(_z_{f}) > {bound})" for f in features}
+    summed = staged.selectExpr(
+        "*", " + ".join(f"if({over[f]}, 1, 0)" for f in features) + " as _n",
+        " + ".join(f"if({over[f]}, abs(_z_{f}), 0D)" for f in features) + " as _sum")
+
+    def score(threshold: float) -> str:
+        return f"if(_n > 0, least(_sum / _n / {float(threshold)}D, 1D), 0D)"
+
+    def listed(items: list[str]) -> str:
+        return f"array_compact(array({', '.join(items)}))"
+
+    names = listed([f"if({over[f]}, '{f}', null)" for f in features])
+    shares = listed([f"if({over[f]}, abs(_z_{f}) / {float(z_threshold)}D, null)" for f in features])
+    reasons = listed([f"if({over[f]} and abs(_z_{f}) > {float(z_threshold)}D, {explain_sql(f, f'_z_{f}')}, null)"
+                      for f in features])
+    extra = [f"{score(t)} as stat_score_{i}" for i, t in enumerate(extra_thresholds)]
+    out = summed.selectExpr("*", f"{names} as deviating", f"{reasons} as stat_reasons",
+                            f"map_from_arrays({names}, {shares}) as contributions",
+                            f"{score(z_threshold)} as stat_score", *extra)
     profile_cols = [c for c in out.columns if c.split("__")[0] in ("mean", "std", "min", "max") and "__" in c]
-    return out.drop("_n", "_sum", *[f"_z_{f}" for f in features], *profile_cols)
+    return out.drop("_n", "_sum", "_stable", *[f"_z_{f}" for f in features], *profile_cols)
 
 
 def pattern_rules(source_type: str) -> list[tuple[Column, Column | float, Column | str]]:

@@ -80,8 +80,9 @@ def detail_text(df: DataFrame) -> Column:
 def threat_rows(df: DataFrame, message: str = "message") -> DataFrame:
     """Critical and high log lines as threats with type, confidence and a shortened message."""
     m = F.col(message)
-    marked = df.withColumn("threat_severity", S.triage_severity(m))
-    return marked.where(F.col("threat_severity").isin("critical", "high")).withColumns({
+    urgent = [w for name, words in C.TRIAGE_WORDS if name in ("critical", "high") for w in words]
+    marked = df.where(X.contains_any_once(F.lower(m), urgent)).withColumn("threat_severity", S.triage_severity(m))
+    return marked.withColumns({
         "threat_type": S.threat_type(m),
         "confidence": F.when(F.col("threat_severity") == "critical", 0.95).otherwise(0.75),
         "short_message": F.substring(m, 1, 200),

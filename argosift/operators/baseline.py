@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from argosift.functions.severity import clamp
-from argosift.functions.text import fixed
 from argosift.operators.windows import number_rows
 from argosift.session import cut, small_side
 
@@ -26,13 +25,12 @@ SINGLE_SAMPLE_STD = 0.1
 
 def learn(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("source_type",)) -> DataFrame:
     """Wide profile: sample mean, sample deviation, minimum and maximum of every feature."""
-    aggs = [F.count(F.lit(1)).alias("sample_count")]
+    aggs = ["count(1) as sample_count"]
     for f in features:
-        v = F.col(f).cast("double")
-        aggs += [F.avg(v).alias(f"mean__{f}"),
-                 F.coalesce(F.stddev_samp(v), F.lit(SINGLE_SAMPLE_STD)).alias(f"std__{f}"),
-                 F.min(v).alias(f"min__{f}"), F.max(v).alias(f"max__{f}")]
-    return df.groupBy(*keys).agg(*aggs)
+        v = f"cast({f} as double)"
+        aggs += [f"avg({v}) as mean__{f}", f"coalesce(stddev_samp({v}), {SINGLE_SAMPLE_STD}D) as std__{f}",
+                 f"min({v}) as min__{f}", f"max({v}) as max__{f}"]
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
 
 def to_long(profile: DataFrame, features: Sequence[str], keys: Sequence[str] = ("source_type",),
@@ -92,13 +90,14 @@ def bounds(feature: str, k: float = 2.0) -> tuple[Column, Column]:
             F.coalesce(F.least(F.lit(1.0), mean + k * std), F.lit(1.0)))
 
 
-def explain(feature: str) -> Column:
-    """Text for a deviating feature."""
-    z = z_score(feature)
-    side = F.when(z > 0, "Higher").otherwise("Lower")
-    mean, std = fixed(F.col(f"mean__{feature}"), 3), fixed(F.greatest(F.col(f"std__{feature}"), F.lit(STD_FLOOR)), 3)
-    return F.concat(F.lit(f"{feature}: "), side, F.lit(" than normal (value="), fixed(F.col(feature), 3),
-                    F.lit(", expected≈"), mean, F.lit("±"), std, F.lit(")"))
+def explain_sql(feature: str, z: str) -> str:
+    """SQL text of the explanation of a deviating feature; ``z`` names its z-score."""
+    def fixed(value: str) -> str:
+        return f"format_number({value}, '0.000')"
+
+    return (f"concat('{feature}: ', if({z} > 0, 'Higher', 'Lower'), ' than normal (value=', {fixed(feature)}, "
+            f"', expected≈', {fixed(f'mean__{feature}')}, '±', "
+            f"{fixed(f'greatest(std__{feature}, {STD_FLOOR}D)')}, ')')")
 
 
 # --- moving-average profiles ---------------------------------------------------

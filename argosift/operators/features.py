@@ -27,7 +27,7 @@ def log_features(df: DataFrame, message: str = "message", source: str = "source"
     m, when = F.col(message), F.col(ts)
     hits = [f"_hit{i}" for i in range(len(C.SUSPICIOUS_PATTERNS))]
     staged = df.withColumns({
-        **{h: m.rlike("(?i)" + p) for h, (p, _, _) in zip(hits, C.SUSPICIOUS_PATTERNS)},
+        **{h: F.lower(m).rlike(p) for h, (p, _, _) in zip(hits, C.SUSPICIOUS_PATTERNS)},
         "_ips": X.ip_list(m), "_ports": X.port_list(m), "_paths": X.path_list(m),
     })
     found = [(F.col(h), name, score) for h, (_, name, score) in zip(hits, C.SUSPICIOUS_PATTERNS)]

@@ -239,7 +239,7 @@ def events_in_range(t: Inputs):
 @query("b24_tamper_statements", """select doc_id, regexp_matches(text,
     '(?i)DELETE FROM|DROP TABLE|TRUNCATE|UPDATE.*SET.*hash|ALTER TABLE') as tampering from documents""")
 def tamper_statements(t: Inputs):
-    return t.table("documents").select("doc_id", S.is_tamper_statement(F.col("text")).alias("tampering"))
+    return t.documents().select("doc_id", S.is_tamper_statement(F.col("text")).alias("tampering"))
 
 
 @query("h45_content_hash", with_views(

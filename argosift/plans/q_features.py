@@ -26,7 +26,7 @@ _DOC = ["message_length", "word_count", "uppercase_ratio", "digit_ratio", "speci
 def text_counts(t: Inputs):
     """Lengths, words and character ratios of whole documents (H1, H2)."""
     m = F.col("text")
-    return t.table("documents").select(
+    return t.documents().select(
         "doc_id", F.length(m).cast("double").alias("message_length"),
         X.word_count(m).cast("double").alias("word_count"), F.round(X.uppercase_ratio(m), 6).alias("uppercase_ratio"),
         F.round(X.digit_ratio(m), 6).alias("digit_ratio"),
@@ -47,7 +47,7 @@ def level_score(t: Inputs):
 def extractions(t: Inputs):
     """Addresses, ports and paths written in documents (H6, H8, H9)."""
     m = F.col("text")
-    return t.table("documents").select(
+    return t.documents().select(
         "doc_id", F.array_join(X.ip_list(m), ",").alias("ips"),
         F.array_join(F.array_sort(X.port_list(m)), ",").alias("ports"),
         F.array_join(X.path_list(m), ",").alias("paths"))
@@ -63,7 +63,7 @@ def private_ip(t: Inputs):
 
 @query("h11_entropy", f"select doc_id, round({_TEXT['entropy']}, 6) as entropy from documents")
 def entropy(t: Inputs):
-    return t.table("documents").select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
+    return t.documents().select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query("h12_ip_entropy", with_views(
@@ -75,7 +75,7 @@ def ip_entropy(t: Inputs):
 @query("h5_document_features", "select doc_id, " + Q.rounded({k: _TEXT[k] for k in _DOC[5:]}) + " from documents")
 def document_features(t: Inputs):
     """Pattern, address, port, path and entropy features over whole documents."""
-    docs = t.table("documents").select("doc_id", "text", "source", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
+    docs = t.documents().select("doc_id", "text", "source", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
     return _round(FX.log_features(docs, message="text"), "doc_id", _DOC[5:])
 
 

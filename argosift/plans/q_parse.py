@@ -69,7 +69,7 @@ _DOC_LINES = """select doc_id, n_lines, line_no, trim(raw, ' ') as line from (se
   count_if({Q.words_case('line', C.LEVEL_WORDS, 'debug')}='error')::bigint as errors
   from ({_DOC_LINES}) group by doc_id""")
 def scan_text(t: Inputs):
-    lines = L.split_lines(t.table("documents"), "doc_id", "text")
+    lines = L.split_lines(t.documents(), "doc_id", "text")
     return lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_lines"), F.count_if(~F.col("blank")).alias("parsed_lines"),
         F.count_if(S.log_level(F.col("line")) == "error").alias("errors"))
@@ -77,7 +77,7 @@ def scan_text(t: Inputs):
 
 @query("a4_tail_of_text", f"select doc_id, line_no, line from ({_DOC_LINES}) where line_no > n_lines-2 and line<>''")
 def tail_of_text(t: Inputs):
-    return L.split_lines(t.table("documents"), "doc_id", "text", tail_lines=2).where("not blank").select(
+    return L.split_lines(t.documents(), "doc_id", "text", tail_lines=2).where("not blank").select(
         "doc_id", "line_no", "line")
 
 
@@ -148,7 +148,7 @@ def parse_access(t: Inputs):
   {Q.words_case('text', C.LEVEL_WORDS, 'debug')} as level from documents
   where not regexp_matches(trim(text,' '), {Q.q(_SYS)})""")
 def parse_generic(t: Inputs):
-    from_docs = t.table("documents").select("doc_id", F.col("text").alias("line"),
+    from_docs = t.documents().select("doc_id", F.col("text").alias("line"),
                                             F.lit(None).cast("timestamp_ntz").alias("ts"))
     return L.parse_lines(from_docs).where("log_format = 'generic'").select("doc_id", "log_format", "process", "level")
 
@@ -215,7 +215,7 @@ def by_severity(t: Inputs):
 
 @query("b10_text_filter", "select doc_id from documents where contains(lower(text), lower('Password'))")
 def text_filter(t: Inputs):
-    return t.table("documents").where(F.lower("text").contains("password")).select("doc_id")
+    return t.documents().where(F.lower("text").contains("password")).select("doc_id")
 
 
 @query("b17_log_tags", with_views(
@@ -255,7 +255,7 @@ def classify_logs(t: Inputs):
 @query("h15_classify_documents", _classify("text", "documents", "doc_id"))
 def classify_documents(t: Inputs):
     """The same classification over whole documents."""
-    return _classified(t.table("documents"), "text", "doc_id")
+    return _classified(t.documents(), "text", "doc_id")
 
 
 _RISK = ([(Q.contains_any("lower(message)", ws), n, s) for n, s, ws in C.RISK_WORDS]
@@ -421,6 +421,6 @@ def pattern_name_in_text(t: Inputs):
     from documents) group by lang""")
 def update_report(t: Inputs):
     """Counts over text lines read as package lists, one list per language."""
-    lines = L.split_lines(t.table("documents"), "doc_id", "text").join(
-        t.table("documents").select("doc_id", "lang"), "doc_id")
+    lines = L.split_lines(t.documents(), "doc_id", "text").join(
+        t.documents().select("doc_id", "lang"), "doc_id")
     return N.update_report(lines, "line", ["lang"])

@@ -11,7 +11,7 @@ from argosift.functions.hashing import content_hash
 from argosift.operators.audit import CONTENT_FIELDS
 from argosift.operators.windows import number_rows, running_sums
 from argosift.functions.times import micros
-from argosift.session import prepare
+from argosift.session import prepare, spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -106,23 +106,29 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def events(self) -> DataFrame:
+        return spread(self.table("events"), "event_id")
+
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"), "doc_id")
+
     def _over(self, base: DataFrame, exprs: list[str]) -> DataFrame:
         return base.selectExpr(*_cols(exprs, _SPARK))
 
     def sec_log(self) -> DataFrame:
-        return self._over(self.table("events"), SEC_LOG)
+        return self._over(self.events(), SEC_LOG)
 
     def net_conn(self) -> DataFrame:
-        return self._over(self.table("events"), NET_CONN)
+        return self._over(self.events(), NET_CONN)
 
     def proc(self) -> DataFrame:
-        return self._over(self.table("events"), PROC)
+        return self._over(self.events(), PROC)
 
     def log_line(self) -> DataFrame:
         return self._over(self.sec_log(), LOG_LINE)
 
     def web_line(self) -> DataFrame:
-        return self._over(self.table("events"), WEB_LINE)
+        return self._over(self.events(), WEB_LINE)
 
     def feedback(self) -> DataFrame:
         return self._over(self.table("labels"), FEEDBACK)
@@ -132,7 +138,7 @@ class Inputs:
 
     def host_metric(self) -> DataFrame:
         """Metric samples with counters that accumulate per host."""
-        base = self._over(self.table("events"), METRIC_BASE)
+        base = self._over(self.events(), METRIC_BASE)
         steps = base.withColumns({"t_us": micros(F.col("ts"))})
         summed = running_sums(steps, ["host_id"], ["t_us", "event_id"], ["sent_step", "recv_step"])
         return summed.withColumns({"net_bytes_sent": F.col("run_sent_step").cast("long"),
@@ -141,7 +147,7 @@ class Inputs:
 
     def metric_sample(self) -> DataFrame:
         """Metric samples without counters."""
-        return self._over(self.table("events"), METRIC_BASE).drop("sent_step", "recv_step")
+        return self._over(self.events(), METRIC_BASE).drop("sent_step", "recv_step")
 
     def proc_snapshot(self) -> DataFrame:
         return self.table("events").selectExpr(

@@ -60,9 +60,26 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as a table in the shared folder and continues from its files.
+
+    Unlike an eager checkpoint this computes the last stage once, and the files
+    carry a size that join planning can use.
+    """
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistributes a scan that has fewer splits than the session has cores.
+
+    Costly per-row work on a small or single-split file would otherwise run in one
+    task. A large table already has more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
 
 
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
