@@ -67,7 +67,7 @@ def assess_chains(df: DataFrame, keys: Sequence[str] = ("host_id",)) -> DataFram
         _texts(C.CHAIN_ACTIONS).alias("actions"))
 
 
-def detail_text(df: DataFrame) -> Column:
+def detail_text() -> Column:
     """Multi-line description of an anomaly: scores, top contributions and reasons."""
     from argosift.operators.anomaly import top_contributions
     head = F.concat(F.lit("Anomaly in "), F.col("source_type"), F.lit(" at "), F.col("ts").cast("string"),
