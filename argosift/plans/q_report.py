@@ -415,15 +415,14 @@ def alert_history(t: Inputs):
           time_bucket(interval 6 hours, ts, timestamp '1970-01-01')) as n from sec_log
           where {Q.contains_any('lower(message)', C.AUTH_FAILURE_WORDS)}) where n>=5""", "sec_log"))
 def alert_members(t: Inputs):
-    """Alerts that list their failed logins, joined back to the events.
-
-    An alert lists at most the events of one window of one host.
-    """
-    fails = t.sec_log().where(S.is_auth_failure(F.col("message")))
-    grouped = fails.groupBy("host_id", F.window("ts", "6 hours").alias("w")).agg(
-        F.collect_list("event_id").alias("event_ids")).where(F.size("event_ids") >= 5)
-    lists = grouped.select(F.concat("host_id", F.lit("@"), F.col("w.start").cast("timestamp_ntz").cast("string"))
-                           .alias("alert_id"), "event_ids")
+    """Alerts that list their failed logins, joined back to the events."""
+    fails = t.sec_log().where(S.is_auth_failure(F.col("message"))).withColumn("alert_id", F.concat(
+        "host_id", F.lit("@"), F.window("ts", "6 hours")["start"].cast("timestamp_ntz").cast("string")))
+    raised = fails.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    # One alert may hold very many events, so its list is kept in hash parts.
+    part = F.pmod(F.xxhash64("event_id"), F.lit(1024))
+    lists = fails.join(raised, "alert_id", "left_semi").groupBy("alert_id", part.alias("part")).agg(
+        F.collect_list("event_id").alias("event_ids"))
     return Z.alert_members(lists, t.sec_log()).select("alert_id", "event_id", "message")
 
 

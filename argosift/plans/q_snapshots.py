@@ -130,8 +130,8 @@ _CK = " and ".join(f"p.{k}=s.{k}" for k in ["host_id", *_CONN_KEYS])
 
 
 @query("c13_connection_changes", with_views(
-    f"""select host_id, cast(at as varchar) as seen_at, change, count(*)::bigint as connections from (
-          select s.host_id, s.snapshot_ts as at, 'opened' as change from snap s join nxt using (host_id, snapshot_ts)
+    f"""select host_id, cast(moment as varchar) as seen_at, change, count(*)::bigint as connections from (
+          select s.host_id, s.snapshot_ts as moment, 'opened' as change from snap s join nxt using (host_id, snapshot_ts)
             where nxt.before is not null and not exists (select 1 from snap p where {_CK} and p.snapshot_ts=nxt.before)
           union all select s.host_id, nxt.after, 'closed' from snap s join nxt using (host_id, snapshot_ts)
             where nxt.after is not null and not exists (select 1 from snap p where {_CK} and p.snapshot_ts=nxt.after))

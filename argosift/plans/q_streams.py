@@ -1 +1,216 @@
+"""Streaming queries; each runs to the end of its input and returns the written table."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
+
+from argosift import constants as C, schemas
+from argosift.functions import severity as S
+from argosift.operators import features as FX
+from argosift.plans import sqltext as Q
+from argosift.plans.registry import query
+from argosift.operators.audit import event_hash
+from argosift.plans.views import LOG_LINE, PRIMARY, SEC_LOG, Inputs, spark_columns, with_views
+from argosift.session import new_path
+from argosift.streaming import jobs as J
+
+
+def _events(t: Inputs) -> DataFrame:
+    return J.read_files(t.spark, t.folder, schemas.EVENT, pattern="events.parquet")
+
+
+def _log(t: Inputs) -> DataFrame:
+    return _events(t).selectExpr(*spark_columns(SEC_LOG))
+
+
+def _arrivals(t: Inputs, run: Callable[[DataFrame], None]) -> None:
+    """Delivers the events in three time slices and runs the stream after each of them."""
+    path = new_path(t.spark, "arrivals")
+    events = t.table("events")
+    cuts = ["2024-01-01", "2024-01-09", "2024-01-20", "2999-01-01"]
+    for start, end in zip(cuts, cuts[1:]):
+        events.where(f"ts >= timestamp_ntz'{start}' and ts < timestamp_ntz'{end}'").write.mode("append").parquet(path)
+        run(J.read_files(t.spark, path, schemas.EVENT))
+
+
+@query("i1_incremental_ingest", with_views("select event_id, source, message from sec_log", "sec_log"))
+def incremental_ingest(t: Inputs):
+    """Three deliveries read from a remembered position."""
+    path, checkpoint = new_path(t.spark, "ingest"), new_path(t.spark, "ingest-checkpoint")
+    _arrivals(t, lambda ev: J.append_to(ev.selectExpr(*spark_columns(SEC_LOG)).select(
+        "event_id", "source", "message"), path, checkpoint))
+    return t.spark.read.parquet(path)
+
+
+@query("i2_deduplicate", with_views("select event_id, severity from sec_log", "sec_log"))
+def deduplicate(t: Inputs):
+    """Every event delivered twice, kept once."""
+    log = _log(t).select("event_id", "ts", "severity")
+    return J.run_to_table(J.deduplicate(log.unionByName(log)), "dedup").select("event_id", "severity")
+
+
+_MARK = "(select max(ts) from sec_log) - interval 10 minutes"
+_FAIL = Q.contains_any("lower(message)", C.AUTH_FAILURE_WORDS)
+
+
+@query("i3_sliding_sequences", with_views(
+    f"""select host_id, cast(w as varchar) as window_start, count(*)::bigint as events from (
+          select host_id, ts, unnest([time_bucket(interval 1 hour, ts) - i * interval 1 hour for i in range(6)]) as w
+          from sec_log where {_FAIL}) where w + interval 6 hours <= (select max(ts) from sec_log where {_FAIL})
+          - interval 10 minutes group by 1,2 having count(*)>=5""", "sec_log"))
+def sliding_sequences(t: Inputs):
+    rows = J.run_to_table(J.sequence_windows(_log(t), ["host_id"], "6 hours", "1 hour"), "sequences")
+    return rows.select("host_id", F.col("window_start").cast("string").alias("window_start"), "events")
+
+
+@query("i4_tumbling_counts", with_views(
+    f"""select cast(time_bucket(interval 1 hour, ts) as varchar) as slot, count(*)::bigint as events,
+          count_if({Q.TRIAGE} in ('critical','high'))::bigint as threats from sec_log
+        where time_bucket(interval 1 hour, ts) + interval 1 hour <= {_MARK} group by 1""", "sec_log"))
+def tumbling_counts(t: Inputs):
+    severe = S.triage_severity(F.col("message")).isin("critical", "high")
+    rows = J.run_to_table(J.window_counts(_log(t), [], "1 hour", threats=severe), "hours")
+    return rows.select(F.col("window_start").cast("string").alias("slot"), "events", "threats")
+
+
+@query("i5_sessions", """select user_id, cast(min(ts) as varchar) as started, count(*)::bigint as events from (
+    select user_id, ts, sum(fresh) over (partition by user_id order by ts, event_id) as s from (select *,
+      case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end
+      as fresh from events)) group by user_id, s
+    having max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 10 minutes""")
+def session_rows(t: Inputs):
+    rows = J.run_to_table(J.sessions(_events(t), ["user_id"], "30 minutes"), "sessions")
+    return rows.select("user_id", F.col("started").cast("string").alias("started"), "events")
+
+
+@query("i6_interval_join", with_views(
+    """select a.event_id as left_id, b.event_id as right_id, a.host_id from sec_log a join sec_log b
+         on a.host_id=b.host_id and b.ts<=a.ts and b.ts>=a.ts - interval 900 seconds
+       where a.severity='error' and b.severity='warning'""", "sec_log"))
+def joined_streams(t: Inputs):
+    log = _log(t)
+    pairs = J.interval_join(log.where("severity = 'error'"), log.where("severity = 'warning'"), "host_id", 900)
+    return J.run_to_table(pairs, "pairs")
+
+
+@query("d2_cumulative_counts", with_views(
+    "select source, severity, count(*)::bigint as events from sec_log group by 1,2", "sec_log"))
+def cumulative_counts(t: Inputs):
+    """Counts carried over three deliveries."""
+    totals = J.VersionedTable(t.spark, new_path(t.spark, "totals"))
+    checkpoint = new_path(t.spark, "totals-checkpoint")
+    _arrivals(t, lambda ev: J.running_totals(ev.selectExpr(*spark_columns(SEC_LOG)), ["source", "severity"], totals,
+                                             checkpoint))
+    return totals.latest()
+
+
+_FEATS = ["message_length", "severity_score", "entropy", "pattern_count"]
+
+
+@query("i8_moving_baseline", with_views(
+    """select source, feature, round(s.m,6) as mean, round(s.v,6) as variance from ema""", "sec_log", ctes={
+        "feat": "select event_id, ts, source, " + Q.plain({k: Q.log_features("severity")[k] for k in _FEATS})
+                + " from sec_log",
+        "long": f"select event_id, ts, source, feature, value from feat unpivot (value for feature in ({', '.join(_FEATS)}))",
+        "seed": """select source, feature, avg(value) as m0, power(stddev_samp(value),2) as v0 from long
+            where ts < timestamp '2024-01-09' group by 1,2""",
+        "later": """select source, feature, list({'m':0.0::double,'v':0.0::double,'x':value} order by ts, event_id) as xs
+            from long where ts >= timestamp '2024-01-09' group by 1,2""",
+        "ema": """select source, feature, list_reduce(list_prepend({'m':m0,'v':v0,'x':0.0::double}, xs), lambda a, b: {
+            'm':0.9*a.m+0.1*b.x, 'v':0.9*a.v+0.1*(b.x-(0.9*a.m+0.1*b.x))*(b.x-(0.9*a.m+0.1*b.x)), 'x':b.x}) as s
+            from seed join later using (source, feature)"""}))
+def moving_baseline(t: Inputs):
+    """Moving averages started from the first delivery and updated by the later ones."""
+    state = J.VersionedTable(t.spark, new_path(t.spark, "profile"))
+    checkpoint = new_path(t.spark, "profile-checkpoint")
+
+    def run(ev: DataFrame) -> None:
+        rows = FX.log_features(ev.selectExpr(*spark_columns(SEC_LOG)), severity="severity")
+        J.moving_baseline(rows.select("event_id", "ts", "source", *_FEATS), _FEATS, ["source"], state, checkpoint)
+
+    _arrivals(t, run)
+    names = F.array(*[F.lit(f) for f in _FEATS])
+    rows = state.latest().select("source", F.explode(F.arrays_zip(names.alias("f"), "means", "variances")).alias("e"))
+    return rows.select("source", F.col("e.f").alias("feature"), F.round("e.means", 6).alias("mean"),
+                       F.round("e.variances", 6).alias("variance"))
+
+
+_CHAIN = {
+    "seq_rows": """select host_id, (sequence_number-1)//512 as segment, (sequence_number-1)%512 as pos, sequence_number,
+        record_id, content_hash from audit_log""",
+    "links": """select host_id, segment, pos, sequence_number, record_id, content_hash,
+          sha256(sha256('genesis-v1')||':'||content_hash) as chain_hash from seq_rows where pos = 0
+        union all select s.host_id, s.segment, s.pos, s.sequence_number, s.record_id, s.content_hash,
+          sha256(l.chain_hash||':'||s.content_hash)
+        from links l join seq_rows s on s.host_id=l.host_id and s.segment=l.segment and s.pos=l.pos+1""",
+}
+
+
+@query("i9_chain_append", with_views("select host_id, sequence_number, record_id, chain_hash from links", "audit_log",
+                                     ctes=_CHAIN))
+def chain_append(t: Inputs):
+    """Chains grown over three deliveries equal the chain built at once."""
+    links = J.BatchTable(t.spark, new_path(t.spark, "links"))
+    heads = J.VersionedTable(t.spark, new_path(t.spark, "heads"))
+    checkpoint = new_path(t.spark, "chain-checkpoint")
+
+    def run(ev: DataFrame) -> None:
+        rows = ev.selectExpr(*spark_columns(SEC_LOG)).where("event_id%103<>0").select(
+            F.col("event_id").alias("record_id"), "ts", "host_id", event_hash().alias("content_hash"))
+        J.append_chain(rows, links, heads, checkpoint)
+
+    _arrivals(t, run)
+    return links.read().select("host_id", "sequence_number", "record_id", "chain_hash")
+
+
+@query("i10_periodic_audit", with_views(
+    """select 1::bigint as reports, true as alert, count_if(h=content_hash)::bigint as valid,
+         count_if(h<>content_hash)::bigint as tampered from (select event_id, sha256(concat_ws('|',cast(event_id as varchar),
+         cast(ts as varchar),source,event_type,severity,host_id,message)) as h from primary_events) p
+       join audit_log b on p.event_id=b.record_id""", "primary_events", "audit_log"))
+def audit_stream(t: Inputs):
+    """One audit of the primary table per trigger."""
+    reports = J.BatchTable(t.spark, new_path(t.spark, "reports"))
+    primary = _log(t).where("event_id%97<>0").selectExpr(*spark_columns(PRIMARY))
+    J.periodic_audit(primary, t.audit_log(numbered=False), reports, new_path(t.spark, "audit-checkpoint"))
+    return reports.read().agg(F.count(F.lit(1)).alias("reports"), F.bool_or("alert").alias("alert"),
+                              F.sum("valid").alias("valid"), F.sum("tampered").alias("tampered"))
+
+
+@query("i11_live_monitor", with_views(
+    f"""select event_id, {Q.LEVEL} as level, case when {Q.matches_any('line', [p for r in C.RULES for p in r.log_patterns])}
+          or score>0.7 then 'threat' when score>0.5 then 'warning' else 'normal' end as triage
+        from (select l.*, s.message, {Q.log_features(message='line')['severity_score']} as score from log_line l
+              join sec_log s using (event_id))""", "log_line"))
+def live_monitor(t: Inputs):
+    lines = _log(t).selectExpr(*spark_columns(LOG_LINE))
+    return J.run_to_table(J.live_monitor(lines).select("event_id", "level", "triage"), "monitor")
+
+
+_NEXT = """select distinct host_id, snapshot_ts, lag(snapshot_ts) over w as before, lead(snapshot_ts) over w as after
+  from (select distinct host_id, snapshot_ts from proc_snapshot) window w as (partition by host_id order by snapshot_ts)"""
+
+
+@query("i12_snapshot_events", with_views(
+    """select s.host_id, cast(s.snapshot_ts as varchar) as seen_at, s.pid, 'start' as change from proc_snapshot s
+         join nxt using (host_id, snapshot_ts) left join proc_snapshot p on p.host_id=s.host_id and p.pid=s.pid
+         and p.snapshot_ts=nxt.before where nxt.before is not null and p.pid is null
+       union all select s.host_id, cast(nxt.after as varchar), s.pid, 'end' from proc_snapshot s
+         join nxt using (host_id, snapshot_ts) left join proc_snapshot p on p.host_id=s.host_id and p.pid=s.pid
+         and p.snapshot_ts=nxt.after where nxt.after is not null and p.pid is null""",
+    "proc_snapshot", ctes={"nxt": _NEXT}))
+def snapshot_stream(t: Inputs):
+    """Starts and ends over three deliveries; slices fall between daily snapshots."""
+    changes = J.BatchTable(t.spark, new_path(t.spark, "changes"))
+    last = J.VersionedTable(t.spark, new_path(t.spark, "snapshot"))
+    checkpoint = new_path(t.spark, "snapshot-checkpoint")
+
+    def run(ev: DataFrame) -> None:
+        rows = ev.selectExpr("'host-'||cast(user_id%8 as string) as host_id",
+                             "cast(date_trunc('day',ts) as timestamp_ntz) as snapshot_ts", "1000+user_id as pid")
+        J.snapshot_events(rows, ["pid"], changes, last, checkpoint)
+
+    _arrivals(t, run)
+    return changes.read().select("host_id", F.col("snapshot_ts").cast("string").alias("seen_at"), "pid", "change")

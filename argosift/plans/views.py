@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argosift.functions.hashing import content_hash
-from argosift.operators.audit import CONTENT_FIELDS
+from argosift.operators.audit import event_hash
 from argosift.operators.windows import number_rows, running_sums
 from argosift.functions.times import micros
 from argosift.session import prepare, spread
@@ -96,6 +95,11 @@ def _cols(exprs: list[str], names: dict[str, str]) -> list[str]:
     return [e.format(**names) for e in exprs]
 
 
+def spark_columns(exprs: list[str]) -> list[str]:
+    """The expressions as Spark SQL, for batch and streaming frames."""
+    return _cols(exprs, _SPARK)
+
+
 class Inputs:
     """The given tables and the views over them, for one data folder."""
 
@@ -161,7 +165,7 @@ class Inputs:
     def audit_log(self, numbered: bool = True) -> DataFrame:
         hashed = self.backup_events().select(
             F.col("event_id").alias("record_id"), "ts", "host_id",
-            content_hash(*[F.col(f) for f in CONTENT_FIELDS]).alias("content_hash"))
+            event_hash().alias("content_hash"))
         return number_rows(hashed, ["host_id"], "ts", "record_id", "sequence_number") if numbered else hashed
 
 

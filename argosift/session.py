@@ -34,6 +34,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on, applied to a session made elsewhere."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Process trees may hold more rows than the default limit of recursive queries.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark
 
 
