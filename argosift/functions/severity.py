@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from argosift import constants as C
-from argosift.functions.text import any_of, contains_any, first_label, labels, lookup, matches_any
+from argosift.functions.text import contains_any, first_label, labels, lookup, matches, matches_any
 
 
 def log_level(message: Column) -> Column:
@@ -62,7 +62,7 @@ def service_name(message: Column, default: Column) -> Column:
 
 
 def matched_patterns(message: Column) -> Column:
-    return labels((message.rlike("(?i)" + p), name) for name, p, _ in C.LOG_PATTERNS)
+    return labels((matches(message, p), name) for name, p, _ in C.LOG_PATTERNS)
 
 
 def pattern_severity(name: Column) -> Column:
@@ -125,4 +125,4 @@ def triage_line(rule_hit: Column, score: Column) -> Column:
 
 
 def is_tamper_statement(statement: Column) -> Column:
-    return any_of(statement.rlike("(?i)" + p) for p in C.TAMPER_STATEMENTS)
+    return matches_any(statement, C.TAMPER_STATEMENTS)

@@ -37,9 +37,55 @@ def contains_any_once(col: Column, words: Iterable[str]) -> Column:
     return col.rlike("|".join(re.escape(w) for w in words))
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern split at its top-level ``|``."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif ch in "([":
+            depth += 1
+        elif ch in ")]":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
+def _leading_text(pattern: str) -> str:
+    """The plain characters a match of the pattern must begin with."""
+    n = re.match(r"[A-Za-z0-9 _/\-]*", pattern).end()
+    if n < len(pattern) and pattern[n] in "?*+{":
+        n -= 1
+    return pattern[:n]
+
+
+def matches(col: Column, pattern: str, lowered: Column | None = None) -> Column:
+    """Case-insensitive pattern test.
+
+    Plain alternatives become byte searches; others run only where the text holds
+    their leading characters, which a byte search rules out far more cheaply.
+    """
+    low = F.lower(col) if lowered is None else lowered
+    tests = []
+    for alt in _alternatives(pattern):
+        head = _leading_text(alt)
+        if head == alt:
+            tests.append(low.contains(alt.lower()))
+        elif len(head) > 2:
+            tests.append(low.contains(head.lower()) & col.rlike("(?i)" + alt))
+        else:
+            tests.append(col.rlike("(?i)" + alt))
+    return any_of(tests)
+
+
 def matches_any(col: Column, patterns: Iterable[str], ignore_case: bool = True) -> Column:
-    prefix = "(?i)" if ignore_case else ""
-    return any_of(col.rlike(prefix + p) for p in patterns)
+    if ignore_case:
+        return any_of(matches(col, p) for p in patterns)
+    return any_of(col.rlike(p) for p in patterns)
 
 
 def first_label(tests: Iterable[tuple[Column, object]], default: object) -> Column:
@@ -69,24 +115,33 @@ def flag(test: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.regexp_count(col, F.lit(f"[^{SPACE_CLASS}]+"))
+    """Runs of non-space characters; each becomes one mark and the marks are counted."""
+    marks = F.regexp_replace(F.regexp_replace(col, f"[^{SPACE_CLASS}]+", "x"), f"[{SPACE_CLASS}]+", "")
+    return F.length(marks)
 
 
-def _share_kept(col: Column, dropped: str) -> Column:
-    """Share of characters left after dropping runs of a character class."""
-    return F.length(F.regexp_replace(col, f"{dropped}+", "")) / F.greatest(F.length(col), F.lit(1))
+def _share_kept(col: Column, dropped: str, dropped_ascii: str) -> Column:
+    """Share of characters left after dropping runs of a character class.
+
+    Plain ASCII text (as many bytes as characters) takes a class without Unicode tables.
+    """
+    n = F.length(col)
+    plain = F.octet_length(col) == n
+    kept = F.when(plain, F.length(F.regexp_replace(col, f"{dropped_ascii}+", ""))).otherwise(
+        F.length(F.regexp_replace(col, f"{dropped}+", "")))
+    return kept / F.greatest(n, F.lit(1))
 
 
 def uppercase_ratio(col: Column) -> Column:
-    return _share_kept(col, f"[^{UPPER_CLASS}]")
+    return _share_kept(col, f"[^{UPPER_CLASS}]", "[^A-Z]")
 
 
 def digit_ratio(col: Column) -> Column:
-    return _share_kept(col, f"[^{DIGIT_CLASS}]")
+    return _share_kept(col, f"[^{DIGIT_CLASS}]", "[^0-9]")
 
 
 def special_ratio(col: Column) -> Column:
-    return _share_kept(col, f"[{ALNUM_CLASS} ]")
+    return _share_kept(col, f"[{ALNUM_CLASS} ]", "[A-Za-z0-9 ]")
 
 
 def entropy_bits(col: Column) -> Column:

@@ -14,6 +14,7 @@ from argosift import constants as C
 from argosift.functions import severity as S, text as X, times as T
 from argosift.operators.baseline import STD_FLOOR, explain_sql
 from argosift.operators.windows import prior_rows
+from argosift.session import fence
 
 DEVIATION_Z = 2.0
 BURST_PER_MINUTE = 100.0
@@ -86,10 +87,10 @@ def pattern(df: DataFrame, source_type: str) -> DataFrame:
     """Adds ``pattern_score`` (largest applicable score) and ``pattern_reasons``."""
     rules = pattern_rules(source_type)
     scores = [F.when(t, s if isinstance(s, Column) else F.lit(s)).otherwise(0.0) for t, s, _ in rules]
-    return df.withColumns({
+    return fence(df.withColumns({
         "pattern_score": F.greatest(*scores, F.lit(0.0)),
         "pattern_reasons": X.labels((t, r) for t, _, r in rules),
-    })
+    }), "pattern_score")
 
 
 def burst_rate(df: DataFrame, keys: Sequence[str] = ("source_type",), ts: str = "ts", tie: str = "event_id",
@@ -139,7 +140,7 @@ def combine(df: DataFrame, threshold: float = 0.6) -> DataFrame:
         df = df.withColumn("isolation_score", F.lit(None).cast("double"))
     iso = X.labels([(F.col("isolation_score") > 0.5,
                      F.concat(F.lit("Isolated pattern (score: "), X.fixed(F.col("isolation_score"), 2), F.lit(")")))])
-    scored = df.withColumn("anomaly_score", weighted(_methods("stat_score")))
+    scored = fence(df.withColumn("anomaly_score", weighted(_methods("stat_score"))), "anomaly_score")
     return scored.withColumns({
         "anomaly_severity": S.anomaly_severity(F.col("anomaly_score")),
         "is_anomaly": F.col("anomaly_score") >= threshold,
@@ -150,9 +151,14 @@ def combine(df: DataFrame, threshold: float = 0.6) -> DataFrame:
 def score_methods(df: DataFrame, source_type: str, features: Sequence[str], z_threshold: float = 3.0,
                   min_samples: int = 100, extra_thresholds: Sequence[float] = (),
                   burst_keys: Sequence[str] = ("source_type",)) -> DataFrame:
-    """Statistical, pattern and temporal columns for feature rows joined with their profile."""
-    with_stats = statistical(df, features, z_threshold, min_samples, extra_thresholds)
-    return temporal(burst_rate(pattern(with_stats, source_type), burst_keys))
+    """Statistical, pattern and temporal columns for feature rows joined with their profile.
+
+    Burst rates are added here unless ``df`` has them; computing them on the raw rows
+    before feature extraction shuffles less.
+    """
+    rows = df if "events_per_minute" in df.columns else burst_rate(df, burst_keys)
+    scored = statistical(rows, features, z_threshold, min_samples, extra_thresholds)
+    return temporal(pattern(scored, source_type))
 
 
 def detect(df: DataFrame, source_type: str, features: Sequence[str], z_threshold: float = 3.0,
@@ -174,12 +180,13 @@ def ensemble(df: DataFrame, source_type: str, features: Sequence[str], detectors
     ranks = [S.severity_rank(S.anomaly_severity(p)) for p in parts]
     top = F.greatest(*ranks) if len(ranks) > 1 else ranks[0]
     best = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    out = scored.withColumns({
+    summed = scored.withColumns({
         "votes": votes,
         "vote_fraction": votes / F.lit(float(len(detectors))),
         "anomaly_score": _sum(parts) / F.lit(float(len(detectors))),
         "max_score": best,
-    }).withColumn("is_anomaly", F.col("vote_fraction") >= voting)
+    })
+    out = fence(summed, "votes", "vote_fraction", "anomaly_score", "max_score").withColumn("is_anomaly", F.col("vote_fraction") >= voting)
     return out.withColumns({
         "anomaly_severity": S.severity_of_rank(F.when(F.col("is_anomaly"), top).otherwise(ranks[0])),
         "reasons": F.array_distinct(F.concat("stat_reasons", "pattern_reasons", "temporal_reasons")),

@@ -139,31 +139,39 @@ def _summary(x: np.ndarray, alpha: float) -> np.ndarray:
                      np.full(x.shape[1], (weight * keep ** 2).sum())])
 
 
-def _unpack(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack([np.stack(pdf[c].to_numpy()) for c in _COEF], axis=1)
+_RANGE = ("lows", "highs")
 
 
 def segment_summaries(df: DataFrame, features: Sequence[str], keys: Sequence[str], ts: str, tie: str,
-                      alpha: float, segment_rows: int, skip_rows: int = 0) -> DataFrame:
-    """Numbers each key's rows in time order and summarises equal segments of them.
+                      alpha: float, segment_rows: int, seed_rows: int = 0) -> DataFrame:
+    """Numbers each key's rows in time order and summarises equal segments of them, in one pass.
 
-    The first ``skip_rows`` rows of a key are left out.
+    With ``seed_rows`` the first rows form segment -1, whose ``b`` and ``qa`` hold
+    the plain mean and variance.
     """
     vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     slim = df.select(*keys, ts, tie, vec.alias("x"))
-    numbered = number_rows(slim, keys, ts, tie).where(F.col("row_no") > skip_rows)
-    at = numbered.withColumn("seg", F.floor((F.col("row_no") - 1 - skip_rows) / F.lit(segment_rows)).cast("long"))
+    after = F.col("row_no") - 1 - seed_rows
+    seg = F.when(after < 0, -1).otherwise(F.floor(after / F.lit(segment_rows))).cast("long")
+    at = number_rows(slim, keys, ts, tie).withColumn("seg", seg).select(*keys, "row_no", "seg", "x")
     key_fields = [f for f in slim.schema.fields if f.name in keys]
     schema = T.StructType([*key_fields, T.StructField("seg", T.LongType()), T.StructField("rows", T.LongType()),
-                           *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in _COEF]])
+                           *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in (*_COEF, *_RANGE)]])
     names = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_no")
-        s = _summary(np.stack(pdf["x"].to_numpy()), alpha)
+        x = np.stack(pdf["x"].to_numpy())
         head = pdf.iloc[0]
-        return pd.DataFrame([[*[head[k] for k in names], head["seg"], len(pdf), *[list(r) for r in s]]],
-                            columns=[*names, "seg", "rows", *_COEF])
+        if head["seg"] < 0:
+            var = x.var(axis=0, ddof=1) if len(x) > 1 else np.full(x.shape[1], SINGLE_SAMPLE_STD ** 2)
+            zero = np.zeros(x.shape[1])
+            parts = [zero, x.mean(axis=0), var, zero, zero]
+        else:
+            parts = list(_summary(x, alpha))
+        row = [*[head[k] for k in names], head["seg"], len(pdf), *[list(r) for r in parts], list(x.min(axis=0)),
+               list(x.max(axis=0))]
+        return pd.DataFrame([row], columns=[*names, "seg", "rows", *_COEF, *_RANGE])
 
     return at.groupBy(*keys, "seg").applyInPandas(run, schema)
 
@@ -172,12 +180,16 @@ def compose_summaries(summaries: DataFrame, keys: Sequence[str], fan_in: int, le
     """Composes consecutive summaries, ``fan_in`` at a time, down to one row per key."""
     schema, names = summaries.schema, list(keys)
 
+    def stacked(pdf: pd.DataFrame, column: str) -> np.ndarray:
+        return np.stack(pdf[column].to_numpy())
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg")
-        total = reduce(_compose, list(_unpack(pdf)))
+        total = reduce(_compose, list(np.stack([stacked(pdf, c) for c in _COEF], axis=1)))
         head = pdf.iloc[0]
-        return pd.DataFrame([[*[head[k] for k in names], head["up"], pdf["rows"].sum(), *[list(r) for r in total]]],
-                            columns=[*names, "seg", "rows", *_COEF])
+        row = [*[head[k] for k in names], head["up"], pdf["rows"].sum(), *[list(r) for r in total],
+               list(stacked(pdf, "lows").min(axis=0)), list(stacked(pdf, "highs").max(axis=0))]
+        return pd.DataFrame([row], columns=[*names, "seg", "rows", *_COEF, *_RANGE])
 
     level = summaries
     for i in range(levels):
@@ -212,21 +224,17 @@ def learn_moving(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (
 
     Keys with fewer rows keep the plain statistics of what they have.
     """
-    slim = df.select(*keys, ts, tie, *[F.col(f).cast("double").alias(f) for f in features])
-    seed = number_rows(slim, keys, ts, tie).where(F.col("row_no") <= seed_rows)
-    start = learn(seed, features, keys)
-    state = start.select(*keys, "sample_count", F.array(*[F.col(f"mean__{f}") for f in features]).alias("means"),
-                         F.array(*[F.col(f"std__{f}") ** 2 for f in features]).alias("variances"))
-    segs = segment_summaries(slim, features, keys, ts, tie, alpha, segment_rows, skip_rows=seed_rows)
-    done = apply_summary(state, compose_summaries(segs, keys, segment_rows, levels), keys, len(features), alpha)
-    ranges = slim.groupBy(*keys).agg(F.array(*[F.min(f) for f in features]).alias("lows"),
-                                     F.array(*[F.max(f) for f in features]).alias("highs"))
-    entry = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("means"),
-                         F.col("variances"), F.col("lows"), F.col("highs"))
-    rows = done.join(ranges, list(keys)).select(*keys, "sample_count", F.explode(entry).alias("e"))
+    segs = cut(segment_summaries(df, features, keys, ts, tie, alpha, segment_rows, seed_rows))
+    state = segs.where("seg < 0").select(*keys, F.col("rows").alias("sample_count"), F.col("b").alias("means"),
+                                         F.col("qa").alias("variances"))
+    later = compose_summaries(segs.where("seg >= 0"), keys, segment_rows, levels)
+    done = apply_summary(state, later, keys, len(features), alpha)
+    ranges = segs.select(*keys, F.posexplode(F.arrays_zip("lows", "highs")).alias("pos", "r")).groupBy(
+        *keys, "pos").agg(F.min("r.lows").alias("min"), F.max("r.highs").alias("max"))
+    entry = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("means"), F.col("variances"))
+    rows = done.select(*keys, "sample_count", F.posexplode(entry).alias("pos", "e")).join(ranges, [*keys, "pos"])
     return rows.select(*keys, "sample_count", F.col("e.feature").alias("feature"), F.col("e.means").alias("mean"),
-                       F.sqrt("e.variances").alias("std"), F.col("e.lows").alias("min"),
-                       F.col("e.highs").alias("max"), F.col("e.variances").alias("variance"))
+                       F.sqrt("e.variances").alias("std"), "min", "max", F.col("e.variances").alias("variance"))
 
 
 # --- per-host profiles ------------------------------------------------------------

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from argosift import constants as C
 from argosift.functions import text as X, times as T
-from argosift.operators.windows import number_rows, running_sums, trailing_sums
+from argosift.operators.windows import arrivals_and_expiries, running_sums, trailing_sums
+from argosift.session import cut
 
 SOURCE_TYPES = ("log", "process", "network", "metric")
 
@@ -64,22 +65,26 @@ def entity_frequency(df: DataFrame, ts: str = "ts", tie: str = "event_id", secon
                      keys: Sequence[str] = ("entity_type", "entity_value")) -> DataFrame:
     """Events whose entity has at least ``minimum`` events in the trailing window.
 
-    The oldest of them is found by position: event number r with c events in its
-    window starts at number r - c + 1 (equal times included), one equality join.
+    One sweep counts the events in the window (``recent``) and all events so far
+    (``upto``), equal times included. The oldest event of the window is number
+    upto - recent + 1 of its entity, which one equality join turns into its time.
+    The sweep is written once because both sides of that join read it.
     """
-    counted = trailing_sums(df, keys, ts, seconds, {"recent": F.lit(1).cast("long")})
-    numbered = number_rows(counted, keys, ts, tie, "row_no")
-    marked = numbered.withColumns({"t_us": T.micros(F.col(ts)), "one": F.lit(1).cast("long")})
-    upto = running_sums(marked, keys, ["t_us"], ["one"]).where(F.col("recent") >= minimum)
-    placed = upto.withColumn("first_no", F.col("run_one") - F.col("recent") + 1)
-    starts = numbered.select(*keys, F.col("row_no").alias("first_no"), F.col(ts).alias("first_ts"))
-    joined = placed.join(starts, [*keys, "first_no"])
+    slim = df.select(*keys, ts, tie)
+    swept = arrivals_and_expiries(slim, keys, ts, seconds, {"recent": F.lit(1).cast("long")})
+    both = swept.withColumn("m_upto", F.when(F.col("t_kind") == 0, 1).otherwise(0).cast("long"))
+    counted = cut(running_sums(both, keys, ["t_us", "t_kind"], ["m_recent", "m_upto"]).where("t_kind = 0").select(
+        *keys, ts, tie, F.col("run_m_recent").alias("recent"), F.col("run_m_upto").alias("upto")))
+    busy = counted.where(F.col("recent") >= minimum).withColumn("first_no", F.col("upto") - F.col("recent") + 1)
+    starts = counted.groupBy(*keys, F.col(ts).alias("first_ts")).agg(
+        (F.max("upto") - F.count(F.lit(1)) + 1).alias("first_no"))
+    joined = busy.join(starts, [*keys, "first_no"])
     span = (T.micros(F.col(ts)) - T.micros(F.col("first_ts"))) / F.lit(1_000_000.0)
     per_minute = F.col("recent") / F.greatest(span, F.lit(1.0)) * 60.0
     return joined.withColumns({
         "per_minute": per_minute,
         "correlation_score": F.least(0.3 + per_minute * 0.05, F.lit(0.9)),
-    }).drop("row_no", "first_no", "t_us", "one", "run_one")
+    }).drop("first_no", "upto")
 
 
 def anomaly_groups(df: DataFrame, keys: Sequence[str] = ("host_id",), ts: str = "ts", seconds: int = 300,

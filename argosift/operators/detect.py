@@ -15,9 +15,9 @@ from argosift.operators.windows import trailing_sums
 def _texts(rule: Rule, kind: str, columns: Sequence[str]) -> list[tuple[Column, Column]]:
     """(test, evidence) for one rule on one kind of event."""
     if kind == "log":
-        return [(F.col(columns[0]).rlike("(?i)" + p), F.lit(f"Log matches: {p}")) for p in rule.log_patterns]
+        return [(X.matches(F.col(columns[0]), p), F.lit(f"Log matches: {p}")) for p in rule.log_patterns]
     if kind == "process":
-        return [(X.any_of(F.col(c).rlike("(?i)" + p) for c in columns), F.lit(f"Process matches: {p}"))
+        return [(X.any_of(X.matches(F.col(c), p) for c in columns), F.lit(f"Process matches: {p}"))
                 for p in rule.process_patterns]
     port, remote = F.col(columns[0]), F.col(columns[1])
     tests = [(port.between(a, b), F.format_string("Port %d in suspicious range", port)) for a, b in rule.port_ranges]

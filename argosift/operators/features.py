@@ -26,8 +26,9 @@ def log_features(df: DataFrame, message: str = "message", source: str = "source"
     """The 21 log features, one flag per suspicious pattern, and detected_patterns."""
     m, when = F.col(message), F.col(ts)
     hits = [f"_hit{i}" for i in range(len(C.SUSPICIOUS_PATTERNS))]
-    staged = df.withColumns({
-        **{h: F.lower(m).rlike(p) for h, (p, _, _) in zip(hits, C.SUSPICIOUS_PATTERNS)},
+    low = F.col("_low")
+    staged = df.withColumn("_low", F.lower(m)).withColumns({
+        **{h: X.matches(low, p, low) for h, (p, _, _) in zip(hits, C.SUSPICIOUS_PATTERNS)},
         "_ips": X.ip_list(m), "_ports": X.port_list(m), "_paths": X.path_list(m),
     })
     found = [(F.col(h), name, score) for h, (_, name, score) in zip(hits, C.SUSPICIOUS_PATTERNS)]
@@ -63,7 +64,7 @@ def log_features(df: DataFrame, message: str = "message", source: str = "source"
         **flags,
         "detected_patterns": X.labels((h, n) for h, n, _ in found),
     })
-    return full.drop(*hits, "_ips", "_ports", "_paths")
+    return full.drop(*hits, "_low", "_ips", "_ports", "_paths")
 
 
 def process_features(df: DataFrame, user: str = "username", ts: str = "ts") -> DataFrame:

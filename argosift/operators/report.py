@@ -28,7 +28,7 @@ def log_summary(df: DataFrame, level: str = "level", source: str = "source", mes
 def pattern_counts(df: DataFrame, message: str = "message") -> DataFrame:
     """Lines per named pattern: one aggregation with one counter per pattern, no row expansion."""
     m = F.col(message)
-    counted = df.agg(*[F.count_if(m.rlike("(?i)" + p)).alias(name) for name, p, _ in C.LOG_PATTERNS])
+    counted = df.agg(*[F.count_if(X.matches(m, p)).alias(name) for name, p, _ in C.LOG_PATTERNS])
     names = [name for name, _, _ in C.LOG_PATTERNS]
     pairs = F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(n).alias("lines")) for n in names])
     return counted.select(F.explode(pairs).alias("p")).select("p.*").where("lines > 0")

@@ -60,15 +60,27 @@ def trailing_sums(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, mea
     Every row adds its measures at its own time and takes them back just after
     ``ts + seconds``; the running sum of both is the sum over the trailing window.
     """
-    raw = {f"m_{name}": expr for name, expr in measures.items()}
-    base = df.withColumns({"t_us": micros(F.col(ts)), "t_kind": F.lit(0), **raw})
-    expiry = base.select(*keys, (F.col("t_us") + F.lit(seconds * 1_000_000)).alias("t_us"),
-                         F.lit(1).alias("t_kind"), *[(-F.col(m)).alias(m) for m in raw])
-    sweep = base.unionByName(expiry, allowMissingColumns=True)
-    summed = running_sums(sweep, keys, ["t_us", "t_kind"], list(raw), cell_seconds)
+    swept = arrivals_and_expiries(df, keys, ts, seconds, measures)
+    summed = running_sums(swept, keys, ["t_us", "t_kind"], [f"m_{n}" for n in measures], cell_seconds)
     kept = summed.where("t_kind = 0")
     return (kept.withColumns({name: F.col(f"run_m_{name}") for name in measures})
-            .drop("t_us", "t_kind", *raw, *[f"run_{m}" for m in raw]))
+            .drop("t_us", "t_kind", *[f"m_{n}" for n in measures], *[f"run_m_{n}" for n in measures]))
+
+
+def arrivals_and_expiries(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
+                          measures: dict[str, Column]) -> DataFrame:
+    """Each row at its own time (kind 0) and, emptied but for its keys, just after its window (kind 1).
+
+    ``m_<measure>`` holds the value that enters or leaves.
+    """
+    work = df.withColumns({"_us": micros(F.col(ts)), **{f"_m_{n}": e for n, e in measures.items()}})
+    step = F.explode(F.array(F.lit(0), F.lit(1)))
+    both = work.withColumn("t_kind", step)
+    arrives = F.col("t_kind") == 0
+    payload = [F.when(arrives, F.col(c)).alias(c) for c in df.columns if c not in keys]
+    time = F.when(arrives, F.col("_us")).otherwise(F.col("_us") + F.lit(seconds * 1_000_000))
+    moved = [F.when(arrives, F.col(f"_m_{n}")).otherwise(-F.col(f"_m_{n}")).alias(f"m_{n}") for n in measures]
+    return both.select(*keys, *payload, time.alias("t_us"), "t_kind", *moved)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "row_no",

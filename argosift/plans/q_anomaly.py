@@ -17,10 +17,13 @@ from argosift.session import cut
 _VIEW = {"log": "sec_log", "process": "proc", "network": "net_conn", "metric": "metric_base"}
 
 
-def features_of(t: Inputs, source_type: str):
+def features_of(t: Inputs, source_type: str, with_rates: bool = False):
+    """Feature rows of one source type; ``with_rates`` adds burst rates first, on the raw rows."""
     base = {"log": t.sec_log, "process": t.proc, "network": t.net_conn, "metric": t.metric_sample}[source_type]()
-    rows = (FX.log_features(base, severity="severity") if source_type == "log" else FX.BUILDERS[source_type](base))
-    return rows.withColumn("source_type", F.lit(source_type))
+    base = base.withColumn("source_type", F.lit(source_type))
+    if with_rates:
+        base = A.burst_rate(base)
+    return (FX.log_features(base, severity="severity") if source_type == "log" else FX.BUILDERS[source_type](base))
 
 
 def _feature_sql(source_type: str) -> str:
@@ -51,8 +54,8 @@ def _profile_of(t: Inputs, source_type: str, keys=("source_type",)):
     return cut(B.learn(features_of(t, source_type), C.FEATURES[source_type], keys))
 
 
-def _joined(t: Inputs, source_type: str):
-    return B.with_profile(features_of(t, source_type), _profile_of(t, source_type))
+def _joined(t: Inputs, source_type: str, with_rates: bool = False):
+    return B.with_profile(features_of(t, source_type, with_rates), _profile_of(t, source_type))
 
 
 # --- baselines -----------------------------------------------------------------------
@@ -208,20 +211,20 @@ def moving_profiles(t: Inputs):
 
 
 @query("k23_host_profiles", with_views(
-    """select host_id, count(*)::bigint as samples, round(avg(cpu_percent),6) as cpu, round(avg(memory_percent),6) as memory,
-         round(avg(process_count),6) as processes from metric_base group by host_id""", "metric_base"))
+    """select host_id, count(*)::bigint as samples, round(avg(cpu_percent),9) as cpu, round(avg(memory_percent),9) as memory,
+         round(avg(process_count),9) as processes from metric_base group by host_id""", "metric_base"))
 def host_profiles(t: Inputs):
     return B.host_profile(t.metric_sample(), ["cpu_percent", "memory_percent", "process_count"]).select(
-        "host_id", "samples", F.round("mean__cpu_percent", 6).alias("cpu"),
-        F.round("mean__memory_percent", 6).alias("memory"), F.round("mean__process_count", 6).alias("processes"))
+        "host_id", "samples", F.round("mean__cpu_percent", 9).alias("cpu"),
+        F.round("mean__memory_percent", 9).alias("memory"), F.round("mean__process_count", 9).alias("processes"))
 
 
 @query("k23_hourly_means", with_views(
-    """select host_id, hour(ts)::bigint as hour, round(avg(cpu_percent),6) as cpu, round(avg(memory_percent),6) as memory
+    """select host_id, hour(ts)::bigint as hour, round(avg(cpu_percent),9) as cpu, round(avg(memory_percent),9) as memory
        from metric_base group by 1,2""", "metric_base"))
 def hourly_means(t: Inputs):
     return t.metric_sample().groupBy("host_id", F.hour("ts").cast("long").alias("hour")).agg(
-        F.round(F.avg("cpu_percent"), 6).alias("cpu"), F.round(F.avg("memory_percent"), 6).alias("memory"))
+        F.round(F.avg("cpu_percent"), 9).alias("cpu"), F.round(F.avg("memory_percent"), 9).alias("memory"))
 
 
 @query("k23_process_frequency", with_views(
@@ -288,7 +291,7 @@ def _detect_sql(st: str, threshold: float) -> str:
 
 
 def _detected(t: Inputs, st: str, threshold: float):
-    return A.detect(_joined(t, st), st, C.FEATURES[st], threshold=threshold)
+    return A.detect(_joined(t, st, True), st, C.FEATURES[st], threshold=threshold)
 
 
 @query("k4_statistical_score", with_views(
@@ -404,7 +407,7 @@ def _ensemble_sql(st: str) -> str:
         f"case when count(*) filter (abs(z)>2)>0 then least(avg(abs(z)) filter (abs(z)>2)/{z}::double,1.0) else 0.0 "
         f"end as s{i + 1}" for i, (z, _) in enumerate(C.ENSEMBLE)))}))
 def ensemble(t: Inputs):
-    rows = A.ensemble(_joined(t, "network"), "network", C.NETWORK_FEATURES)
+    rows = A.ensemble(_joined(t, "network", True), "network", C.NETWORK_FEATURES)
     return rows.select("event_id", F.col("votes").cast("long").alias("votes"),
                        F.round("anomaly_score", 6).alias("anomaly_score"), F.round("max_score", 6).alias("max_score"),
                        "is_anomaly", F.col("anomaly_severity").alias("severity"))
@@ -489,7 +492,7 @@ def forest_score(t: Inputs):
 @query("k9_detect_with_forest")
 def detect_with_forest(t: Inputs):
     """All four methods on connections."""
-    joined = B.with_profile(features_of(t, "network"), _profile_of(t, "network"))
+    joined = _joined(t, "network", True)
     scored = IF.score(joined, _forest(t), C.NETWORK_FEATURES)
     rows = A.detect(scored, "network", C.NETWORK_FEATURES)
     return rows.select("event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly",

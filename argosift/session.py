@@ -36,6 +36,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Process trees may hold more rows than the default limit of recursive queries.
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    # The JVM does not compile methods over 8000 bytecodes. Very wide projections and
+    # aggregations run faster as separate small generated methods than as one such method.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -72,6 +75,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fence(df: DataFrame, *columns: str) -> DataFrame:
+    """Keeps filters on costly columns above the place where these are computed.
+
+    The optimizer copies a filter on a computed column below it, expression and all.
+    For a score built from dozens of columns the copy costs more than it saves, so
+    the columns pass through a one-element generator, which filters do not cross.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(c) for c in rest], F.inline(F.array(F.struct(*columns))))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistributes a scan that has fewer splits than the session has cores.
 
