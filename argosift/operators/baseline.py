@@ -212,9 +212,12 @@ def apply_summary(state: DataFrame, summary: DataFrame, keys: Sequence[str], n_f
     variances = F.transform(idx, lambda i: pick("p", i) * pick("variances", i) + alpha * (
         pick("qa", i) - 2 * pick("qb", i) * pick("means", i) + pick("qc", i) * pick("means", i) * pick("means", i)))
     has = F.col("p").isNotNull()
-    return joined.select(*keys, F.when(has, means).otherwise(F.col("means")).alias("means"),
-                         F.when(has, variances).otherwise(F.col("variances")).alias("variances"),
-                         (F.col("sample_count") + F.coalesce(F.col("rows"), F.lit(0))).alias("sample_count"))
+    # New names first: inside a lambda, a name would bind to its new alias of the same select.
+    updated = joined.select(
+        *keys, F.when(has, means).otherwise(F.col("means")).alias("new_means"),
+        F.when(has, variances).otherwise(F.col("variances")).alias("new_variances"),
+        (F.col("sample_count") + F.coalesce(F.col("rows"), F.lit(0))).alias("sample_count"))
+    return updated.withColumnsRenamed({"new_means": "means", "new_variances": "variances"})
 
 
 def learn_moving(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("source_type",), ts: str = "ts",

@@ -42,6 +42,15 @@ def test_moving_average_matches_sequential_updates(spark, segment, levels):
             assert (r["min"], r["max"], r["sample_count"]) == (min(values), max(values), len(values))
 
 
+def test_moving_average_keeps_the_start_of_a_short_run(spark):
+    values = [4.0, 1.0, 7.0, 2.0, 9.0, 3.0]
+    df = spark.createDataFrame([(i, T0 + timedelta(minutes=i), "a", v) for i, v in enumerate(values)],
+                               "event_id long, ts timestamp_ntz, source_type string, x double")
+    for segment in (1, 2, 10):
+        r = B.learn_moving(df, ["x"], seed_rows=3, segment_rows=segment).collect()[0]
+        assert (r["mean"], r["variance"]) == pytest.approx(plain_moving(values, 0.1, 3))
+
+
 def test_short_key_keeps_plain_statistics(spark):
     df = spark.createDataFrame([(1, T0, "a", 2.0)], "event_id long, ts timestamp_ntz, source_type string, x double")
     r = B.learn_moving(df, ["x"]).collect()[0]
