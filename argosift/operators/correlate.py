@@ -90,10 +90,12 @@ def entity_frequency(df: DataFrame, ts: str = "ts", tie: str = "event_id", secon
 def anomaly_groups(df: DataFrame, keys: Sequence[str] = ("host_id",), ts: str = "ts", seconds: int = 300,
                    score: str = "anomaly_score") -> DataFrame:
     """Anomalies with others in the trailing window; score = mean + 0.2, at most 1."""
-    seen = trailing_sums(df, keys, ts, seconds, {"group_size": F.lit(1).cast("long"), "group_total": F.col(score)})
+    # Scores are summed as whole billionths: values that enter and leave cancel exactly.
+    units = F.round(F.col(score) * F.lit(1e9)).cast("long")
+    seen = trailing_sums(df, keys, ts, seconds, {"group_size": F.lit(1).cast("long"), "group_units": units})
+    mean = F.col("group_units") / F.lit(1e9) / F.col("group_size")
     return (seen.where(F.col("group_size") > 1)
-            .withColumn("correlation_score", F.least(F.col("group_total") / F.col("group_size") + 0.2, F.lit(1.0)))
-            .drop("group_total"))
+            .withColumn("correlation_score", F.least(mean + 0.2, F.lit(1.0))).drop("group_units"))
 
 
 def _stage_test(stage: dict) -> Column:

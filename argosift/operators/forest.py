@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from argosift import constants as C
-from argosift.session import cut
+from argosift.session import cut, small_side
 
 NODE_SCHEMA = ("source_type string, tree int, node int, feature int, split double, left int, right int, size int, "
                "psi int")
@@ -42,9 +42,13 @@ def sample_pool(df: DataFrame, features: Sequence[str], tie: str, pool_rows: int
     h = F.xxhash64(F.lit(seed), F.col(tie))
     slim = df.select("source_type", F.col(tie).alias("row_id"), vec.alias("x"), h.alias("h"))
     sizes = slim.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
-    near = slim.join(F.broadcast(sizes), "source_type").where(
+    near = slim.join(small_side(cut(sizes)), "source_type").where(
         (F.col("h") / F.lit(_HASH_RANGE) + 1) / 2 < 4.0 * pool_rows / F.col("n"))
-    ranked = near.withColumn("r", F.row_number().over(W.partitionBy("source_type").orderBy("h", "row_id")))
+    # First cut per input partition group, so that many copies of one row never meet in one task.
+    part = near.withColumn("part", F.spark_partition_id() % 256)
+    local = W.partitionBy("source_type", "part").orderBy("h", "row_id")
+    thinned = part.withColumn("r", F.row_number().over(local)).where(F.col("r") <= pool_rows)
+    ranked = thinned.withColumn("r", F.row_number().over(W.partitionBy("source_type").orderBy("h", "row_id")))
     return ranked.where(F.col("r") <= pool_rows).select("source_type", "row_id", "x")
 
 

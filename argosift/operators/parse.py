@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argosift import constants as C
@@ -127,15 +129,16 @@ def filter_sources(df: DataFrame, rules: dict[str, dict[str, list[str]]], line:
     return df.where(keep)
 
 
-def split_lines(df: DataFrame, key: str, blob: str, tail_lines: int | None = None) -> DataFrame:
-    """One row per line of a text: key, line_no (1-based), line (trimmed), n_lines, blank.
+def split_lines(df: DataFrame, key: str, blob: str, tail_lines: int | None = None,
+                keep: Sequence[str] = ()) -> DataFrame:
+    """One row per line of a text: key, line_no (1-based), line (trimmed), n_lines, blank, ``keep``.
 
     ``tail_lines`` keeps the last lines of each text, blank ones included.
     """
-    whole = df.select(key, F.split(F.trim(F.col(blob)), "\n").alias("_lines"))
-    lines = whole.select(key, F.size("_lines").cast("long").alias("n_lines"),
+    whole = df.select(key, *keep, F.split(F.trim(F.col(blob)), "\n").alias("_lines"))
+    lines = whole.select(key, *keep, F.size("_lines").cast("long").alias("n_lines"),
                          F.posexplode("_lines").alias("_pos", "_raw"))
-    out = lines.select(key, (F.col("_pos") + 1).cast("long").alias("line_no"), "n_lines",
+    out = lines.select(key, *keep, (F.col("_pos") + 1).cast("long").alias("line_no"), "n_lines",
                        F.trim("_raw").alias("line"))
     if tail_lines:
         out = out.where(F.col("line_no") > F.col("n_lines") - tail_lines)

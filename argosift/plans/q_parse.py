@@ -421,6 +421,5 @@ def pattern_name_in_text(t: Inputs):
     from documents) group by lang""")
 def update_report(t: Inputs):
     """Counts over text lines read as package lists, one list per language."""
-    lines = L.split_lines(t.documents(), "doc_id", "text").join(
-        t.documents().select("doc_id", "lang"), "doc_id")
+    lines = L.split_lines(t.documents(), "doc_id", "text", keep=["lang"])
     return N.update_report(lines, "line", ["lang"])

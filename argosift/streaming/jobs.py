@@ -100,8 +100,10 @@ class BatchTable:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("batch")
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of earlier batches than ``before``."""
+        rows = self.spark.read.parquet(self.path)
+        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
 
 # --- stateless and windowed jobs -------------------------------------------------------------
@@ -208,8 +210,8 @@ def append_chain(df: DataFrame, links: BatchTable, heads: VersionedTable, checkp
         old = heads.before(batch_id)
         new = batch.dropDuplicates([record])
         if old is not None:
-            linked = links.read().select(record)
-            new = new.join(linked, record, "left_anti")
+            # Only earlier batches: a repeated batch must not take its own rows for known.
+            new = new.join(links.read(before=batch_id).select(record), record, "left_anti")
         numbered = A.sequence(new, chain, "ts", record, old)
         linked = A.link_records(numbered, chain, record=record, segment_rows=segment_rows, heads=old)
         links.write(linked, batch_id)
