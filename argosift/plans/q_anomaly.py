@@ -64,7 +64,7 @@ def _profile_sql() -> str:
     parts = []
     for st in C.FEATURES:
         c = _ctes(st)
-        parts.append(f"""select '{st}' as source_type, feature, n as sample_count, round(mean,9) as mean,
+        parts.append(f"""select '{st}' as source_type, feature, n as sample_count, round(mean,10) as mean,
             round(std,6) as std, round(lo,6) as min, round(hi,6) as max, round(std*std,5) as variance, n>=100 as stable
             from (with feat as ({c['feat']}), long as ({c['long']}), prof as ({c['prof']}) select * from prof)""")
     return " union all ".join(parts)
@@ -77,31 +77,31 @@ def profiles(t: Inputs):
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.select("source_type", "feature", "sample_count", *[F.round(c, 9 if c == "mean" else 6).alias(c) for c in B.STATS],
+    return out.select("source_type", "feature", "sample_count", *[F.round(c, 10 if c == "mean" else 6).alias(c) for c in B.STATS],
                       F.round("variance", 5).alias("variance"), "stable")
 
 
 @query("k1_source_profiles", with_views(
-    """select source, feature, n as sample_count, round(mean,9) as mean, round(std,6) as std from prof""",
+    """select source, feature, n as sample_count, round(mean,10) as mean, round(std,6) as std from prof""",
     "sec_log", ctes={k: v for k, v in _ctes("log", "source").items() if k != "z"}))
 def source_profiles(t: Inputs):
     names = C.LOG_FEATURES
     return B.to_long(B.learn(features_of(t, "log"), names, ["source"]), names, ["source"]).select(
-        "source", "feature", "sample_count", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"))
+        "source", "feature", "sample_count", F.round("mean", 10).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("k3_time_bucket_profiles", with_views(
-    "select bucket, feature, n as sample_count, round(mean,9) as mean, round(std,6) as std from prof", "sec_log",
+    "select bucket, feature, n as sample_count, round(mean,10) as mean, round(std,6) as std from prof", "sec_log",
     ctes={k: v for k, v in _ctes("log", "bucket", True).items() if k != "z"}))
 def time_bucket_profiles(t: Inputs):
     rows = features_of(t, "log").withColumn("bucket", T.time_bucket(F.col("ts")))
     names = C.LOG_FEATURES
     return B.to_long(B.learn(rows, names, ["bucket"]), names, ["bucket"]).select(
-        "bucket", "feature", "sample_count", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"))
+        "bucket", "feature", "sample_count", F.round("mean", 10).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("a12_profile_store", with_views(
-    "select source, feature, n as sample_count, round(mean,9) as mean from prof", "sec_log",
+    "select source, feature, n as sample_count, round(mean,10) as mean from prof", "sec_log",
     ctes={k: v for k, v in _ctes("log", "source").items() if k != "z"}))
 def profile_store(t: Inputs):
     """Profiles written one folder per source, read back."""
@@ -111,7 +111,7 @@ def profile_store(t: Inputs):
     path = new_path(t.spark, "profiles")
     TB.save_profiles(B.to_long(B.learn(features_of(t, "log"), names, ["source"]), names, ["source"]), path, "source")
     return TB.load_profiles(t.spark, path).select("source", "feature", "sample_count",
-                                                  F.round("mean", 9).alias("mean"))
+                                                  F.round("mean", 10).alias("mean"))
 
 
 @query("c7_deviation_score", with_views(
@@ -211,20 +211,20 @@ def moving_profiles(t: Inputs):
 
 
 @query("k23_host_profiles", with_views(
-    """select host_id, count(*)::bigint as samples, round(avg(cpu_percent),9) as cpu, round(avg(memory_percent),9) as memory,
-         round(avg(process_count),9) as processes from metric_base group by host_id""", "metric_base"))
+    """select host_id, count(*)::bigint as samples, round(avg(cpu_percent),10) as cpu, round(avg(memory_percent),10) as memory,
+         round(avg(process_count),10) as processes from metric_base group by host_id""", "metric_base"))
 def host_profiles(t: Inputs):
     return B.host_profile(t.metric_sample(), ["cpu_percent", "memory_percent", "process_count"]).select(
-        "host_id", "samples", F.round("mean__cpu_percent", 9).alias("cpu"),
-        F.round("mean__memory_percent", 9).alias("memory"), F.round("mean__process_count", 9).alias("processes"))
+        "host_id", "samples", F.round("mean__cpu_percent", 10).alias("cpu"),
+        F.round("mean__memory_percent", 10).alias("memory"), F.round("mean__process_count", 10).alias("processes"))
 
 
 @query("k23_hourly_means", with_views(
-    """select host_id, hour(ts)::bigint as hour, round(avg(cpu_percent),9) as cpu, round(avg(memory_percent),9) as memory
+    """select host_id, hour(ts)::bigint as hour, round(avg(cpu_percent),10) as cpu, round(avg(memory_percent),10) as memory
        from metric_base group by 1,2""", "metric_base"))
 def hourly_means(t: Inputs):
     return t.metric_sample().groupBy("host_id", F.hour("ts").cast("long").alias("hour")).agg(
-        F.round(F.avg("cpu_percent"), 9).alias("cpu"), F.round(F.avg("memory_percent"), 9).alias("memory"))
+        F.round(F.avg("cpu_percent"), 10).alias("cpu"), F.round(F.avg("memory_percent"), 10).alias("memory"))
 
 
 @query("k23_process_frequency", with_views(
