@@ -27,7 +27,8 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def _cell(t: Column, seconds: int) -> Column:
-    return F.floor(t / F.lit(seconds * 1_000_000)).cast("long")
+    """Time cell; rows without a time share a cell before all others, so none is lost."""
+    return F.coalesce(F.floor(t / F.lit(seconds * 1_000_000)).cast("long"), F.lit(-(2 ** 62)))
 
 
 def _drop_helpers(df: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Se
 
 
 def prior_rows(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limit: int,
-               segment_rows: int = 10_000, cell_seconds: int = CELL_SECONDS) -> DataFrame:
+               segment_rows: int = 2_000, cell_seconds: int = CELL_SECONDS) -> DataFrame:
     """Adds ``prior_count`` and ``prior_first``: how many of the key's last ``limit``
     earlier rows exist, and the time of the oldest of them.
 

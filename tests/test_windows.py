@@ -20,7 +20,8 @@ def rows(spark):
     data = []
     for i in range(3000):
         host = rng.choice(["hot"] * 6 + ["a", "b", None])
-        data.append((i, start + timedelta(seconds=rng.randrange(0, 9000)), host, rng.randrange(-5, 20)))
+        when = None if i % 500 == 0 else start + timedelta(seconds=rng.randrange(0, 9000))
+        data.append((i, when, host, rng.randrange(-5, 20)))
     return spark.createDataFrame(data, SCHEMA).repartition(6).cache()
 
 
