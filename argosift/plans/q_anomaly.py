@@ -50,12 +50,17 @@ def _ctes(source_type: str, keys: str = "", bucket: bool = False) -> dict[str, s
     }
 
 
-def _profile_of(t: Inputs, source_type: str, keys=("source_type",)):
-    return cut(B.learn(features_of(t, source_type), C.FEATURES[source_type], keys))
+def feature_table(t: Inputs, source_type: str, with_rates: bool = False):
+    """Feature rows written once: learning and scoring both read them."""
+    rows = features_of(t, source_type, with_rates)
+    rates = ["events_per_minute"] if with_rates else []
+    return cut(rows.select("event_id", "ts", "host_id", "source_type", *rates, *C.FEATURES[source_type]))
 
 
 def _joined(t: Inputs, source_type: str, with_rates: bool = False):
-    return B.with_profile(features_of(t, source_type, with_rates), _profile_of(t, source_type))
+    """Feature rows with the profile learned from all of them."""
+    rows = feature_table(t, source_type, with_rates)
+    return B.with_profile(rows, cut(B.learn(rows, C.FEATURES[source_type])))
 
 
 # --- baselines -----------------------------------------------------------------------
@@ -64,7 +69,7 @@ def _profile_sql() -> str:
     parts = []
     for st in C.FEATURES:
         c = _ctes(st)
-        parts.append(f"""select '{st}' as source_type, feature, n as sample_count, round(mean,10) as mean,
+        parts.append(f"""select '{st}' as source_type, feature, n as sample_count, round(mean,11) as mean,
             round(std,6) as std, round(lo,6) as min, round(hi,6) as max, round(std*std,5) as variance, n>=100 as stable
             from (with feat as ({c['feat']}), long as ({c['long']}), prof as ({c['prof']}) select * from prof)""")
     return " union all ".join(parts)
@@ -77,7 +82,7 @@ def profiles(t: Inputs):
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.select("source_type", "feature", "sample_count", *[F.round(c, 10 if c == "mean" else 6).alias(c) for c in B.STATS],
+    return out.select("source_type", "feature", "sample_count", *[F.round(c, 11 if c == "mean" else 6).alias(c) for c in B.STATS],
                       F.round("variance", 5).alias("variance"), "stable")
 
 
@@ -134,7 +139,7 @@ def weighted_deviation(t: Inputs):
     """select event_id, case when min(n)>=100 then round(sum(abs(z))/count(*)/3.0, 6) else 0.0 end as deviation
        from z group by event_id""", "sec_log", ctes=_ctes("log", "bucket", True)))
 def bucket_deviation(t: Inputs):
-    rows = features_of(t, "log").withColumn("bucket", T.time_bucket(F.col("ts")))
+    rows = feature_table(t, "log").withColumn("bucket", T.time_bucket(F.col("ts")))
     profile = cut(B.learn(rows, C.LOG_FEATURES, ["bucket"]))
     joined = B.with_profile(rows, profile, ["bucket"])
     return joined.select("event_id", F.round(B.deviation_score(C.LOG_FEATURES), 6).alias("deviation"))
@@ -472,20 +477,17 @@ def score_bands(t: Inputs):
 
 # --- isolation forest -----------------------------------------------------------------------
 
-def _forest(t: Inputs, st: str = "network"):
-    return IF.train(features_of(t, st), C.FEATURES[st])
-
-
 @query("k5_forest_model")
 def forest_model(t: Inputs):
     """Nodes per tree of a forest trained on the connection features."""
-    return _forest(t).groupBy("source_type", "tree").agg(
+    return IF.train(feature_table(t, "network"), C.NETWORK_FEATURES).groupBy("source_type", "tree").agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("psi").alias("psi"))
 
 
 @query("k6_forest_score")
 def forest_score(t: Inputs):
-    scored = IF.score(features_of(t, "network"), _forest(t), C.NETWORK_FEATURES)
+    rows = feature_table(t, "network")
+    scored = IF.score(rows, IF.train(rows, C.NETWORK_FEATURES), C.NETWORK_FEATURES)
     return scored.select("event_id", F.round("isolation_score", 6).alias("isolation_score"))
 
 
@@ -493,7 +495,7 @@ def forest_score(t: Inputs):
 def detect_with_forest(t: Inputs):
     """All four methods on connections."""
     joined = _joined(t, "network", True)
-    scored = IF.score(joined, _forest(t), C.NETWORK_FEATURES)
+    scored = IF.score(joined, IF.train(joined, C.NETWORK_FEATURES), C.NETWORK_FEATURES)
     rows = A.detect(scored, "network", C.NETWORK_FEATURES)
     return rows.select("event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly",
                        F.col("anomaly_severity").alias("severity"), F.array_join("reasons", "; ").alias("reasons"))
