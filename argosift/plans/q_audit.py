@@ -43,8 +43,8 @@ def _links(t: Inputs):
 
 
 def _corrupted(t: Inputs):
-    """Links with one content hash changed in every chain's 700th record."""
-    hit = F.col("sequence_number") == 700
+    """Links with one content hash changed in every chain's 50th record."""
+    hit = F.col("sequence_number") == 50
     return _links(t).withColumn("content_hash", F.when(hit, F.sha2(F.lit("forged"), 256)).otherwise(
         F.col("content_hash")))
 
@@ -147,8 +147,8 @@ def integrity_report(t: Inputs):
 
 
 @query("d8_broken_chain_report", """select 0::bigint as checked, 0::bigint as valid, 0::bigint as tampered,
-  0::bigint as missing, 0::bigint as orphans, false as chain_valid, 700::bigint as broken_at,
-  'CRITICAL: Backup chain compromised' as overall_status where (select count(*) from events) > 8000""")
+  0::bigint as missing, 0::bigint as orphans, false as chain_valid, 50::bigint as broken_at,
+  'CRITICAL: Backup chain compromised' as overall_status""")
 def broken_chain_report(t: Inputs):
     return A.report(_statuses(t), A.verify(_corrupted(t)))
 
@@ -191,8 +191,8 @@ def chain_verify(t: Inputs):
 
 
 @query("e3_chain_verify_broken", with_views(
-    """select host_id, count(*)::bigint as records, case when count(*)>=700 then 700 else 0 end::bigint as first_broken,
-         count(*)<700 as chain_valid from audit_log group by host_id""", "audit_log"))
+    """select host_id, count(*)::bigint as records, case when count(*)>=50 then 50 else 0 end::bigint as first_broken,
+         count(*)<50 as chain_valid from audit_log group by host_id""", "audit_log"))
 def chain_verify_broken(t: Inputs):
     return A.verify(_corrupted(t)).fillna(0, ["first_broken"])
 

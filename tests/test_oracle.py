@@ -8,8 +8,6 @@ from argosift.plans.views import TABLES
 from check import canonical
 
 QUERIES, ORACLES = E.queries(), E.oracle_sql()
-# Statements whose constants fit a larger table only (see tools/check.py --sf 0.01).
-LARGER_ONLY = {"d8_broken_chain_report"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - LARGER_ONLY))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(name, spark, sf_dir, duck):
     got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
