@@ -4,7 +4,7 @@ Texts become normalised TF-IDF vectors of hashed letter 2-grams and 3-grams (UTF
 everything that is no letter as one space). Document frequencies come from all training rows. Each language gets
 several centroids by spherical k-means over a bounded sample of distinct training texts (``per_language`` of them,
 whole texts, chosen by hash). A text gets the language of the centroid with the largest cosine; a text farther from
-that centroid than ``slack`` times the cosine of its farthest training member is marked as rejected.
+that centroid than ``slack`` times the cosine of the language's farthest training text is marked as rejected.
 
 Defined cases: a null text or one without a letter has language ``und``, score 0 and is rejected; a text with letters
 but no known n-gram gets the first language, score 0 and is rejected; ties go to the first language in order; without
@@ -74,12 +74,15 @@ class Model:
                 [float(x) if ok else 0.0 for x, ok in zip(top, some)], refused.tolist())
 
 
-def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids and the smallest cosine of each one's members; starts from far-apart vectors."""
+def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Unit centroids, and the smallest cosine of a vector to the nearest of them.
+
+    Starts from vectors that are far apart, but passes over the farthest tenth, which are often single odd texts.
+    """
     chosen = [0]
     nearest = vectors @ vectors[0]
     while len(chosen) < min(k, len(vectors)):
-        chosen.append(int(nearest.argmin()))
+        chosen.append(int(np.argsort(nearest, kind="stable")[len(vectors) // 10]))
         nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
     centroids = vectors[chosen]
     for _ in range(rounds):
@@ -87,10 +90,7 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.
         sums = np.stack([vectors[own == j].sum(axis=0) if (own == j).any() else centroids[j]
                          for j in range(len(centroids))])
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    cosine = vectors @ centroids.T
-    own = cosine.argmax(axis=1)
-    reach = np.array([cosine[own == j, j].min() if (own == j).any() else 1.0 for j in range(len(centroids))])
-    return centroids.astype(np.float32), reach
+    return centroids.astype(np.float32), float((vectors @ centroids.T).max(axis=1).min())
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_language: int = 1000, clusters: int = 4,
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
         centroids, reach = spherical_kmeans(vectors[some], clusters)
         return pa.table({"label": pa.array([key[0].as_py()] * len(centroids), pa.string()),
                          "centroid": pa.array([c.tobytes() for c in centroids], pa.binary()),
-                         "reach": pa.array(reach.astype(float))})
+                         "reach": pa.array([reach] * len(centroids), pa.float64())})
 
     learned = sorted(sample.groupBy("label").applyInArrow(
         cluster, "label string, centroid binary, reach double").collect(), key=lambda r: (r["label"], r["centroid"]))
