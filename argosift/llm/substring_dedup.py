@@ -102,21 +102,22 @@ def factors(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wind
     """Rows (doc_id, text_hash, spans): word ranges [lo, hi) that repeat an earlier document; ranges may overlap."""
     keyed = _keyed(docs, id_column, text)
     index = cut(blocks(keyed, window, gram))
-    shared = index.groupBy("anchor").agg(
+    # Written, so that the joins below deal both sides anew and a hot key can be split.
+    shared = cut(index.groupBy("anchor").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-        (F.min("block") == F.max("block")).alias("uniform")).where("first < last").drop("last")
+        (F.min("block") == F.max("block")).alias("uniform")).where("first < last").drop("last"))
     met = cut(index.join(shared, "anchor"))
 
     varied = met.where("not uniform")
-    reference = varied.groupBy("anchor", "block").agg(F.min("doc_id").alias("block_first"))
+    reference = cut(varied.groupBy("anchor", "block").agg(F.min("doc_id").alias("block_first")))
     parsed = cut(varied.join(reference, ["anchor", "block"]).select(
         "doc_id", "text_hash", "lo", "hi", (F.col("doc_id") > F.col("block_first")).alias("phrase")))
     phrases = met.where("uniform and doc_id > first").select("doc_id", "text_hash", "lo", "hi").union(
         parsed.where("phrase").select("doc_id", "text_hash", "lo", "hi"))
 
     entered = cut(boundary_windows(keyed, parsed.where("not phrase"), window))
-    repeated = entered.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
-        "first < last").drop("last")
+    repeated = cut(entered.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
+        "first < last").drop("last"))
     extended = entered.join(repeated, "digest").where("doc_id > first").select(
         "doc_id", "text_hash", F.col("start").alias("lo"), F.col("start").alias("hi"))
     return phrases.union(extended).groupBy("doc_id", "text_hash").agg(
