@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argosift.llm import exact_dedup, language_id, packing, simhash_dedup, substring_dedup
+from argosift.llm import (exact_dedup, fingerprint, html_text, language_id, packing, quality, sentencepiece_lattice,
+                          simhash_dedup, substring_dedup, warc)
+
+#: Public piece table; see the tokenizers' own README.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,8 +61,40 @@ def op4_simhash_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return simhash_dedup.near_groups(docs).drop("text_hash", "kept")
 
 
+@query("documents")
+def op5_sentencepiece(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pieces of all texts as rows of word runs, with the text that they decode to."""
+    pieces = sentencepiece_lattice.load(PIECE_MODEL)
+    return sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, pieces), pieces)
+
+
 @query("documents")
 def op6_language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Language of every document, learned from four fifths of the labelled ones."""
     model = language_id.fit(language_id.training_rows(docs))
     return language_id.classify(docs, model, keep=("doc_id", language_id.held_out().alias("held_out")))
+
+
+@query("documents")
+def op7_quality_resampling(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """A quarter of the documents drawn by their likeness to texts labelled good and not toxic."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.resample(docs, labels.where("quality = 1 and toxic = 0").select("doc_id"))
+
+
+@query("documents")
+def op8_multiset_fingerprints(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms."""
+    return fingerprint.with_following(docs)
+
+
+@query("pages")
+def op9_html_text(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(pages)
+
+
+@query("pages")
+def op10_warc(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    return warc.round_trip(pages)
