@@ -100,19 +100,18 @@ class Words:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge table as (node, root) rows; ``root`` is one node of each component.
 
-    Every round moves each node to the neighbour (or itself) with the smallest hash of that round and contracts
-    the edges, which shrinks any graph by a constant factor in expectation, long chains included. Rounds write
-    their mapping as a table; the mappings are then composed. Only edge counts reach the driver.
+    Nodes are ordered by a hash. Every round moves each node to the smallest of itself and its neighbours and
+    contracts the edges: a star is done in two rounds, and any graph, long chains included, shrinks by a constant
+    factor in expectation, as the order has nothing to do with the graph. Rounds write their mapping as a table; the
+    mappings are then composed. Only edge counts reach the driver.
     """
     rest = cut(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     moves = []
-    seed = 0
-    while not rest.isEmpty():
-        seed += 1
 
-        def ranked(c: str) -> Column:
-            return F.struct(F.xxhash64(F.col(c), F.lit(seed)), F.col(c).alias("node"))
+    def ranked(c: str) -> Column:
+        return F.struct(F.xxhash64(F.col(c)), F.col(c).alias("node"))
 
+    while not rest.isEmpty():
         both = rest.select(F.col("a").alias("node"), ranked("b").alias("to")).union(
             rest.select(F.col("b").alias("node"), ranked("a").alias("to")))
         best = both.groupBy("node").agg(F.min("to").alias("to"))
