@@ -15,8 +15,8 @@ Texts are then written as rows of word runs: the ``frequent`` most frequent word
 the text is read, all others are joined with the dictionary by word. Rows of one text, in order of ``first_word``,
 hold its pieces.
 
-The result equals the library's for unigram models. The public model is a BPE model, whose own encoder merges pairs
-in order of rank instead of maximising a sum of scores, so its segmentation of a word may differ; decoding is the same.
+The result is the segmentation with the largest sum of scores, as for unigram models. The public model is a BPE model,
+whose own encoder merges pairs in order of rank, so its segmentation of a word may differ; decoding is the same.
 
 Defined cases: null and empty texts have no rows; runs of spaces are marks; characters outside the table are bytes;
 a word costs time in proportion to the square of its length, so very long texts should have spaces; repeated rows
