@@ -57,11 +57,11 @@ def assess_correlations(df: DataFrame, minimum: float = 0.5) -> DataFrame:
         _texts([]).alias("techniques"), _texts(C.CORRELATION_ACTIONS).alias("actions"))
 
 
-def assess_chains(df: DataFrame, keys: Sequence[str] = ("host_id",)) -> DataFrame:
+def assess_chains(df: DataFrame, keys: Sequence[str] = ("host_id",), tie: Column | None = None) -> DataFrame:
     text = F.format_string("Attack chain detected: %s (%d stages)", "chain", "stages")
     return df.select(
-        F.concat_ws(":", *keys, "chain", F.col("window_start").cast("string")).alias("subject_id"),
-        F.col("window_start").alias("ts"), F.lit("attack_chain").alias("kind"), F.lit("high").alias("threat_level"),
+        F.concat_ws(":", *keys, "chain", (F.col("event_id") if tie is None else tie).cast("string")).alias("subject_id"),
+        F.col("ts"), F.lit("attack_chain").alias("kind"), F.lit("high").alias("threat_level"),
         F.col("correlation_score").alias("confidence"), text.alias("summary"), F.array(text).alias("indicators"),
         F.array(*keys).alias("assets"), _texts(["Multi-stage attack"]).alias("techniques"),
         _texts(C.CHAIN_ACTIONS).alias("actions"))
@@ -220,7 +220,6 @@ def integrity_alerts(issues: DataFrame, ts: Column) -> DataFrame:
     return alert_rows(issues, "integrity_violation", F.col("record_id"), ts, F.col("message"), F.lit("critical"))
 
 
-def alert_members(alerts: DataFrame, events: DataFrame) -> DataFrame:
-    """Events belonging to alerts, through the alert's list of ids."""
-    pairs = alerts.select("alert_id", F.explode("event_ids").alias("event_id"))
-    return pairs.join(events, "event_id")
+def alert_members(members: DataFrame, events: DataFrame) -> DataFrame:
+    """Events belonging to alerts, through rows of (alert_id, event_id)."""
+    return members.join(events, "event_id")

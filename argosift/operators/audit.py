@@ -106,14 +106,57 @@ def check_links(links: DataFrame, chain: str = "host_id", content: str = "conten
     return links.withColumn("broken", F.coalesce(bad, F.lit(True)))
 
 
+def stored_heads(links: DataFrame, chain: str = "host_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Head rows (chain, last_sequence, root) to keep apart from the links, for a later ``verify``."""
+    last = links.groupBy(chain).agg(F.max("sequence_number").alias("last_sequence"))
+    return chain_heads(links, chain, segment_rows).select(chain, F.col("head").alias("root")).join(last, chain)
+
+
+def gaps(links: DataFrame, chain: str = "host_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Per chain the first sequence number that is missing or stands twice, found from counts per segment."""
+    seg = F.floor((F.col("sequence_number") - 1) / F.lit(segment_rows)).cast("long")
+    w = W.partitionBy(chain, "_seg").orderBy("sequence_number")
+    expected = F.coalesce(F.lag("sequence_number").over(w) + 1, F.col("_seg") * segment_rows + 1)
+    odd = links.select(chain, "sequence_number", seg.alias("_seg")).withColumn("_want", expected)
+    inside = odd.groupBy(chain, "_seg").agg(
+        F.min(F.when(F.col("_want") != F.col("sequence_number"), F.least("_want", "sequence_number"))).alias("gap"),
+        F.max("sequence_number").alias("last"))
+    # One row per segment: a segment must be full and be followed by the next one, but for the last of a chain.
+    by_chain = W.partitionBy(chain).orderBy("_seg")
+    following = F.lead("_seg").over(by_chain)
+    short = F.when(following.isNotNull() & (F.col("last") != (F.col("_seg") + 1) * segment_rows), F.col("last") + 1)
+    skipped = F.when(following.isNotNull() & (following != F.col("_seg") + 1), (F.col("_seg") + 1) * segment_rows + 1)
+    begins = F.when(F.lag("_seg").over(by_chain).isNull() & (F.col("_seg") > 0), F.lit(1).cast("long"))
+    return inside.withColumn("gap", F.least("gap", short, skipped, begins)).groupBy(chain).agg(
+        F.min("gap").alias("first_gap"), F.max("last").alias("last_sequence"))
+
+
 def verify(links: DataFrame, chain: str = "host_id", content: str = "content_hash",
-           payload_hash: Column | None = None) -> DataFrame:
-    """Per chain: records, valid flag and first broken sequence number."""
+           payload_hash: Column | None = None, heads: DataFrame | None = None,
+           segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Per chain: records, valid flag and first broken sequence number.
+
+    A chain is broken where a link does not follow from the one before, where a sequence number is missing or
+    stands twice, and, with stored ``heads``, where the chain ends before its head or has another root. Chains
+    that only the heads know are reported with 0 records.
+    """
     checked = check_links(links, chain, content, payload_hash)
-    return checked.groupBy(chain).agg(
+    found = checked.groupBy(chain).agg(
         F.count(F.lit(1)).alias("records"),
-        F.min(F.when(F.col("broken"), F.col("sequence_number"))).alias("first_broken"),
-    ).withColumn("chain_valid", F.col("first_broken").isNull())
+        F.min(F.when(F.col("broken"), F.col("sequence_number"))).alias("first_broken"))
+    found = found.join(gaps(links, chain, segment_rows), chain).withColumn(
+        "first_broken", F.least("first_broken", "first_gap")).drop("first_gap")
+    if heads is not None:
+        now = found.join(chain_heads(links, chain, segment_rows).select(chain, "head"), chain)
+        known = heads.select(chain, F.col("last_sequence").alias("_stored_last"), F.col("root").alias("_stored_root"))
+        both = now.join(known, chain, "full")
+        here, stored = F.coalesce("last_sequence", F.lit(0)), F.coalesce("_stored_last", F.lit(0))
+        # Past the shorter of both ends; a chain of the right length with another root is wrong from its start on.
+        ends = F.when(here != stored, F.least(here, stored) + 1).when(
+            ~F.col("head").eqNullSafe(F.col("_stored_root")), F.coalesce("first_broken", F.lit(1)))
+        found = both.withColumn("records", F.coalesce("records", F.lit(0))).withColumn(
+            "first_broken", F.least("first_broken", ends))
+    return found.select(chain, "records", "first_broken").withColumn("chain_valid", F.col("first_broken").isNull())
 
 
 # --- primary against backup ----------------------------------------------------------

@@ -10,13 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from argosift.functions.severity import clamp
 from argosift.operators.windows import number_rows
-from argosift.session import cut, small_side
+from argosift.session import cut
 
 STATS = ("mean", "std", "min", "max")
 STD_FLOOR = 0.01
@@ -49,23 +47,33 @@ def to_wide(long: DataFrame, features: Sequence[str], keys: Sequence[str] = ("so
 
 
 def with_profile(df: DataFrame, profile: DataFrame, keys: Sequence[str] = ("source_type",)) -> DataFrame:
-    """Joins the profile in force; the profile is broadcast only after its rows are counted."""
-    return df.join(small_side(profile), list(keys), "left")
+    """Joins the profile of the row's keys. A profile read from a table is broadcast when its size allows."""
+    return df.join(profile, list(keys), "left")
 
 
 def in_force(df: DataFrame, versions: DataFrame, keys: Sequence[str], ts: str, valid_from: str) -> DataFrame:
     """Joins the newest profile version at or before the event time.
 
-    Versions become half-open validity intervals, so each event meets one version.
+    Versions become half-open validity intervals, one row per day of validity, so an event meets the versions of
+    its key and day only.
     """
+    def day(c: Column) -> Column:
+        return F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+
     nxt = F.lead(valid_from).over(W.partitionBy(*keys).orderBy(valid_from))
     spans = versions.withColumn("valid_to", nxt)
-    left, right = df.alias("e"), small_side(spans).alias("v")
-    same = reduce(lambda a, b: a & b, [F.col(f"e.{k}") == F.col(f"v.{k}") for k in keys])
+    # One row: an open version holds until the newest event.
+    newest = df.agg(F.max(ts).alias("_newest"))
+    last = F.greatest(day(F.coalesce("valid_to", "_newest", valid_from)), day(F.col(valid_from)))
+    dated = spans.crossJoin(F.broadcast(newest)).withColumn(
+        "_day", F.explode(F.sequence(day(F.col(valid_from)), last))).drop("_newest")
+    left, right = df.withColumn("_day", day(F.col(ts))).alias("e"), dated.alias("v")
+    same = reduce(lambda a, b: a & b, [F.col(f"e.{k}") == F.col(f"v.{k}") for k in [*keys, "_day"]])
     live = (F.col(f"e.{ts}") >= F.col(f"v.{valid_from}")) & (
         F.col("v.valid_to").isNull() | (F.col(f"e.{ts}") < F.col("v.valid_to")))
     joined = left.join(right, same & live, "left")
-    return joined.select("e.*", *[F.col(f"v.{c}") for c in spans.columns if c not in keys])
+    return joined.select(*[F.col(f"e.{c}") for c in df.columns], *[F.col(f"v.{c}") for c in spans.columns
+                                                                     if c not in keys])
 
 
 def z_score(feature: str) -> Column:
@@ -112,34 +120,21 @@ def explain_sql(feature: str, z: str) -> str:
 _COEF = ("p", "b", "qa", "qb", "qc")
 
 
-def _compose(first, second):
-    """Summary of ``first`` followed by ``second`` (arrays of shape (5, features))."""
-    p1, b1, a1, l1, c1 = first
-    p2, b2, a2, l2, c2 = second
-    return np.array([
-        p2 * p1,
-        p2 * b1 + b2,
-        p2 * a1 + a2 - 2 * l2 * b1 + c2 * b1 * b1,
-        p2 * l1 + l2 * p1 - c2 * p1 * b1,
-        p2 * c1 + c2 * p1 * p1,
-    ])
-
-
-def _summary(x: np.ndarray, alpha: float) -> np.ndarray:
-    """Summary of one segment; rows of ``x`` are in time order, one column per feature."""
-    n = len(x)
-    k = np.arange(1, n + 1)
-    keep = (1 - alpha) ** k
-    lag = k[:, None] - k[None, :]
-    local = np.where(lag >= 0, alpha * (1 - alpha) ** np.maximum(lag, 0), 0.0) @ x
-    weight = (1 - alpha) ** (n - k)
-    gap = x - local
-    p = np.full(x.shape[1], (1 - alpha) ** n)
-    return np.array([p, local[-1], weight @ gap ** 2, (weight * keep) @ gap,
-                     np.full(x.shape[1], (weight * keep ** 2).sum())])
+_RANGE = ("lows", "highs")
 
 
-_RANGE = ("lows", "highs")
+def _per_feature(n: int, body: str) -> str:
+    """SQL array with ``body`` for every feature position ``i``."""
+    return f"transform(sequence(0, {n - 1}), i -> {body})"
+
+
+def _state(p: str, b: str, qa: str, qb: str, qc: str) -> str:
+    return f"named_struct('p', {p}, 'b', {b}, 'qa', {qa}, 'qb', {qb}, 'qc', {qc})"
+
+
+def _unpacked(names: list[str], extra: Sequence[str]) -> list[Column]:
+    """Columns of the coefficient arrays held in ``s``."""
+    return [*names, *extra, *[F.expr(f"transform(s, e -> e.{c})").alias(c) for c in _COEF], *_RANGE]
 
 
 def segment_summaries(df: DataFrame, features: Sequence[str], keys: Sequence[str], ts: str, tie: str,
@@ -147,55 +142,56 @@ def segment_summaries(df: DataFrame, features: Sequence[str], keys: Sequence[str
     """Numbers each key's rows in time order and summarises equal segments of them, in one pass.
 
     With ``seed_rows`` the first rows form segment -1, whose ``b`` and ``qa`` hold
-    the plain mean and variance.
+    the plain mean and variance. A segment's rows are folded inside the JVM.
     """
+    n, names = len(features), list(keys)
     vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     slim = df.select(*keys, ts, tie, vec.alias("x"))
     after = F.col("row_no") - 1 - seed_rows
     seg = F.when(after < 0, -1).otherwise(F.floor(after / F.lit(segment_rows))).cast("long")
-    at = number_rows(slim, keys, ts, tie).withColumn("seg", seg).select(*keys, "row_no", "seg", "x")
-    key_fields = [f for f in slim.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields, T.StructField("seg", T.LongType()), T.StructField("rows", T.LongType()),
-                           *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in (*_COEF, *_RANGE)]])
-    names = list(keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no")
-        x = np.stack(pdf["x"].to_numpy())
-        head = pdf.iloc[0]
-        if head["seg"] < 0:
-            var = x.var(axis=0, ddof=1) if len(x) > 1 else np.full(x.shape[1], SINGLE_SAMPLE_STD ** 2)
-            zero = np.zeros(x.shape[1])
-            parts = [zero, x.mean(axis=0), var, zero, zero]
-        else:
-            parts = list(_summary(x, alpha))
-        row = [*[head[k] for k in names], head["seg"], len(pdf), *[list(r) for r in parts], list(x.min(axis=0)),
-               list(x.max(axis=0))]
-        return pd.DataFrame([row], columns=[*names, "seg", "rows", *_COEF, *_RANGE])
-
-    return at.groupBy(*keys, "seg").applyInPandas(run, schema)
+    at = number_rows(slim, keys, ts, tie).withColumn("seg", seg)
+    packed = at.groupBy(*keys, "seg").agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "x"))).alias("r"), F.count(F.lit(1)).alias("rows"))
+    keep = 1 - alpha
+    b = f"({keep}D * s.b + {alpha}D * e.x[i])"
+    fold = _per_feature(n, f"""aggregate(r, {_state('1D', '0D', '0D', '0D', '0D')}, (s, e) -> {_state(
+        f'{keep}D * s.p', b, f'{keep}D * s.qa + pow(e.x[i] - {b}, 2)',
+        f'{keep}D * s.qb + (e.x[i] - {b}) * {keep}D * s.p', f'{keep}D * s.qc + pow({keep}D * s.p, 2)')})""")
+    mean = "aggregate(r, 0D, (a, e) -> a + e.x[i]) / rows"
+    # The squares are summed around the mean, which one more fold carries along.
+    spread = f"""aggregate(r, named_struct('m', {mean}, 'q', 0D), (a, e) -> named_struct('m', a.m, 'q',
+        a.q + pow(e.x[i] - a.m, 2)), a -> if(rows > 1, a.q / (rows - 1), {SINGLE_SAMPLE_STD ** 2}D))"""
+    plain = _per_feature(n, _state("0D", mean, spread, "0D", "0D"))
+    return packed.select(
+        *names, "seg", "rows", F.expr(f"if(seg < 0, {plain}, {fold})").alias("s"),
+        F.expr(_per_feature(n, "array_min(transform(r, e -> e.x[i]))")).alias("lows"),
+        F.expr(_per_feature(n, "array_max(transform(r, e -> e.x[i]))")).alias("highs")).select(
+        *_unpacked(names, ["seg", "rows"]))
 
 
 def compose_summaries(summaries: DataFrame, keys: Sequence[str], fan_in: int, levels: int) -> DataFrame:
     """Composes consecutive summaries, ``fan_in`` at a time, down to one row per key."""
-    schema, names = summaries.schema, list(keys)
-
-    def stacked(pdf: pd.DataFrame, column: str) -> np.ndarray:
-        return np.stack(pdf[column].to_numpy())
+    names = list(keys)
+    # The summary of s followed by e, for feature i.
+    chained = _state(
+        "e.p[i] * s.p", "e.p[i] * s.b + e.b[i]",
+        "e.p[i] * s.qa + e.qa[i] - 2 * e.qb[i] * s.b + e.qc[i] * s.b * s.b",
+        "e.p[i] * s.qb + e.qb[i] * s.p - e.qc[i] * s.p * s.b", "e.p[i] * s.qc + e.qc[i] * s.p * s.p")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        total = reduce(_compose, list(np.stack([stacked(pdf, c) for c in _COEF], axis=1)))
-        head = pdf.iloc[0]
-        row = [*[head[k] for k in names], head["up"], pdf["rows"].sum(), *[list(r) for r in total],
-               list(stacked(pdf, "lows").min(axis=0)), list(stacked(pdf, "highs").max(axis=0))]
-        return pd.DataFrame([row], columns=[*names, "seg", "rows", *_COEF, *_RANGE])
+    def each(body: str) -> str:
+        return f"transform(sequence(0, size(r[0].p) - 1), i -> {body})"
 
     level = summaries
-    for i in range(levels):
-        last = i == levels - 1
-        up = F.lit(0).cast("long") if last else F.floor(F.col("seg") / F.lit(fan_in)).cast("long")
-        level = level.withColumn("up", up).groupBy(*keys, "up").applyInPandas(run, schema)
+    for k in range(levels):
+        up = F.lit(0).cast("long") if k == levels - 1 else F.floor(F.col("seg") / F.lit(fan_in)).cast("long")
+        packed = level.groupBy(*names, up.alias("up")).agg(
+            F.array_sort(F.collect_list(F.struct("seg", *_COEF, *_RANGE))).alias("r"), F.sum("rows").alias("rows"))
+        level = packed.select(
+            *names, F.col("up").alias("seg"), "rows",
+            F.expr(each(f"aggregate(r, {_state('1D', '0D', '0D', '0D', '0D')}, (s, e) -> {chained})")).alias("s"),
+            F.expr(each("array_min(transform(r, e -> e.lows[i]))")).alias("lows"),
+            F.expr(each("array_max(transform(r, e -> e.highs[i]))")).alias("highs")).select(
+            *_unpacked(names, ["seg", "rows"]))
     return level.drop("seg")
 
 
@@ -220,6 +216,21 @@ def apply_summary(state: DataFrame, summary: DataFrame, keys: Sequence[str], n_f
     return updated.withColumnsRenamed({"new_means": "means", "new_variances": "variances"})
 
 
+def _composed_state(segs: DataFrame, features: Sequence[str], keys: Sequence[str], alpha: float, segment_rows: int,
+                    levels: int) -> DataFrame:
+    state = segs.where("seg < 0").select(*keys, F.col("rows").alias("sample_count"), F.col("b").alias("means"),
+                                         F.col("qa").alias("variances"))
+    later = compose_summaries(segs.where("seg >= 0"), keys, segment_rows, levels)
+    return apply_summary(state, later, keys, len(features), alpha)
+
+
+def moving_state(df: DataFrame, features: Sequence[str], keys: Sequence[str], ts: str, tie: str, alpha: float,
+                 seed_rows: int, segment_rows: int, levels: int) -> DataFrame:
+    """Rows (keys, means, variances, sample_count) after a seed of ``seed_rows`` rows and the updates that follow."""
+    segs = cut(segment_summaries(df, features, keys, ts, tie, alpha, segment_rows, seed_rows))
+    return _composed_state(segs, features, keys, alpha, segment_rows, levels)
+
+
 def learn_moving(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("source_type",), ts: str = "ts",
                  tie: str = "event_id", alpha: float = 0.1, seed_rows: int = 1000, segment_rows: int = 1000,
                  levels: int = 3) -> DataFrame:
@@ -228,10 +239,7 @@ def learn_moving(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (
     Keys with fewer rows keep the plain statistics of what they have.
     """
     segs = cut(segment_summaries(df, features, keys, ts, tie, alpha, segment_rows, seed_rows))
-    state = segs.where("seg < 0").select(*keys, F.col("rows").alias("sample_count"), F.col("b").alias("means"),
-                                         F.col("qa").alias("variances"))
-    later = compose_summaries(segs.where("seg >= 0"), keys, segment_rows, levels)
-    done = apply_summary(state, later, keys, len(features), alpha)
+    done = _composed_state(segs, features, keys, alpha, segment_rows, levels)
     ranges = segs.select(*keys, F.posexplode(F.arrays_zip("lows", "highs")).alias("pos", "r")).groupBy(
         *keys, "pos").agg(F.min("r.lows").alias("min"), F.max("r.highs").alias("max"))
     entry = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("means"), F.col("variances"))
@@ -251,7 +259,7 @@ def host_profile(df: DataFrame, columns: Sequence[str], host: str = "host_id") -
 def standard_scale(df: DataFrame, columns: Sequence[str], host: str = "host_id") -> DataFrame:
     """Adds ``scaled_<column>``: (x - host mean) / host deviation; a zero deviation counts as 1."""
     stats = cut(host_profile(df, columns, host))
-    joined = df.join(small_side(stats), host, "left")
+    joined = df.join(stats, host, "left")
     scaled = {f"scaled_{c}": (F.col(c) - F.col(f"mean__{c}")) / F.when(
         F.col(f"std__{c}") == 0, 1.0).otherwise(F.col(f"std__{c}")) for c in columns}
     return joined.withColumns(scaled).select(*df.columns, *scaled)

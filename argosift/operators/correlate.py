@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from argosift import constants as C
 from argosift.functions import text as X, times as T
-from argosift.operators.windows import arrivals_and_expiries, running_sums, trailing_sums
+from argosift.functions.times import micros
+from argosift.operators.windows import arrivals_and_expiries, running_max, running_sums, trailing_sums
 from argosift.session import cut
 
 SOURCE_TYPES = ("log", "process", "network", "metric")
@@ -109,32 +110,40 @@ def _stage_test(stage: dict) -> Column:
     return test
 
 
-def attack_chains(df: DataFrame, keys: Sequence[str] = ("host_id",), ts: str = "ts", window: str = "1 hour",
-                  chains: dict = C.ATTACK_CHAINS, ordered: bool = False) -> DataFrame:
-    """Chains whose first stages (at least two) are all seen in a window.
+def attack_chains(df: DataFrame, keys: Sequence[str] = ("host_id",), ts: str = "ts", tie: str = "event_id",
+                  seconds: int = 3600, chains: dict = C.ATTACK_CHAINS, ordered: bool = False) -> DataFrame:
+    """Per anomaly the chains whose first stages (at least two) are all seen in the trailing window.
 
-    ``df`` has source_type, anomaly_score and reason_text. With ``ordered`` a stage
-    counts only if some event of it is later than the earliest of the stage before.
+    ``df`` holds anomalies with source_type, anomaly_score and reason_text. With ``ordered`` every stage must come
+    after the one before it: along the chain each event carries the latest start of a chain that has reached it.
     """
     tests = {(c, i): _stage_test(s) for c, stages in chains.items() for i, s in enumerate(stages)}
-    firsts = [F.min(F.when(t, F.col(ts))).alias(f"first_{c}_{i}") for (c, i), t in tests.items()]
-    lasts = [F.max(F.when(t, F.col(ts))).alias(f"last_{c}_{i}") for (c, i), t in tests.items()]
-    grouped = df.groupBy(*keys, F.window(F.col(ts), window).alias("window")).agg(*firsts, *lasts)
-    rows = []
+    named = {key: f"stage_{list(chains).index(key[0])}_{key[1]}" for key in tests}
+    rows = df.select(*keys, ts, tie, *[t.alias(named[k]) for k, t in tests.items()])
+    if ordered:
+        depth = max(map(len, chains.values()))
+        at = micros(F.col(ts))
+        for i in range(depth):
+            level = [k for k in tests if k[1] == i]
+            if i:
+                before = {f"from_{named[k]}": F.col(f"start_{named[(k[0], i - 1)]}") for k in level}
+                rows = running_max(rows, keys, ts, before, strict=True)
+            rows = rows.withColumns({f"start_{named[k]}": F.when(F.col(named[k]), F.col(f"from_{named[k]}") if i else at)
+                                     for k in level})
+        rows = running_max(rows, keys, ts, {f"seen_{named[k]}": F.col(f"start_{named[k]}") for k in tests})
+        seen = {k: F.coalesce(F.col(f"seen_{named[k]}") >= at - F.lit(seconds * 1_000_000), F.lit(False)) for k in tests}
+    else:
+        rows = trailing_sums(rows, keys, ts, seconds, {
+            f"n_{named[k]}": F.when(F.col(named[k]), 1).otherwise(0).cast("long") for k in tests})
+        seen = {k: F.col(f"n_{named[k]}") > 0 for k in tests}
+    found = []
     for name, stages in chains.items():
-        first = [F.col(f"first_{name}_{i}") for i in range(len(stages))]
-        last = [F.col(f"last_{name}_{i}") for i in range(len(stages))]
-        ok = [first[0].isNotNull()]
+        ok = [seen[(name, 0)]]
         for i in range(1, len(stages)):
-            here = last[i] > first[i - 1] if ordered else first[i].isNotNull()
-            ok.append(ok[-1] & F.coalesce(here, F.lit(False)))
-        depth = sum((F.when(o, 1).otherwise(0) for o in ok[1:]), F.when(ok[0], 1).otherwise(0))
-        end = X.first_label(((depth == n, first[n - 1]) for n in range(len(stages), 0, -1)),
-                            F.lit(None).cast("timestamp_ntz"))
-        rows.append(F.struct(F.lit(name).alias("chain"), depth.cast("long").alias("stages"),
-                             first[0].alias("started"), end.alias("ended")))
-    out = grouped.select(*keys, F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                         F.explode(F.array(*rows)).alias("r")).select(*keys, "window_start", "r.*")
+            ok.append(ok[-1] & seen[(name, i)])
+        count = sum((F.when(o, 1).otherwise(0) for o in ok[1:]), F.when(ok[0], 1).otherwise(0))
+        found.append(F.struct(F.lit(name).alias("chain"), count.cast("long").alias("stages")))
+    out = rows.select(*keys, ts, tie, F.explode(F.array(*found)).alias("r")).select(*keys, ts, tie, "r.*")
     return out.where(F.col("stages") >= 2).withColumn("correlation_score", 0.7 + F.col("stages") * 0.1)
 
 

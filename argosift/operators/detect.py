@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from argosift import constants as C
 from argosift.constants import Rule
 from argosift.functions import net as N, severity as S, text as X
-from argosift.operators.windows import trailing_sums
+from argosift.operators.windows import arrivals_and_expiries, running_sums, trailing_sums
 
 
 def _texts(rule: Rule, kind: str, columns: Sequence[str]) -> list[tuple[Column, Column]]:
@@ -73,6 +73,31 @@ def match_rules(df: DataFrame, kind: str, columns: Sequence[str], rules: Sequenc
     return out
 
 
+RULE_TABLE = ("rule_id string, pattern string, needle string, rule_severity double, window_seconds int, "
+              "min_occurrences int")
+
+
+def match_rule_table(df: DataFrame, rules: DataFrame, line: str, keys: Sequence[str] = ("host_id",),
+                     ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """One row per (event, rule) of a rules table that fires.
+
+    ``needle`` is a word (letters and digits, lower case) that every match of ``pattern`` contains: events meet
+    rules by an equality join on their words, and only those pairs are tested with the pattern. Rules that need
+    several occurrences count their own hits per key in their own trailing window.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit("([a-z0-9]+)"), 1))
+    rows = df.select(tie, ts, *keys, line, F.explode(words).alias("needle"))
+    hits = rows.join(rules, "needle").where(F.expr(f"rlike({line}, concat('(?i)', pattern))")).drop("needle", line)
+    single = hits.where("min_occurrences <= 1").withColumn("occurrences", F.lit(1).cast("long"))
+    # A hit counts for the rows of its rule up to the rule's own window later.
+    several = hits.where("min_occurrences > 1")
+    swept = arrivals_and_expiries(several, [*keys, "rule_id"], ts, F.col("window_seconds"),
+                                  {"occurrences": F.lit(1).cast("long")})
+    counted = running_sums(swept, [*keys, "rule_id"], ["t_us", "t_kind"], ["m_occurrences"]).where("t_kind = 0")
+    enough = counted.withColumn("occurrences", F.col("run_m_occurrences")).where("occurrences >= min_occurrences")
+    return single.unionByName(enough.select(single.columns))
+
+
 def brute_force(df: DataFrame, keys: Sequence[str], window: str = "5 minutes", slide: str | None = None,
                 message: str = "message", ts: str = "ts", minimum: int = 5) -> DataFrame:
     """Windows with at least ``minimum`` authentication failures per key."""

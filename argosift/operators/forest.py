@@ -1,8 +1,7 @@
-"""Isolation forest: trees are built in parallel from bounded hash samples.
+"""Isolation forest: trees are built in parallel from independent samples.
 
-Training touches the full table only to count it and to draw one bounded pool of
-rows per source type. Every tree then takes its own sample from the pool, so the
-work after the pool depends on the forest size, not on the data.
+Every row of the table is dealt to one tree by a hash, and each tree keeps a fixed
+number of its rows. The work after the sampling depends on the forest size.
 """
 
 from __future__ import annotations
@@ -15,12 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from argosift import constants as C
-from argosift.session import cut, small_side
+from argosift.session import cut
 
 NODE_SCHEMA = ("source_type string, tree int, node int, feature int, split double, left int, right int, size int, "
                "psi int")
-MAX_MODEL_ROWS = 5_000_000
-_HASH_RANGE = 2.0 ** 63
 
 
 def average_path(n: float) -> float:
@@ -32,36 +29,36 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + C.EULER) - 2.0 * (n - 1) / n
 
 
-def sample_pool(df: DataFrame, features: Sequence[str], tie: str, pool_rows: int, seed: int) -> DataFrame:
-    """Up to about ``pool_rows`` rows per source type with the smallest seeded hashes.
+def tree_samples(df: DataFrame, features: Sequence[str], tie: str, trees: int, sample_rows: int,
+                 seed: int) -> DataFrame:
+    """Rows (source_type, tree, r, x): each tree's own sample, drawn from the whole table.
 
-    A threshold on the hash keeps roughly four times the pool before the exact
-    cut, so a dominant source type is thinned where it is read.
+    A seeded hash deals every row to a number of trees that gives each tree about four times its sample (one tree
+    in a large table, all trees in a small one); the rows with the smallest second hashes are the sample. Each task
+    keeps at most ``sample_rows`` rows per tree before the shuffle.
     """
     vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
-    h = F.xxhash64(F.lit(seed), F.col(tie))
-    slim = df.select("source_type", F.col(tie).alias("row_id"), vec.alias("x"), h.alias("h"))
-    sizes = slim.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
-    near = slim.join(small_side(cut(sizes)), "source_type").where(
-        (F.col("h") / F.lit(_HASH_RANGE) + 1) / 2 < 4.0 * pool_rows / F.col("n"))
-    # First cut per input partition group, so that many copies of one row never meet in one task.
-    part = near.withColumn("part", F.spark_partition_id() % 256)
-    local = W.partitionBy("source_type", "part").orderBy("h", "row_id")
-    thinned = part.withColumn("r", F.row_number().over(local)).where(F.col("r") <= pool_rows)
-    ranked = thinned.withColumn("r", F.row_number().over(W.partitionBy("source_type").orderBy("h", "row_id")))
-    return ranked.where(F.col("r") <= pool_rows).select("source_type", "row_id", "x")
+    slim = df.select("source_type", F.col(tie).alias("row_id"), vec.alias("x"))
+    wanted = F.ceil(F.lit(4 * sample_rows * trees) / F.count(F.lit(1))).cast("int")
+    # One row per source type.
+    shares = slim.groupBy("source_type").agg(F.least(wanted, F.lit(trees)).alias("m"))
+    first = F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(trees))
+    dealt = slim.join(F.broadcast(shares), "source_type").withColumn("i", F.explode(F.sequence(
+        F.lit(0), F.col("m") - 1))).withColumn("tree", ((first + F.col("i")) % trees).cast("int"))
+    dealt = dealt.withColumn("h", F.xxhash64(F.lit(seed + 1), "tree", "row_id"))
+    order = W.partitionBy("source_type", "tree").orderBy("h", "row_id")
+    ranked = dealt.withColumn("r", F.row_number().over(order))
+    return ranked.where(F.col("r") <= sample_rows).select("source_type", "tree", "r", "x")
 
 
 def train(df: DataFrame, features: Sequence[str], tie: str = "event_id", trees: int = 100, sample_rows: int = 256,
-          seed: int = 7, pool_factor: int = 8) -> DataFrame:
+          seed: int = 7) -> DataFrame:
     """Node table of one forest per source type, written to the checkpoint folder.
 
-    ``df`` holds feature rows with ``source_type``, a column of a few fixed values.
+    ``df`` holds feature rows with ``source_type``, a column of a few fixed values. A model has at most
+    ``2 * sample_rows`` nodes per tree, whatever the table's size.
     """
-    pool = cut(sample_pool(df, features, tie, sample_rows * pool_factor, seed))
-    per_tree = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = W.partitionBy("source_type", "tree").orderBy(F.xxhash64(F.lit(seed), "tree", "row_id"), "row_id")
-    sampled = per_tree.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows)
+    sampled = tree_samples(df, features, tie, trees, sample_rows, seed)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
@@ -100,9 +97,7 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 
 
 def _model_arrays(model: DataFrame) -> dict[str, dict]:
-    """Node arrays per source type; the model's size is checked before it is fetched."""
-    if model.limit(MAX_MODEL_ROWS + 1).count() > MAX_MODEL_ROWS:
-        raise ValueError("forest model is larger than the row limit for scoring")
+    """Node arrays per source type. A model's size is set by its trees and their samples, not by the data."""
     pdf = model.toPandas().sort_values(["source_type", "tree", "node"])
     forests = {}
     for source, part in pdf.groupby("source_type"):

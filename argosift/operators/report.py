@@ -39,17 +39,17 @@ def top_patterns(df: DataFrame, message: str = "message", n: int = 10) -> DataFr
     return counts.orderBy(F.desc("lines"), "pattern").limit(n)
 
 
-def tail_per_source(df: DataFrame, n: int, source: str = "source", ts: str = "ts", tie: str = "event_id",
-                    max_entries: int = 500) -> DataFrame:
-    """Last min(n, max_entries) rows per source; each task keeps at most that many before the shuffle."""
+def tail_per_source(df: DataFrame, n: int, source: str = "source", ts: str = "ts",
+                    tie: str = "event_id") -> DataFrame:
+    """Last ``n`` rows per source; each task keeps at most that many before the shuffle."""
     w = W.partitionBy(source).orderBy(F.desc(ts), F.desc(tie))
-    return df.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= min(n, max_entries))
+    return df.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
 
 
 def last_per_level(df: DataFrame, n: int = 50, level: str = "level", ts: str = "ts", tie: str = "event_id",
                    levels: Sequence[str] = ("error", "warning", "critical")) -> DataFrame:
     """Last ``n`` lines per problem level, messages shortened to 100 characters."""
-    kept = tail_per_source(df.where(F.col(level).isin(list(levels))), n, level, ts, tie, max_entries=n)
+    kept = tail_per_source(df.where(F.col(level).isin(list(levels))), n, level, ts, tie)
     return kept.withColumn("line", F.concat(F.col(ts).cast("string"), F.lit(": "), F.substring("message", 1, 100)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from argosift import constants as C
 from argosift.functions import severity as S, text as X, times as T
 from argosift.operators.windows import previous_row
+from argosift.session import cut
 
 
 # --- predicates and tags ----------------------------------------------------------------
@@ -84,26 +85,41 @@ def name_connections(conns: DataFrame, procs: DataFrame, keys: Sequence[str] = (
     return conns.join(names, list(keys), "left")
 
 
-def with_parent(procs: DataFrame) -> DataFrame:
-    """Adds the parent's name; the root has none."""
-    parents = procs.select(F.col("pid").alias("ppid"), F.col("name").alias("parent_name"))
-    return procs.join(parents, "ppid", "left")
+def with_parent(procs: DataFrame, scope: Sequence[str] = ("host_id",)) -> DataFrame:
+    """Adds the parent's name; the root has none. Pids are unique inside ``scope`` (host, or host and snapshot)."""
+    parents = procs.select(*scope, F.col("pid").alias("ppid"), F.col("name").alias("parent_name"))
+    return procs.join(parents, [*scope, "ppid"], "left")
 
 
-def descendants(procs: DataFrame, root: int, max_depth: int = 100) -> DataFrame:
-    """All processes below ``root``, itself included, with their depth."""
-    spark = procs.sparkSession
-    return spark.sql(f"""
-        WITH RECURSIVE tree(pid, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
-            SELECT pid, 0 FROM {{procs}} WHERE pid = {int(root)}
-            UNION ALL
-            SELECT p.pid, t.depth + 1 FROM {{procs}} p JOIN tree t ON p.ppid = t.pid)
-        SELECT p.pid, p.ppid, p.name, cast(t.depth AS bigint) AS depth FROM tree t JOIN {{procs}} p ON p.pid = t.pid
-    """, procs=procs.select("pid", "ppid", "name"))
+def descendants(procs: DataFrame, root: int, scope: Sequence[str] = ("host_id",)) -> DataFrame:
+    """All processes below ``root`` of each ``scope``, itself included, with their depth.
+
+    Goes down one level at a time until a level has no process that was not met before, so trees may be of any
+    depth and a cycle through a reused pid ends. Each level is written as a table.
+    """
+    nodes = cut(procs.select(*scope, "pid", "ppid", "name"))
+    level = cut(nodes.where(F.col("pid") == root).withColumn("depth", F.lit(0).cast("long")))
+    found = level
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        parents = level.select(*scope, F.col("pid").alias("ppid"))
+        below = nodes.join(parents, [*scope, "ppid"], "left_semi").join(
+            found.select(*scope, "pid"), [*scope, "pid"], "left_anti")
+        level = cut(below.select(*nodes.columns).withColumn("depth", F.lit(depth).cast("long")))
+        found = found.unionByName(level)
+    return found
 
 
 # --- snapshot differences ---------------------------------------------------------------------
 
+def snapshot_index(df: DataFrame, host: str = "host_id", ts: str = "snapshot_ts") -> DataFrame:
+    """One row per host and snapshot time with the times before and after it."""
+    w = W.partitionBy(host).orderBy(ts)
+    return df.select(host, ts).distinct().select(host, ts, F.lag(ts).over(w).alias("_before"),
+                                                 F.lead(ts).over(w).alias("_after"))
+
+
 def snapshot_changes(df: DataFrame, keys: Sequence[str], host: str = "host_id", ts: str = "snapshot_ts",
                      appeared: str = "start", vanished: str = "end") -> DataFrame:
     """Members that appear or vanish between consecutive snapshots of a host.
@@ -111,16 +127,17 @@ def snapshot_changes(df: DataFrame, keys: Sequence[str], host: str = "host_id",
     Snapshots are ordered in their own small table (one row per host and time); each
     member row is then compared with the neighbouring snapshot by equality joins.
     """
-    w = W.partitionBy(host).orderBy(ts)
-    order = df.select(host, ts).distinct().select(host, ts, F.lag(ts).over(w).alias("_before"),
-                                                  F.lead(ts).over(w).alias("_after"))
+    order = snapshot_index(df, host, ts)
     rows = df.select(host, ts, *keys).distinct().join(order, [host, ts])
-    earlier = df.select(host, F.col(ts).alias("_before"), *keys).distinct()
-    later = df.select(host, F.col(ts).alias("_after"), *keys).distinct()
-    started = rows.where(F.col("_before").isNotNull()).join(earlier, [host, "_before", *keys], "left_anti")
-    ended = rows.where(F.col("_after").isNotNull()).join(later, [host, "_after", *keys], "left_anti")
-    return started.select(host, ts, *keys, F.lit(appeared).alias("change")).unionByName(
-        ended.select(host, F.col("_after").alias(ts), *keys, F.lit(vanished).alias("change")))
+    # One exchange by member; its own neighbours in time are compared with the host's.
+    w = W.partitionBy(host, *keys).orderBy(ts)
+    seen = rows.withColumns({"_held_before": F.lag(ts).over(w), "_held_after": F.lead(ts).over(w)})
+    started = F.when(F.col("_before").isNotNull() & ~F.col("_held_before").eqNullSafe(F.col("_before")), F.struct(
+        F.col(ts).alias("at"), F.lit(appeared).alias("change")))
+    ended = F.when(F.col("_after").isNotNull() & ~F.col("_held_after").eqNullSafe(F.col("_after")), F.struct(
+        F.col("_after").alias("at"), F.lit(vanished).alias("change")))
+    found = seen.select(host, *keys, F.explode(F.array_compact(F.array(started, ended))).alias("c"))
+    return found.select(host, F.col("c.at").alias(ts), *keys, F.col("c.change").alias("change"))
 
 
 # --- rates --------------------------------------------------------------------------------------

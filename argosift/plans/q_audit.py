@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from argosift import constants as C
 from argosift.functions import hashing as H, severity as S
 from argosift.operators import audit as A
+from argosift.operators.windows import number_rows
+from argosift.session import cut
 from argosift.plans.registry import query
 from argosift.plans.views import Inputs, with_views
 
@@ -146,9 +149,13 @@ def integrity_report(t: Inputs):
     return A.report(_statuses(t), A.verify(_links(t))).fillna(0, ["broken_at"])
 
 
-@query("d8_broken_chain_report", """select 0::bigint as checked, 0::bigint as valid, 0::bigint as tampered,
-  0::bigint as missing, 0::bigint as orphans, false as chain_valid, 50::bigint as broken_at,
-  'CRITICAL: Backup chain compromised' as overall_status""")
+@query("d8_broken_chain_report", with_views(
+    f"""select case when broken then 0 else checked end as checked, case when broken then 0 else valid end as valid,
+          case when broken then 0 else tampered end as tampered, case when broken then 0 else missing end as missing,
+          case when broken then 0 else orphans end as orphans, not broken as chain_valid, broken_at,
+          case when broken then 'CRITICAL: Backup chain compromised' else {_OVERALL} end as overall_status
+        from rep, (select count(*)>0 as broken, min(sequence_number)::bigint as broken_at from audit_log
+                   where sequence_number=50)""", *_BOTH, ctes={**_STATUS_VIEW, "rep": _REPORT}))
 def broken_chain_report(t: Inputs):
     return A.report(_statuses(t), A.verify(_corrupted(t)))
 
@@ -166,15 +173,10 @@ def alert_gate(t: Inputs):
 
 
 @query("k16_integrity_actions", with_views(
-    """select i as position, action from (select list_concat(
-         case when tampered>0 then ['Records have been modified in the primary database',
-           'Review recent access logs for suspicious activity','Check for compromised credentials',
-           'Consider restoring data from backup'] else [] end,
-         case when missing>0 then ['Records have been deleted from primary database',
-           'Attacker may be attempting to cover tracks','Preserve backup database for evidence',
-           'Initiate incident response procedure'] else [] end,
-         ['Review system access logs','Check for unauthorized processes','Consider isolating affected system',
-          'Document all findings for forensics']) as acts from rep) r,
+    f"""select i as position, action from (select list_concat(
+         case when tampered>0 then {C.INTEGRITY_ACTIONS['tampered']} else [] end,
+         case when missing>0 then {C.INTEGRITY_ACTIONS['missing']} else [] end,
+         {C.INTEGRITY_ACTIONS['always']}) as acts from rep) r,
        lateral (select unnest(acts) as action, unnest(range(len(acts))) as i)""",
     *_BOTH, ctes={**_STATUS_VIEW, "rep": _REPORT}))
 def integrity_actions(t: Inputs):
@@ -183,18 +185,55 @@ def integrity_actions(t: Inputs):
         F.col("position").cast("long").alias("position"), "action")
 
 
-@query("e3_chain_verify", with_views(
-    """select host_id, count(*)::bigint as records, 0::bigint as first_broken, true as chain_valid
-       from audit_log group by host_id""", "audit_log"))
-def chain_verify(t: Inputs):
-    return A.verify(_links(t)).fillna(0, ["first_broken"])
+# Damage to a written chain, as a condition on the records that stay, and the content hash that a record then shows.
+_LAST_SEGMENT = "max(sequence_number) over (partition by host_id)"
+_DAMAGE = {
+    "e3_chain_verify": ("true", "content_hash"),
+    "e3_chain_verify_broken": ("true", "case when sequence_number = 50 then {forged} else content_hash end"),
+    "e3_removed_segment_end": ("sequence_number % 512 <> 0", "content_hash"),
+    "e3_removed_segment": ("sequence_number not between 513 and 1024", "content_hash"),
+    "e3_removed_tail": ("sequence_number <= last_number - 3", "content_hash"),
+}
+
+
+def _damaged_sql(keep: str, content: str) -> str:
+    """Verdict from the tables: the first number whose record is gone or whose content differs from what was linked."""
+    content = content.format(forged="sha256('forged')")
+    return with_views(
+        f"""select host_id, count(*) filter (where kept)::bigint as records,
+              coalesce(min(sequence_number) filter (where not kept or shown<>content_hash), 0)::bigint as first_broken,
+              count(*) filter (where not kept or shown<>content_hash) = 0 as chain_valid
+            from (select *, {keep} as kept, {content} as shown from (select *, {_LAST_SEGMENT} as last_number
+              from audit_log)) group by host_id""", "audit_log")
+
+
+def _verify_query(name: str, keep: str, content: str):
+    @query(name, _damaged_sql(keep, content))
+    def run(t: Inputs):
+        """A chain is written with its heads, damaged in the stored table, and verified against the heads."""
+        links = cut(_links(t))
+        heads = cut(A.stored_heads(links))
+        marked = links.join(heads.select("host_id", F.col("last_sequence").alias("last_number")), "host_id")
+        damaged = marked.where(keep).withColumn("content_hash", F.expr(
+            content.format(forged="sha2('forged', 256)"))).drop("last_number")
+        return A.verify(damaged, heads=heads).fillna(0, ["first_broken"])
+
+
+for _name, (_keep, _content) in _DAMAGE.items():
+    _verify_query(_name, _keep, _content)
 
 
-@query("e3_chain_verify_broken", with_views(
-    """select host_id, count(*)::bigint as records, case when count(*)>=50 then 50 else 0 end::bigint as first_broken,
-         count(*)<50 as chain_valid from audit_log group by host_id""", "audit_log"))
-def chain_verify_broken(t: Inputs):
-    return A.verify(_corrupted(t)).fillna(0, ["first_broken"])
+@query("e3_forged_payload", with_views(
+    """select host_id, count(*)::bigint as records,
+         coalesce(min(sequence_number) filter (where record_id%211=0), 0)::bigint as first_broken,
+         count(*) filter (where record_id%211=0)=0 as chain_valid from audit_log group by host_id""", "audit_log"))
+def forged_payload(t: Inputs):
+    """Payloads edited beside an intact chain: their hashes no longer fit the linked content."""
+    links = cut(_links(t))
+    payload = t.backup_events().withColumn("message", F.when(F.col("event_id") % 211 == 0, "forged").otherwise(
+        F.col("message"))).select(F.col("event_id").alias("record_id"), A.event_hash().alias("payload_hash"))
+    return A.verify(links.join(payload, "record_id"), payload_hash=F.col("payload_hash"),
+                    heads=A.stored_heads(links)).fillna(0, ["first_broken"])
 
 
 @query("e7_sequence_numbers", with_views("select host_id, record_id, sequence_number from audit_log", "audit_log"))
@@ -259,11 +298,12 @@ def chain_link(t: Inputs):
 
 
 @query("f8_ids_in_order", with_views(
-    """select record_id, sequence_number from (select *, row_number() over (order by ts desc, record_id desc) as r
-       from audit_log) where r<=200""", "audit_log"))
+    """select record_id, sequence_number, row_number() over (order by ts, record_id) as position from audit_log""",
+    "audit_log"))
 def ids_in_order(t: Inputs):
-    rows = t.audit_log()
-    return rows.orderBy(F.desc("ts"), F.desc("record_id")).limit(200).select("record_id", "sequence_number")
+    """All ids with their place by time, and by sequence inside their chain."""
+    rows = t.audit_log().withColumn("table", F.lit("audit"))
+    return number_rows(rows, ["table"], "ts", "record_id", "position").select("record_id", "sequence_number", "position")
 
 
 @query("g1_id_sets", with_views(
@@ -316,12 +356,12 @@ def primary_changes(t: Inputs):
         from sec_log union all
         select 'backup', count(*)::bigint, count(distinct {_HASH})::bigint from sec_log""", "sec_log"))
 def dual_write(t: Inputs):
-    """Writes the log twice to both tables; the second write adds nothing."""
+    """Writes the log twice to both tables, one batch of it again; the second write adds nothing."""
     from argosift.session import new_path
     from argosift.sources.tables import write_both
     primary, backup = new_path(t.spark, "primary"), new_path(t.spark, "backup")
-    for _ in range(2):
-        write_both(t.sec_log(), primary, backup)
+    for batch in ("first", "first", "second"):
+        write_both(t.sec_log(), primary, backup, batch)
     frames = [t.spark.read.parquet(p).agg(F.count(F.lit(1)).alias("records"),
                                           F.count_distinct("content_hash").alias("hashes"))
               .select(F.lit(n).alias("table_name"), "records", "hashes")

@@ -10,7 +10,7 @@ from argosift.operators import anomaly as A, correlate as K, detect as D
 from argosift.plans import sqltext as Q
 from argosift.plans.q_anomaly import _PATTERN_SQL, _feature_sql, features_of
 from argosift.plans.registry import query
-from argosift.plans.views import Inputs, with_views
+from argosift.plans.views import NET_CONN, PROC, SEC_LOG, Inputs, spark_columns, with_views
 
 # --- rules ---------------------------------------------------------------------------
 
@@ -89,6 +89,20 @@ def custom_rule(t: Inputs):
     return D.match_rules(t.log_line(), "log", ["line"], [rule]).select("event_id", "rule_id", "rule_severity")
 
 
+@query("c9_rules_table", with_views(
+    """select event_id, 'W-'||word as rule_id, case word when 'retry' then 0.4 else 0.3 end::double as rule_severity
+       from log_line, (values ('retry'), ('backup'), ('session')) w(word) where regexp_matches(line, word||' [a-z0-9]', 'i')
+       union all select event_id, 'W-count', 0.6::double from (select event_id, count(*) over (partition by host_id
+         order by ts range between interval 3600 seconds preceding and current row) as n from log_line
+         where regexp_matches(line, 'refused', 'i')) where n>=2""", "log_line"))
+def rules_table(t: Inputs):
+    """Rules that users keep in a table: any number of them, with occurrence counts of their own."""
+    rules = t.spark.createDataFrame(
+        [(f"W-{w}", f"{w} [a-z0-9]", w, s, 0, 1) for w, s in (("retry", 0.4), ("backup", 0.3), ("session", 0.3))]
+        + [("W-count", "refused", "refused", 0.6, 3600, 2)], D.RULE_TABLE)
+    return D.match_rule_table(t.log_line(), rules, "line").select("event_id", "rule_id", "rule_severity")
+
+
 @query("e2_rule_occurrences", with_views(
     f"""select event_id, count(*) over (partition by host_id order by ts range between interval {_WIDE} seconds preceding
           and current row)::bigint as occurrences from log_line
@@ -155,11 +169,11 @@ _MIXED = f"""select s.event_id, s.ts, s.host_id, {_KINDS.replace('event_id', 's.
 
 
 def mixed(t: Inputs):
-    """Events typed by turns as log, process, network and metric."""
-    log = t.sec_log().select("event_id", "ts", "host_id", "message")
-    extra = t.net_conn().select("event_id", "remote_addr").join(
-        t.proc().select("event_id", "username", "name"), "event_id")
-    return log.join(extra, "event_id").withColumn("source_type", F.expr(_KINDS))
+    """Events typed by turns as log, process, network and metric: one projection of the table."""
+    wanted = {"message": SEC_LOG, "remote_addr": NET_CONN, "username": PROC, "name": PROC}
+    extra = [next(e for e in columns if e.endswith(f" as {c}")) for c, columns in wanted.items()]
+    host = next(e for e in SEC_LOG if e.endswith(" as host_id"))
+    return t.events().selectExpr("event_id", "ts", *spark_columns([host, *extra]), f"{_KINDS} as source_type")
 
 
 _TEMPORAL = """select event_id, source_type, (n_all-n_own)::bigint as other_events, kinds::bigint as type_count,
@@ -296,33 +310,47 @@ def _stage_sql(stage: dict) -> str:
 
 
 def _chains_sql(ordered: bool) -> str:
-    aggs, rows = [], []
-    for c, stages in C.ATTACK_CHAINS.items():
-        for i, s in enumerate(stages):
-            aggs.append(f"min(ts) filter {_where(_stage_sql(s))} as f_{c}_{i}")
-            aggs.append(f"max(ts) filter {_where(_stage_sql(s))} as l_{c}_{i}")
-        ok = f"(f_{c}_0 is not null)"
-        depth = [f"{ok}::int"]
-        for i in range(1, len(stages)):
-            here = f"l_{c}_{i}>f_{c}_{i - 1}" if ordered else f"f_{c}_{i} is not null"
-            ok = f"({ok} and coalesce({here}, false))"
-            depth.append(f"{ok}::int")
-        rows.append(f"select host_id, window_start, '{c}' as chain, {'+'.join(depth)} as stages from agg")
-    agg = f"select host_id, time_bucket(interval 1 hour, ts) as window_start, {', '.join(aggs)} from scored group by 1,2"
-    return f"""with agg as ({agg}) select host_id, cast(window_start as varchar) as window_start, chain,
+    """Events with the stages seen in their trailing hour, by plain window functions."""
+    steps = ["select *, " + ", ".join(f"{_stage_sql(s)} as t_{c}_{i}" for c, stages in C.ATTACK_CHAINS.items()
+                                      for i, s in enumerate(stages)) + " from hot"]
+    stages = {c: len(s) for c, s in C.ATTACK_CHAINS.items()}
+    if ordered:
+        for i in range(max(stages.values())):
+            here = [c for c in stages if i < stages[c]]
+            if i:
+                steps.append("select *, " + ", ".join(
+                    f"max(s_{c}_{i - 1}) over (partition by host_id order by ts range between unbounded preceding and "
+                    f"interval 1 microsecond preceding) as p_{c}_{i}" for c in here) + f" from x{len(steps) - 1}")
+            steps.append("select *, " + ", ".join(
+                f"case when t_{c}_{i} then {f'p_{c}_{i}' if i else 'ts'} end as s_{c}_{i}" for c in here)
+                + f" from x{len(steps) - 1}")
+        seen = ("coalesce(max(s_{c}_{i}) over (partition by host_id order by ts range between unbounded preceding and "
+                "current row) >= ts - interval 1 hour, false)")
+    else:
+        seen = ("(count(*) filter (where t_{c}_{i}) over (partition by host_id order by ts range between interval 1 hour "
+                "preceding and current row) > 0)")
+    steps.append("select *, " + ", ".join(f"{seen.format(c=c, i=i)} as y_{c}_{i}" for c in stages for i in range(stages[c]))
+                 + f" from x{len(steps) - 1}")
+    rows = []
+    for c, n in stages.items():
+        depth = "+".join("(" + " and ".join(f"y_{c}_{k}" for k in range(i + 1)) + ")::int" for i in range(n))
+        rows.append(f"select event_id, source_type, host_id, '{c}' as chain, {depth} as stages from x{len(steps) - 1}")
+    ctes = ", ".join(f"x{k} as ({s})" for k, s in enumerate(steps))
+    return f"""with hot as (select * from scored where anomaly_score>=0.5), {ctes} select event_id, source_type, host_id, chain,
       stages::bigint as stages, round(0.7+stages*0.1,6)::double as correlation_score from ({' union all '.join(rows)})
       where stages>=2"""
 
 
-def _where(test: str) -> str:
-    return f"(where {test})"
+def chain_anomalies(t: Inputs):
+    """The anomalies in which chains are looked for; ids are kept apart by source type."""
+    return scored_events(t).where("anomaly_score >= 0.5").withColumn("event_key", F.struct("event_id", "source_type"))
 
 
 def _chain_query(name: str, ordered: bool):
     @query(name, with_views(f"select * from ({_chains_sql(ordered)})", *_THREE, ctes=_SCORED))
     def run(t: Inputs):
-        rows = K.attack_chains(scored_events(t), ordered=ordered)
-        return rows.select("host_id", F.col("window_start").cast("string").alias("window_start"), "chain", "stages",
+        rows = K.attack_chains(chain_anomalies(t), tie="event_key", ordered=ordered)
+        return rows.select("event_key.event_id", "event_key.source_type", "host_id", "chain", "stages",
                            F.round("correlation_score", 6).alias("correlation_score"))
 
 
@@ -333,10 +361,15 @@ _chain_query("k12_attack_chains_ordered", True)
 @query("k13_correlation_records", with_views(
     """select event_id, 'temporal' as correlation_type, correlation_score, '' as entity from temporal
          where correlation_score>=0.5
-       union all select event_id, 'entity', round(score,6)::double, entity_value from freq where score>=0.5""",
-    *_THREE, ctes={"mixed": _MIXED, "ent": _ENTITIES, "freq": _FREQ, "temporal": _TEMPORAL}))
+       union all select event_id, 'entity', round(score,6)::double, entity_value from freq where score>=0.5
+       union all select event_id, 'pattern', round(least(s/n+0.2,1.0),6)::double, '' from (select event_id,
+         count(*) over w as n, sum(anomaly_score) over w as s from anom window w as (partition by host_id order by ts
+         range between interval 900 seconds preceding and current row)) where n>1 and least(s/n+0.2,1.0)>=0.5""",
+    *_THREE, ctes={"mixed": _MIXED, "ent": _ENTITIES, "freq": _FREQ, "temporal": _TEMPORAL, **_SCORED, "anom": _ANOM}))
 def correlation_records(t: Inputs):
-    rows = K.records(K.temporal(mixed(t), seconds=3600), K.entity_frequency(entity_events(t), seconds=3600))
+    """Records of all kinds: temporal, entity and anomaly groups."""
+    rows = K.records(K.temporal(mixed(t), seconds=3600), K.entity_frequency(entity_events(t), seconds=3600),
+                     K.anomaly_groups(_anomalies(t), seconds=900))
     return rows.select("event_id", "correlation_type", F.round("correlation_score", 6).alias("correlation_score"),
                        "entity")
 

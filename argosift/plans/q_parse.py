@@ -12,6 +12,9 @@ from argosift.plans.registry import query
 from argosift.plans.views import Inputs, with_views
 from argosift.sources import registry as REG
 
+_TAIL_CONFIG = {"max_entries_per_source": 600}
+
+
 # One source per given text table and two cuts of the event log.
 def _specs(t: Inputs) -> list[REG.SourceSpec]:
     def at(name: str) -> str:
@@ -54,9 +57,10 @@ def union_sources(t: Inputs):
 
 @query("a2_tail_scan", with_views(
     """select source, recency::bigint as recency, event_id, message from (select *, row_number() over
-       (partition by source order by ts desc, event_id desc) as recency from sec_log) where recency<=20""", "sec_log"))
+       (partition by source order by ts desc, event_id desc) as recency from sec_log) where recency<=600""", "sec_log"))
 def tail_scan(t: Inputs):
-    return R.tail_per_source(t.sec_log(), 20).select("source", F.col("recency").cast("long").alias("recency"),
+    """As many of each source's last entries as its configuration asks for."""
+    return R.tail_per_source(t.sec_log(), REG.tail_limit(_TAIL_CONFIG)).select("source", F.col("recency").cast("long").alias("recency"),
                                                      "event_id", "message")
 
 
@@ -213,9 +217,9 @@ def by_severity(t: Inputs):
     return t.sec_log().where("severity = 'error'").select("event_id", "message")
 
 
-@query("b10_text_filter", "select doc_id from documents where contains(lower(text), lower('Password'))")
+@query("b10_text_filter", "select doc_id from documents where contains(lower(text), 'licensed')")
 def text_filter(t: Inputs):
-    return t.documents().where(F.lower("text").contains("password")).select("doc_id")
+    return t.documents().where(F.lower("text").contains("licensed")).select("doc_id")
 
 
 @query("b17_log_tags", with_views(
@@ -315,16 +319,18 @@ def threat_detail(t: Inputs):
                                                                          "risk_assessment")
 
 
-@query("h23_pattern_severity", "select * from (values " + ",".join(
-    f"({Q.q(n)}, '" + ("Critical" if n in ("OUT_OF_MEMORY", "KERNEL_PANIC", "MALWARE_SIGNATURE", "BRUTE_FORCE")
-                        else "Warning" if n in ("SSH_FAILED_LOGIN", "AUTHENTICATION_FAILURE", "PRIVILEGE_ESCALATION")
-                        else "Info") + "')" for n, _, _ in C.LOG_PATTERNS)
-       + ") v(pattern, severity) where exists (select 1 from events)")
+@query("h23_pattern_severity", with_views(" union all ".join(
+    f"select event_id, {Q.q(n)} as pattern, '" + (
+        "Critical" if n in ("OUT_OF_MEMORY", "KERNEL_PANIC", "MALWARE_SIGNATURE", "BRUTE_FORCE")
+        else "Warning" if n in ("SSH_FAILED_LOGIN", "AUTHENTICATION_FAILURE", "PRIVILEGE_ESCALATION")
+        else "Info") + f"' as severity from sec_log where {Q.matches_any('message', [p])}"
+    for n, p, _ in C.LOG_PATTERNS), "sec_log"))
 def pattern_severity(t: Inputs):
-    """Display severity of every named pattern that is looked for in the log."""
-    names = F.array(*[F.lit(n) for n, _, _ in C.LOG_PATTERNS])
-    seen = t.sec_log().limit(1).select(F.explode(names).alias("pattern"))
-    return seen.select("pattern", S.pattern_severity(F.col("pattern")).alias("severity"))
+    """Display severity of every named pattern found in a line."""
+    m = F.col("message")
+    found = X.labels((X.matches(m, p), n) for n, p, _ in C.LOG_PATTERNS)
+    seen = t.sec_log().select("event_id", F.explode(found).alias("pattern"))
+    return seen.withColumn("severity", S.pattern_severity(F.col("pattern")))
 
 
 @query("h24_human_units", """select event_id, case when b<1024 then printf('%.2f B', b) when b<1048576 then
@@ -368,26 +374,30 @@ def next_adjustment(t: Inputs):
                                     cols["minutes_until_next"].alias("minutes_until_next"))
 
 
-@query("h29_answer_json", """select conv_id, turn, classification, confidence from (select conv_id, turn,
-    case when turn%3<2 then 'benign' end as classification, case when turn%3<2 then turn/10.0::double end as confidence
-    from conversations)""")
+@query("h29_answer_json", """select conv_id, turn, case when turn%3<2 then 'benign' end as classification,
+    case when turn%3<2 then length(text)/10.0::double end as confidence, case when turn%3<2 then text end as explanation
+    from conversations""")
 def answer_json(t: Inputs):
-    """Reads the JSON part of an answer text: fenced, bare, or not JSON at all."""
+    """Reads the JSON part of an answer text: fenced, bare, or not JSON at all. The explanations are the turns' texts."""
     from argosift import schemas
-    body = F.concat(F.lit('{"classification": "benign", "confidence": '), (F.col("turn") / 10).cast("string"),
-                    F.lit("}"))
+    body = F.to_json(F.struct(F.lit("benign").alias("classification"), (F.length("text") / 10).alias("confidence"),
+                              F.col("text").alias("explanation")))
     answer = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nend")))
-              .when(F.col("turn") % 3 == 1, body).otherwise("no structured answer"))
+              .when(F.col("turn") % 3 == 1, body).otherwise(F.concat(F.lit("no structured answer: "), "text")))
     parsed = t.table("conversations").select(
         "conv_id", "turn", F.from_json(X.fenced_json(answer), schemas.ANSWER).alias("a"))
-    return parsed.select("conv_id", "turn", "a.classification", "a.confidence")
+    return parsed.select("conv_id", "turn", "a.classification", "a.confidence", "a.explanation")
 
 
-@query("h30_question_text", with_views(
-    f"""select event_id, concat_ws(chr(10), {Q.q(P.TASKS['log'])}, 'Data: '||message, 'Context: '||source,
-          {Q.q('Answer as JSON with: ' + ', '.join(P.ANSWER_FIELDS['log']))}) as question from sec_log""", "sec_log"))
+@query("h30_question_text", with_views(" union all ".join(
+    f"""select event_id, '{k}' as kind, concat_ws(chr(10), {Q.q(P.TASKS[k])}, 'Data: '||message, 'Context: '||source,
+          {Q.q('Answer as JSON with: ' + ', '.join(P.ANSWER_FIELDS[k]))}) as question from sec_log""" for k in P.TASKS),
+    "sec_log"))
 def question_text(t: Inputs):
-    return t.sec_log().select("event_id", P.question("log", F.col("message"), F.col("source")).alias("question"))
+    """Questions of every kind about each line, from one scan."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), P.question(k, F.col("message"), F.col("source"))
+                               .alias("question")) for k in P.TASKS])
+    return t.sec_log().select("event_id", F.inline(kinds))
 
 
 @query("b21_live_triage", with_views(

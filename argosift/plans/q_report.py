@@ -10,7 +10,7 @@ from argosift.operators import assess as Z, audit as AU, correlate as K, detect
 from argosift.plans import sqltext as Q
 from argosift.plans.q_anomaly import _detect_sql, _detected
 from argosift.plans.q_audit import _BOTH, _REPORT, _STATUS_VIEW, _statuses
-from argosift.plans.q_correlate import (_ENTITIES, _FREQ, _MIXED, _SCORED, _TEMPORAL, _THREE, _chains_sql,
+from argosift.plans.q_correlate import (_ENTITIES, _FREQ, _MIXED, _SCORED, _TEMPORAL, _THREE, _chains_sql, chain_anomalies,
                                         _rule_hits, entity_events, mixed, scored_events)
 from argosift.plans.q_parse import _auth_sql
 from argosift.plans.registry import query
@@ -194,7 +194,8 @@ def assessments(t: Inputs):
     pats = Z.assess_patterns(D.match_rules(t.proc(), "process", ["cmdline", "name"]))
     corr = Z.assess_correlations(K.records(K.temporal(mixed(t), seconds=3600),
                                            K.entity_frequency(entity_events(t), seconds=3600)))
-    chains = Z.assess_chains(K.attack_chains(scored_events(t)))
+    chains = Z.assess_chains(K.attack_chains(chain_anomalies(t), tie="event_key"),
+                             tie=F.concat_ws("/", "event_key.source_type", F.col("event_key.event_id").cast("string")))
     return pats.unionByName(corr).unionByName(chains)
 
 
@@ -396,6 +397,16 @@ def brute_force_alerts(t: Inputs):
     return rows.select(F.regexp_extract("alert_id", r":(\S+)@", 1).alias("host_id"), "message")
 
 
+@query("k20_anomaly_alerts", with_views(
+    f"""select 'anomaly_detected:'||event_id as alert_id, 'Anomaly in network (score: '||printf('%.2f', anomaly_score)||')'
+          as message, case when anomaly_score>0.8 then 'high' else 'medium' end as severity
+        from (select event_id, round(anomaly_score,6) as anomaly_score from ({_detect_sql('network', 0.35)}) where is_anomaly)""",
+    "net_conn"))
+def anomaly_alerts(t: Inputs):
+    rows = _detected(t, "network", 0.35).withColumn("anomaly_score", F.round("anomaly_score", 6))
+    return Z.anomaly_alerts(rows).select("alert_id", "message", "severity")
+
+
 @query("a15_alert_history", with_views(
     """select alert_id, severity from (select * from (select 'threat_detected:'||event_id as alert_id, 'high' as severity, ts
          from sec_log where """ + Q.TRIAGE + """ in ('critical','high')) order by ts desc, alert_id desc limit 10)""",
@@ -419,11 +430,9 @@ def alert_members(t: Inputs):
     fails = t.sec_log().where(S.is_auth_failure(F.col("message"))).withColumn("alert_id", F.concat(
         "host_id", F.lit("@"), F.window("ts", "6 hours")["start"].cast("timestamp_ntz").cast("string")))
     raised = fails.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    # One alert may hold very many events, so its list is kept in hash parts.
-    part = F.pmod(F.xxhash64("event_id"), F.lit(1024))
-    lists = fails.join(raised, "alert_id", "left_semi").groupBy("alert_id", part.alias("part")).agg(
-        F.collect_list("event_id").alias("event_ids"))
-    return Z.alert_members(lists, t.sec_log()).select("alert_id", "event_id", "message")
+    # Members are rows, not lists: an alert may hold any number of events.
+    members = fails.join(raised, "alert_id", "left_semi").select("alert_id", "event_id")
+    return Z.alert_members(members, t.sec_log()).select("alert_id", "event_id", "message")
 
 
 @query("a14_report_export", with_views(

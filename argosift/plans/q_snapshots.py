@@ -31,6 +31,25 @@ def suspicious_processes(t: Inputs):
                        first.alias("first_kind"))
 
 
+_LINKED = """select p.*, ports from proc p left join (select host_id, pid, list(distinct remote_port) as ports
+  from net_conn group by 1,2) n on n.host_id=p.host_id and n.pid=1000+p.event_id%200"""
+_PORT_IND = "+".join(f"coalesce(list_contains(ports, {p}), false)::int" for p in C.PROCESS_PORTS)
+
+
+@query("b11_risky_port_processes", with_views(
+    f"select event_id, ({_PROC_IND}+{_PORT_IND})::bigint as indicators, ({_PORT_IND})::bigint as port_indicators "
+    f"from linked where ({_PROC_IND}+{_PORT_IND})>0", "proc", "net_conn", ctes={"linked": _LINKED}))
+def risky_port_processes(t: Inputs):
+    """Processes judged together with the remote ports they are connected to."""
+    ports = t.net_conn().groupBy("host_id", F.col("pid").alias("conn_pid")).agg(
+        F.collect_set("remote_port").alias("ports"))
+    procs = t.proc().withColumn("conn_pid", 1000 + F.col("event_id") % 200)
+    rows = N.suspicious_process(procs.join(ports, ["host_id", "conn_pid"], "left"), "ports")
+    risky = F.filter("indicators", lambda x: x.startswith("Connection to high-risk port"))
+    return rows.select("event_id", F.size("indicators").cast("long").alias("indicators"),
+                       F.size(risky).cast("long").alias("port_indicators"))
+
+
 @query("b12_process_severity", with_views(
     """select event_id, case when cpu_percent>80 or memory_percent>50 or connections>100 then 'warning' else 'info' end
        as severity from proc""", "proc"))
@@ -144,12 +163,18 @@ def connection_changes(t: Inputs):
 
 
 @query("g4_vanished_members", with_views(
-    """select host_id, pid from proc_snapshot where snapshot_ts=timestamp '2024-01-10' except
-       select host_id, pid from proc_snapshot where snapshot_ts=timestamp '2024-01-11'""", "proc_snapshot"))
+    """select s.host_id, cast(s.snapshot_ts as varchar) as last_seen, s.pid from proc_snapshot s join nxt
+         using (host_id, snapshot_ts) where nxt.after is not null and not exists (select 1 from proc_snapshot p
+         where p.host_id=s.host_id and p.pid=s.pid and p.snapshot_ts=nxt.after)""", "proc_snapshot", ctes={"nxt": _NEXT}))
 def vanished_members(t: Inputs):
+    """Members of every snapshot that the next one of their host no longer has."""
     snap = t.proc_snapshot()
-    day = (lambda d: snap.where(F.col("snapshot_ts") == F.lit(d).cast("timestamp_ntz")).select("host_id", "pid"))
-    return day("2024-01-10").exceptAll(day("2024-01-11"))
+    following = N.snapshot_index(snap).select("host_id", F.col("_before").alias("snapshot_ts"), F.col("snapshot_ts")
+                                              .alias("_next"))
+    held = snap.join(following, ["host_id", "snapshot_ts"])
+    still = snap.select("host_id", F.col("snapshot_ts").alias("_next"), "pid")
+    return held.join(still, ["host_id", "_next", "pid"], "left_anti").select(
+        "host_id", F.col("snapshot_ts").cast("string").alias("last_seen"), "pid")
 
 
 @query("e11_snapshot_order", with_views(
@@ -166,15 +191,15 @@ def snapshot_order(t: Inputs):
                         F.coalesce(F.lag("snapshot_ts").over(w).cast("string"), F.lit("")).alias("previous"))
 
 
-_DESC = """select pid, 0 as depth from proc where pid=1003 union all
-  select p.pid, t.depth+1 from proc p join tree t on p.ppid=t.pid"""
+_DESC = """select host_id, pid, name, 0 as depth from host_proc where pid=1003 union all
+  select p.host_id, p.pid, p.name, t.depth+1 from host_proc p join tree t on p.host_id=t.host_id and p.ppid=t.pid"""
 
 
-@query("c16_process_tree", with_views(
-    "select t.pid, p.name, t.depth::bigint as depth from tree t join proc p on p.pid=t.pid", "proc",
-    ctes={"tree": _DESC}))
+@query("c16_process_tree", with_views("select host_id, pid, name, depth::bigint as depth from tree", "host_proc",
+                                      ctes={"tree": _DESC}))
 def process_tree(t: Inputs):
-    return N.descendants(t.proc(), 1003).select("pid", "name", "depth")
+    """Descendants of process 1003 on each host; hosts reuse the same pids."""
+    return N.descendants(t.host_proc(), 1003).select("host_id", "pid", "name", "depth")
 
 
 @query("c18_connection_owner", with_views(
@@ -189,9 +214,11 @@ def connection_owner(t: Inputs):
 
 
 @query("c19_parent_process", with_views(
-    "select c.pid, coalesce(p.name,'') as parent_name from proc c left join proc p on c.ppid=p.pid", "proc"))
+    """select c.host_id, c.pid, coalesce(p.name,'') as parent_name from host_proc c left join host_proc p
+         on c.host_id=p.host_id and c.ppid=p.pid""", "host_proc"))
 def parent_process(t: Inputs):
-    return N.with_parent(t.proc()).select("pid", F.coalesce("parent_name", F.lit("")).alias("parent_name"))
+    return N.with_parent(t.host_proc()).select("host_id", "pid", F.coalesce("parent_name", F.lit(""))
+                                               .alias("parent_name"))
 
 
 @query("e4_bandwidth", with_views(

@@ -12,7 +12,7 @@ from argosift.operators import features as FX
 from argosift.plans import sqltext as Q
 from argosift.plans.registry import query
 from argosift.operators.audit import event_hash
-from argosift.plans.views import LOG_LINE, PRIMARY, SEC_LOG, Inputs, spark_columns, with_views
+from argosift.plans.views import LOG_LINE, NET_CONN, PRIMARY, SEC_LOG, Inputs, spark_columns, with_views
 from argosift.session import new_path
 from argosift.streaming import jobs as J
 
@@ -25,13 +25,16 @@ def _log(t: Inputs) -> DataFrame:
     return _events(t).selectExpr(*spark_columns(SEC_LOG))
 
 
-def _arrivals(t: Inputs, run: Callable[[DataFrame], None]) -> None:
+def _arrivals(t: Inputs, run: Callable[[DataFrame], None], store: Callable[[DataFrame], None] | None = None) -> None:
     """Delivers the events in three time slices and runs the stream after each of them."""
     path = new_path(t.spark, "arrivals")
     events = t.table("events")
     cuts = ["2024-01-01", "2024-01-09", "2024-01-20", "2999-01-01"]
     for start, end in zip(cuts, cuts[1:]):
-        events.where(f"ts >= timestamp_ntz'{start}' and ts < timestamp_ntz'{end}'").write.mode("append").parquet(path)
+        part = events.where(f"ts >= timestamp_ntz'{start}' and ts < timestamp_ntz'{end}'")
+        if store:
+            store(part)
+        part.write.mode("append").parquet(path)
         run(J.read_files(t.spark, path, schemas.EVENT))
 
 
@@ -51,48 +54,117 @@ def deduplicate(t: Inputs):
     return J.run_to_table(J.deduplicate(log.unionByName(log)), "dedup").select("event_id", "severity")
 
 
-_MARK = "(select max(ts) from sec_log) - interval 10 minutes"
 _FAIL = Q.contains_any("lower(message)", C.AUTH_FAILURE_WORDS)
 
 
+def _stored_windows(t: Inputs, counted: Callable[[DataFrame], DataFrame], columns: list[str], keys: list[str],
+                    label: str) -> DataFrame:
+    """Window rows over three deliveries, open windows included."""
+    table, checkpoint = J.OpenAndClosed(t.spark, new_path(t.spark, label)), new_path(t.spark, f"{label}-checkpoint")
+    _arrivals(t, lambda ev: J.write_windows(counted(ev.selectExpr(*spark_columns(columns))), keys, table, checkpoint))
+    return table.read()
+
+
+def _sliding_sql(keys: str, source: str, where: str, slide: str, steps: int, body: str) -> str:
+    width = f"interval '{steps} {slide}'"
+    newest = f"(select max(ts) from {source} where {where})"
+    return f"""select {keys}, cast(w as varchar) as window_start, w + {width} <= {newest} - interval 10 minutes as closed,
+        {body} from (select *, unnest([time_bucket(interval '1 {slide}', ts) - i * interval '1 {slide}'
+          for i in range({steps})]) as w from {source} where {where}) group by {keys}, w"""
+
+
 @query("i3_sliding_sequences", with_views(
-    f"""select host_id, cast(w as varchar) as window_start, count(*)::bigint as events from (
-          select host_id, ts, unnest([time_bucket(interval 1 hour, ts) - i * interval 1 hour for i in range(6)]) as w
-          from sec_log where {_FAIL}) where w + interval 6 hours <= (select max(ts) from sec_log where {_FAIL})
-          - interval 10 minutes group by 1,2 having count(*)>=5""", "sec_log"))
+    _sliding_sql("host_id", "sec_log", _FAIL, "hour", 6, "count(*)::bigint as events"), "sec_log"))
 def sliding_sequences(t: Inputs):
-    rows = J.run_to_table(J.sequence_windows(_log(t), ["host_id"], "6 hours", "1 hour"), "sequences")
-    return rows.select("host_id", F.col("window_start").cast("string").alias("window_start"), "events")
+    """Failed logins per host in sliding windows (D4 as a stream)."""
+    rows = _stored_windows(t, lambda ev: J.sequence_windows(ev, ["host_id"], "6 hours", "1 hour"), SEC_LOG,
+                           ["window_start", "host_id"], "sequences")
+    return rows.select("host_id", F.col("window_start").cast("string").alias("window_start"), "closed", "events")
+
+
+@query("i3_sliding_port_scans", with_views(
+    _sliding_sql("local_addr", "net_conn", "true", "hour", 3, "count(distinct remote_port)::bigint as ports"),
+    "net_conn"))
+def sliding_port_scans(t: Inputs):
+    """Distinct ports per address in sliding windows (D5 as a stream)."""
+    rows = _stored_windows(t, lambda ev: J.scan_windows(ev, ["local_addr"], "remote_port", "3 hours", "1 hour"), NET_CONN,
+                           ["window_start", "local_addr"], "scans")
+    return rows.select("local_addr", F.col("window_start").cast("string").alias("window_start"), "closed", "ports")
+
+
+@query("i3_sliding_transfers", with_views(
+    _sliding_sql("host_id", "net_conn", "true", "hour", 2, "sum(bytes_sent)::bigint as bytes_sent"), "net_conn"))
+def sliding_transfers(t: Inputs):
+    """Bytes sent per host in sliding windows (D6 as a stream)."""
+    rows = _stored_windows(t, lambda ev: J.transfer_windows(ev, ["host_id"], "bytes_sent", "2 hours", "1 hour"), NET_CONN,
+                           ["window_start", "host_id"], "transfers")
+    return rows.select("host_id", F.col("window_start").cast("string").alias("window_start"), "closed", "bytes_sent")
 
 
 @query("i4_tumbling_counts", with_views(
-    f"""select cast(time_bucket(interval 1 hour, ts) as varchar) as slot, count(*)::bigint as events,
-          count_if({Q.TRIAGE} in ('critical','high'))::bigint as threats from sec_log
-        where time_bucket(interval 1 hour, ts) + interval 1 hour <= {_MARK} group by 1""", "sec_log"))
+    f"""select cast(w as varchar) as slot, w + interval 1 hour <= (select max(ts) from sec_log) - interval 10 minutes
+          as closed, count(*)::bigint as events, count_if({Q.TRIAGE} in ('critical','high'))::bigint as threats
+        from (select *, time_bucket(interval 1 hour, ts) as w from sec_log) group by w""", "sec_log"))
 def tumbling_counts(t: Inputs):
     severe = S.triage_severity(F.col("message")).isin("critical", "high")
-    rows = J.run_to_table(J.window_counts(_log(t), [], "1 hour", threats=severe), "hours")
-    return rows.select(F.col("window_start").cast("string").alias("slot"), "events", "threats")
+    rows = _stored_windows(t, lambda ev: J.window_counts(ev, [], "1 hour", threats=severe), SEC_LOG, ["window_start"],
+                           "hours")
+    return rows.select(F.col("window_start").cast("string").alias("slot"), "closed", "events", "threats")
 
 
-@query("i5_sessions", """select user_id, cast(min(ts) as varchar) as started, count(*)::bigint as events from (
+@query("i5_sessions", """select user_id, cast(min(ts) as varchar) as started, count(*)::bigint as events,
+    max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 10 minutes as closed from (
     select user_id, ts, sum(fresh) over (partition by user_id order by ts, event_id) as s from (select *,
       case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end
-      as fresh from events)) group by user_id, s
-    having max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 10 minutes""")
+      as fresh from events)) group by user_id, s""")
 def session_rows(t: Inputs):
-    rows = J.run_to_table(J.sessions(_events(t), ["user_id"], "30 minutes"), "sessions")
-    return rows.select("user_id", F.col("started").cast("string").alias("started"), "events")
+    """Sessions over three deliveries, open ones included."""
+    table, checkpoint = J.OpenAndClosed(t.spark, new_path(t.spark, "sessions")), new_path(t.spark, "sessions-checkpoint")
+    _arrivals(t, lambda ev: J.sessions(ev, ["user_id"], table, checkpoint, "30 minutes"))
+    return table.read().select("user_id", F.col("started").cast("string").alias("started"), "events", "closed")
 
 
 @query("i6_interval_join", with_views(
-    """select a.event_id as left_id, b.event_id as right_id, a.host_id from sec_log a join sec_log b
-         on a.host_id=b.host_id and b.ts<=a.ts and b.ts>=a.ts - interval 900 seconds
-       where a.severity='error' and b.severity='warning'""", "sec_log"))
-def joined_streams(t: Inputs):
-    log = _log(t)
-    pairs = J.interval_join(log.where("severity = 'error'"), log.where("severity = 'warning'"), "host_id", 900)
-    return J.run_to_table(pairs, "pairs")
+    """select a.event_id as later_id, a.host_id, count(b.event_id)::bigint as matches,
+         arg_max(b.event_id, {'t': b.ts, 'i': b.event_id}) as nearest from sec_log a left join sec_log b
+         on a.host_id=b.host_id and b.ts<=a.ts and b.ts>=a.ts - interval 900 seconds and b.severity='warning'
+       where a.severity='error' group by 1,2""", "sec_log"))
+def preceding_warnings(t: Inputs):
+    """Per error the warnings of its host in the 15 minutes before it, over three deliveries."""
+    table, checkpoint = J.OpenAndClosed(t.spark, new_path(t.spark, "pairs")), new_path(t.spark, "pairs-checkpoint")
+    _arrivals(t, lambda ev: J.preceded_by(
+        ev.selectExpr(*spark_columns(SEC_LOG)), F.col("severity") == "error", F.col("severity") == "warning", ["host_id"],
+        900, table, checkpoint))
+    rows = table.closed.read().unionByName(table.open.latest().where("later and not done"))
+    return rows.select(F.col("event_id").alias("later_id"), "host_id", "matches", "nearest")
+
+
+@query("i7_retention", with_views("select source, severity, count(*)::bigint as events, 2::bigint as versions "
+                                  "from sec_log group by 1,2", "sec_log"))
+def retention(t: Inputs):
+    """Running totals whose old versions are removed after each delivery; two are left."""
+    totals, checkpoint = J.VersionedTable(t.spark, new_path(t.spark, "kept")), new_path(t.spark, "kept-checkpoint")
+
+    def run(ev: DataFrame) -> None:
+        J.running_totals(ev.selectExpr(*spark_columns(SEC_LOG)), ["source", "severity"], totals, checkpoint)
+        J.drop_versions(totals)
+
+    _arrivals(t, run)
+    return totals.latest().withColumn("versions", F.lit(len(totals.versions())).cast("long"))
+
+
+@query("i13_submission_stream", "select event_type, count(*)::bigint as events, count(distinct event_id)::bigint as ids "
+                                "from events group by 1")
+def submission_stream(t: Inputs):
+    """Pushed JSON submissions, read as a stream in three deliveries."""
+    inbox, path, checkpoint = (new_path(t.spark, n) for n in ("inbox", "received", "received-checkpoint"))
+    events = t.table("events").select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("timestamp"),
+                                      F.lit("api").alias("source"), "event_type")
+    for part in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").json(inbox)
+        J.append_to(J.read_files(t.spark, inbox, schemas.SUBMISSION, "json"), path, checkpoint)
+    return t.spark.read.parquet(path).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
 @query("d2_cumulative_counts", with_views(
@@ -109,26 +181,33 @@ def cumulative_counts(t: Inputs):
 _FEATS = ["message_length", "severity_score", "entropy", "pattern_count"]
 
 
+_SEED = 20
+
+
 @query("i8_moving_baseline", with_views(
     """select source, feature, round(s.m,6) as mean, round(s.v,6) as variance from ema""", "sec_log", ctes={
         "feat": "select event_id, ts, source, " + Q.plain({k: Q.log_features("severity")[k] for k in _FEATS})
                 + " from sec_log",
-        "long": f"select event_id, ts, source, feature, value from feat unpivot (value for feature in ({', '.join(_FEATS)}))",
-        "seed": """select source, feature, avg(value) as m0, power(stddev_samp(value),2) as v0 from long
-            where ts < timestamp '2024-01-09' group by 1,2""",
-        "later": """select source, feature, list({'m':0.0::double,'v':0.0::double,'x':value} order by ts, event_id) as xs
-            from long where ts >= timestamp '2024-01-09' group by 1,2""",
-        "ema": """select source, feature, list_reduce(list_prepend({'m':m0,'v':v0,'x':0.0::double}, xs), lambda a, b: {
-            'm':0.9*a.m+0.1*b.x, 'v':0.9*a.v+0.1*(b.x-(0.9*a.m+0.1*b.x))*(b.x-(0.9*a.m+0.1*b.x)), 'x':b.x}) as s
-            from seed join later using (source, feature)"""}))
+        "long": f"""select event_id, ts, source, feature, value, row_number() over (partition by source, feature
+            order by ts, event_id) as r from feat unpivot (value for feature in ({', '.join(_FEATS)}))
+            where ts <= (select max(ts) from sec_log) - interval 10 minutes""",
+        "seed": f"""select source, feature, avg(value) as m0, power(stddev_samp(value),2) as v0 from long
+            where r <= {_SEED} group by 1,2 having count(*) = {_SEED}""",
+        "later": f"""select source, feature, list({{'m':0.0::double,'v':0.0::double,'x':value}} order by ts, event_id) as xs
+            from long where r > {_SEED} group by 1,2""",
+        "ema": """select source, feature, case when xs is null then {'m':m0,'v':v0,'x':0.0::double} else
+            list_reduce(list_prepend({'m':m0,'v':v0,'x':0.0::double}, xs), lambda a, b: {
+            'm':0.9*a.m+0.1*b.x, 'v':0.9*a.v+0.1*(b.x-(0.9*a.m+0.1*b.x))*(b.x-(0.9*a.m+0.1*b.x)), 'x':b.x}) end as s
+            from seed left join later using (source, feature)"""}))
 def moving_baseline(t: Inputs):
-    """Moving averages started from the first delivery and updated by the later ones."""
+    """Moving averages over three deliveries: the first rows of a source are the seed, however they arrive."""
     state = J.VersionedTable(t.spark, new_path(t.spark, "profile"))
     checkpoint = new_path(t.spark, "profile-checkpoint")
 
     def run(ev: DataFrame) -> None:
         rows = FX.log_features(ev.selectExpr(*spark_columns(SEC_LOG)), severity="severity")
-        J.moving_baseline(rows.select("event_id", "ts", "source", *_FEATS), _FEATS, ["source"], state, checkpoint)
+        J.moving_baseline(rows.select("event_id", "ts", "source", *_FEATS), _FEATS, ["source"], state, checkpoint,
+                          seed_rows=_SEED)
 
     _arrivals(t, run)
     names = F.array(*[F.lit(f) for f in _FEATS])
@@ -165,18 +244,37 @@ def chain_append(t: Inputs):
     return links.read().select("host_id", "sequence_number", "record_id", "chain_hash")
 
 
+_STATES = """select coalesce(p.ts, b.ts) as ts, case when p.event_id is null then 'missing_in_primary'
+    when b.record_id is null then 'missing_in_backup' when p.h<>b.content_hash then 'hash_mismatch' else 'valid' end
+    as status from (select *, sha256(concat_ws('|',cast(event_id as varchar),cast(ts as varchar),source,event_type,severity,
+      host_id,message)) as h from primary_events) p full outer join audit_log b on p.event_id=b.record_id"""
+
+
 @query("i10_periodic_audit", with_views(
-    """select 1::bigint as reports, true as alert, count_if(h=content_hash)::bigint as valid,
-         count_if(h<>content_hash)::bigint as tampered from (select event_id, sha256(concat_ws('|',cast(event_id as varchar),
-         cast(ts as varchar),source,event_type,severity,host_id,message)) as h from primary_events) p
-       join audit_log b on p.event_id=b.record_id""", "primary_events", "audit_log"))
+    """select n as batch_no, count_if(status='valid')::bigint as valid, count_if(status='hash_mismatch')::bigint as tampered,
+         count_if(status='missing_in_primary')::bigint as missing, count_if(status='missing_in_backup')::bigint as orphans,
+         count_if(status in ('hash_mismatch','missing_in_primary'))>0 as alert
+       from states join (values (0, timestamp '2024-01-09'), (1, timestamp '2024-01-20'), (2, timestamp '2999-01-01'))
+         d(n, until) on ts < until group by 1""", "primary_events", "audit_log", ctes={"states": _STATES}))
 def audit_stream(t: Inputs):
-    """One audit of the primary table per trigger."""
+    """The stored tables are audited after each of three deliveries; the stream is only the clock."""
     reports = J.BatchTable(t.spark, new_path(t.spark, "reports"))
-    primary = _log(t).where("event_id%97<>0").selectExpr(*spark_columns(PRIMARY))
-    J.periodic_audit(primary, t.audit_log(numbered=False), reports, new_path(t.spark, "audit-checkpoint"))
-    return reports.read().agg(F.count(F.lit(1)).alias("reports"), F.bool_or("alert").alias("alert"),
-                              F.sum("valid").alias("valid"), F.sum("tampered").alias("tampered"))
+    primary, backup = new_path(t.spark, "primary"), new_path(t.spark, "backup")
+    checkpoint = new_path(t.spark, "audit-checkpoint")
+
+    def run(ev: DataFrame) -> None:
+        J.periodic_audit(ev, lambda: t.spark.read.parquet(primary), lambda: t.spark.read.parquet(backup), reports,
+                         checkpoint)
+
+    def store(part: DataFrame) -> None:
+        log = part.selectExpr(*spark_columns(SEC_LOG))
+        log.where("event_id%97<>0").selectExpr(*spark_columns(PRIMARY)).write.mode("append").parquet(primary)
+        log.where("event_id%103<>0").select(F.col("event_id").alias("record_id"), event_hash().alias("content_hash")
+                                            ).write.mode("append").parquet(backup)
+
+    _arrivals(t, run, store)
+    return reports.read().select(F.col("batch_no").cast("int").alias("batch_no"), "valid", "tampered", "missing",
+                                 "orphans", "alert")
 
 
 @query("i11_live_monitor", with_views(
@@ -196,13 +294,15 @@ _NEXT = """select distinct host_id, snapshot_ts, lag(snapshot_ts) over w as befo
 @query("i12_snapshot_events", with_views(
     """select s.host_id, cast(s.snapshot_ts as varchar) as seen_at, s.pid, 'start' as change from proc_snapshot s
          join nxt using (host_id, snapshot_ts) left join proc_snapshot p on p.host_id=s.host_id and p.pid=s.pid
-         and p.snapshot_ts=nxt.before where nxt.before is not null and p.pid is null
+         and p.snapshot_ts=nxt.before where nxt.before is not null and p.pid is null and s.snapshot_ts<=closed_to
        union all select s.host_id, cast(nxt.after as varchar), s.pid, 'end' from proc_snapshot s
          join nxt using (host_id, snapshot_ts) left join proc_snapshot p on p.host_id=s.host_id and p.pid=s.pid
-         and p.snapshot_ts=nxt.after where nxt.after is not null and p.pid is null""",
-    "proc_snapshot", ctes={"nxt": _NEXT}))
+         and p.snapshot_ts=nxt.after where nxt.after is not null and p.pid is null and nxt.after<=closed_to""",
+    "proc_snapshot", ctes={"nxt": _NEXT.replace("select distinct host_id, snapshot_ts, lag",
+                                                "select distinct (select max(snapshot_ts) from proc_snapshot) "
+                                                "- interval 10 minutes as closed_to, host_id, snapshot_ts, lag")}))
 def snapshot_stream(t: Inputs):
-    """Starts and ends over three deliveries; slices fall between daily snapshots."""
+    """Starts and ends over three deliveries, of all snapshots that a newer one has closed."""
     changes = J.BatchTable(t.spark, new_path(t.spark, "changes"))
     last = J.VersionedTable(t.spark, new_path(t.spark, "snapshot"))
     checkpoint = new_path(t.spark, "snapshot-checkpoint")

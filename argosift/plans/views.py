@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from argosift.operators.audit import event_hash
 from argosift.operators.windows import number_rows, running_sums
 from argosift.functions.times import micros
-from argosift.session import prepare, spread
+from argosift.session import prepare
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -64,6 +64,8 @@ PROC = [
     "cast(least(value/4.0,100.0) as double) as memory_percent",
     "event_id%120 as connections", "event_id%900 as open_files", "event_id%60 as children",
 ]
+HOST_PROC = ["event_id", "host_id", "name", "999+n as pid",
+             "case when n=1 then null else 1000+cast(floor((n-2)/4) as bigint) end as ppid"]
 METRIC_BASE = [
     "event_id", "ts", _HOST, "cast(least(value,100.0) as double) as cpu_percent",
     "cast(least(20.0+value/4.0,100.0) as double) as memory_percent",
@@ -111,10 +113,10 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def events(self) -> DataFrame:
-        return spread(self.table("events"), "event_id")
+        return self.table("events")
 
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     def _over(self, base: DataFrame, exprs: list[str]) -> DataFrame:
         return base.selectExpr(*_cols(exprs, _SPARK))
@@ -128,6 +130,10 @@ class Inputs:
     def proc(self) -> DataFrame:
         return self._over(self.events(), PROC)
 
+    def host_proc(self) -> DataFrame:
+        """Processes with pids that every host counts from 1000, so hosts share pids."""
+        return self._over(number_rows(self.proc(), ["host_id"], "ts", "event_id", "n"), HOST_PROC)
+
     def log_line(self) -> DataFrame:
         return self._over(self.sec_log(), LOG_LINE)
 
@@ -178,6 +184,8 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "sec_log": ([], _select(SEC_LOG, "events")),
     "net_conn": ([], _select(NET_CONN, "events")),
     "proc": ([], _select(PROC, "events")),
+    "host_proc": (["proc"], _select(HOST_PROC, "(select *, row_number() over (partition by host_id order by ts,"
+                                    " event_id) as n from proc)")),
     "web_line": ([], _select(WEB_LINE, "events")),
     "feedback": ([], _select(FEEDBACK, "labels")),
     "log_line": (["sec_log"], _select(LOG_LINE, "sec_log")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,8 +35,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on, applied to a session made elsewhere."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # Process trees may hold more rows than the default limit of recursive queries.
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     # The JVM does not compile methods over 8000 bytecodes. Very wide projections and
     # aggregations run faster as separate small generated methods than as one such method.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
@@ -50,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get(_SHARED_KEY, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"set {_SHARED_KEY} to a folder shared by all executors")
         base = os.path.join(tempfile.gettempdir(), f"argosift-{spark.sparkContext.applicationId}")
         spark.conf.set(_SHARED_KEY, base)
@@ -84,25 +83,3 @@ def fence(df: DataFrame, *columns: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in columns]
     return df.select(*[F.col(c) for c in rest], F.inline(F.array(F.struct(*columns))))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistributes a scan that has fewer splits than the session has cores.
-
-    Costly per-row work on a small or single-split file would otherwise run in one
-    task. A large table already has more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint for a materialised table that is counted to be small.
-
-    Above ``max_rows`` the table is returned unhinted, so the join shuffles
-    (and adaptive execution may split its skewed partitions).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

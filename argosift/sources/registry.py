@@ -45,6 +45,11 @@ def parse_config(data: dict) -> list[SourceSpec]:
     return specs
 
 
+def tail_limit(data: dict, default: int = 500) -> int:
+    """Entries to read back per source, as set at the top of a configuration."""
+    return int(data.get("max_entries_per_source", default))
+
+
 def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     raw = spark.read.format(spec.format).options(**spec.options).load(spec.path)
     kept = raw.where(spec.where) if spec.where else raw

@@ -10,22 +10,26 @@ from argosift.operators.audit import event_hash
 from argosift.session import cut
 
 
-def write_both(events: DataFrame, primary_path: str, backup_path: str) -> None:
+def write_both(events: DataFrame, primary_path: str, backup_path: str, batch: str) -> None:
     """Stores events in the mutable table and their hashes in the append-only table.
 
-    Ids already in the backup are skipped; both writes carry the same content hash.
+    Ids already in the backup are skipped; both writes carry the same content hash. Rows are kept by batch and day:
+    a batch that is written again after a failure replaces its own folders, and only the days of its events are
+    looked up. The backup goes first, so a primary row is never without its hash.
     """
     spark = events.sparkSession
-    hashed = events.withColumn("content_hash", event_hash())
+    hashed = events.withColumns({"content_hash": event_hash(), "day": F.to_date("ts")})
     new = hashed.dropDuplicates(["event_id"])
     if table_exists(spark, backup_path):
-        known = spark.read.parquet(backup_path).select(F.col("record_id").alias("event_id"))
-        new = new.join(known, "event_id", "left_anti")
+        # One row per day.
+        days = [r[0] for r in hashed.select("day").distinct().collect()]
+        known = spark.read.parquet(backup_path).where((F.col("batch").cast("string") != batch) & F.col("day").isin(days))
+        new = new.join(known.select("day", F.col("record_id").alias("event_id")), ["day", "event_id"], "left_anti")
     # One written batch feeds both tables, so they cannot differ.
-    batch = cut(new)
-    batch.write.mode("append").parquet(primary_path)
-    batch.select(F.col("event_id").alias("record_id"), "ts", "host_id", "event_type", "content_hash").write.mode(
-        "append").parquet(backup_path)
+    rows = cut(new)
+    hashes = rows.select(F.col("event_id").alias("record_id"), "ts", "host_id", "event_type", "content_hash", "day")
+    for table, path in ((hashes, backup_path), (rows, primary_path)):
+        table.write.mode("overwrite").partitionBy("day").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

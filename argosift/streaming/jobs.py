@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from argosift import constants as C
 from argosift.functions import severity as S
 from argosift.operators import audit as A, baseline as B, parse as L, snapshots as N
-from argosift.session import new_path
+from argosift.operators.windows import last_before, trailing_sums
+from argosift.session import cut, new_path
 from argosift.sources.tables import table_exists
 
 WATERMARK = "10 minutes"
@@ -71,17 +72,21 @@ class VersionedTable:
 
     def before(self, version: int) -> DataFrame | None:
         """State left by the newest batch before ``version``."""
-        names = [v for v in self._versions() if v < version]
+        names = [v for v in self.versions() if v < version]
         return self.spark.read.parquet(self._at(max(names))) if names else None
 
     def latest(self) -> DataFrame | None:
-        names = self._versions()
+        names = self.versions()
         return self.spark.read.parquet(self._at(max(names))) if names else None
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self._at(version))
 
-    def _versions(self) -> list[int]:
+    def remove(self, version: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(version))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def versions(self) -> list[int]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
@@ -97,8 +102,17 @@ class BatchTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+    def write(self, df: DataFrame, batch_id: int, *parts: str) -> None:
+        df.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.path}/batch={batch_id}")
+
+    def remove(self, before: int) -> None:
+        """Deletes the rows of batches older than ``before``."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in fs.listStatus(root):
+            name = s.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) < before:
+                fs.delete(s.getPath(), True)
 
     def read(self, before: int | None = None) -> DataFrame:
         """All rows, or those of earlier batches than ``before``."""
@@ -122,40 +136,143 @@ def deduplicate(df: DataFrame, keys: Sequence[str] = ("event_id",)) -> DataFrame
     return event_time(df).dropDuplicatesWithinWatermark(list(keys)).drop("at")
 
 
+class OpenAndClosed:
+    """A result table whose rows can still change for a while.
+
+    Rows that are final are appended batch by batch; the open ones are kept as a version of their own, so a batch
+    costs what is open, not what was ever written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.closed, self.open = BatchTable(spark, f"{path}/closed"), VersionedTable(spark, f"{path}/open")
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Stores ``rows``, which have a ``closed`` flag."""
+        stored = cut(rows)
+        self.closed.write(stored.where("closed"), batch_id)
+        self.open.write(stored.where("not closed"), batch_id)
+
+    def read(self) -> DataFrame:
+        return self.closed.read().unionByName(self.open.latest())
+
+
+def _closed(rows: DataFrame, newest: str, final: Column) -> DataFrame:
+    """Adds ``closed``: whether ``final`` has passed the newest time by the watermark delay."""
+    clock = rows.agg(F.max(newest).alias("_clock"))
+    # One row.
+    return rows.crossJoin(F.broadcast(clock)).withColumn(
+        "closed", final <= F.col("_clock") - F.expr(f"interval {WATERMARK}")).drop("_clock")
+
+
+def write_windows(counted: DataFrame, keys: Sequence[str], table: OpenAndClosed, checkpoint: str,
+                  end: str = "window_end") -> None:
+    """Keeps the rows of a window stream in a table keyed by ``keys``, open windows included."""
+    names = list(keys)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        old = table.open.before(batch_id)
+        rows = batch if old is None else batch.unionByName(
+            old.drop("closed").join(batch.select(*names), names, "left_anti"))
+        table.write(_closed(rows, "last_seen", F.col(end)), batch_id)
+
+    each_batch(counted, step, checkpoint, "update")
+
+
 def window_counts(df: DataFrame, keys: Sequence[str], window: str, slide: str | None = None,
-                  **counters: Column) -> DataFrame:
-    """Event-time window counts, emitted once the watermark has passed a window."""
+                  aggregates: Sequence[Column] = (), **counters: Column) -> DataFrame:
+    """Event-time window counts, with the time of the newest event of each window."""
     slot = F.window("at", window, slide) if slide else F.window("at", window)
-    out = event_time(df).groupBy(slot.alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"), *[
-        F.count_if(c).alias(n) for n, c in counters.items()])
+    out = event_time(df).groupBy(slot.alias("w"), *keys).agg(
+        F.count(F.lit(1)).alias("events"), *[F.count_if(c).alias(n) for n, c in counters.items()], *aggregates,
+        F.max("at").cast("timestamp_ntz").alias("last_seen"))
+    rest = [c for c in out.columns if c not in ("w", *keys)]
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "events", *counters)
+                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, *rest)
+
+
+def sequence_windows(df: DataFrame, keys: Sequence[str], window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Sliding windows of authentication failures."""
+    return window_counts(df.where(S.is_auth_failure(F.col("message"))), keys, window, slide)
 
 
-def sequence_windows(df: DataFrame, keys: Sequence[str], window: str = "5 minutes", slide: str = "1 minute",
-                     minimum: int = 5) -> DataFrame:
-    """Sliding windows with at least ``minimum`` authentication failures."""
-    fails = df.where(S.is_auth_failure(F.col("message")))
-    return window_counts(fails, keys, window, slide).where(F.col("events") >= minimum)
+def scan_windows(df: DataFrame, keys: Sequence[str], port: str, window: str = "1 minute",
+                 slide: str = "30 seconds") -> DataFrame:
+    """Sliding windows with the distinct ports that were connected to; a port number is at most 65535."""
+    ports = F.size(F.collect_set(F.col(port))).cast("long").alias("ports")
+    return window_counts(df, keys, window, slide, [ports])
 
 
-def sessions(df: DataFrame, keys: Sequence[str], gap: str = "5 minutes") -> DataFrame:
-    """Bursts of one entity, closed after ``gap`` without events."""
-    out = event_time(df).groupBy(F.session_window("at", gap).alias("w"), *keys).agg(
-        F.count(F.lit(1)).alias("events"))
-    return out.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("started"),
-                      F.col("w.end").cast("timestamp_ntz").alias("ended"), "events")
+def transfer_windows(df: DataFrame, keys: Sequence[str], sent: str, window: str = "5 minutes",
+                     slide: str = "1 minute") -> DataFrame:
+    """Sliding windows with the bytes sent."""
+    return window_counts(df, keys, window, slide, [F.sum(sent).alias("bytes_sent")])
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, seconds: int, delay: str = WATERMARK) -> DataFrame:
-    """Pairs of a left event and a right event of the same key at most ``seconds`` before it."""
-    a = left.select(F.col("event_id").alias("left_id"), F.col(key).alias("left_key"),
-                    F.col("ts").cast("timestamp").alias("left_at")).withWatermark("left_at", delay)
-    b = right.select(F.col("event_id").alias("right_id"), F.col(key).alias("right_key"),
-                     F.col("ts").cast("timestamp").alias("right_at")).withWatermark("right_at", delay)
-    near = (F.col("left_key") == F.col("right_key")) & (F.col("right_at") <= F.col("left_at")) & (
-        F.col("right_at") >= F.col("left_at") - F.expr(f"interval {int(seconds)} seconds"))
-    return a.join(b, near).select("left_id", "right_id", F.col("left_key").alias(key))
+def sessions(df: DataFrame, keys: Sequence[str], table: OpenAndClosed, checkpoint: str, gap: str = "5 minutes",
+             slots: int = 16, ts: str = "ts", tie: str = "event_id") -> None:
+    """Bursts of one entity as (keys, started, ended, events, closed).
+
+    A batch's bursts are first found in ``slots`` parts of each entity's rows, then merged with each other and with
+    the open ones that they touch, so a busy entity's rows are not merged in one task. Rows older than the newest by
+    more than the watermark delay are dropped.
+    """
+    names = list(keys)
+    wait = F.expr(f"interval {gap}")
+
+    def merge(parts: DataFrame) -> DataFrame:
+        w = W.partitionBy(*names).orderBy("started", "ended")
+        before = F.max(F.col("ended") + wait).over(w.rowsBetween(W.unboundedPreceding, -1))
+        fresh = F.when(before.isNull() | (F.col("started") >= before), 1).otherwise(0)
+        numbered = parts.withColumn("_fresh", fresh).withColumn("_n", F.sum("_fresh").over(w))
+        return numbered.groupBy(*names, "_n").agg(F.min("started").alias("started"), F.max("ended").alias("ended"),
+                                                  F.sum("events").alias("events")).drop("_n")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        old = table.open.before(batch_id)
+        rows = batch.withColumn("_slot", F.pmod(F.xxhash64(tie), F.lit(slots)))
+        if old is not None:
+            clock = old.agg(F.max("ended").alias("_clock"))
+            rows = rows.crossJoin(F.broadcast(clock)).where(F.col("_clock").isNull() | (
+                F.col(ts) > F.col("_clock") - F.expr(f"interval {WATERMARK}")))
+        w = W.partitionBy(*names, "_slot").orderBy(ts)
+        last = F.lag(ts).over(w)
+        numbered = rows.withColumn("_fresh", F.when(last.isNull() | (F.col(ts) >= last + wait), 1).otherwise(0)).withColumn(
+            "_n", F.sum("_fresh").over(w))
+        local = numbered.groupBy(*names, "_slot", "_n").agg(
+            F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("events")).drop("_slot", "_n")
+        merged = merge(local if old is None else local.unionByName(old.drop("closed")))
+        table.write(_closed(merged, "ended", F.col("ended") + wait), batch_id)
+
+    each_batch(df, step, checkpoint)
+
+
+def preceded_by(df: DataFrame, later: Column, earlier: Column, keys: Sequence[str], seconds: int,
+                table: OpenAndClosed, checkpoint: str, ts: str = "ts", tie: str = "event_id") -> None:
+    """For every ``later`` event: how many ``earlier`` events of its key lie at most ``seconds`` before it, and the
+    newest of them. One row per later event instead of all pairs.
+
+    Events of the last ``seconds`` and of the watermark delay stay open and meet those of the next batch.
+    """
+    names = list(keys)
+    span = F.expr(f"interval {int(seconds)} seconds")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        old = table.open.before(batch_id)
+        rows = batch.withColumns({"later": later, "earlier": earlier, "done": F.lit(False)}).where(
+            "later or earlier").select(*names, ts, tie, "later", "earlier", "done")
+        both = rows if old is None else rows.unionByName(old.select(rows.columns))
+        counted = trailing_sums(both, names, ts, seconds, {"matches": F.col("earlier").cast("long")})
+        found = last_before(counted, names, ts, tie, F.col("earlier"), "nearest").withColumn(
+            "nearest", F.when(F.col("matches") > 0, F.col("nearest")))
+        aged = _closed(found, ts, F.col(ts)).withColumn("_final", F.col("closed"))
+        # Final later events are written once; what may still precede others is kept, marked as done.
+        kept = _closed(aged.drop("closed"), ts, F.col(ts) + span).withColumnRenamed("closed", "_old")
+        final = kept.where("_final and later and not done").drop("_final", "_old").withColumn("closed", F.lit(True))
+        still = kept.where("not _old").withColumn("done", F.col("_final")).drop("_final", "_old").withColumn(
+            "closed", F.lit(False))
+        table.write(final.unionByName(still), batch_id)
+
+    each_batch(df, step, checkpoint)
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], table: VersionedTable, checkpoint: str) -> None:
@@ -173,50 +290,71 @@ def running_totals(df: DataFrame, keys: Sequence[str], table: VersionedTable, ch
 
 def moving_baseline(df: DataFrame, features: Sequence[str], keys: Sequence[str], table: VersionedTable,
                     checkpoint: str, alpha: float = 0.1, ts: str = "ts", tie: str = "event_id",
-                    segment_rows: int = 1000, levels: int = 3) -> None:
-    """Moving-average profiles updated per batch; batches must arrive in time order.
+                    seed_rows: int = 1000, segment_rows: int = 1000, levels: int = 3,
+                    buffer: VersionedTable | None = None) -> None:
+    """Moving-average profiles updated per batch; the result does not depend on how batches are cut.
 
-    A key's first batch gives its starting statistics. Later batches are summarised
-    in parallel segments and applied as one update per key.
+    A key's first ``seed_rows`` rows give its starting statistics. Until it has them, and until the event time has
+    passed a row by the watermark delay, rows wait in ``buffer``; what is applied is therefore in time order. Rows
+    older than what was applied are dropped, as in the windowed jobs.
     """
-    n = len(features)
-
-    def start(rows: DataFrame) -> DataFrame:
-        seed = B.learn(rows, features, keys)
-        return seed.select(*keys, F.array(*[F.col(f"mean__{f}") for f in features]).alias("means"),
-                           F.array(*[F.col(f"std__{f}") ** 2 for f in features]).alias("variances"), "sample_count")
+    n, names = len(features), list(keys)
+    waiting = buffer or VersionedTable(df.sparkSession, table.path + "-buffer")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.before(batch_id)
-        if old is None:
-            table.write(start(batch), batch_id)
-            return
-        known = batch.join(old.select(*keys), list(keys), "left_semi")
-        fresh = batch.join(old.select(*keys), list(keys), "left_anti")
-        segs = B.segment_summaries(known, features, keys, ts, tie, alpha, segment_rows)
-        summary = B.compose_summaries(segs, keys, segment_rows, levels)
-        table.write(B.apply_summary(old, summary, keys, n, alpha).unionByName(start(fresh)), batch_id)
+        old, kept = table.before(batch_id), waiting.before(batch_id)
+        fresh = batch.select(*names, ts, tie, *features)
+        if old is not None:
+            applied = old.select(*names, F.col("applied_to").alias("_to"))
+            fresh = fresh.join(applied, names, "left").where(F.col("_to").isNull() | (F.col(ts) > F.col("_to"))).drop("_to")
+        rows = cut(fresh if kept is None else fresh.unionByName(kept))
+        clock = rows.agg(F.max(ts).alias("_clock"))
+        limit = F.col("_clock") - F.expr(f"interval {WATERMARK}")
+        known = (rows.withColumn("_state", F.lit(False)) if old is None else
+                 rows.join(old.select(*names, F.lit(True).alias("_state")), names, "left"))
+        timed = known.crossJoin(F.broadcast(clock)).withColumn("_ripe", F.col(ts) <= limit).drop("_clock")
+        ripe = timed.groupBy(*names).agg(F.count_if("_ripe").alias("_n"))
+        marked = timed.join(ripe, names).withColumn(
+            "_go", F.col("_ripe") & (F.coalesce("_state", F.lit(False)) | (F.col("_n") >= seed_rows)))
+        ready = cut(marked.drop("_ripe", "_n"))
+        waiting.write(ready.where("not _go").select(*rows.columns), batch_id)
+        go = ready.where("_go")
+        state = B.moving_state(go.where("not coalesce(_state, false)"), features, names, ts, tie, alpha, seed_rows,
+                               segment_rows, levels)
+        latest = go.groupBy(*names).agg(F.max(ts).alias("applied_to"))
+        if old is not None:
+            segs = B.segment_summaries(go.where("coalesce(_state, false)"), features, names, ts, tie, alpha, segment_rows)
+            summary = B.compose_summaries(segs, names, segment_rows, levels)
+            state = B.apply_summary(old.drop("applied_to"), summary, names, n, alpha).unionByName(state)
+            before = old.select(*names, F.col("applied_to").alias("_before"))
+            latest = before.join(latest, names, "full").select(
+                *names, F.greatest("_before", "applied_to").alias("applied_to"))
+        table.write(state.join(latest, names), batch_id)
 
     each_batch(df, step, checkpoint)
 
 
 def append_chain(df: DataFrame, links: BatchTable, heads: VersionedTable, checkpoint: str, chain: str = "host_id",
-                 record: str = "record_id", segment_rows: int = A.SEGMENT_ROWS) -> None:
+                 record: str = "record_id", ts: str = "ts", segment_rows: int = A.SEGMENT_ROWS) -> None:
     """Adds each batch's records to the hash chains, continuing from the stored heads.
 
-    Ids already linked are skipped.
+    Ids already linked are skipped. A record's id and time belong together, so links are stored by day and only
+    the days of the batch are looked up; a batch costs its own size, not the length of the chains.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         old = heads.before(batch_id)
-        new = batch.dropDuplicates([record])
+        new = batch.dropDuplicates([record]).withColumn("day", F.to_date(ts))
         if old is not None:
+            # One row per day in the batch.
+            days = [r[0] for r in new.select("day").distinct().collect()]
             # Only earlier batches: a repeated batch must not take its own rows for known.
-            new = new.join(links.read(before=batch_id).select(record), record, "left_anti")
-        numbered = A.sequence(new, chain, "ts", record, old)
+            known = links.read(before=batch_id).where(F.col("day").isin(days)).select("day", record)
+            new = new.join(known, ["day", record], "left_anti")
+        numbered = A.sequence(new, chain, ts, record, old)
         linked = A.link_records(numbered, chain, record=record, segment_rows=segment_rows, heads=old)
-        links.write(linked, batch_id)
-        stored = links.spark.read.parquet(f"{links.path}/batch={batch_id}")
-        latest = A.last_links(stored, chain)
+        dated = cut(linked.join(numbered.select(record, "day"), record))
+        links.write(dated, batch_id, "day")
+        latest = A.last_links(dated, chain)
         if old is not None:
             latest = latest.unionByName(old.join(latest.select(chain), chain, "left_anti"))
         heads.write(latest, batch_id)
@@ -224,10 +362,11 @@ def append_chain(df: DataFrame, links: BatchTable, heads: VersionedTable, checkp
     each_batch(df, step, checkpoint)
 
 
-def periodic_audit(df: DataFrame, backup: DataFrame, reports: BatchTable, checkpoint: str) -> None:
-    """Compares the primary rows of each batch's table state with the backup and stores the report."""
+def periodic_audit(df: DataFrame, primary: Callable[[], DataFrame], backup: Callable[[], DataFrame],
+                   reports: BatchTable, checkpoint: str) -> None:
+    """One audit of the stored primary table against the backup per trigger of ``df``, which is only the clock."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        rep = A.report(A.compare(batch, backup)).withColumn("batch_no", F.lit(batch_id).cast("long"))
+        rep = A.report(A.compare(primary(), backup())).withColumn("batch_no", F.lit(batch_id).cast("long"))
         alert = (F.col("tampered") > 0) | (F.col("missing") > 0) | ~F.col("chain_valid")
         reports.write(rep.withColumn("alert", alert), batch_id)
 
@@ -236,13 +375,36 @@ def periodic_audit(df: DataFrame, backup: DataFrame, reports: BatchTable, checkp
 
 def snapshot_events(df: DataFrame, keys: Sequence[str], changes: BatchTable, last: VersionedTable, checkpoint: str,
                     host: str = "host_id", ts: str = "snapshot_ts") -> None:
-    """Start and end events between snapshots; each host's last snapshot is kept for the next batch."""
+    """Start and end events between snapshots.
+
+    A snapshot may arrive in several batches; a host's snapshots are compared once a later snapshot of any host is
+    newer by the watermark delay. The last compared and all open snapshots are kept for the next batch.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
         old = last.before(batch_id)
-        rows = batch.select(host, ts, *keys).distinct()
+        rows = batch.select(host, ts, *keys).withColumn("compared", F.lit(False))
         both = rows if old is None else rows.unionByName(old)
-        changes.write(N.snapshot_changes(both, keys, host, ts), batch_id)
-        newest = both.groupBy(host).agg(F.max(ts).alias(ts))
-        last.write(both.join(newest, [host, ts], "left_semi"), batch_id)
+        merged = both.groupBy(host, ts, *keys).agg(F.bool_or("compared").alias("compared"))
+        ripe = cut(_closed(merged, ts, F.col(ts)))
+        # A row of a snapshot that was compared already is too late.
+        ready = ripe.where("closed")
+        found = N.snapshot_changes(ready, keys, host, ts)
+        done = ready.where("compared").groupBy(host).agg(F.max(ts).alias("_done"))
+        fresh = found.join(done, host, "left").where(F.col("_done").isNull() | (F.col(ts) > F.col("_done")))
+        changes.write(fresh.drop("_done"), batch_id)
+        newest = ready.groupBy(host).agg(F.max(ts).alias(ts))
+        kept = ready.join(newest, [host, ts], "left_semi").withColumn("compared", F.lit(True))
+        last.write(kept.unionByName(ripe.where("not closed")).drop("closed"), batch_id)
 
     each_batch(df, step, checkpoint)
+
+
+def drop_versions(table: VersionedTable, keep: int = 2) -> None:
+    """Retention: removes all but the newest ``keep`` versions of a state table."""
+    for version in sorted(table.versions())[:-keep]:
+        table.remove(version)
+
+
+def drop_batches(table: BatchTable, before: int) -> None:
+    """Retention: removes the rows of batches older than ``before``."""
+    table.remove(before)

@@ -29,14 +29,17 @@ def schema_of(spark):
 def test_late_rows_are_dropped_and_state_moves_on(spark):
     path, out, cp = (new_path(spark, n) for n in ("late", "late-out", "late-cp"))
 
+    table = J.OpenAndClosed(spark, out)
+
     def deliver(items):
         rows(spark, items).coalesce(1).write.mode("append").parquet(path)
-        J.append_to(J.window_counts(J.read_files(spark, path, schema_of(spark)), ["host_id"], "10 minutes"), out, cp)
+        counted = J.window_counts(J.read_files(spark, path, schema_of(spark)), ["host_id"], "10 minutes")
+        J.write_windows(counted, ["window_start", "host_id"], table, cp)
 
     deliver([(1, 1, "h", "a"), (2, 5, "h", "a"), (3, 70, "h", "a")])
     deliver([(4, 2, "h", "late"), (5, 65, "h", "in time"), (6, 200, "h", "a")])
-    got = {str(r["window_start"])[11:16]: r["events"] for r in spark.read.parquet(out).collect()}
-    assert got == {"00:00": 2, "01:00": 1, "01:10": 1}
+    got = {str(r["window_start"])[11:16]: (r["events"], r["closed"]) for r in table.read().collect()}
+    assert got == {"00:00": (2, True), "01:00": (1, True), "01:10": (1, True), "03:20": (1, False)}
 
 
 def test_ingest_remembers_its_position(spark):
@@ -93,12 +96,11 @@ def test_stream_moving_baseline_equals_batch(spark):
     for part in (data[:100], data[100:170], data[170:]):
         make(part).write.mode("append").parquet(path)
         J.moving_baseline(J.read_files(spark, path, make([]).schema), ["x"], ["source_type"], state, cp,
-                          segment_rows=16)
+                          seed_rows=20, segment_rows=16)
     got = {r["source_type"]: (r["means"][0], r["variances"][0], r["sample_count"]) for r in state.latest().collect()}
     for key in ("log", "net"):
-        mine = [r for r in data if r[2] == key]
-        seed = sum(1 for r in data[:100] if r[2] == key)
-        want = B.learn_moving(make(mine), ["x"], seed_rows=seed).collect()[0]
+        mine = [r for r in data if r[2] == key and r[1] <= data[-1][1] - timedelta(minutes=10)]
+        want = B.learn_moving(make(mine), ["x"], seed_rows=20).collect()[0]
         assert got[key][:2] == pytest.approx((want["mean"], want["variance"]), rel=1e-9) and got[key][2] == len(mine)
 
 
@@ -122,9 +124,13 @@ def test_submissions_and_text_files(spark, tmp_path):
 def test_dual_write_does_not_admit_out_of_band_rows(spark):
     primary, backup = new_path(spark, "p"), new_path(spark, "b")
     first = rows(spark, [(1, 1, "h", "a"), (2, 2, "h", "b")])
-    TB.write_both(first, primary, backup)
-    rows(spark, [(99, 3, "h", "smuggled")]).withColumn("content_hash", A.event_hash()).write.mode("append").parquet(primary)
-    TB.write_both(rows(spark, [(2, 2, "h", "b"), (3, 4, "h", "c")]), primary, backup)
+    TB.write_both(first, primary, backup, "one")
+    rows(spark, [(99, 3, "h", "smuggled")]).withColumns({"content_hash": A.event_hash(), "day": F.to_date("ts")}).write.mode(
+        "append").partitionBy("day").parquet(f"{primary}/batch=other")
+    for _ in range(2):
+        # The second time is a retry of the same batch.
+        TB.write_both(rows(spark, [(2, 2, "h", "b"), (3, 4, "h", "c")]), primary, backup, "two")
+    assert spark.read.parquet(primary).count() == 4
     assert sorted(r[0] for r in spark.read.parquet(backup).select("record_id").collect()) == [1, 2, 3]
     status = {r["record_id"]: r["status"] for r in A.compare(spark.read.parquet(primary), spark.read.parquet(backup)).collect()}
     assert status == {1: "valid", 2: "valid", 3: "valid", 99: "missing_in_backup"}
