@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from argosift.llm.common import free_name, map_arrow
 
@@ -118,10 +118,17 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
     total = known.pop(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + known.get(i, 0))) + 1 for i in range(dims)], np.float32)
 
-    # The sample: the texts with the smallest hashes of each language, each distinct text once.
-    ranked = rows.select("label", F.xxhash64("text").alias("order")).distinct().withColumn(
-        "rank", F.expr("row_number() over (partition by label order by `order`)")).where(F.col("rank") <= per_language)
-    bounds = ranked.groupBy("label").agg(F.max("order").alias("bound"))
+    # The sample: the texts with the smallest hashes of each language, each distinct text once. Counts per leading
+    # bits of the hash (at most 2^16 per language) tell how far to look, so that no task meets a whole language.
+    hashes = rows.select("label", F.xxhash64("text").alias("order")).distinct().withColumn(
+        "lead", F.shiftright("order", 48))
+    upto = F.sum("n").over(W.partitionBy("label").orderBy("lead"))
+    reached = hashes.groupBy("label", "lead").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    far = reached.groupBy("label").agg(F.coalesce(
+        F.min(F.when(F.col("upto") >= per_language, F.col("lead"))), F.max("lead")).alias("far"))
+    near = hashes.join(F.broadcast(far), "label").where(F.col("lead") <= F.col("far"))
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("order")))
+    bounds = ranked.where(F.col("rank") <= per_language).groupBy("label").agg(F.max("order").alias("bound"))
     sample = rows.withColumn("order", F.xxhash64("text")).join(F.broadcast(bounds), "label").where(
         F.col("order") <= F.col("bound")).dropDuplicates(["label", "order"])
     plain = Model(idf, [], np.zeros((0, dims), np.float32), np.zeros(0))
