@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
                  np.array([r["reach"] for r in learned]))
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.5,
+def classify(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.25,
              keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred, score and rejected."""
     chosen = docs.select(*keep, F.col(text).alias("__text"))
@@ -177,7 +177,7 @@ def training_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.where(~held_out(id_column))
 
 
-def keep_known(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.25) -> DataFrame:
     """The rows of ``docs`` whose language is recognised, all columns as they are."""
     mark = free_name(docs, "own_refused")
 

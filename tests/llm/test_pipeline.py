@@ -30,7 +30,7 @@ def test_stages_match_plain_versions(spark, corpus):
         return {r.doc_id: r.text for r in steps[name].collect()}
 
     model = language_id.fit(language_id.training_rows(df))
-    want = {r.doc_id: r.text for r in rows if not model.predict([r.text], 0.5)[2][0]}
+    want = {r.doc_id: r.text for r in rows if not model.predict([r.text], 0.25)[2][0]}
     assert texts("language_id") == want
     want = {d: want[d] for d, _, _, kept, _ in exact(want.items()) if kept}
     assert texts("exact_dedup") == want
