@@ -232,7 +232,6 @@ class Rule:
     tactics: list[str] = field(default_factory=list)
     techniques: list[str] = field(default_factory=list)
     actions: list[str] = field(default_factory=list)
-    description: str = ""
 
 
 # --- fixed values: default detection rules --------------------------------------------
@@ -241,50 +240,42 @@ RULES = [
          log_patterns=[r"sshd.*failed password", r"sshd.*invalid user", r"sshd.*authentication failure"],
          min_occurrences=3, tactics=["TA0006", "TA0001"], techniques=["T1110", "T1110.001"],
          actions=["Review source IP addresses", "Consider implementing fail2ban",
-                  "Enable SSH key-based authentication"],
-         description="Multiple SSH authentication failures detected"),
+                  "Enable SSH key-based authentication"]),
     Rule("AUTH-002", "Root Login Attempt", "authentication", 0.7,
          log_patterns=[r"sshd.*root.*accepted", r"login.*root.*success", r"su.*root"],
          tactics=["TA0004"], techniques=["T1078.003"],
-         actions=["Verify if root login is expected", "Disable direct root SSH access", "Implement sudo policies"],
-         description="Direct root login attempt detected"),
+         actions=["Verify if root login is expected", "Disable direct root SSH access", "Implement sudo policies"]),
     Rule("RECON-001", "Network Enumeration", "reconnaissance", 0.6,
          process_patterns=[r"nmap", r"masscan", r"zmap", r"netdiscover", r"arp-scan"],
          tactics=["TA0007"], techniques=["T1046", "T1040"],
-         actions=["Verify if scan is authorized", "Review source user and system", "Check for compromised systems"],
-         description="Network scanning or enumeration tools detected"),
+         actions=["Verify if scan is authorized", "Review source user and system", "Check for compromised systems"]),
     Rule("EXPLOIT-001", "Reverse Shell Indicator", "exploitation", 0.95,
          log_patterns=[r"reverse shell", r"connect back"],
          process_patterns=[r"nc\s+-e", r"bash\s+-i\s+>&", r"/dev/tcp/", r"mkfifo.*nc", r"python.*socket.*connect"],
          tactics=["TA0002", "TA0011"], techniques=["T1059", "T1071"],
          actions=["Immediately isolate affected system", "Capture forensic evidence", "Identify and block C2 IP",
-                  "Initiate incident response"],
-         description="Potential reverse shell connection detected"),
+                  "Initiate incident response"]),
     Rule("PERSIST-001", "Cron Job Modification", "persistence", 0.7,
          log_patterns=[r"crontab.*modified", r"CROND.*CMD", r"/etc/cron"], process_patterns=[r"crontab\s+-[ei]"],
          tactics=["TA0003"], techniques=["T1053.003"],
          actions=["Review cron job changes", "Compare with baseline configuration",
-                  "Check for unauthorized entries"],
-         description="System cron job modification detected"),
+                  "Check for unauthorized entries"]),
     Rule("MALWARE-001", "Cryptominer Indicators", "malware", 0.8,
          log_patterns=[r"mining pool", r"stratum", r"cryptonight"],
          process_patterns=[r"xmrig", r"minerd", r"cpuminer", r"stratum\+tcp", r"nicehash"],
          tactics=["TA0040"], techniques=["T1496"],
          actions=["Kill mining processes", "Check for persistence mechanisms", "Review initial access vector",
-                  "Check for other compromised systems"],
-         description="Cryptocurrency mining activity detected"),
+                  "Check for other compromised systems"]),
     Rule("C2-001", "Suspicious Outbound Connection", "command_control", 0.6,
          port_ranges=[(8080, 8090), (4443, 4445), (9000, 9999)], public_ip=True,
          tactics=["TA0011"], techniques=["T1571", "T1071"],
          actions=["Investigate destination IP reputation", "Review process making connection",
-                  "Check for data exfiltration"],
-         description="Connection to suspicious high-numbered port on public IP"),
+                  "Check for data exfiltration"]),
     Rule("ABUSE-001", "Resource Exhaustion", "resource_abuse", 0.6,
          log_patterns=[r"out of memory", r"oom[-_]killer", r"no space left", r"fork\(\) failed"],
          tactics=["TA0040"], techniques=["T1499"],
          actions=["Identify resource-consuming processes", "Check for DoS attack indicators",
-                  "Review system limits"],
-         description="System resource exhaustion detected"),
+                  "Review system limits"]),
 ]
 RULE_CONFIDENCE = {"log": 0.8, "process": 0.85, "network": 0.75}
 WINDOWED_BONUS = 0.1

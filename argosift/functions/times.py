@@ -12,10 +12,6 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def from_micros(us: Column) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
-
-
 def truncate(unit: str, ts: Column) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 

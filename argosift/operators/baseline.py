@@ -2,7 +2,7 @@
 
 A wide profile has one row per key with ``mean__f``, ``std__f``, ``min__f``,
 ``max__f`` columns; learning is one partial aggregation, so hot keys combine
-before the shuffle. ``to_long`` / ``to_wide`` convert to the stored layout.
+before the shuffle. ``to_long`` converts to the stored layout.
 """
 
 from __future__ import annotations
@@ -40,12 +40,6 @@ def to_long(profile: DataFrame, features: Sequence[str], keys: Sequence[str] = (
     return rows.withColumns({"variance": F.col("std") * F.col("std"), "stable": F.col("sample_count") >= min_samples})
 
 
-def to_wide(long: DataFrame, features: Sequence[str], keys: Sequence[str] = ("source_type",)) -> DataFrame:
-    aggs = [F.max("sample_count").alias("sample_count")]
-    aggs += [F.max(F.when(F.col("feature") == f, F.col(s))).alias(f"{s}__{f}") for f in features for s in STATS]
-    return long.groupBy(*keys).agg(*aggs)
-
-
 def with_profile(df: DataFrame, profile: DataFrame, keys: Sequence[str] = ("source_type",)) -> DataFrame:
     """Joins the profile of the row's keys. A profile read from a table is broadcast when its size allows."""
     return df.join(profile, list(keys), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from argosift import constants as C
@@ -50,16 +52,16 @@ def _ctes(source_type: str, keys: str = "", bucket: bool = False) -> dict[str, s
     }
 
 
-def feature_table(t: Inputs, source_type: str, with_rates: bool = False):
+def feature_table(t: Inputs, source_type: str, with_rates: bool = False, keep: Sequence[str] = ()):
     """Feature rows written once: learning and scoring both read them."""
     rows = features_of(t, source_type, with_rates)
     rates = ["events_per_minute"] if with_rates else []
-    return cut(rows.select("event_id", "ts", "host_id", "source_type", *rates, *C.FEATURES[source_type]))
+    return cut(rows.select("event_id", "ts", "host_id", "source_type", *rates, *keep, *C.FEATURES[source_type]))
 
 
-def _joined(t: Inputs, source_type: str, with_rates: bool = False):
+def _joined(t: Inputs, source_type: str, with_rates: bool = False, keep: Sequence[str] = ()):
     """Feature rows with the profile learned from all of them."""
-    rows = feature_table(t, source_type, with_rates)
+    rows = feature_table(t, source_type, with_rates, keep)
     return B.with_profile(rows, cut(B.learn(rows, C.FEATURES[source_type])))
 
 
@@ -295,8 +297,15 @@ def _detect_sql(st: str, threshold: float) -> str:
             from feat join stat using (event_id)))"""
 
 
-def _detected(t: Inputs, st: str, threshold: float):
-    return A.detect(_joined(t, st, True), st, C.FEATURES[st], threshold=threshold)
+def with_rate(t: Inputs) -> Inputs:
+    """Views whose events carry their burst rate, written once."""
+    rated = A.burst_rate(t.events().withColumn("source_type", F.lit("all")))
+    return t.with_events(cut(rated.select(*t.events().columns, "events_per_minute")), "events_per_minute")
+
+
+def _detected(t: Inputs, st: str, threshold: float, rated: bool = False):
+    joined = _joined(t, st, not rated, ["events_per_minute"] if rated else [])
+    return A.detect(joined, st, C.FEATURES[st], threshold=threshold)
 
 
 @query("k4_statistical_score", with_views(
@@ -343,11 +352,37 @@ def temporal_score(t: Inputs):
     return rows.select("event_id", "temporal_score", F.size("temporal_reasons").cast("long").alias("reasons"))
 
 
+_FAST = """select event_id, timestamp '2024-01-01' + to_microseconds((epoch_us(ts) - epoch_us(timestamp '2024-01-01'))
+    // 10000) as ts from events"""
+
+
+@query("k8_burst_score", with_views(
+    """select event_id, case when n>=10 and s>0 and n/s*60>100 then greatest(base,0.7) else base end::double as temporal_score,
+         (n>=10 and s>0 and n/s*60>100)::int::bigint as bursts from (
+         select event_id, case when hour(ts) between 9 and 17 and isodow(ts)<6 then 0.0 else 0.2 end as base,
+           least(row_number() over w - 1, 100) as n, (epoch_us(ts) - epoch_us(first_value(ts) over (order by ts, event_id
+             rows between 100 preceding and 1 preceding)))/1000000.0::double as s
+         from fast window w as (order by ts, event_id))""", ctes={"fast": _FAST}))
+def burst_score(t: Inputs):
+    """The log played ten thousand times faster, so that its events come in bursts under one key."""
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    fast = F.timestamp_micros(T.micros(start) + F.floor((T.micros(F.col("ts")) - T.micros(start)) / 10000)).cast(
+        "timestamp_ntz")
+    events = t.events().select("event_id", fast.alias("ts"), F.lit("log").alias("source_type"))
+    rows = A.temporal(A.burst_rate(events).withColumn("is_business_hours", T.is_business_hours(F.col("ts")).cast("int")))
+    return rows.select("event_id", "temporal_score", F.size(F.filter(
+        "temporal_reasons", lambda r: r.startswith("High event frequency"))).cast("long").alias("bursts"))
+
+
 @query("k9_combined_detect", with_views(" union all ".join(_detect_sql(st, 0.35) for st in C.FEATURES),
                                         *_VIEW.values()))
 def combined_detect(t: Inputs):
-    """Combined detection of all four source types (threshold lowered to the test data)."""
-    frames = [_detected(t, st, 0.35).select(
+    """Combined detection of all four source types (threshold lowered to the test data).
+
+    Every view has all events, so the burst rate of a source type is that of the events; it is computed once.
+    """
+    rated = with_rate(t)
+    frames = [_detected(rated, st, 0.35, rated=True).select(
         "source_type", "event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly",
         F.col("anomaly_severity").alias("severity"), F.size("reasons").cast("long").alias("reasons"))
         for st in C.FEATURES]

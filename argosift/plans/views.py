@@ -105,21 +105,26 @@ def spark_columns(exprs: list[str]) -> list[str]:
 class Inputs:
     """The given tables and the views over them, for one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, events: DataFrame | None = None, carry: tuple[str, ...] = ()):
         self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
+        self._events, self._carry = events, carry
+
+    def with_events(self, events: DataFrame, *carry: str) -> "Inputs":
+        """The same views over ``events``, whose columns ``carry`` every view of single events keeps."""
+        return Inputs(self.spark, self.folder, events, carry)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def events(self) -> DataFrame:
-        return self.table("events")
+        return self.table("events") if self._events is None else self._events
 
     def documents(self) -> DataFrame:
         return self.table("documents")
 
     def _over(self, base: DataFrame, exprs: list[str]) -> DataFrame:
-        return base.selectExpr(*_cols(exprs, _SPARK))
+        return base.selectExpr(*_cols(exprs, _SPARK), *[c for c in self._carry if c in base.columns])
 
     def sec_log(self) -> DataFrame:
         return self._over(self.events(), SEC_LOG)

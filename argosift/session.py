@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHARED_KEY = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def build_session(app: str = "argosift", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,7 +61,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Deletes the folders that this process has named so far; for use when no result is read any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    done = 0
+    while _written:
+        path = hadoop(_written.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -79,11 +79,6 @@ def availability(spark: SparkSession, specs: Sequence[SourceSpec], observed: Dat
                                "available": F.col("lines").isNotNull()})
 
 
-def availability_totals(listing: DataFrame) -> DataFrame:
-    return listing.agg(F.count(F.lit(1)).alias("total_sources"), F.count_if("enabled").alias("enabled_sources"),
-                       F.count_if("available").alias("available_sources"))
-
-
 def read_text_file(spark: SparkSession, path: str) -> DataFrame:
     """Text files as (path, text), one row per file. Undecodable bytes become replacement marks."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
