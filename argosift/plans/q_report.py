@@ -8,7 +8,7 @@ from argosift import constants as C
 from argosift.functions import severity as S
 from argosift.operators import assess as Z, audit as AU, correlate as K, detect as D, parse as L, report as R
 from argosift.plans import sqltext as Q
-from argosift.plans.q_anomaly import _detect_sql, _detected
+from argosift.plans.q_anomaly import _ctes, _detect_sql, _detected
 from argosift.plans.q_audit import _BOTH, _REPORT, _STATUS_VIEW, _statuses
 from argosift.plans.q_correlate import (_ENTITIES, _FREQ, _MIXED, _SCORED, _TEMPORAL, _THREE, _chains_sql, chain_anomalies,
                                         _rule_hits, entity_events, mixed, scored_events)
@@ -226,7 +226,27 @@ def anomaly_assessments(t: Inputs):
         F.array_join("techniques", ",").alias("techniques"), F.size("actions").cast("long").alias("actions"))
 
 
-@query("k14_detail_text")
+def _detail_sql(st: str, threshold: float) -> str:
+    """Detail texts from the z-scores of every feature."""
+    place = "list_position([" + ", ".join(f"'{f}'" for f in C.FEATURES[st]) + "], feature)"
+    return f"""with {', '.join(f'{k} as ({v})' for k, v in _ctes(st).items())},
+      shares as (select event_id, string_agg(feature||'='||printf('%.2f', share), chr(10) order by r) as texts from (
+        select *, row_number() over (partition by event_id order by share desc, feature) as r from (
+          select event_id, feature, abs(z)/3.0::double as share from z where abs(z)>2 and n>=100)) where r<=5 group by 1),
+      marks as (select event_id, string_agg(feature||': '||case when z>0 then 'Higher' else 'Lower' end
+          ||' than normal (value='||printf('%.3f', value)||', expected≈'||printf('%.3f', mean)||'±'
+          ||printf('%.3f', greatest(std, 0.01))||')', chr(10) order by {place}) as texts from z
+        where abs(z)>3 and n>=100 group by 1),
+      found as ({_detect_sql(st, threshold)})
+      select f.event_id, 'Anomaly in {st} at '||cast(x.ts as varchar)||', score '||printf('%.2f', f.anomaly_score)||' ('
+        ||f.severity||')'||chr(10)||coalesce(shares.texts, '')||chr(10)||concat_ws(chr(10), marks.texts,
+        case when is_high_port>0 and is_remote_public>0 then 'Connection to public IP on high port (possible C2)' end,
+        case when is_suspicious_process>0 then 'Network activity from suspicious process' end,
+        case when bytes_sent_normalized>0.8 then 'Large outbound data transfer' end) as detail
+      from found f join feat x using (event_id) left join shares using (event_id) left join marks using (event_id)"""
+
+
+@query("k14_detail_text", with_views(f"select * from ({_detail_sql('network', 0.35)})", "net_conn"))
 def detail_text(t: Inputs):
     """Description of every scored connection, with its largest contributions and reasons."""
     return _detected(t, "network", 0.35).select("event_id", Z.detail_text().alias("detail"))

@@ -11,7 +11,7 @@ README = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))
 def test_readme_names_existing_queries():
     table = open(README).read().split("## Queries by operator")[1]
     names = set(re.findall(r"`([a-z]\d+_\w+\*?)`", table))
-    known = set(E.queries())
+    known = {k for k in E.queries() if re.match(r"[a-z]\d", k)}
     for n in names:
         assert any(k.startswith(n[:-1]) for k in known) if n.endswith("*") else n in known, n
     listed = {k for k in known if k in names or any(n.endswith("*") and k.startswith(n[:-1]) for n in names)}
