@@ -1,17 +1,19 @@
 """Isolation forest: trees are built in parallel from independent samples.
 
-Every row of the table is dealt to one tree by a hash, and each tree keeps a fixed
-number of its rows. The work after the sampling depends on the forest size.
+Every row of the table is dealt to trees by a hash, and each tree keeps a fixed
+number of its rows. The work after the sampling depends on the forest size. All
+draws are md5 values of names, so any engine can build the same trees.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from argosift import constants as C
 from argosift.session import cut
@@ -29,6 +31,16 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + C.EULER) - 2.0 * (n - 1) / n
 
 
+def uniform(text: Column) -> Column:
+    """A number in [0, 1) that is drawn by the text: 52 bits of its md5."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def drawn(source: str, tree: int, node: int, what: str, seed: int) -> float:
+    """The same draw in Python, for a node of a tree."""
+    return int(hashlib.md5(f"{seed}|{source}|{tree}|{node}|{what}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+
+
 def tree_samples(df: DataFrame, features: Sequence[str], tie: str, trees: int, sample_rows: int,
                  seed: int) -> DataFrame:
     """Rows (source_type, tree, r, x): each tree's own sample, drawn from the whole table.
@@ -42,10 +54,11 @@ def tree_samples(df: DataFrame, features: Sequence[str], tie: str, trees: int, s
     wanted = F.ceil(F.lit(4 * sample_rows * trees) / F.count(F.lit(1))).cast("int")
     # One row per source type.
     shares = slim.groupBy("source_type").agg(F.least(wanted, F.lit(trees)).alias("m"))
-    first = F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(trees))
+    key = F.col("row_id").cast("string")
+    first = F.floor(uniform(F.concat(F.lit(f"{seed}|"), key)) * trees)
     dealt = slim.join(F.broadcast(shares), "source_type").withColumn("i", F.explode(F.sequence(
         F.lit(0), F.col("m") - 1))).withColumn("tree", ((first + F.col("i")) % trees).cast("int"))
-    dealt = dealt.withColumn("h", F.xxhash64(F.lit(seed + 1), "tree", "row_id"))
+    dealt = dealt.withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("tree").cast("string"), F.lit("|"), key)))
     order = W.partitionBy("source_type", "tree").orderBy("h", "row_id")
     ranked = dealt.withColumn("r", F.row_number().over(order))
     return ranked.where(F.col("r") <= sample_rows).select("source_type", "tree", "r", "x")
@@ -63,8 +76,7 @@ def train(df: DataFrame, features: Sequence[str], tie: str = "event_id", trees:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
         source, tree = pdf["source_type"].iloc[0], int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree, *source.encode()])
-        nodes = grow(np.stack(pdf["x"].to_numpy()), rng)
+        nodes = grow(np.stack(pdf["x"].to_numpy()), lambda node, what: drawn(source, tree, node, what, seed))
         out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "size"])
         return out.assign(source_type=source, tree=tree, psi=len(pdf))[
             ["source_type", "tree", "node", "feature", "split", "left", "right", "size", "psi"]]
@@ -72,27 +84,25 @@ def train(df: DataFrame, features: Sequence[str], tie: str = "event_id", trees:
     return cut(sampled.groupBy("source_type", "tree").applyInPandas(build, NODE_SCHEMA))
 
 
-def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (id, feature, split, left, right, size) of one tree; leaves have feature -1."""
+def grow(x: np.ndarray, draw: Callable[[int, str], float]) -> list[tuple]:
+    """Nodes (id, feature, split, left, right, size) of one tree; leaves have feature -1.
+
+    The root is node 1 and the children of node n are 2n and 2n + 1; ``draw(node, what)`` gives a number in [0, 1).
+    """
     limit = math.ceil(math.log2(max(len(x), 2)))
     nodes: list[tuple] = []
-    pending = [(0, x, 0)]
-    made = 1
+    pending = [(1, x, 0)]
     while pending:
         node, rows, depth = pending.pop()
-        feature = int(rng.integers(x.shape[1]))
+        feature = int(draw(node, "feature") * x.shape[1])
         low, high = (rows[:, feature].min(), rows[:, feature].max()) if len(rows) else (0.0, 0.0)
-        if depth >= limit or len(rows) <= 1 or low == high:
+        split = float(low + draw(node, "split") * (high - low))
+        if depth >= limit or len(rows) <= 1 or split <= low:
             nodes.append((node, -1, 0.0, -1, -1, len(rows)))
             continue
-        split = float(rng.uniform(low, high))
         goes_left = rows[:, feature] < split
-        if not goes_left.any() or goes_left.all():
-            nodes.append((node, -1, 0.0, -1, -1, len(rows)))
-            continue
-        nodes.append((node, feature, split, made, made + 1, len(rows)))
-        pending += [(made, rows[goes_left], depth + 1), (made + 1, rows[~goes_left], depth + 1)]
-        made += 2
+        nodes.append((node, feature, split, 2 * node, 2 * node + 1, len(rows)))
+        pending += [(2 * node, rows[goes_left], depth + 1), (2 * node + 1, rows[~goes_left], depth + 1)]
     return nodes
 
 
@@ -101,16 +111,13 @@ def _model_arrays(model: DataFrame) -> dict[str, dict]:
     pdf = model.toPandas().sort_values(["source_type", "tree", "node"])
     forests = {}
     for source, part in pdf.groupby("source_type"):
-        base = part.groupby("tree")["node"].transform("size").groupby(part["tree"]).first().cumsum()
-        start = base.shift(fill_value=0)
-        shift = part["tree"].map(start).to_numpy()
+        at = {key: i for i, key in enumerate(zip(part["tree"], part["node"]))}
         leaf = part["feature"].to_numpy() < 0
-        here = np.arange(len(part))
         forests[source] = {
-            "roots": start.to_numpy(), "feature": np.where(leaf, 0, part["feature"]),
-            "split": part["split"].to_numpy(),
-            "left": np.where(leaf, here, part["left"].to_numpy() + shift),
-            "right": np.where(leaf, here, part["right"].to_numpy() + shift),
+            "roots": np.array([at[(t, 1)] for t in part["tree"].unique()]),
+            "feature": np.where(leaf, 0, part["feature"]), "split": part["split"].to_numpy(),
+            "left": np.array([at.get(key, i) for i, key in enumerate(zip(part["tree"], part["left"]))]),
+            "right": np.array([at.get(key, i) for i, key in enumerate(zip(part["tree"], part["right"]))]),
             "leaf": leaf, "extra": np.array([average_path(s) for s in part["size"]]),
             "psi": int(part["psi"].max()),
         }

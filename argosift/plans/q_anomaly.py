@@ -512,25 +512,92 @@ def score_bands(t: Inputs):
 
 # --- isolation forest -----------------------------------------------------------------------
 
-@query("k5_forest_model")
+_SEED, _TREES, _SAMPLE = 7, 100, 256
+
+
+def _draw_sql(text: str) -> str:
+    return f"(('0x'||substr(md5({text}), 1, 13))::bigint / {float(1 << 52)}::double)"
+
+
+def _forest_ctes(st: str) -> dict[str, str]:
+    """Samples, the rows and nodes of every level, and all nodes of the trees."""
+    names = C.FEATURES[st]
+    name = f"'{_SEED}|{st}|'||tree||'|'||node||'|"
+    feature = f"floor({_draw_sql(name + chr(39) + '||' + repr('feature'))} * {len(names)})::int"
+    out = {
+        "feat": _feature_sql(st),
+        "slim": f"select event_id, [{', '.join(f'coalesce({f}::double, 0.0)' for f in names)}] as x from feat",
+        "dealt": f"""select event_id, x, ((floor({_draw_sql(f"'{_SEED}|'||event_id")} * {_TREES})::int + i) % {_TREES})::int
+            as tree from slim, (select unnest(range(least(ceil({4 * _SAMPLE * _TREES} / count(*)::double), {_TREES})::int))
+            as i from slim)""",
+        "picked": f"""select *, count(*) over (partition by tree) as psi from (select *, row_number() over (partition by tree
+            order by md5('{_SEED}|'||tree||'|'||event_id), event_id) as r from dealt) where r <= {_SAMPLE}""",
+        "r0": "select tree, 1 as node, psi, x from picked",
+    }
+    for d in range(9):
+        out[f"f{d}"] = f"select *, {feature} as f from r{d}"
+        out[f"g{d}"] = f"""select tree, node, psi, f, size, case when size > 1 and {d} < ceil(log2(greatest(psi, 2)))
+              and split > lo then split end as split from (select *, lo + {_draw_sql(name + chr(39) + '||' + repr('split'))}
+              * (hi - lo) as split from (select tree, node, psi, f, count(*) as size, min(x[f+1]) as lo, max(x[f+1]) as hi
+              from f{d} group by all))"""
+        if d < 8:
+            out[f"r{d + 1}"] = f"""select f{d}.tree, 2 * f{d}.node + (x[f{d}.f+1] >= split)::int as node, f{d}.psi, x
+                from f{d} join g{d} using (tree, node) where split is not null"""
+    out["nodes"] = " union all ".join(f"select * from g{d}" for d in range(9))
+    return out
+
+
+def _path_sql(n: str) -> str:
+    return (f"(case when {n} <= 1 then 0.0 when {n} = 2 then 1.0 else 2.0*(ln({n}-1)+{C.EULER})-2.0*({n}-1)/{n} end)"
+            "::double")
+
+
+def _score_ctes(st: str) -> dict[str, str]:
+    """Every row walked down every tree."""
+    out = {**_forest_ctes(st), "w0": f"""select event_id, x, tree::int as tree, 1 as node, 0 as depth from slim,
+        (select unnest(range({_TREES})) as tree) where tree in (select tree from nodes)"""}
+    for d in range(8):
+        out[f"w{d + 1}"] = f"""select event_id, x, w.tree, case when split is null then w.node else 2 * w.node
+            + (x[f+1] >= split)::int end as node, depth + (split is not null)::int as depth
+            from w{d} w join nodes using (tree, node)"""
+    out["iso"] = f"""select event_id, pow(2.0, -avg(depth + {_path_sql('size')}) / (select {_path_sql('max(psi)')} from nodes))
+        as isolation from w8 join nodes using (tree, node) group by event_id"""
+    return out
+
+
+@query("k5_forest_model", with_views(
+    """select 'network' as source_type, tree, count(*)::bigint as nodes, count_if(split is null)::bigint as leaves,
+         max(psi)::int as psi, round(sum(split), 4) as splits from nodes group by tree""", "net_conn",
+    ctes=_forest_ctes("network")))
 def forest_model(t: Inputs):
     """Nodes per tree of a forest trained on the connection features."""
-    return IF.train(feature_table(t, "network"), C.NETWORK_FEATURES).groupBy("source_type", "tree").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("psi").alias("psi"))
+    return IF.train(feature_table(t, "network"), C.NETWORK_FEATURES, trees=_TREES, sample_rows=_SAMPLE, seed=_SEED).groupBy(
+        "source_type", "tree").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("psi").alias("psi"),
+        F.round(F.sum(F.when(F.col("feature") >= 0, F.col("split"))), 4).alias("splits"))
 
 
-@query("k6_forest_score")
+@query("k6_forest_score", with_views("select event_id, round(isolation, 6) as isolation_score from iso", "net_conn",
+                                     ctes=_score_ctes("network")))
 def forest_score(t: Inputs):
     rows = feature_table(t, "network")
-    scored = IF.score(rows, IF.train(rows, C.NETWORK_FEATURES), C.NETWORK_FEATURES)
+    scored = IF.score(rows, IF.train(rows, C.NETWORK_FEATURES, seed=_SEED), C.NETWORK_FEATURES)
     return scored.select("event_id", F.round("isolation_score", 6).alias("isolation_score"))
 
 
-@query("k9_detect_with_forest")
+@query("k9_detect_with_forest", with_views(
+    f"""select event_id, round(w, 6) as anomaly_score, w>=0.6 as is_anomaly, case when w>=0.95 then 'critical'
+          when w>=0.8 then 'high' when w>=0.6 then 'medium' else 'low' end as severity,
+          (stat_reasons + (isolation>0.5)::int + {_PATTERN_SQL['network'][1]})::bigint as reasons
+        from (select feat.*, stat_reasons, isolation, stat*0.4+isolation*0.3+{_PATTERN_SQL['network'][0]}*0.2
+            +(case when is_business_hours=0 then 0.2 else 0.0 end)*0.1 as w
+          from feat join stat using (event_id) join iso using (event_id))""", "net_conn",
+    ctes={**_score_ctes("network"), **{k: v for k, v in _ctes("network").items() if k != "feat"},
+          "stat": _STAT.format(t="3.0::double")}))
 def detect_with_forest(t: Inputs):
     """All four methods on connections."""
     joined = _joined(t, "network", True)
-    scored = IF.score(joined, IF.train(joined, C.NETWORK_FEATURES), C.NETWORK_FEATURES)
+    scored = IF.score(joined, IF.train(joined, C.NETWORK_FEATURES, seed=_SEED), C.NETWORK_FEATURES)
     rows = A.detect(scored, "network", C.NETWORK_FEATURES)
     return rows.select("event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly",
-                       F.col("anomaly_severity").alias("severity"), F.array_join("reasons", "; ").alias("reasons"))
+                       F.col("anomaly_severity").alias("severity"), F.size("reasons").cast("long").alias("reasons"))

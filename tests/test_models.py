@@ -73,9 +73,9 @@ def test_forest_ranks_planted_outliers_first_and_repeats(spark):
 
 def test_forest_paths_follow_the_tree():
     x = np.random.default_rng(0).normal(size=(64, 2))
-    nodes = {n[0]: n for n in IF.grow(x, np.random.default_rng(1))}
+    nodes = {n[0]: n for n in IF.grow(x, lambda node, what: IF.drawn('s', 0, node, what, 1))}
 
-    def walk(p, node=0, depth=0):
+    def walk(p, node=1, depth=0):
         _, feature, split, left, right, size = nodes[node]
         if feature < 0:
             return depth + IF.average_path(size)
@@ -84,7 +84,7 @@ def test_forest_paths_follow_the_tree():
     order = sorted(nodes)
     at = {n: i for i, n in enumerate(order)}
     leaf = np.array([nodes[n][1] < 0 for n in order])
-    forest = {"roots": np.array([at[0]]), "leaf": leaf,
+    forest = {"roots": np.array([at[1]]), "leaf": leaf,
               "feature": np.array([max(nodes[n][1], 0) for n in order]),
               "split": np.array([nodes[n][2] for n in order]),
               "left": np.array([at.get(nodes[n][3], i) for i, n in enumerate(order)]),
