@@ -37,20 +37,28 @@ class Fingerprint:
             self._add(text, 1)
 
     def _add(self, text: str, sign: int) -> None:
-        for line in text.split("\n"):
-            line = " ".join(line.split())
-            if not line:
-                continue
-            digest = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8 * EXACT).digest()
-            vector = np.frombuffer(digest, "<u8")
-            self.exact = self.exact + vector if sign > 0 else self.exact - vector
-            words = Words(line)
-            last = np.arange(min(RUN, len(words)) - 1, len(words))
-            codes = words.hashes(np.maximum(last - RUN + 1, 0), last)
-            place = (codes >> np.uint64(1)) % np.uint64(LANES)
-            # Odd codes subtract.
-            self.lanes += sign * (np.bincount(place.astype(np.int64), minlength=LANES) - 2 * np.bincount(
-                place[(codes & np.uint64(1)) == 1].astype(np.int64), minlength=LANES))
+        raw = text.encode("utf-8", "surrogatepass")
+        lengths = np.array([n for line in raw.split(b"\n") if (n := len(line.split()))], np.int64)
+        if not len(lengths):
+            return
+        words = Words(raw)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        digests = b"".join(hashlib.blake2b(words.run(a, b - 1), digest_size=8 * EXACT).digest()
+                           for a, b in zip(starts.tolist(), ends.tolist()))
+        total = np.frombuffer(digests, "<u8").reshape(-1, EXACT).sum(axis=0, dtype=np.uint64)
+        self.exact = self.exact + total if sign > 0 else self.exact - total
+        # A run ends at every word that has enough words of its line before it, or at the last word of a short line.
+        begin = np.repeat(starts, lengths)
+        last = np.arange(ends[-1])
+        full = last - begin >= RUN - 1
+        full[ends[lengths < RUN] - 1] = True
+        last, begin = last[full], begin[full]
+        codes = words.hashes(np.maximum(last - RUN + 1, begin), last)
+        place = ((codes >> np.uint64(1)) % np.uint64(LANES)).astype(np.int64)
+        # Odd codes subtract.
+        odd = (codes & np.uint64(1)) == 1
+        self.lanes += sign * (np.bincount(place, minlength=LANES) - 2 * np.bincount(place[odd], minlength=LANES))
 
     def insert(self, text: str) -> Fingerprint:
         self._add(text, 1)

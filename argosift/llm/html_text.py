@@ -42,6 +42,8 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_LAYOUT = re.compile(r"(?:has|with|without|no|is|js|layout)[-_]", re.I)  # names that only say how a page is laid out
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -57,13 +59,16 @@ def _is_outside(name: str, attributes: str, holder: int) -> bool:
         return True
     if name in ("body", "html", "article", "main") and "comment" not in attributes.lower():
         return False
+    if _UNSEEN.search(attributes):
+        return True
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "role" and value.lower() in _ROLES:
             return True
-        if key in ("class", "id") and any(w.lower() in _WORDS for w in _PARTS.findall(value)):
+        if key in ("class", "id") and any(w.lower() in _WORDS for name_ in value.split() if not _LAYOUT.match(name_)
+                                          for w in _PARTS.findall(name_)):
             return True
     return False
 
@@ -101,7 +106,15 @@ def lines_of(page: str, gap: int) -> list[Line]:
             continue
         closing, attributes = bool(m[1]), m[3]
         if skip:
-            # Elements of the same name nest; an end tag of what stands around closes the skipped one as well.
+            # Elements of the same name nest; an end tag of what stands around closes the skipped one as well, and so
+            # does an article inside a form around the page or an element that is never closed.
+            if not closing and name in _HOLDERS and not _is_outside(name, attributes, holder) and (
+                    skip == "form" or lowered.find(f"</{skip}", at) < 0):
+                end_line()
+                stack.append((name, holder))
+                holders += 1
+                holder, skip = holders, ""
+                continue
             if name == skip:
                 skip_depth += -1 if closing else 0 if attributes.endswith("/") else 1
             elif closing and name in ("body", "html") or closing and any(name == n for n, _ in stack[-1:]) and (

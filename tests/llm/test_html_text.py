@@ -45,6 +45,15 @@ def test_page_without_article_element():
     assert text == f"Title\n\n{LONG.strip()}\n\nTiny.\n\n{LONG.strip()}"
 
 
+def test_wrappers_around_the_article():
+    article = f"<article><h1>Head</h1><p>{LONG}</p></article>"
+    want = f"Head\n\n{LONG.strip()}"
+    assert H.main_text(page(f'<form id="page">{article}<input></form>')) == want
+    assert H.main_text(page(f'<div class="has-sidebar">{article}<div class="sidebar">{LONG}</div></div>')) == want
+    assert H.main_text(page(f'<nav><ul><li>never closed{article}')) == want
+    assert H.main_text(page(f'{article}<div style="display: none">{LONG}</div><p hidden>{LONG}</p>')) == want
+
+
 def test_odd_markup():
     assert H.main_text(None) == H.main_text("") == H.main_text("<div></div>") == ""
     assert H.main_text("plain  text\n here") == "plain text here"
