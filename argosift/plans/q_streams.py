@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from argosift import constants as C, schemas
 from argosift.functions import severity as S
-from argosift.operators import features as FX
+from argosift.operators import baseline as B, features as FX
 from argosift.plans import sqltext as Q
 from argosift.plans.registry import query
 from argosift.operators.audit import event_hash
 from argosift.plans.views import LOG_LINE, NET_CONN, PRIMARY, SEC_LOG, Inputs, spark_columns, with_views
-from argosift.session import new_path
+from argosift.plans.q_anomaly import _detect_sql, features_of
+from argosift.plans.q_correlate import _rule_hits
+from argosift.session import cut, new_path
 from argosift.streaming import jobs as J
 
 
@@ -287,6 +289,29 @@ def live_monitor(t: Inputs):
     return J.run_to_table(J.live_monitor(lines).select("event_id", "level", "triage"), "monitor")
 
 
+@query("i11_live_scores", with_views(
+    f"select event_id, anomaly_score, is_anomaly, severity from ({_detect_sql('log', 0.35)})", "sec_log"))
+def live_scores(t: Inputs):
+    """Lines scored as they arrive, against a profile that a batch has learned and stored."""
+    rows = FX.log_features(_log(t).withColumn("source_type", F.lit("log")), severity="severity")
+    profile = cut(B.learn(features_of(t, "log"), C.LOG_FEATURES))
+    scored = J.live_scores(rows, profile, "log", C.LOG_FEATURES, 0.35)
+    return J.run_to_table(scored.select("event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly",
+                                        F.col("anomaly_severity").alias("severity")), "scores")
+
+
+@query("i11_live_rules", with_views(
+    """select host_id, rule_id, cast(time_bucket(interval 1 hour, ts) as varchar) as window_start, count(*)::bigint as events
+       from hits group by 1,2,3""", "log_line", ctes={"hits": _rule_hits("log")}))
+def live_rules(t: Inputs):
+    """Rule hits per host and hour, over three deliveries."""
+    table, checkpoint = J.OpenAndClosed(t.spark, new_path(t.spark, "rules")), new_path(t.spark, "rules-checkpoint")
+    _arrivals(t, lambda ev: J.write_windows(J.rule_windows(
+        ev.selectExpr(*spark_columns(SEC_LOG)).selectExpr(*spark_columns(LOG_LINE)), "log", ["line"], C.RULES,
+        ["host_id"], "1 hour"), ["window_start", "host_id", "rule_id"], table, checkpoint))
+    return table.read().select("host_id", "rule_id", F.col("window_start").cast("string").alias("window_start"), "events")
+
+
 _NEXT = """select distinct host_id, snapshot_ts, lag(snapshot_ts) over w as before, lead(snapshot_ts) over w as after
   from (select distinct host_id, snapshot_ts from proc_snapshot) window w as (partition by host_id order by snapshot_ts)"""
 

@@ -9,12 +9,13 @@ the parallel batch operators, so a hot key does not become one serial task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from argosift import constants as C
 from argosift.functions import severity as S
-from argosift.operators import audit as A, baseline as B, parse as L, snapshots as N
+from argosift.operators import anomaly as AN, audit as A, baseline as B, detect as D, parse as L, snapshots as N
 from argosift.operators.windows import last_before, trailing_sums
 from argosift.session import cut, new_path
 from argosift.sources.tables import table_exists
@@ -131,6 +132,25 @@ def live_monitor(lines: DataFrame, line: str = "line", ts: str = "ts") -> DataFr
     return graded.withColumn("alert", F.col("triage") == "threat")
 
 
+def live_scores(rows: DataFrame, profile: DataFrame, source_type: str, features: Sequence[str],
+                threshold: float = 0.6) -> DataFrame:
+    """Feature rows of a stream scored against a stored profile.
+
+    Statistical, pattern and business-hour scores look at one row each. Burst rates need a key's earlier rows and are
+    left to the batch detector.
+    """
+    plain = rows.withColumn("events_per_minute", F.lit(None).cast("double"))
+    return AN.detect(B.with_profile(plain, profile), source_type, features, threshold=threshold)
+
+
+def rule_windows(df: DataFrame, kind: str, columns: Sequence[str], rules: Sequence[C.Rule], keys: Sequence[str],
+                 window: str) -> DataFrame:
+    """Hits per rule and key in event-time windows; a rule that needs several compares ``events`` with its minimum."""
+    single = [replace(r, min_occurrences=1) for r in rules]
+    hits = D.match_rules(df, kind, columns, single, keys)
+    return window_counts(hits, [*keys, "rule_id"], window)
+
+
 def deduplicate(df: DataFrame, keys: Sequence[str] = ("event_id",)) -> DataFrame:
     """First copy of each id within the watermark."""
     return event_time(df).dropDuplicatesWithinWatermark(list(keys)).drop("at")
