@@ -113,7 +113,7 @@ def _pieces(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         "doc_id", "text", F.explode(F.expr(
             "if(before is null, array(struct(piece, false as tail)),"
             " array(struct(piece, false as tail), struct(before as piece, true as tail)))")).alias("at"))
-    return copies.select("doc_id", "text", "at.*").repartition(ranges, "piece").sortWithinPartitions(
+    return copies.select("doc_id", "text", "at.*").repartitionByRange(ranges, "piece").sortWithinPartitions(
         "piece", "tail", F.desc_nulls_last("doc_id"), "text")
 
 
