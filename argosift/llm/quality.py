@@ -5,7 +5,8 @@ known to be good, the raw model over all texts. A text's weight is the sum over
 target's share over the raw share; adding Gumbel noise and taking the largest keys draws texts without replacement in
 proportion to their weight. The noise comes from a hash of id and text, so a run can be repeated.
 
-The counts cover every text whole. The driver gets one count per bucket and a histogram per selection round.
+The raw counts cover every text whole, the target counts a bounded sample of the good ones. The driver gets one count
+per bucket and a histogram per selection round.
 
 Defined cases: null and empty texts have no n-grams and weight 0; without target texts all weights are 0; rows with
 equal id and text have equal keys and stay or go together, also at the edge of the sample, where ties are all taken;
@@ -109,14 +110,16 @@ def top_k(rows: DataFrame, key: str, k: int, steps: int = 1024) -> Column:
 
 
 def resample(docs: DataFrame, good: DataFrame, share: float = 0.25, id_column: str = "doc_id", text: str = "text",
-             n_buckets: int = 10_000, seed: int = 7) -> DataFrame:
+             n_buckets: int = 10_000, good_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """Scores of all rows of ``docs`` and whether each is in the sample of ``share`` of them.
 
-    ``good`` has the ids of target texts.
+    ``good`` has the ids of target texts; the target model is fitted on the ``good_rows`` of them with the smallest
+    hashes, so the ids can be broadcast whatever the size of the table, and texts are not shuffled.
     """
-    ids = good.select(F.col(id_column).alias("good_id")).distinct()
+    ids = good.select(F.col(id_column).alias("good_id")).where(F.col("good_id").isNotNull()).distinct().orderBy(
+        F.xxhash64("good_id"), "good_id").limit(good_rows)
     labelled = docs.select(id_column, text).join(
-        ids, F.col(id_column) == F.col("good_id"), "left").withColumn("good", F.col("good_id").isNotNull())
+        F.broadcast(ids), F.col(id_column) == F.col("good_id"), "left").withColumn("good", F.col("good_id").isNotNull())
     ratio = models(labelled, text, "good", n_buckets)
     rows = cut(score(docs, ratio, id_column, text, seed))
     chosen = top_k(rows, "gumbel_key", int(round(share * rows.count())))
