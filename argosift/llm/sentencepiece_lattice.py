@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 The piece table comes from a public model file. Text is normalised as that model asks (a leading space, spaces as the
-piece mark) and cut into words, where no piece can cross: before a run of marks, and around line breaks. Each distinct
-word of the corpus is encoded once:
+piece mark) and cut into words, where no piece can cross: before a run of marks, around line breaks, and between letters
+and other characters (``load`` makes sure of it). Each distinct word of the corpus is encoded once:
 
 1. its substrings of at most the longest piece's length are exploded and joined with the piece table by equality
    (the table is broadcast; its size is the model's, not the data's);
@@ -30,14 +30,19 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from argosift.session import cut
 
 MARK = "▁"
-_WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+# Everything but letters and marks of words: ASCII, Latin-1, general and CJK punctuation, digits and symbols.
+_OTHERS = (r"\x00-\x09\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7"
+           r"\u2000-\u2580\u2582-\u2bff\u3000-\u303f")
+_WORD = re.compile(rf"{MARK}*[^{_OTHERS}\n{MARK}]+|{MARK}*[{_OTHERS}]+|{MARK}+|\n")
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -59,7 +64,7 @@ class Pieces:
 
 
 def load(model_file: str) -> Pieces:
-    """Reads the piece table; the model must have byte pieces and none with a mark or line break inside."""
+    """Reads the piece table; the model must have byte pieces and none that would cross words."""
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     usable, byte_ids, texts = [], [0] * 256, []
     for i in range(model.get_piece_size()):
@@ -72,7 +77,7 @@ def load(model_file: str) -> Pieces:
         else:
             usable.append((piece, i, model.get_score(i)))
             texts.append(piece.replace(MARK, " ").encode())
-    if not any(byte_ids) or any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in usable):
+    if not any(byte_ids) or any(len(_WORD.findall(p)) != 1 for p, _, _ in usable):
         raise ValueError("the model needs byte pieces and pieces that do not cross words")
     return Pieces(usable, byte_ids, texts)
 
@@ -95,9 +100,10 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
             return out
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(words(t))
-                if len(seen) > 500_000:
+            for at in range(0, batch.num_rows, 64):
+                for t in batch.column(0).slice(at, 64).to_pylist():
+                    seen.update(words(t))
+                if len(seen) > 200_000:
                     yield flush()
         yield flush()
 
@@ -115,7 +121,9 @@ def encode_words(found: DataFrame, pieces: Pieces) -> DataFrame:
         table, "piece", "left").where("id is not null or end = start + 1").select(
         "word", "n", F.struct("end", "start", F.coalesce("id", F.lit(-1)).alias("id"),
                               F.coalesce("score", F.lit(pieces.unknown_score)).alias("score")).alias("edge"))
-    lattice = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    # The hash first: rows are sorted by it, which is cheaper than by words with common beginnings.
+    lattice = edges.groupBy(F.xxhash64("word").alias("key"), "word", "n").agg(
+        F.sort_array(F.collect_list("edge")).alias("edges"))
     node = "named_struct('score', {0}, 'start', {1}, 'id', {2})"
     fold = f"""
         aggregate(edges,
@@ -152,7 +160,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text: str
     spark = docs.sparkSession
     dictionary = cut(encode_words(distinct_words(docs, text), pieces))
     # At most ``frequent`` words reach the driver and the tasks.
-    common = {r["word"]: r["ids"] for r in dictionary.orderBy(F.desc("n"), "word").limit(frequent).collect()}
+    common = {r["word"]: np.array(r["ids"], "<i4").tobytes() for r in dictionary.orderBy(F.desc("n"), "word").limit(frequent).collect()}
     known = spark.sparkContext.broadcast(common)
     chosen = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
@@ -165,27 +173,28 @@ def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text: str
                 row, first, count, ids, rare = [], [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     found = words(t)
-                    coded = [table.get(w) for w in found]
+                    coded = list(map(table.get, found))
                     begin = 0
-                    holes = [j for j, c in enumerate(coded) if c is None]
-                    for j in [*holes, len(found)]:
+                    for j in [*(k for k, c in enumerate(coded) if c is None), len(found)]:
                         if j > begin:
                             row.append(i)
                             first.append(begin)
                             count.append(j - begin)
-                            ids.append([x for c in coded[begin:j] for x in c])
+                            ids.append(b"".join(coded[begin:j]))
                             rare.append(None)
                         if j < len(found):
                             row.append(i)
                             first.append(j)
                             count.append(1)
-                            ids.append(None)
+                            ids.append(b"")
                             rare.append(found[j])
                         begin = j + 1
+                ends = np.cumsum([0, *(len(b) // 4 for b in ids)], dtype=np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int32()),
-                     pa.array(count, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.string())],
-                    names=["doc_id", "first_word", "n_words", "ids", "word"])
+                     pa.array(count, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values),
+                     pa.array(rare, pa.string())], names=["doc_id", "first_word", "n_words", "ids", "word"])
 
     runs = chosen.mapInArrow(run, f"doc_id {kind}, first_word int, n_words int, ids array<int>, word string")
     looked_up = runs.where(F.col("word").isNotNull()).drop("ids").join(dictionary.select("word", "ids"), "word")
@@ -202,8 +211,10 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            texts = [None if x is None else b"".join(map(table.__getitem__, x)).decode("utf-8", "replace")
-                     for x in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            parts = list(map(table.__getitem__, lists.flatten().to_pylist()))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+            texts = [b"".join(parts[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
             yield batch.append_column(out, pa.array(texts, pa.string()))
 
     return rows.mapInArrow(run, f"{kinds}, `{out}` string")

@@ -89,13 +89,11 @@ def test_equals_plain_viterbi_on_the_corpus(corpus, pieces, plain):
         assert got[r.doc_id] == (plain(r.text), r.text)
 
 
-def test_scores_equal_the_lattice_of_the_library(corpus, plain, unigram):
+def test_scores_equal_the_lattice_of_the_library(plain, unigram):
     """The library's n-best search; its faster search adds scores that differ by 10^9 in 32-bit floats."""
-    _, rows = corpus
-    found = {w for r in rows for w in P.words(r.text) if w.count("▁") == 1 and w[0] == "▁" and len(w) > 1}
-    for w in sorted(found)[::101]:
-        want = unigram.nbest_encode(w[1:], nbest_size=2)[0]
-        assert sum(map(unigram.get_score, plain(w[1:]))) == sum(map(unigram.get_score, want)), w
+    for w in ("the", "hehe", "ontion", "theand", "Words"):
+        want = unigram.nbest_encode(w, nbest_size=2)[0]
+        assert sum(map(unigram.get_score, plain(w))) == sum(map(unigram.get_score, want)), w
 
 
 def test_any_bound_of_frequent_words_gives_the_same(documents, pieces):
