@@ -105,3 +105,23 @@ def test_continued_chain_equals_whole_chain(chain):
     cols = ["host_id", "record_id", "sequence_number", "chain_hash"]
     assert sorted(map(tuple, first.select(cols).unionByName(second.select(cols)).collect())) == sorted(
         map(tuple, whole.select(cols).collect()))
+
+
+@pytest.mark.parametrize("keep,first", [
+    ("sequence_number <> 8", 8), ("sequence_number not between 9 and 16", 9), ("sequence_number <= 27", 28),
+    ("sequence_number <> 5", 5), ("sequence_number > 8", 1), ("false", 1)])
+def test_removed_records_are_found(chain, keep, first):
+    links = A.link_records(chain, segment_rows=8)
+    heads = A.stored_heads(links, segment_rows=8)
+    damaged = links.where(f"host_id = 'b' or ({keep})")
+    rows = {r["host_id"]: r for r in A.verify(damaged, heads=heads, segment_rows=8).collect()}
+    assert (rows["a"]["first_broken"], rows["a"]["chain_valid"]) == (first, False)
+    assert (rows["b"]["first_broken"], rows["b"]["chain_valid"]) == (None, True)
+
+
+def test_replaced_chain_has_another_root(chain):
+    heads = A.stored_heads(A.link_records(chain, segment_rows=8), segment_rows=8)
+    other = A.link_records(chain.withColumn("content_hash", F.when(F.col("record_id") == 5, "x").otherwise(
+        F.col("content_hash"))), segment_rows=8)
+    rows = {r["host_id"]: r["chain_valid"] for r in A.verify(other, heads=heads, segment_rows=8).collect()}
+    assert rows == {"a": False, "b": True}

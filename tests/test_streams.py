@@ -140,3 +140,120 @@ def test_source_config_keeps_enabled_sources_only():
     specs = R.parse_config({"max_entries_per_source": 5, "a": {"enabled": True, "sources": [
         {"name": "x", "path": "p"}, {"name": "y", "enabled": False}]}, "b": {"sources": [{"name": "z"}]}})
     assert [s.name for s in specs] == ["x"]
+
+
+# --- the same data in other batches gives the same tables ---------------------------------------
+
+def _data(spark):
+    """200 events of two hosts, a warning or an error each, in time order."""
+    make = [(i, T0 + timedelta(seconds=i * 47 + (i % 5) * 11), f"h{i % 7 % 2}", "auth", "x",
+             "error" if i % 3 == 0 else "warning", f"m{i}") for i in range(200)]
+    return make, spark.createDataFrame(make, SCHEMA).schema
+
+
+CUTS = [[200], [60, 130, 200], [1, 2, 150, 199, 200]]
+
+
+def _deliver(spark, cuts, job, name):
+    data, schema = _data(spark)
+    path = new_path(spark, f"{name}-in")
+    at = 0
+    for end in cuts:
+        spark.createDataFrame(data[at:end], schema).coalesce(1).write.mode("append").parquet(path)
+        job(J.read_files(spark, path, schema))
+        at = end
+
+
+def _rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+@pytest.mark.parametrize("cuts", CUTS[1:], ids=["three", "uneven"])
+def test_batch_cuts_do_not_matter(spark, cuts):
+    def tables(splits, label):
+        out = {}
+        for kind in ("windows", "sessions", "pairs"):
+            table, cp = J.OpenAndClosed(spark, new_path(spark, kind)), new_path(spark, f"{kind}-cp")
+            job = {
+                "windows": lambda ev: J.write_windows(J.window_counts(ev, ["host_id"], "10 minutes", "5 minutes"),
+                                                      ["window_start", "host_id"], table, cp),
+                "sessions": lambda ev: J.sessions(ev, ["host_id"], table, cp, "90 seconds", slots=3),
+                "pairs": lambda ev: J.preceded_by(ev, F.col("severity") == "error", F.col("severity") == "warning",
+                                                  ["host_id"], 120, table, cp),
+            }[kind]
+            _deliver(spark, splits, job, kind + label)
+            columns = {"windows": ["window_start", "host_id", "events", "closed"],
+                       "sessions": ["host_id", "started", "ended", "events", "closed"],
+                       "pairs": ["event_id", "host_id", "matches", "nearest"]}[kind]
+            rows = table.read()
+            if kind == "pairs":
+                rows = table.closed.read().unionByName(table.open.latest().where("later and not done"))
+            out[kind] = _rows(rows, *columns)
+        return out
+
+    one, many = tables(CUTS[0], "one"), tables(cuts, "many")
+    assert one == many
+    data, _ = _data(spark)
+    assert sum(r[3] for r in one["sessions"]) == 200 and sum(r[2] for r in one["windows"]) == 400
+    errors = [r for r in data if r[5] == "error"]
+    want = []
+    for e in errors:
+        before = [(r[1], r[0]) for r in data if r[5] == "warning" and r[2] == e[2]
+                  and timedelta(0) <= e[1] - r[1] <= timedelta(seconds=120)]
+        want.append((e[0], e[2], len(before), max(before)[1] if before else None))
+    assert one["pairs"] == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("cuts", CUTS[1:], ids=["three", "uneven"])
+def test_batch_cuts_do_not_matter_for_state(spark, cuts):
+    def state(splits, label):
+        table, cp = J.VersionedTable(spark, new_path(spark, "base")), new_path(spark, "base-cp")
+        _deliver(spark, splits, lambda ev: J.moving_baseline(
+            ev.withColumn("x", (F.col("event_id") * 37 % 11).cast("double")), ["x"], ["host_id"], table, cp, seed_rows=15,
+            segment_rows=8), "base" + label)
+        return {r["host_id"]: (round(r["means"][0], 9), round(r["variances"][0], 9), r["sample_count"])
+                for r in table.latest().collect()}
+
+    def changes(splits, label):
+        found, last = J.BatchTable(spark, new_path(spark, "chg")), J.VersionedTable(spark, new_path(spark, "snap"))
+        cp = new_path(spark, "snap-cp")
+        _deliver(spark, splits, lambda ev: J.snapshot_events(
+            ev.select("host_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("snapshot_ts"),
+                      (F.col("event_id") % 9).alias("pid")), ["pid"], found, last, cp), "snap" + label)
+        return _rows(found.read(), "host_id", "snapshot_ts", "pid", "change")
+
+    assert state(CUTS[0], "one") == state(cuts, "many")
+    assert changes(CUTS[0], "one") == changes(cuts, "many")
+
+
+def test_audit_of_several_deliveries_raises_no_alarm(spark):
+    primary, backup = new_path(spark, "ap"), new_path(spark, "ab")
+    reports, cp = J.BatchTable(spark, new_path(spark, "ar")), new_path(spark, "ar-cp")
+    data, schema = _data(spark)
+    at = 0
+
+    def job(ev):
+        J.periodic_audit(ev, lambda: spark.read.parquet(primary), lambda: spark.read.parquet(backup), reports, cp)
+
+    path = new_path(spark, "audit-in")
+    for end in (90, 200):
+        part = spark.createDataFrame(data[at:end], schema)
+        part.write.mode("append").parquet(primary)
+        part.select(F.col("event_id").alias("record_id"), A.event_hash().alias("content_hash")).write.mode(
+            "append").parquet(backup)
+        part.coalesce(1).write.mode("append").parquet(path)
+        job(J.read_files(spark, path, schema))
+        at = end
+    got = sorted((r["batch_no"], r["valid"], r["missing"], r["alert"]) for r in reports.read().collect())
+    assert got == [(0, 90, 0, False), (1, 200, 0, False)]
+
+
+def test_retention_keeps_the_newest(spark):
+    state, rows_ = J.VersionedTable(spark, new_path(spark, "ret")), J.BatchTable(spark, new_path(spark, "retb"))
+    df = spark.createDataFrame([("a", 1)], "k string, n long")
+    for i in range(4):
+        state.write(df.withColumn("n", F.lit(i)), i)
+        rows_.write(df, i)
+    J.drop_versions(state)
+    J.drop_batches(rows_, 2)
+    assert sorted(state.versions()) == [2, 3] and state.latest().first()["n"] == 3 and rows_.read().count() == 2
