@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +55,11 @@ class Pieces:
     byte_ids: list[int]
     texts: list[bytes]
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.usable)
 
-    @property
+    @cached_property
     def unknown_score(self) -> float:
         return min(s for _, _, s in self.usable) - _UNKNOWN_PENALTY
 
