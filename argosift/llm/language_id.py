@@ -3,8 +3,11 @@
 Texts become normalised TF-IDF vectors of hashed letter 2-grams and 3-grams (UTF-8 bytes of the lower-cased text,
 everything that is no letter as one space). Document frequencies come from all training rows. Each language gets
 several centroids by spherical k-means over a bounded sample of distinct training texts (``per_language`` of them,
-whole texts, chosen by hash). A text gets the language of the centroid with the largest cosine; a text farther from
-that centroid than ``slack`` times the cosine of the language's farthest training text is marked as rejected.
+whole texts, chosen by hash). A text gets the language of the centroid with the largest cosine.
+
+Rejection: cosines grow with the length of a text, so each language has a cut for each band of length (powers of two of
+the number of n-grams). It is ``slack`` times the cosine that 99.7 % of all training texts of the language and band reach;
+bands with fewer than 100 texts are judged with their neighbours. A text below the cut of its band is rejected.
 
 Defined cases: a null text or one without a letter has language ``und``, score 0 and is rejected; a text with letters
 but no known n-gram gets the first language, score 0 and is rejected; ties go to the first language in order; without
@@ -26,6 +29,8 @@ from argosift.llm.common import free_name, map_arrow
 UNKNOWN = "und"
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
+_BANDS = 32  # bands of length
+_STEPS = 1000  # cosines are counted in steps of a thousandth
 
 
 def counts(text: str | None, dims: int) -> np.ndarray | None:
@@ -48,28 +53,30 @@ class Model:
     idf: np.ndarray
     languages: list[str]
     centroids: np.ndarray
-    reach: np.ndarray
+    reach: np.ndarray  # low cosines of training texts by centroid and band of length
 
-    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vectors of the texts and whether each has a letter."""
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of the texts, whether each has a letter, and bands of length."""
         out = np.zeros((len(texts), len(self.idf)), np.float32)
         some = np.zeros(len(texts), bool)
+        band = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             found = counts(text, len(self.idf))
             if found is not None:
                 some[i] = True
                 out[i] = np.log1p(found) * self.idf
+                band[i] = min(_BANDS, int(found.sum()).bit_length()) - 1
         length = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(length > 0, length, 1), some
+        return out / np.where(length > 0, length, 1), some, band
 
     def predict(self, texts: list[str | None], slack: float) -> tuple[list[str], list[float], list[bool]]:
-        vectors, some = self.vectors(texts)
+        vectors, some, band = self.vectors(texts)
         if not len(self.centroids):
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
         cosine = vectors @ self.centroids.T
         best = cosine.argmax(axis=1)
         top = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
-        refused = ~some | (top <= 0) | (top < slack * self.reach[best])
+        refused = ~some | (top <= 0) | (top < slack * self.reach[best, band])
         return ([self.languages[k] if ok else UNKNOWN for k, ok in zip(best, some)],
                 [float(x) if ok else 0.0 for x, ok in zip(top, some)], refused.tolist())
 
@@ -97,7 +104,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
         dims: int = 8192) -> Model:
     """Learns from rows with a label; ``dims`` is a power of two.
 
-    The driver gets ``dims`` frequencies and ``clusters`` centroids per language, whatever the number of rows.
+    The driver gets ``dims`` frequencies, ``clusters`` centroids and a histogram of cosines per language, whatever the
+    number of rows.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
@@ -131,28 +139,68 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
     bounds = ranked.where(F.col("rank") <= per_language).groupBy("label").agg(F.max("order").alias("bound"))
     sample = rows.withColumn("order", F.xxhash64("text")).join(F.broadcast(bounds), "label").where(
         F.col("order") <= F.col("bound")).dropDuplicates(["label", "order"])
-    plain = Model(idf, [], np.zeros((0, dims), np.float32), np.zeros(0))
+    plain = Model(idf, [], np.zeros((0, dims), np.float32), np.zeros((0, _BANDS)))
 
     def cluster(key: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by("order")
         texts = part["text"].to_pylist()
-        vectors, some = plain.vectors(texts)
+        vectors, some, _ = plain.vectors(texts)
         if not some.any():
-            return pa.table({"label": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()),
-                             "reach": pa.array([], pa.float64())})
-        centroids, reach = spherical_kmeans(vectors[some], clusters)
+            return pa.table({"label": pa.array([], pa.string()), "centroid": pa.array([], pa.binary())})
+        centroids, _ = spherical_kmeans(vectors[some], clusters)
         return pa.table({"label": pa.array([key[0].as_py()] * len(centroids), pa.string()),
-                         "centroid": pa.array([c.tobytes() for c in centroids], pa.binary()),
-                         "reach": pa.array([reach] * len(centroids), pa.float64())})
-
-    learned = sorted(sample.groupBy("label").applyInArrow(
-        cluster, "label string, centroid binary, reach double").collect(), key=lambda r: (r["label"], r["centroid"]))
-    return Model(idf, [r["label"] for r in learned],
-                 np.array([np.frombuffer(r["centroid"], np.float32) for r in learned], np.float32).reshape(-1, dims),
-                 np.array([r["reach"] for r in learned]))
-
-
-def classify(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.25,
+                         "centroid": pa.array([c.tobytes() for c in centroids], pa.binary())})
+
+    learned = sorted(sample.groupBy("label").applyInArrow(cluster, "label string, centroid binary").collect(),
+                     key=lambda r: (r["label"], r["centroid"]))
+    languages = [r["label"] for r in learned]
+    centroids = np.array([np.frombuffer(r["centroid"], np.float32) for r in learned], np.float32).reshape(-1, dims)
+    if not languages:
+        return plain
+    names = sorted(set(languages))
+    number = np.array([names.index(x) for x in languages])
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((len(names), _BANDS, _STEPS + 1), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = np.array([names.index(x) if x in names else -1 for x in part.column(0).to_pylist()], np.int64)
+                vectors, some, band = plain.vectors(part.column(1).to_pylist())
+                cosine = np.where(number[None, :] == own[:, None], vectors @ centroids.T, 0).max(axis=1)
+                step = (np.clip(cosine, 0, 1) * _STEPS).astype(np.int64)
+                use = some & (own >= 0)
+                np.add.at(found, (own[use], band[use], step[use]), 1)
+        at = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in at), pa.array(found[at])],
+                                         names=["language", "band", "step", "n"])
+
+    # At most languages x bands x steps rows, whatever the number of texts.
+    histogram = np.zeros((len(names), _BANDS, _STEPS + 1), np.int64)
+    for r in rows.mapInArrow(cosines, "language long, band long, step long, n long").groupBy(
+            "language", "band", "step").agg(F.sum("n").alias("n")).collect():
+        histogram[r["language"], r["band"], r["step"]] = r["n"]
+    return Model(idf, languages, centroids, low_cosines(histogram)[number])
+
+
+def low_cosines(histogram: np.ndarray, part: float = 0.003, least: int = 100) -> np.ndarray:
+    """By language and band, the cosine that all but ``part`` of the counted texts reach.
+
+    Bands with fewer than ``least`` texts take in their neighbours, as far as needed.
+    """
+    out = np.zeros(histogram.shape[:2])
+    for k, counted in enumerate(histogram):
+        for band in range(len(counted)):
+            reach = 0
+            while (own := counted[max(0, band - reach):band + reach + 1].sum(axis=0)).sum() < least and (
+                    reach < len(counted)):
+                reach += 1
+            if own.any():
+                out[k, band] = np.searchsorted(np.cumsum(own), part * own.sum(), side="right") / _STEPS
+    return out
+
+
+def classify(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.5,
              keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred, score and rejected."""
     chosen = docs.select(*keep, F.col(text).alias("__text"))
@@ -177,7 +225,7 @@ def training_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.where(~held_out(id_column))
 
 
-def keep_known(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.25) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is recognised, all columns as they are."""
     mark = free_name(docs, "own_refused")
 

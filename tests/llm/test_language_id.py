@@ -44,3 +44,39 @@ def test_kmeans_finds_separate_clusters():
     v = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2, 2]]
     centroids, reach = L.spherical_kmeans(v, 3)
     assert sorted(centroids.argmax(axis=1)) == [0, 1, 2] and reach > 0.99
+
+
+POLISH = ("wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i "
+          "sumieniem i powinni postępować wobec innych w duchu braterstwa ").split()
+FINNISH = ("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja "
+           "omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä ").split()
+
+
+def test_other_languages_and_noise_are_rejected(spark, documents):
+    import base64
+    import random
+    import string
+
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = L.fit(L.training_rows(df))
+    rng = random.Random(5)
+    noise = {
+        "hex": lambda n: ["%016x" % rng.getrandbits(64) for _ in range(n)],
+        "base64": lambda n: [base64.b64encode(rng.randbytes(9)).decode() for _ in range(n)],
+        "letters": lambda n: ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(n)],
+        "polish": lambda n: (POLISH * 100)[:n], "finnish": lambda n: (FINNISH * 100)[:n]}
+    rows = [(i, " ".join(make(n))) for i, (make, n) in enumerate((m, n) for m in noise.values() for n in (50, 200, 1000))]
+    got = sorted((r.doc_id, r.rejected, round(r.score, 3), r.lang_pred) for r in L.classify(documents(rows), model).collect())
+    assert [r for r in got if not r[1]] == []
+    assert L.keep_known(df, model).count() == df.count()
+
+
+def test_cuts_follow_the_length_of_texts():
+    import numpy as np
+    histogram = np.zeros((1, 8, 1001), np.int64)
+    histogram[0, 2, 100] = 30
+    histogram[0, 5, 500] = 2
+    histogram[0, 5, 800] = 998
+    histogram[0, 6, 700] = 1
+    cuts = L.low_cosines(histogram)[0]
+    assert cuts[2] == 0.1 and cuts[5] == 0.8 and cuts[6] == 0.8 and cuts[0] == 0.1
