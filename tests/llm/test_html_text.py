@@ -54,6 +54,36 @@ def test_wrappers_around_the_article():
     assert H.main_text(page(f'{article}<div style="display: none">{LONG}</div><p hidden>{LONG}</p>')) == want
 
 
+def test_article_inside_an_excluded_wrapper():
+    one = LONG.strip()
+    article = f"<article><h1>Head</h1><p>{LONG}</p></article>"
+    want = f"Head\n\n{one}"
+    assert H.main_text(page(f'<div class="content-sidebar-wrap"><main>{article}</main><div>Other</div></div>')) == want
+    assert H.main_text(page(f'<div id="widget"><div>{article}</div>{LONG}{LONG}{LONG}</div><p>After</p>')) == want
+    # Articles of comments, related items and hidden blocks, and teasers beside plain text, stay outside.
+    for kind in ('class="comments"', 'id="related"', "hidden"):
+        assert H.main_text(page(f"<div><p>{LONG}</p></div><div {kind}><article>{LONG}{LONG}</article></div>")) == one
+    assert H.main_text(page(f'<div><p>{LONG}</p></div><div class="sidebar"><article>Teaser</article></div>')) == one
+    assert H.main_text(page(f"<div><p>{LONG}</p></div><aside><article>{LONG}{LONG}</article></aside>")) == one
+
+
+def test_nested_and_sibling_articles():
+    one = LONG.strip()
+    assert H.main_text(page(f"<main><h1>Head</h1><article><p>{LONG}</p></article><p>After</p></main>")) == (
+        f"Head\n\n{one}\n\nAfter")
+    assert H.main_text(page(f"<div><article><p>Part one</p></article><article><p>{LONG}</p></article></div>")) == (
+        f"Part one\n\n{one}")
+    assert H.main_text(page(f"<article><p>{LONG}</p><article><p>Inner</p></article><p>End</p></article>")) == (
+        f"{one}\n\nInner\n\nEnd")
+
+
+def test_short_regions_between_excluded_elements():
+    one = LONG.strip()
+    ad = '<div class="ad">Buy</div>'
+    assert H.main_text(page(f"<div><p>Lead</p>{ad}<p>{LONG}</p>{ad}<p>Short.</p>{ad}<p>{LONG}</p>{ad}<p>End</p></div>")) == (
+        f"Lead\n\n{one}\n\nShort.\n\n{one}\n\nEnd")
+
+
 def test_odd_markup():
     assert H.main_text(None) == H.main_text("") == H.main_text("<div></div>") == ""
     assert H.main_text("plain  text\n here") == "plain text here"
