@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argosift.llm import (exact_dedup, fingerprint, html_text, language_id, packing, quality, sentencepiece_lattice,
+from argosift.llm import (bpe_trie, exact_dedup, fingerprint, html_text, language_id, packing, quality, sentencepiece_lattice,
                           simhash_dedup, substring_dedup, warc)
 
 #: Public piece table; see the tokenizers' own README.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Public tokenizers of words and of bytes.
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +101,14 @@ def op9_html_text(spark: SparkSession, pages: DataFrame, folder: str) -> DataFra
 def op10_warc(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     """Pages written to archives and read back."""
     return warc.round_trip(pages)
+
+
+@query("documents")
+def op11_bpe_trie(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Tokens of all texts, and the texts that they decode to, as digests."""
+    tokenizer = bpe_trie.load(WORD_TOKENIZER)
+    rows = bpe_trie.decode(bpe_trie.encode(docs, tokenizer), tokenizer)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
