@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argosift.llm import (bpe_trie, exact_dedup, fingerprint, html_text, language_id, packing, quality, sentencepiece_lattice,
+from argosift.llm import (bpe_trie, exact_dedup, fingerprint, hard_negatives, html_text, language_id, packing, quality, sentencepiece_lattice,
                           simhash_dedup, substring_dedup, warc)
 
 #: Public piece table; see the tokenizers' own README.
@@ -112,3 +112,29 @@ def op11_bpe_trie(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("embeddings", sql="""
+    with e as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+      where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as materialized (
+      select a.vec_id as anchor_id, a.label as anchor_label, e.vec_id, e.label, list_inner_product(a.v, e.v)::bigint as score
+      from e as a, e where a.vec_id % 100 = 0),
+    p as (
+      select anchor_id, vec_id as positive_id, score as positive_score from s
+      where label = anchor_label and vec_id <> anchor_id
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select anchor_id, positive_id,
+      (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+      vec_id as negative_id, positive_score, score as negative_score
+    from p join s using (anchor_id)
+    where label <> anchor_label and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+    qualify rank <= 5""")
+def op13_hard_negatives(spark: SparkSession, vectors: DataFrame, folder: str) -> DataFrame:
+    """Negatives of the best five rows of each anchor's label; every seventh label is turned into the next."""
+    turned = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(
+        F.col("label")))
+    return hard_negatives.mine(hard_negatives.usable(turned, is_anchor=F.col("vec_id") % 100 == 0))
