@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argosift.llm import (bpe_trie, exact_dedup, fingerprint, hard_negatives, html_text, language_id, packing, quality, sentencepiece_lattice,
-                          simhash_dedup, substring_dedup, warc)
+from argosift.llm import (bpe_trie, exact_dedup, fingerprint, hard_negatives, html_text, language_id, packing, quality,
+                          sentencepiece_lattice, simhash_dedup, substring_dedup, token_alignment, warc)
 
 #: Public piece table; see the tokenizers' own README.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -114,6 +114,12 @@ def op11_bpe_trie(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("documents")
+def op12_token_alignment(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Groups and links of the tokens of a byte-level and a piece tokenizer."""
+    return token_alignment.scored(docs, token_alignment.load(BYTE_TOKENIZER, PIECE_MODEL))
+
+
 @query("embeddings", sql="""
     with e as (
       select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
