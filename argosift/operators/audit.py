@@ -166,12 +166,17 @@ def compare(primary: DataFrame, backup: DataFrame, fields: Sequence[str] = CONTE
 
     Only ids and hashes are shuffled.
     """
-    p = primary.select(F.col("event_id"), event_hash(fields).alias("current_hash"))
-    b = backup.select(F.col("record_id"), F.col("content_hash").alias("stored_hash"))
+    p = primary.select(F.col("event_id").alias("record_id"), event_hash(fields).alias("current_hash"))
+    return compare_hashes(p, backup.select("record_id", F.col("content_hash").alias("stored_hash")))
+
+
+def compare_hashes(primary: DataFrame, backup: DataFrame) -> DataFrame:
+    """Status per id of rows (record_id, current_hash) against rows (record_id, stored_hash)."""
+    p = primary.select(F.col("record_id").alias("event_id"), "current_hash")
     status = (F.when(F.col("event_id").isNull(), "missing_in_primary")
               .when(F.col("record_id").isNull(), "missing_in_backup")
               .when(F.col("current_hash") != F.col("stored_hash"), "hash_mismatch").otherwise("valid"))
-    joined = p.join(b, F.col("event_id") == F.col("record_id"), "full")
+    joined = p.join(backup, F.col("event_id") == F.col("record_id"), "full")
     return joined.select(F.coalesce("event_id", "record_id").alias("record_id"), status.alias("status"))
 
 
@@ -218,6 +223,11 @@ def report(statuses: DataFrame, chain_checks: DataFrame | None = None) -> DataFr
         F.count_if(s.isin("valid", "hash_mismatch")).alias("checked"), F.count_if(s == "valid").alias("valid"),
         F.count_if(s == "hash_mismatch").alias("tampered"), F.count_if(s == "missing_in_primary").alias("missing"),
         F.count_if(s == "missing_in_backup").alias("orphans"))
+    return graded(totals, chain_checks)
+
+
+def graded(totals: DataFrame, chain_checks: DataFrame | None = None) -> DataFrame:
+    """The report row of one row of counts (checked, valid, tampered, missing, orphans)."""
     if chain_checks is None:
         full = totals.withColumns({"chain_valid": F.lit(True), "broken_at": F.lit(None).cast("long")})
     else:

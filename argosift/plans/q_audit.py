@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from argosift import constants as C
 from argosift.functions import hashing as H, severity as S
-from argosift.operators import audit as A
+from argosift.operators import audit as A, reconcile as RC
 from argosift.operators.windows import number_rows
-from argosift.session import cut
+from argosift.session import cut, new_path
 from argosift.plans.registry import query
 from argosift.plans.views import Inputs, with_views
 
@@ -63,6 +63,17 @@ def record_status(t: Inputs):
     return _statuses(t)
 
 
+@query("c1_status_by_ranges", with_views("select * from status_rows", *_BOTH, ctes=_STATUS_VIEW))
+def status_by_ranges(t: Inputs):
+    """Both tables are stored by day and bucket; records are joined in the ranges whose digests differ only."""
+    primary, backup, known = (new_path(t.spark, n) for n in ("primary", "backup", "digests"))
+    RC.store(t.primary_events(), primary, "all", "event_id")
+    RC.store(t.audit_log(numbered=False), backup, "all", digest_path=known)
+    current = t.spark.read.parquet(primary).select(F.col("event_id").alias("record_id"), A.event_hash().alias(
+        "content_hash"), *RC.RANGE)
+    return RC.statuses(current, t.spark.read.parquet(backup), RC.added(t.spark.read.parquet(known)))
+
+
 @query("c2_deleted_records", with_views(
     """select record_id, host_id, content_hash from audit_log
        where record_id not in (select event_id from primary_events)""", *_BOTH))
@@ -357,7 +368,6 @@ def primary_changes(t: Inputs):
         select 'backup', count(*)::bigint, count(distinct {_HASH})::bigint from sec_log""", "sec_log"))
 def dual_write(t: Inputs):
     """Writes the log twice to both tables, one batch of it again; the second write adds nothing."""
-    from argosift.session import new_path
     from argosift.sources.tables import write_both
     primary, backup = new_path(t.spark, "primary"), new_path(t.spark, "backup")
     for batch in ("first", "first", "second"):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from argosift import constants as C, schemas
 from argosift.functions import severity as S
-from argosift.operators import baseline as B, features as FX
+from argosift.operators import baseline as B, features as FX, mountain as M, reconcile as RC
 from argosift.plans import sqltext as Q
 from argosift.plans.registry import query
 from argosift.operators.audit import event_hash
@@ -246,6 +246,90 @@ def chain_append(t: Inputs):
     return links.read().select("host_id", "sequence_number", "record_id", "chain_hash")
 
 
+_MOUNTAIN = {
+    "nodes": """select host_id, 0 as level, (sequence_number-1)::bigint as idx,
+          sha256('leaf:'||sequence_number||':'||content_hash) as hash from audit_log
+        union all select host_id, level+1, idx//2, sha256('node:'||string_agg(hash, ':' order by idx)) from nodes
+        group by host_id, level, idx//2 having count(*) = 2""",
+    "lengths": """select n as delivery, host_id, count(*)::bigint as records from audit_log join (values
+          (0, timestamp '2024-01-09'), (1, timestamp '2024-01-20'), (2, timestamp '2999-01-01')) d(n, until) on ts < until
+        group by 1,2""",
+    "roots": """select delivery, host_id, records, sha256('root:'||records||':'||list_reduce(list(hash order by level),
+          lambda acc, h: sha256('node:'||h||':'||acc))) as root, count(*)::bigint as peaks
+        from lengths join nodes using (host_id) where (records >> level) % 2 = 1 and idx = (records >> level) - 1
+        group by delivery, host_id, records""",
+}
+
+
+def _grown_chains(t: Inputs) -> tuple[J.BatchTable, J.BatchTable, J.VersionedTable]:
+    """Links, nodes and heads of chains after three deliveries."""
+    links, nodes = (J.BatchTable(t.spark, new_path(t.spark, n)) for n in ("links", "nodes"))
+    heads = J.VersionedTable(t.spark, new_path(t.spark, "heads"))
+    checkpoint = new_path(t.spark, "chain-checkpoint")
+
+    def run(ev: DataFrame) -> None:
+        rows = ev.selectExpr(*spark_columns(SEC_LOG)).where("event_id%103<>0").select(
+            F.col("event_id").alias("record_id"), "ts", "host_id", event_hash().alias("content_hash"))
+        J.append_chain(rows, links, heads, checkpoint, nodes=nodes)
+
+    _arrivals(t, run)
+    return links, nodes, heads
+
+
+@query("i9_incremental_root", with_views("select delivery, host_id, records, root, peaks from roots", "audit_log",
+                                         ctes=_MOUNTAIN))
+def incremental_root(t: Inputs):
+    """Roots stored after each of three deliveries, each worked out from the delivery and the heads before it."""
+    _, _, heads = _grown_chains(t)
+    kept = [heads.before(v + 1).withColumn("delivery", F.lit(v)) for v in sorted(heads.versions())]
+    rows = kept[0]
+    for other in kept[1:]:
+        rows = rows.unionByName(other)
+    return rows.select("delivery", "host_id", F.col("last_sequence").alias("records"), "root",
+                       F.size("peaks").cast("long").alias("peaks"))
+
+
+@query("i9_growth_audit", with_views(
+    """select delivery, host_id, (delivery <> 1 or host_id not in ('host-1', 'host-2', 'host-3')) as grown_valid
+       from lengths""", "audit_log", ctes=_MOUNTAIN))
+def growth_audit(t: Inputs):
+    """Every delivery is checked against the heads before and after it; the second one was damaged in three chains."""
+    links, _, heads = _grown_chains(t)
+    middle = F.col("sequence_number") == F.col("_mid")
+    out = None
+    for v in sorted(heads.versions()):
+        batch = t.spark.read.parquet(links.path).where(F.col("batch") == v).drop("batch")
+        if v == 1:
+            mid = batch.groupBy("host_id").agg(F.expr("(min(sequence_number) + max(sequence_number)) div 2").alias("_mid"))
+            marked = batch.join(mid, "host_id")
+            changed = F.when(middle & (F.col("host_id") == "host-1"), F.lit("x")).otherwise(F.col("content_hash"))
+            batch = marked.withColumn("content_hash", changed).where(~(middle & (F.col("host_id") == "host-2"))).withColumn(
+                "sequence_number", F.when(middle & (F.col("host_id") == "host-3"), F.col("sequence_number") + 1).otherwise(
+                    F.col("sequence_number"))).drop("_mid")
+        rows = M.audit_growth(heads.before(v), batch, heads.before(v + 1)).withColumn("delivery", F.lit(v))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("delivery", "host_id", "grown_valid")
+
+
+@query("e3_inclusion_proof", with_views(
+    """select host_id, sequence_number, forged, max(level)::bigint as siblings, any_value(peaks) as peaks,
+         any_value(root) as root, not forged as proved
+       from (select r.host_id, (r.records+1)//2 as sequence_number, r.peaks, r.root, n.level from roots r join nodes n
+             on n.host_id=r.host_id and n.idx=((r.records+1)//2-1)>>n.level and (n.idx+1)<<n.level<=r.records
+             where delivery=2), (values (false), (true)) f(forged) group by 1,2,3""", "audit_log", ctes=_MOUNTAIN))
+def inclusion_proof(t: Inputs):
+    """The middle record of every grown chain is proved from its siblings and the other peaks; a forged one is not."""
+    links, nodes, versions = _grown_chains(t)
+    heads = versions.latest()
+    middle = heads.select("host_id", F.expr("(last_sequence + 1) div 2").alias("sequence_number"))
+    shown = links.read().join(middle, ["host_id", "sequence_number"]).select("host_id", "sequence_number", "content_hash")
+    both = shown.withColumn("forged", F.lit(False)).unionByName(shown.withColumns(
+        {"content_hash": F.sha2(F.lit("forged"), 256), "forged": F.lit(True)}))
+    rows = M.proved(M.proofs(both, nodes.read(), heads), heads).join(heads.select("host_id", "root"), "host_id")
+    return rows.select("host_id", "sequence_number", "forged", F.size("path").cast("long").alias("siblings"),
+                       F.size("peaks").cast("long").alias("peaks"), "root", "proved")
+
+
 _STATES = """select coalesce(p.ts, b.ts) as ts, case when p.event_id is null then 'missing_in_primary'
     when b.record_id is null then 'missing_in_backup' when p.h<>b.content_hash then 'hash_mismatch' else 'valid' end
     as status from (select *, sha256(concat_ws('|',cast(event_id as varchar),cast(ts as varchar),source,event_type,severity,
@@ -261,18 +345,22 @@ _STATES = """select coalesce(p.ts, b.ts) as ts, case when p.event_id is null the
 def audit_stream(t: Inputs):
     """The stored tables are audited after each of three deliveries; the stream is only the clock."""
     reports = J.BatchTable(t.spark, new_path(t.spark, "reports"))
-    primary, backup = new_path(t.spark, "primary"), new_path(t.spark, "backup")
+    primary, backup, known = (new_path(t.spark, n) for n in ("primary", "backup", "digests"))
     checkpoint = new_path(t.spark, "audit-checkpoint")
+    stored = iter("abc")
 
     def run(ev: DataFrame) -> None:
-        J.periodic_audit(ev, lambda: t.spark.read.parquet(primary), lambda: t.spark.read.parquet(backup), reports,
-                         checkpoint)
+        J.periodic_audit(
+            ev, lambda: t.spark.read.parquet(primary).select(
+                F.col("event_id").alias("record_id"), event_hash().alias("content_hash"), *RC.RANGE),
+            lambda: t.spark.read.parquet(backup), lambda: t.spark.read.parquet(known), reports, checkpoint)
 
     def store(part: DataFrame) -> None:
-        log = part.selectExpr(*spark_columns(SEC_LOG))
-        log.where("event_id%97<>0").selectExpr(*spark_columns(PRIMARY)).write.mode("append").parquet(primary)
-        log.where("event_id%103<>0").select(F.col("event_id").alias("record_id"), event_hash().alias("content_hash")
-                                            ).write.mode("append").parquet(backup)
+        log, batch = part.selectExpr(*spark_columns(SEC_LOG)), next(stored)
+        RC.store(log.where("event_id%97<>0").selectExpr(*spark_columns(PRIMARY)), primary, batch, "event_id")
+        RC.store(log.where("event_id%103<>0").select(
+            F.col("event_id").alias("record_id"), "ts", event_hash().alias("content_hash")), backup, batch,
+            digest_path=known)
 
     _arrivals(t, run, store)
     return reports.read().select(F.col("batch_no").cast("int").alias("batch_no"), "valid", "tampered", "missing",

@@ -12,10 +12,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from argosift import constants as C
 from argosift.functions import severity as S
-from argosift.operators import anomaly as AN, audit as A, baseline as B, detect as D, parse as L, snapshots as N
+from argosift.operators import (anomaly as AN, audit as A, baseline as B, detect as D, mountain as M, parse as L,
+                                reconcile as RC, snapshots as N)
 from argosift.operators.windows import last_before, trailing_sums
 from argosift.session import cut, new_path
 from argosift.sources.tables import table_exists
@@ -41,16 +43,25 @@ def event_time(df: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFra
     return df.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", delay)
 
 
-def append_to(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs a stream over everything available and appends its rows to a table."""
-    (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+def _started(writer: DataStreamWriter, every: str | None) -> StreamingQuery:
+    """Starts a stream: over everything available, to its end, or on a clock, left running."""
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
-def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Runs ``fn(batch, batch_id)`` over everything available."""
-    (df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).outputMode(mode)
-     .trigger(availableNow=True).start().awaitTermination())
+def append_to(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Runs a stream over everything available and appends its rows to a table; with ``every``, goes on at that interval."""
+    return _started(df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                    .outputMode("append"), every)
+
+
+def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
+               every: str | None = None) -> StreamingQuery:
+    """Runs ``fn(batch, batch_id)`` over everything available; with ``every``, goes on at that interval."""
+    return _started(df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).outputMode(mode), every)
 
 
 def run_to_table(df: DataFrame, label: str) -> DataFrame:
@@ -355,9 +366,13 @@ def moving_baseline(df: DataFrame, features: Sequence[str], keys: Sequence[str],
 
 
 def append_chain(df: DataFrame, links: BatchTable, heads: VersionedTable, checkpoint: str, chain: str = "host_id",
-                 record: str = "record_id", ts: str = "ts", segment_rows: int = A.SEGMENT_ROWS) -> None:
+                 record: str = "record_id", ts: str = "ts", segment_rows: int = A.SEGMENT_ROWS,
+                 nodes: BatchTable | None = None) -> None:
     """Adds each batch's records to the hash chains, continuing from the stored heads.
 
+    With ``nodes``, each chain's mountain range grows as well: its new nodes are stored by level, and the heads carry its
+    peaks and root, worked out from the batch and the heads before it.
+
     Ids already linked are skipped. A record's id and time belong together, so links are stored by day and only
     the days of the batch are looked up; a batch costs its own size, not the length of the chains.
     """
@@ -375,6 +390,10 @@ def append_chain(df: DataFrame, links: BatchTable, heads: VersionedTable, checkp
         dated = cut(linked.join(numbered.select(record, "day"), record))
         links.write(dated, batch_id, "day")
         latest = A.last_links(dated, chain)
+        if nodes is not None:
+            added, grown = M.advance(old, dated, chain)
+            nodes.write(added, batch_id, "level")
+            latest = latest.join(grown.select(chain, "peaks", "root"), chain)
         if old is not None:
             latest = latest.unionByName(old.join(latest.select(chain), chain, "left_anti"))
         heads.write(latest, batch_id)
@@ -383,14 +402,20 @@ def append_chain(df: DataFrame, links: BatchTable, heads: VersionedTable, checkp
 
 
 def periodic_audit(df: DataFrame, primary: Callable[[], DataFrame], backup: Callable[[], DataFrame],
-                   reports: BatchTable, checkpoint: str) -> None:
-    """One audit of the stored primary table against the backup per trigger of ``df``, which is only the clock."""
+                   known: Callable[[], DataFrame], reports: BatchTable, checkpoint: str,
+                   every: str | None = None) -> StreamingQuery:
+    """One audit of the stored primary table against the backup per trigger of ``df``, which is only the clock.
+
+    The tables are those of :func:`reconcile.store` as (record_id, content_hash, day, bucket), ``known`` the backup's
+    stored digests. A firing scans the primary table for its digests and joins the records of damaged ranges only.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        rep = A.report(A.compare(primary(), backup())).withColumn("batch_no", F.lit(batch_id).cast("long"))
+        counts = RC.summary(primary(), backup(), RC.added(known()))
+        rep = A.graded(counts).withColumn("batch_no", F.lit(batch_id).cast("long"))
         alert = (F.col("tampered") > 0) | (F.col("missing") > 0) | ~F.col("chain_valid")
         reports.write(rep.withColumn("alert", alert), batch_id)
 
-    each_batch(df, step, checkpoint)
+    return each_batch(df, step, checkpoint, every=every)
 
 
 def snapshot_events(df: DataFrame, keys: Sequence[str], changes: BatchTable, last: VersionedTable, checkpoint: str,
