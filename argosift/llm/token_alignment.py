@@ -30,8 +30,10 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -44,7 +46,8 @@ from argosift.session import cut
 #: Fixed value: the pattern by which byte-level BPE of this kind splits text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MARK = "▁"
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 18
+_NONE = np.zeros(0, np.uint32)
 
 
 @dataclass
@@ -84,45 +87,64 @@ class Aligner:
             self.a_bytes[i] = t
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode()
                         for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self._sizes = [np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        self._lengths = [list(map(len, table)) for table in (self.a_bytes, self.b_bytes)]
+        self._names = list(map(str, range(max(map(len, self._lengths)))))
+        self._sizes = [np.array(sizes, np.int64) for sizes in self._lengths]
         self._marked = [np.array([t[:1] == b" " for t in table]) for table in (self.a_bytes, self.b_bytes)]
-        self.forget()
-
-    def forget(self) -> None:
-        self._known: dict[tuple[bytes, bytes], int] = {}
+        self._known: dict[tuple[bytes, bytes], int] = {}  # in order of their numbers
         self._texts: list[str] = []
-        self._ends: list[list[tuple[int, int]]] = []  # per window: tokens of A and of B up to the end of each group
+        self._ends: list[tuple[int, ...]] = []  # per window: tokens of A and of B up to the end of each group, in turn
+        self._uses = np.zeros(0, np.int64)
 
-    def tokens(self, batch: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+    def forget(self) -> None:
+        """Keeps the windows met more than once since the last time, unless they fill most of the room."""
+        kept = np.flatnonzero(self._uses > 1).tolist()
+        kept = kept if len(kept) < _REMEMBERED // 2 else []
+        keys = list(self._known)
+        self._known = {keys[k]: n for n, k in enumerate(kept)}
+        self._texts, self._ends = [self._texts[k] for k in kept], [self._ends[k] for k in kept]
+        self._uses = np.zeros(len(kept), np.int64)
+
+    def tokens(self, batch: list[str | None]) -> tuple[list[np.ndarray], list[list[int]]]:
         """Token ids of both tokenizers; none where the tokens do not spell the text."""
         texts = [t or "" for t in batch]
-        rows_a = [self.a.encode_ordinary(" " + t) if t else [] for t in texts]
+        rows_a = [self.a.encode_to_numpy(" " + t, disallowed_special=()) if t else _NONE for t in texts]
         rows_b = self.b.encode(texts, num_threads=1) if texts else []
         for i, t in enumerate(texts):
             spelled = (" " + t).encode() if t else b""
-            if (b"".join(map(self.a_bytes.__getitem__, rows_a[i])) != spelled
-                    or b"".join(map(self.b_bytes.__getitem__, rows_b[i])) != spelled):
-                rows_a[i], rows_b[i] = [], []
+            # Byte-level tokens are made of the text's own bytes; their length tells whether all are there.
+            if (b"".join(map(self.b_bytes.__getitem__, rows_b[i])) != spelled
+                    or self._sizes[0][rows_a[i]].sum() != len(spelled)):
+                rows_a[i], rows_b[i] = _NONE, []
         return rows_a, rows_b
 
     def _window(self, a: bytes, b: bytes) -> int:
         """Number of a window, whose groups are worked out here the first time."""
-        ids_a, ids_b = (np.frombuffer(x, np.int32).tolist() for x in (a, b))
+        ids_a, ids_b = memoryview(a).cast("i").tolist(), memoryview(b).cast("i").tolist()
+        (size_a, size_b), names = self._lengths, self._names
+        if len(ids_a) == len(ids_b) == 1:
+            return self._numbered((a, b), f"{ids_a[0]}|{ids_b[0]}", (1, 1))
         ends, groups = [], []
-        i = j = at_a = at_b = first_a = first_b = 0
-        while i < len(ids_a) or j < len(ids_b):
+        i = j = k = m = at_a = at_b = 0
+        left_a, left_b = len(ids_a), len(ids_b)
+        while i < left_a or j < left_b:
             if at_a <= at_b:
-                at_a += len(self.a_bytes[ids_a[i]])
+                at_a += size_a[ids_a[i]]
                 i += 1
             else:
-                at_b += len(self.b_bytes[ids_b[j]])
+                at_b += size_b[ids_b[j]]
                 j += 1
             if at_a == at_b:
-                ends.append((i, j))
-                groups.append(",".join(map(str, ids_a[first_a:i])) + "|" + ",".join(map(str, ids_b[first_b:j])))
-                first_a, first_b = i, j
-        number = self._known[a, b] = len(self._texts)
-        self._texts.append(";".join(groups))
+                ends += (i, j)
+                one = names[ids_a[k]] if i == k + 1 else ",".join([names[x] for x in ids_a[k:i]])
+                other = names[ids_b[m]] if j == m + 1 else ",".join([names[x] for x in ids_b[m:j]])
+                groups.append(one + "|" + other)
+                k, m = i, j
+        return self._numbered((a, b), ";".join(groups), tuple(ends))
+
+    def _numbered(self, key: tuple[bytes, bytes], text: str, ends: tuple[int, ...]) -> int:
+        number = self._known[key] = len(self._texts)
+        self._texts.append(text)
         self._ends.append(ends)
         return number
 
@@ -131,8 +153,9 @@ class Aligner:
         if len(self._known) > _REMEMBERED:
             self.forget()
         rows_a, rows_b = self.tokens(texts)
-        a, b = (np.array([i for row in rows for i in row], np.int32) for rows in (rows_a, rows_b))
         first_a, first_b = (np.cumsum([0] + [len(r) for r in rows]) for rows in (rows_a, rows_b))
+        a = np.concatenate([_NONE, *rows_a]).astype(np.int32)
+        b = np.fromiter(chain.from_iterable(rows_b), np.int32, first_b[-1])
         starts = [np.cumsum(size[ids]) - size[ids] for size, ids in zip(self._sizes, (a, b))]
         marks = []
         for at, marked, ids, first in zip(starts, self._marked, (a, b), (first_a, first_b)):
@@ -140,8 +163,7 @@ class Aligner:
             opens[first[:-1][np.diff(first) > 0]] = True
             marks.append(np.flatnonzero(opens))
         # Each row spells its text from its first token on, so equal starts are shared ends of the tokens before.
-        _, in_a, in_b = np.intersect1d(starts[0][marks[0]], starts[1][marks[1]], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = marks[0][in_a], marks[1][in_b]
+        cuts_a, cuts_b = _shared(starts[0], marks[0], starts[1], marks[1])
         raw_a, raw_b = a.tobytes(), b.tobytes()
         bytes_a, bytes_b = ([*(4 * cuts).tolist(), len(raw)] for cuts, raw in ((cuts_a, raw_a), (cuts_b, raw_b)))
         known, new = self._known, self._window
@@ -150,7 +172,20 @@ class Aligner:
             key = raw_a[i:j], raw_b[k:m]
             number = known.get(key)
             numbers.append(new(*key) if number is None else number)
-        return Batch(a, b, first_a, first_b, cuts_a, cuts_b, np.array(numbers, np.int64), self._texts, self._ends)
+        own = np.array(numbers, np.int64)
+        met = np.bincount(own, minlength=len(self._texts))
+        met[:len(self._uses)] += self._uses
+        self._uses = met
+        return Batch(a, b, first_a, first_b, cuts_a, cuts_b, own, self._texts, self._ends)
+
+
+def _shared(starts_a: np.ndarray, some_a: np.ndarray, starts_b: np.ndarray, some_b: np.ndarray) -> list[np.ndarray]:
+    """Of some tokens of both rows those that start at the same offset."""
+    at = [starts_a[some_a], starts_b[some_b]]
+    seen = [np.zeros(max(int(x.max(initial=-1)) for x in at) + 1, bool) for _ in at]
+    for flags, x in zip(seen, at):
+        flags[x] = True
+    return [some_a[seen[1][at[0]]], some_b[seen[0][at[1]]]]
 
 
 @dataclass
@@ -165,7 +200,7 @@ class Batch:
     cuts_b: np.ndarray
     numbers: np.ndarray
     texts: list[str]
-    ends: list[list[tuple[int, int]]]
+    ends: list[tuple[int, ...]]
 
     def window_range(self) -> np.ndarray:
         """First window of each text, and the end."""
@@ -173,10 +208,10 @@ class Batch:
 
     def group_ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of A and of B up to the end of every group, and the first group of every window with the end."""
-        used, place = np.unique(self.numbers, return_inverse=True)
+        place, used = pd.factorize(self.numbers)
         lists = [self.ends[w] for w in used.tolist()]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([e for x in lists for e in x], np.int64).reshape(-1, 2)
+        sizes = np.array([len(x) // 2 for x in lists], np.int64)
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, 2 * int(sizes.sum())).reshape(-1, 2)
         offset = np.cumsum(sizes) - sizes
         of_window = sizes[place]
         first = np.concatenate(([0], np.cumsum(of_window)))
@@ -244,7 +279,8 @@ class _Block:
         self.links += len(ends_a)
 
     def row_batch(self) -> pa.RecordBatch:
-        pairs, links, n = np.unique(np.concatenate(self.codes), return_inverse=True, return_counts=True)
+        links, pairs = pd.factorize(np.concatenate(self.codes))
+        n = np.bincount(links, minlength=len(pairs))
         ids = pa.concat_arrays([p[0] for p in self.parts])
         n_a, n_b, n_groups = (np.concatenate([p[k] for p in self.parts]).astype(np.int64) for k in (1, 2, 3))
         first = np.concatenate(([0], np.cumsum(n_groups)))
@@ -286,7 +322,7 @@ def pair_counts(block_pairs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, models: Models, id_column: str = "doc_id", text: str = "text", rows: int = 128,
-           block_links: int = 1 << 22) -> DataFrame:
+           block_links: int = 1 << 20) -> DataFrame:
     """Rows (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one per document.
 
     ``n_best`` are links whose pair is the most frequent of its B id, ``count_sum`` sums the pair's count over links.
