@@ -22,6 +22,19 @@ def map_hash(payload: Column) -> Column:
     return F.sha2(F.to_json(ordered), 256)
 
 
+def canonical_json(payload: Column) -> Column:
+    """JSON text with the keys in order at every level, whatever their order in ``payload`` (JSON text).
+
+    A variant keeps the fields of an object sorted, also inside lists and other objects. Null for text that is no JSON.
+    """
+    return F.to_json(F.try_parse_json(payload))
+
+
+def payload_hash(payload: Column) -> Column:
+    """SHA-256 of nested JSON text that does not depend on the order of its keys; other text is hashed as it is."""
+    return F.sha2(F.coalesce(canonical_json(payload), F.concat(F.lit("text:"), payload), F.lit(NULL_MARK)), 256)
+
+
 def genesis() -> Column:
     return F.sha2(F.lit(C.GENESIS), 256)
 

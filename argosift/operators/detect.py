@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argosift import constants as C
@@ -73,21 +75,131 @@ def match_rules(df: DataFrame, kind: str, columns: Sequence[str], rules: Sequenc
     return out
 
 
-RULE_TABLE = ("rule_id string, pattern string, needle string, rule_severity double, window_seconds int, "
-              "min_occurrences int")
+RULE_TABLE = "rule_id string, pattern string, rule_severity double, window_seconds int, min_occurrences int"
+
+
+def required_literals(pattern: str, least: int = 3) -> frozenset[str] | None:
+    """Words in small letters of which every match of ``pattern`` contains one; None if there are no such.
+
+    Taken from the pattern's parts: a run of plain characters must occur as it stands, of alternatives one must, and a
+    group or repetition that may be left out tells nothing. Of several candidates the one whose shortest word is longest
+    is used. A pattern that Python's parser does not know has none.
+    """
+    try:
+        parsed = re._parser.parse(pattern)
+    except (re.error, OverflowError):
+        return None
+    return _required(parsed, least)
+
+
+def _required(parts, least: int) -> frozenset[str] | None:
+    found: list[frozenset[str]] = []
+    run: list[str] = []
+
+    def close() -> None:
+        if len(run) >= least:
+            found.append(frozenset(["".join(run)]))
+        run.clear()
+
+    for op, value in parts:
+        name = str(op)
+        # One-to-one small letters only: others could change a word's length.
+        if name == "LITERAL" and len(chr(value).lower()) == 1:
+            run.append(chr(value).lower())
+            continue
+        inner = None
+        if name == "SUBPATTERN":
+            inner = _required(value[3], least)
+        elif name == "ATOMIC_GROUP":
+            inner = _required(value, least)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+            inner = _required(value[2], least)
+        elif name == "BRANCH":
+            branches = [_required(b, least) for b in value[1]]
+            inner = frozenset().union(*branches) if all(branches) else None
+        elif name == "AT":
+            continue  # a place, no character
+        close()
+        if inner:
+            found.append(inner)
+    close()
+    return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=None)
+
+
+def rule_candidates(df: DataFrame, rules: Sequence[tuple[str, str]], line: str, into: str) -> DataFrame:
+    """Adds ``into``, the places in ``rules`` (id, pattern) of those that may match; lines without any are dropped.
+
+    One automaton over the literals of all patterns reads a line once, whatever the number of rules. Patterns without a
+    literal are tested on every line, in one pass.
+    """
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    plain = []
+    for k, (_, pattern) in enumerate(rules):
+        words = required_literals(pattern)
+        if words is None:
+            plain.append(k)
+        for word in words or ():
+            places.setdefault(word, []).append(k)
+    always = F.array_compact(F.array(*[F.when(_fires(F.col(line), F.lit(rules[k][1])), F.lit(k)) for k in plain])
+                             ) if plain else F.array().cast("array<int>")
+    marked = df.withColumn(into, always)
+    if not places:
+        return marked.where(F.size(into) > 0)
+    shared = df.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word, own in shared.value.items():
+            automaton.add_word(word, own)
+        automaton.make_automaton()
+        for batch in batches:
+            texts, known = batch.column(line).to_pylist(), batch.column(into).to_pylist()
+            found = []
+            for text, own in zip(texts, known):
+                hits = set(own or ())
+                for _, some in automaton.iter((text or "").lower()):
+                    hits.update(some)
+                found.append(sorted(hits))
+            keep = pa.array([bool(f) for f in found])
+            columns = [pa.array(found, pa.list_(pa.int32())) if name == into else batch.column(k)
+                       for k, name in enumerate(batch.schema.names)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
+
+    return marked.mapInArrow(run, marked.schema)
+
+
+def _fires(line: Column, pattern: Column) -> Column:
+    return F.rlike(line, F.concat(F.lit("(?i)"), pattern))
 
 
 def match_rule_table(df: DataFrame, rules: DataFrame, line: str, keys: Sequence[str] = ("host_id",),
-                     ts: str = "ts", tie: str = "event_id") -> DataFrame:
+                     ts: str = "ts", tie: str = "event_id", part_rules: int = 20_000) -> DataFrame:
     """One row per (event, rule) of a rules table that fires.
 
-    ``needle`` is a word (letters and digits, lower case) that every match of ``pattern`` contains: events meet
-    rules by an equality join on their words, and only those pairs are tested with the pattern. Rules that need
-    several occurrences count their own hits per key in their own trailing window.
+    The rules are taken ``part_rules`` at a time, so what a task holds is bounded; a part's literals find the rules that
+    a line may fire, and only those are tested with their pattern. Rules that need several occurrences count their own
+    hits per key in their own trailing window.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit("([a-z0-9]+)"), 1))
-    rows = df.select(tie, ts, *keys, line, F.explode(words).alias("needle"))
-    hits = rows.join(rules, "needle").where(F.expr(f"rlike({line}, concat('(?i)', pattern))")).drop("needle", line)
+    listed = [tuple(r) for r in rules.select("rule_id", "pattern").orderBy("rule_id", "pattern").toLocalIterator()
+              if r["pattern"] is not None]
+    rows = df.select(tie, ts, *keys, line)
+    hits = None
+    for at in range(0, max(1, len(listed)), part_rules):
+        part = listed[at:at + part_rules]
+        if not part:
+            break
+        met = rule_candidates(rows, part, line, "_rules").withColumn("_rule", F.explode("_rules")).drop("_rules")
+        table = df.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(part)],
+                                                "_rule int, rule_id string, pattern string")
+        # At most part_rules rows.
+        tested = met.join(F.broadcast(table), "_rule").where(_fires(F.col(line), F.col("pattern"))).drop("_rule", line)
+        hits = tested if hits is None else hits.unionByName(tested)
+    if hits is None:
+        hits = rows.drop(line).where("false").withColumns({"rule_id": F.lit(""), "pattern": F.lit("")})
+    # A hit carries its rule's place in the table.
+    hits = hits.join(rules.dropDuplicates(["rule_id", "pattern"]), ["rule_id", "pattern"]).drop("pattern")
     single = hits.where("min_occurrences <= 1").withColumn("occurrences", F.lit(1).cast("long"))
     # A hit counts for the rows of its rule up to the rule's own window later.
     several = hits.where("min_occurrences > 1")

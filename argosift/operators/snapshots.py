@@ -94,21 +94,30 @@ def with_parent(procs: DataFrame, scope: Sequence[str] = ("host_id",)) -> DataFr
 def descendants(procs: DataFrame, root: int, scope: Sequence[str] = ("host_id",)) -> DataFrame:
     """All processes below ``root`` of each ``scope``, itself included, with their depth.
 
-    Goes down one level at a time until a level has no process that was not met before, so trees may be of any
-    depth and a cycle through a reused pid ends. Each level is written as a table.
+    Every process points to an ancestor and knows whether the root is among the ones up to there. A round joins each
+    pointer with its target's, which doubles its reach, so a tree of any depth takes as many rounds as its depth has
+    binary digits, and a cycle ends when the reach covers all processes of a scope. A process whose root is found, or
+    whose ancestors end, takes no further part. A pid is unique in its scope; of several rows the smallest parent counts.
     """
-    nodes = cut(procs.select(*scope, "pid", "ppid", "name"))
-    level = cut(nodes.where(F.col("pid") == root).withColumn("depth", F.lit(0).cast("long")))
-    found = level
-    depth = 0
-    while not level.isEmpty():
-        depth += 1
-        parents = level.select(*scope, F.col("pid").alias("ppid"))
-        below = nodes.join(parents, [*scope, "ppid"], "left_semi").join(
-            found.select(*scope, "pid"), [*scope, "pid"], "left_anti")
-        level = cut(below.select(*nodes.columns).withColumn("depth", F.lit(depth).cast("long")))
-        found = found.unionByName(level)
-    return found
+    names = list(scope)
+    nodes = procs.select(*names, "pid", "ppid").groupBy(*names, "pid").agg(F.min("ppid").alias("ppid"))
+    depth = F.when(F.col("pid") == root, 0).when(F.col("ppid") == root, 1).cast("long")
+    state = cut(nodes.select(*names, "pid", F.col("ppid").alias("up"), F.lit(1).cast("long").alias("reach"),
+                             depth.alias("depth")))
+    open_rows = F.col("depth").isNull() & F.col("up").isNotNull()
+    most = state.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach < most and not state.where(open_rows).isEmpty():
+        target = state.select(*names, F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("reach").alias("_reach"),
+                              F.col("depth").alias("_depth"))
+        met = state.where(open_rows).join(target, [*names, "up"], "left").select(
+            *names, "pid", F.when(F.col("_depth").isNull(), F.col("_up")).alias("up"),
+            (F.col("reach") + F.coalesce("_reach", F.lit(0))).alias("reach"),
+            (F.col("reach") + F.col("_depth")).alias("depth"))
+        state = cut(met.unionByName(state.where(~open_rows)))
+        reach *= 2
+    found = state.where("depth is not null").select(*names, "pid", "depth")
+    return procs.select(*names, "pid", "ppid", "name").join(found, [*names, "pid"])
 
 
 # --- snapshot differences ---------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from argosift import constants as C
 from argosift.functions import hashing as H, severity as S
-from argosift.operators import audit as A, reconcile as RC
+from argosift.operators import audit as A, membership as MB, reconcile as RC
 from argosift.operators.windows import number_rows
 from argosift.session import cut, new_path
 from argosift.plans.registry import query
@@ -302,6 +302,19 @@ def content_hash(t: Inputs):
     return t.sec_log().select("event_id", A.event_hash().alias("content_hash"), H.map_hash(payload).alias("map_hash"))
 
 
+_CANONICAL = """'{"a":{"host":"'||host_id||'","tags":[{"n":'||event_id||',"s":"'||source||'"},"x"]},"b":"'||severity||'"}'"""
+_SHUFFLED = """'{ "b" : "'||severity||'", "a":{"tags":[{"s":"'||source||'", "n":'||event_id||'},"x"],"host":"'||host_id||'"}}'"""
+
+
+@query("h45_nested_hash", with_views(
+    f"select event_id, sha256({_CANONICAL}) as payload_hash, true as same from sec_log", "sec_log"))
+def nested_hash(t: Inputs):
+    """Nested payloads hash alike under another order of their keys, at every level."""
+    rows = t.sec_log().selectExpr("event_id", f"{_CANONICAL} as one", f"{_SHUFFLED} as other")
+    return rows.select("event_id", H.payload_hash(F.col("one")).alias("payload_hash"),
+                       (H.payload_hash(F.col("one")) == H.payload_hash(F.col("other"))).alias("same"))
+
+
 @query("h46_chain_link", with_views(
     f"select event_id, sha256({_GENESIS}||':'||{_HASH}) as chain_hash from sec_log", "sec_log"))
 def chain_link(t: Inputs):
@@ -352,6 +365,19 @@ def append_audit(t: Inputs):
     return stored.unionByName(A.append_new(stored, full))
 
 
+@query("a10_append_filtered", with_views(
+    "select record_id, content_hash from audit_log", "audit_log"))
+def append_filtered(t: Inputs):
+    """The same over a stored history by day with its filters: only ids that they may hold are looked up in it."""
+    history, filters = new_path(t.spark, "history"), new_path(t.spark, "filters")
+    full = t.audit_log(numbered=False).select("record_id", "content_hash", F.to_date("ts").alias("day"))
+    stored = full.where("record_id % 2 = 0")
+    stored.write.partitionBy("day").parquet(history)
+    MB.build(stored).write.parquet(filters)
+    new = MB.append_new(t.spark.read.parquet(history), t.spark.read.parquet(filters), full)
+    return stored.unionByName(new).select("record_id", "content_hash")
+
+
 @query("a11_primary_changes", with_views(
     """select event_id, case when event_id%101=0 then 'debug' else severity end as severity, message from sec_log
        where event_id%97<>0""", "sec_log"))

@@ -98,11 +98,27 @@ def custom_rule(t: Inputs):
 def rules_table(t: Inputs):
     """Rules that users keep in a table: any number of them, with occurrence counts of their own."""
     rules = t.spark.createDataFrame(
-        [(f"W-{w}", f"{w} [a-z0-9]", w, s, 0, 1) for w, s in (("retry", 0.4), ("backup", 0.3), ("session", 0.3))]
-        + [("W-count", "refused", "refused", 0.6, 3600, 2)], D.RULE_TABLE)
+        [(f"W-{w}", f"{w} [a-z0-9]", s, 0, 1) for w, s in (("retry", 0.4), ("backup", 0.3), ("session", 0.3))]
+        + [("W-count", "refused", 0.6, 3600, 2)], D.RULE_TABLE)
     return D.match_rule_table(t.log_line(), rules, "line").select("event_id", "rule_id", "rule_severity")
 
 
+_SIGNS = {"X-address": r"[0-9]{3}\.[0-9]{2}\.[0-9]{3}\.[0-9]+:[0-9]{4}", "X-number": r"\b[0-9]{5}\b", "X-either": "sessio[mn]|aud[io]t"}
+
+
+@query("c9_many_rules", with_views(
+    "select event_id, 'U-'||n as rule_id from (select event_id, regexp_extract(line, 'user u([0-9]+)', 1) as n from log_line) "
+    "where n <> '' and n::int < 2000 union all select event_id, rule_id from log_line, (values "
+    + ", ".join(f"({Q.q(k)}, {Q.q(p)})" for k, p in _SIGNS.items())
+    + ") r(rule_id, pattern) where regexp_matches(line, pattern, 'i')", "log_line"))
+def many_rules(t: Inputs):
+    """A table of 2,003 rules, one per watched user and three without a plain word, over all lines."""
+    users = t.spark.range(2000).selectExpr("'U-'||id as rule_id", r"concat('(invalid )?user u', id, '\\b') as pattern")
+    signs = t.spark.createDataFrame(list(_SIGNS.items()), "rule_id string, pattern string")
+    rules = users.unionByName(signs).selectExpr("*", "0.5D as rule_severity", "0 as window_seconds", "1 as min_occurrences")
+    return D.match_rule_table(t.log_line(), rules, "line").select("event_id", "rule_id")
+
+
 @query("e2_rule_occurrences", with_views(
     f"""select event_id, count(*) over (partition by host_id order by ts range between interval {_WIDE} seconds preceding
           and current row)::bigint as occurrences from log_line

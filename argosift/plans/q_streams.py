@@ -16,7 +16,8 @@ from argosift.plans.views import LOG_LINE, NET_CONN, PRIMARY, SEC_LOG, Inputs, s
 from argosift.plans.q_anomaly import _detect_sql, features_of
 from argosift.plans.q_correlate import _rule_hits
 from argosift.session import cut, new_path
-from argosift.streaming import jobs as J
+from argosift.sources import growing as G
+from argosift.streaming import jobs as J, state as SS
 
 
 def _events(t: Inputs) -> DataFrame:
@@ -49,6 +50,28 @@ def incremental_ingest(t: Inputs):
     return t.spark.read.parquet(path)
 
 
+@query("i1_growing_file", with_views("select line, count(*)::bigint as copies from log_line group by line", "log_line"))
+def growing_file(t: Inputs):
+    """A log file followed while it grows in three deliveries and is rotated once: every line comes once."""
+    log, path, checkpoint = (new_path(t.spark, n) for n in ("log", "followed", "followed-checkpoint"))
+    deliveries = iter(range(3))
+
+    def run(_: DataFrame) -> None:
+        k = next(deliveries)
+        J.append_to(G.follow(t.spark, f"{log}/app.log*", split_bytes=1 << 16).select("line"), path, checkpoint)
+        if k == 1:
+            G.rotate(f"{log}/app.log", f"{log}/app.log.1")
+
+    def store(part: DataFrame) -> None:
+        lines = cut(part.selectExpr(*spark_columns(SEC_LOG)).selectExpr(*spark_columns(LOG_LINE)).select("line"))
+        written = new_path(t.spark, "lines")
+        lines.write.text(written)
+        G.append_files(written, f"{log}/app.log")
+
+    _arrivals(t, run, store)
+    return t.spark.read.parquet(path).groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("i2_deduplicate", with_views("select event_id, severity from sec_log", "sec_log"))
 def deduplicate(t: Inputs):
     """Every event delivered twice, kept once."""
@@ -103,6 +126,46 @@ def sliding_transfers(t: Inputs):
     return rows.select("host_id", F.col("window_start").cast("string").alias("window_start"), "closed", "bytes_sent")
 
 
+def _hits_sql(body: str, confidence: str, condition: str) -> str:
+    return f"select *, round({confidence}, 6)::double as confidence from ({body}) where {condition}"
+
+
+@query("i3_sequence_hits", with_views(_hits_sql(
+    _sliding_sql("host_id", "sec_log", _FAIL, "hour", 6, "count(*)::bigint as events"), "least(0.5+events*0.05,0.95)",
+    "events >= 5"), "sec_log"))
+def sequence_hits(t: Inputs):
+    """Windows with at least five failed logins, with their confidence (D4 as a stream)."""
+    rows = _stored_windows(t, lambda ev: J.sequence_windows(ev, ["host_id"], "6 hours", "1 hour"), SEC_LOG,
+                           ["window_start", "host_id"], "sequence-hits")
+    return J.sequence_hits(rows).select("host_id", F.col("window_start").cast("string").alias("window_start"), "closed",
+                                        "events", F.round("confidence", 6).alias("confidence"))
+
+
+@query("i3_port_scan_hits", with_views(_hits_sql(
+    _sliding_sql("remote_addr", "net_conn", "true", "day", 10, "count(distinct local_port)::bigint as ports"),
+    "least(0.6+ports*0.02,0.95)", "ports >= 5"), "net_conn"))
+def port_scan_hits(t: Inputs):
+    """Remote addresses that touch at least five local ports in ten days (D5 as a stream)."""
+    rows = _stored_windows(t, lambda ev: J.scan_windows(ev, ["remote_addr"], "local_port", "10 days", "1 day"), NET_CONN,
+                           ["window_start", "remote_addr"], "scan-hits")
+    return J.scan_hits(rows, 5).select("remote_addr", F.col("window_start").cast("string").alias("window_start"), "closed",
+                                       "ports", F.round("confidence", 6).alias("confidence"))
+
+
+@query("i3_exfiltration_hits", with_views(_hits_sql(
+    _sliding_sql("host_id", "net_conn", f"not {Q.private_ip('remote_addr')}", "hour", 24,
+                 "sum(bytes_sent)::bigint as bytes_sent, count(distinct remote_addr)::bigint as destinations"), "0.7",
+    "bytes_sent > 104857600 and destinations > 3"), "net_conn"))
+def exfiltration_hits(t: Inputs):
+    """Hosts that send over 100 MB to more than three public addresses in a day (D6 as a stream)."""
+    rows = _stored_windows(t, lambda ev: J.transfer_windows(ev, ["host_id"], "bytes_sent", "24 hours", "1 hour",
+                                                            "remote_addr"), NET_CONN, ["window_start", "host_id"],
+                           "transfer-hits")
+    return J.transfer_hits(rows).select(
+        "host_id", F.col("window_start").cast("string").alias("window_start"), "closed", "bytes_sent", "destinations",
+        F.round("confidence", 6).alias("confidence"))
+
+
 @query("i4_tumbling_counts", with_views(
     f"""select cast(w as varchar) as slot, w + interval 1 hour <= (select max(ts) from sec_log) - interval 10 minutes
           as closed, count(*)::bigint as events, count_if({Q.TRIAGE} in ('critical','high'))::bigint as threats
@@ -114,45 +177,49 @@ def tumbling_counts(t: Inputs):
     return rows.select(F.col("window_start").cast("string").alias("slot"), "closed", "events", "threats")
 
 
-@query("i5_sessions", """select user_id, cast(min(ts) as varchar) as started, count(*)::bigint as events,
-    max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 10 minutes as closed from (
+@query("i5_sessions", """select user_id, cast(min(ts) as varchar) as started, count(*)::bigint as events from (
     select user_id, ts, sum(fresh) over (partition by user_id order by ts, event_id) as s from (select *,
       case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end
-      as fresh from events)) group by user_id, s""")
+      as fresh from events)) group by user_id, s
+    having max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 10 minutes""")
 def session_rows(t: Inputs):
-    """Sessions over three deliveries, open ones included."""
-    table, checkpoint = J.OpenAndClosed(t.spark, new_path(t.spark, "sessions")), new_path(t.spark, "sessions-checkpoint")
-    _arrivals(t, lambda ev: J.sessions(ev, ["user_id"], table, checkpoint, "30 minutes"))
-    return table.read().select("user_id", F.col("started").cast("string").alias("started"), "events", "closed")
+    """Sessions over three deliveries, appended once the watermark has closed them."""
+    path, checkpoint = new_path(t.spark, "sessions"), new_path(t.spark, "sessions-checkpoint")
+    _arrivals(t, lambda ev: SS.sessions(ev, ["user_id"], path, checkpoint, "30 minutes"))
+    return t.spark.read.parquet(path).select("user_id", F.col("started").cast("string").alias("started"), "events")
 
 
 @query("i6_interval_join", with_views(
     """select a.event_id as later_id, a.host_id, count(b.event_id)::bigint as matches,
          arg_max(b.event_id, {'t': b.ts, 'i': b.event_id}) as nearest from sec_log a left join sec_log b
          on a.host_id=b.host_id and b.ts<=a.ts and b.ts>=a.ts - interval 900 seconds and b.severity='warning'
-       where a.severity='error' group by 1,2""", "sec_log"))
+       where a.severity='error' and a.ts <= (select least(max(ts) filter (where severity='error'),
+         max(ts) filter (where severity='warning')) - interval 10 minutes - interval 900 seconds from sec_log)
+       group by 1,2""", "sec_log"))
 def preceding_warnings(t: Inputs):
-    """Per error the warnings of its host in the 15 minutes before it, over three deliveries."""
-    table, checkpoint = J.OpenAndClosed(t.spark, new_path(t.spark, "pairs")), new_path(t.spark, "pairs-checkpoint")
-    _arrivals(t, lambda ev: J.preceded_by(
-        ev.selectExpr(*spark_columns(SEC_LOG)), F.col("severity") == "error", F.col("severity") == "warning", ["host_id"],
-        900, table, checkpoint))
-    rows = table.closed.read().unionByName(table.open.latest().where("later and not done"))
-    return rows.select(F.col("event_id").alias("later_id"), "host_id", "matches", "nearest")
-
-
-@query("i7_retention", with_views("select source, severity, count(*)::bigint as events, 2::bigint as versions "
-                                  "from sec_log group by 1,2", "sec_log"))
-def retention(t: Inputs):
-    """Running totals whose old versions are removed after each delivery; two are left."""
-    totals, checkpoint = J.VersionedTable(t.spark, new_path(t.spark, "kept")), new_path(t.spark, "kept-checkpoint")
+    """Per error the warnings of its host in the 15 minutes before it, once both streams have passed them."""
+    path, checkpoint = new_path(t.spark, "pairs"), new_path(t.spark, "pairs-checkpoint")
 
     def run(ev: DataFrame) -> None:
-        J.running_totals(ev.selectExpr(*spark_columns(SEC_LOG)), ["source", "severity"], totals, checkpoint)
-        J.drop_versions(totals)
+        log = ev.selectExpr(*spark_columns(SEC_LOG))
+        SS.preceded_by(log.where("severity = 'error'"), log.where("severity = 'warning'"), ["host_id"], 900, path, checkpoint)
 
     _arrivals(t, run)
-    return totals.latest().withColumn("versions", F.lit(len(totals.versions())).cast("long"))
+    return t.spark.read.parquet(path).select(F.col("event_id").alias("later_id"), "host_id", "matches", "nearest")
+
+
+@query("i7_retention", with_views(
+    """select source, cast(w as varchar) as window_start, count(*)::bigint as events
+       from (select *, time_bucket(interval 1 hour, ts) as w from sec_log)
+       where w + interval 1 hour > (select max(ts) from sec_log) - interval 10 minutes group by 1,2""", "sec_log"))
+def retention(t: Inputs):
+    """What the store still holds after three deliveries: the windows that the watermark has not passed."""
+    path, checkpoint = new_path(t.spark, "kept"), new_path(t.spark, "kept-checkpoint")
+    _arrivals(t, lambda ev: SS.window_totals(ev.selectExpr(*spark_columns(SEC_LOG)), ["source"], "1 hour", path,
+                                             checkpoint))
+    return SS.stored(t.spark, checkpoint).select(
+        "source", F.col("window.start").cast("timestamp_ntz").cast("string").alias("window_start"),
+        F.col("count").alias("events"))
 
 
 @query("i13_submission_stream", "select event_type, count(*)::bigint as events, count(distinct event_id)::bigint as ids "
@@ -169,15 +236,33 @@ def submission_stream(t: Inputs):
         F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
+@query("i13_late_rows", """select event_type, count_if(not late)::bigint as kept, count_if(late)::bigint as dropped,
+    count(*)::bigint as rows from (select event_type, ts < timestamp '2024-01-09' and event_id % 17 = 0 and ts < (
+      select max(ts) from events where ts < timestamp '2024-01-20') - interval 10 minutes as late from events) group by 1""")
+def late_rows(t: Inputs):
+    """Some rows of the first delivery come with the third: they are kept in a table of their own and counted."""
+    on_time, late, clock = (J.BatchTable(t.spark, new_path(t.spark, n)) for n in ("on-time", "late", "clock"))
+    path, checkpoint = new_path(t.spark, "inbox"), new_path(t.spark, "inbox-checkpoint")
+    events = t.table("events")
+    held = (F.col("ts") < F.lit("2024-01-09").cast("timestamp_ntz")) & (F.col("event_id") % 17 == 0)
+    deliveries = [events.where("ts < timestamp_ntz'2024-01-09'").where(~held),
+                  events.where("ts >= timestamp_ntz'2024-01-09' and ts < timestamp_ntz'2024-01-20'"),
+                  events.where("ts >= timestamp_ntz'2024-01-20'").unionByName(events.where(held))]
+    for part in deliveries:
+        part.write.mode("append").parquet(path)
+        J.split_late(J.read_files(t.spark, path, schemas.EVENT), on_time, late, clock, checkpoint)
+    both = on_time.read().withColumn("late", F.lit(False)).unionByName(late.read().withColumn("late", F.lit(True)))
+    return both.groupBy("event_type").agg(F.count_if(~F.col("late")).alias("kept"), F.count_if("late").alias("dropped"),
+                                          F.count(F.lit(1)).alias("rows"))
+
+
 @query("d2_cumulative_counts", with_views(
     "select source, severity, count(*)::bigint as events from sec_log group by 1,2", "sec_log"))
 def cumulative_counts(t: Inputs):
-    """Counts carried over three deliveries."""
-    totals = J.VersionedTable(t.spark, new_path(t.spark, "totals"))
+    """Counts carried over three deliveries, read from the stream's own state."""
     checkpoint = new_path(t.spark, "totals-checkpoint")
-    _arrivals(t, lambda ev: J.running_totals(ev.selectExpr(*spark_columns(SEC_LOG)), ["source", "severity"], totals,
-                                             checkpoint))
-    return totals.latest()
+    _arrivals(t, lambda ev: SS.running_totals(ev.selectExpr(*spark_columns(SEC_LOG)), ["source", "severity"], checkpoint))
+    return SS.stored(t.spark, checkpoint).select("source", "severity", F.col("count").alias("events"))
 
 
 _FEATS = ["message_length", "severity_score", "entropy", "pattern_count"]
@@ -415,15 +500,14 @@ _NEXT = """select distinct host_id, snapshot_ts, lag(snapshot_ts) over w as befo
                                                 "select distinct (select max(snapshot_ts) from proc_snapshot) "
                                                 "- interval 10 minutes as closed_to, host_id, snapshot_ts, lag")}))
 def snapshot_stream(t: Inputs):
-    """Starts and ends over three deliveries, of all snapshots that a newer one has closed."""
-    changes = J.BatchTable(t.spark, new_path(t.spark, "changes"))
-    last = J.VersionedTable(t.spark, new_path(t.spark, "snapshot"))
-    checkpoint = new_path(t.spark, "snapshot-checkpoint")
+    """Starts and ends over three deliveries, of all snapshots that the watermark has passed."""
+    path, checkpoint = new_path(t.spark, "changes"), new_path(t.spark, "changes-checkpoint")
 
     def run(ev: DataFrame) -> None:
         rows = ev.selectExpr("'host-'||cast(user_id%8 as string) as host_id",
                              "cast(date_trunc('day',ts) as timestamp_ntz) as snapshot_ts", "1000+user_id as pid")
-        J.snapshot_events(rows, ["pid"], changes, last, checkpoint)
+        SS.snapshot_changes(rows, "pid", path, checkpoint)
 
     _arrivals(t, run)
-    return changes.read().select("host_id", F.col("snapshot_ts").cast("string").alias("seen_at"), "pid", "change")
+    return t.spark.read.parquet(path).select("host_id", F.col("snapshot_ts").cast("string").alias("seen_at"), "pid",
+                                             "change")

@@ -1,9 +1,10 @@
-"""Structured Streaming jobs: ingest, windows, joins and table-backed state.
+"""Structured Streaming jobs: ingest, windows and table-backed state.
 
-Stateless and windowed jobs are ordinary streaming plans. State that must follow
-event order over a whole key (moving averages, hash chains, snapshots) lives in
-versioned tables updated by ``foreachBatch``: each micro-batch is summarised with
-the parallel batch operators, so a hot key does not become one serial task.
+Stateless and windowed jobs are ordinary streaming plans; sessions, joins, totals and
+snapshots, whose state the engine keeps, are in ``state``. State that must follow
+event order over a whole key (moving averages, hash chains) lives in versioned tables
+updated by ``foreachBatch``: each micro-batch is summarised with the parallel batch
+operators, so a hot key does not become one serial task.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from argosift import constants as C
-from argosift.functions import severity as S
+from argosift.functions import net as NET, severity as S
 from argosift.operators import (anomaly as AN, audit as A, baseline as B, detect as D, mountain as M, parse as L,
-                                reconcile as RC, snapshots as N)
-from argosift.operators.windows import last_before, trailing_sums
+                                reconcile as RC)
 from argosift.session import cut, new_path
 from argosift.sources.tables import table_exists
 
@@ -234,87 +234,51 @@ def scan_windows(df: DataFrame, keys: Sequence[str], port: str, window: str = "1
 
 
 def transfer_windows(df: DataFrame, keys: Sequence[str], sent: str, window: str = "5 minutes",
-                     slide: str = "1 minute") -> DataFrame:
-    """Sliding windows with the bytes sent."""
-    return window_counts(df, keys, window, slide, [F.sum(sent).alias("bytes_sent")])
+                     slide: str = "1 minute", address: str | None = None) -> DataFrame:
+    """Sliding windows with the bytes sent.
 
-
-def sessions(df: DataFrame, keys: Sequence[str], table: OpenAndClosed, checkpoint: str, gap: str = "5 minutes",
-             slots: int = 16, ts: str = "ts", tie: str = "event_id") -> None:
-    """Bursts of one entity as (keys, started, ended, events, closed).
-
-    A batch's bursts are first found in ``slots`` parts of each entity's rows, then merged with each other and with
-    the open ones that they touch, so a busy entity's rows are not merged in one task. Rows older than the newest by
-    more than the watermark delay are dropped.
+    With ``address`` only rows to public addresses count, and ``destinations`` estimates how many there are. Addresses are
+    unbounded, so a window's state is a sketch of fixed size that is merged; it is exact for small numbers and off by
+    about 2 % beyond.
     """
-    names = list(keys)
-    wait = F.expr(f"interval {gap}")
+    if address is None:
+        return window_counts(df, keys, window, slide, [F.sum(sent).alias("bytes_sent")])
+    public = df.where(~NET.is_private_ip(F.col(address)) & (F.coalesce(F.col(address), F.lit("")) != ""))
+    return window_counts(public, keys, window, slide, [
+        F.sum(sent).alias("bytes_sent"), F.hll_sketch_estimate(F.hll_sketch_agg(address, F.lit(12))).alias("destinations")])
 
-    def merge(parts: DataFrame) -> DataFrame:
-        w = W.partitionBy(*names).orderBy("started", "ended")
-        before = F.max(F.col("ended") + wait).over(w.rowsBetween(W.unboundedPreceding, -1))
-        fresh = F.when(before.isNull() | (F.col("started") >= before), 1).otherwise(0)
-        numbered = parts.withColumn("_fresh", fresh).withColumn("_n", F.sum("_fresh").over(w))
-        return numbered.groupBy(*names, "_n").agg(F.min("started").alias("started"), F.max("ended").alias("ended"),
-                                                  F.sum("events").alias("events")).drop("_n")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.open.before(batch_id)
-        rows = batch.withColumn("_slot", F.pmod(F.xxhash64(tie), F.lit(slots)))
-        if old is not None:
-            clock = old.agg(F.max("ended").alias("_clock"))
-            rows = rows.crossJoin(F.broadcast(clock)).where(F.col("_clock").isNull() | (
-                F.col(ts) > F.col("_clock") - F.expr(f"interval {WATERMARK}")))
-        w = W.partitionBy(*names, "_slot").orderBy(ts)
-        last = F.lag(ts).over(w)
-        numbered = rows.withColumn("_fresh", F.when(last.isNull() | (F.col(ts) >= last + wait), 1).otherwise(0)).withColumn(
-            "_n", F.sum("_fresh").over(w))
-        local = numbered.groupBy(*names, "_slot", "_n").agg(
-            F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("events")).drop("_slot", "_n")
-        merged = merge(local if old is None else local.unionByName(old.drop("closed")))
-        table.write(_closed(merged, "ended", F.col("ended") + wait), batch_id)
+def sequence_hits(rows: DataFrame, minimum: int = 5) -> DataFrame:
+    """Windows of :func:`sequence_windows` with enough failures, with the confidence of the batch rule."""
+    return rows.where(F.col("events") >= minimum).withColumn("confidence", F.least(0.5 + F.col("events") * 0.05, F.lit(0.95)))
 
-    each_batch(df, step, checkpoint)
 
+def scan_hits(rows: DataFrame, minimum: int = 10) -> DataFrame:
+    """Windows of :func:`scan_windows` with enough ports, with the confidence of the batch rule."""
+    return rows.where(F.col("ports") >= minimum).withColumn("confidence", F.least(0.6 + F.col("ports") * 0.02, F.lit(0.95)))
 
-def preceded_by(df: DataFrame, later: Column, earlier: Column, keys: Sequence[str], seconds: int,
-                table: OpenAndClosed, checkpoint: str, ts: str = "ts", tie: str = "event_id") -> None:
-    """For every ``later`` event: how many ``earlier`` events of its key lie at most ``seconds`` before it, and the
-    newest of them. One row per later event instead of all pairs.
 
-    Events of the last ``seconds`` and of the watermark delay stay open and meet those of the next batch.
-    """
-    names = list(keys)
-    span = F.expr(f"interval {int(seconds)} seconds")
+def transfer_hits(rows: DataFrame, min_bytes: int = 100 * 1024 * 1024, min_destinations: int = 3) -> DataFrame:
+    """Windows of :func:`transfer_windows` with enough bytes and destinations, with the confidence of the batch rule."""
+    return rows.where((F.col("bytes_sent") > min_bytes) & (F.col("destinations") > min_destinations)).withColumn(
+        "confidence", F.lit(0.7))
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.open.before(batch_id)
-        rows = batch.withColumns({"later": later, "earlier": earlier, "done": F.lit(False)}).where(
-            "later or earlier").select(*names, ts, tie, "later", "earlier", "done")
-        both = rows if old is None else rows.unionByName(old.select(rows.columns))
-        counted = trailing_sums(both, names, ts, seconds, {"matches": F.col("earlier").cast("long")})
-        found = last_before(counted, names, ts, tie, F.col("earlier"), "nearest").withColumn(
-            "nearest", F.when(F.col("matches") > 0, F.col("nearest")))
-        aged = _closed(found, ts, F.col(ts)).withColumn("_final", F.col("closed"))
-        # Final later events are written once; what may still precede others is kept, marked as done.
-        kept = _closed(aged.drop("closed"), ts, F.col(ts) + span).withColumnRenamed("closed", "_old")
-        final = kept.where("_final and later and not done").drop("_final", "_old").withColumn("closed", F.lit(True))
-        still = kept.where("not _old").withColumn("done", F.col("_final")).drop("_final", "_old").withColumn(
-            "closed", F.lit(False))
-        table.write(final.unionByName(still), batch_id)
 
-    each_batch(df, step, checkpoint)
+def split_late(df: DataFrame, on_time: BatchTable, late: BatchTable, clock: BatchTable, checkpoint: str, ts: str = "ts",
+               delay: str = WATERMARK, every: str | None = None) -> StreamingQuery:
+    """Keeps the rows that a watermark would drop: a row older than ``delay`` before the newest of earlier batches is late.
 
-
-def running_totals(df: DataFrame, keys: Sequence[str], table: VersionedTable, checkpoint: str) -> None:
-    """Cumulative counts per key over all batches."""
+    ``clock`` holds one row per batch, so a repeated batch is judged as it was. Rows without a time are on time.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"))
-        old = table.before(batch_id)
-        both = counts if old is None else counts.unionByName(old)
-        table.write(both.groupBy(*keys).agg(F.sum("events").alias("events")), batch_id)
+        newest = clock.read(before=batch_id).agg(F.max("newest")).first()[0] if batch_id else None
+        limit = F.lit(newest) - F.expr(f"interval {delay}")
+        is_late = F.coalesce(F.col(ts) < limit, F.lit(False)) if newest is not None else F.lit(False)
+        on_time.write(batch.where(~is_late), batch_id)
+        late.write(batch.where(is_late), batch_id)
+        clock.write(batch.agg(F.max(ts).alias("newest")), batch_id)
 
-    each_batch(df, step, checkpoint)
+    return each_batch(df, step, checkpoint, every=every)
 
 
 # --- table-backed state -------------------------------------------------------------------------
@@ -418,32 +382,6 @@ def periodic_audit(df: DataFrame, primary: Callable[[], DataFrame], backup: Call
     return each_batch(df, step, checkpoint, every=every)
 
 
-def snapshot_events(df: DataFrame, keys: Sequence[str], changes: BatchTable, last: VersionedTable, checkpoint: str,
-                    host: str = "host_id", ts: str = "snapshot_ts") -> None:
-    """Start and end events between snapshots.
-
-    A snapshot may arrive in several batches; a host's snapshots are compared once a later snapshot of any host is
-    newer by the watermark delay. The last compared and all open snapshots are kept for the next batch.
-    """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = last.before(batch_id)
-        rows = batch.select(host, ts, *keys).withColumn("compared", F.lit(False))
-        both = rows if old is None else rows.unionByName(old)
-        merged = both.groupBy(host, ts, *keys).agg(F.bool_or("compared").alias("compared"))
-        ripe = cut(_closed(merged, ts, F.col(ts)))
-        # A row of a snapshot that was compared already is too late.
-        ready = ripe.where("closed")
-        found = N.snapshot_changes(ready, keys, host, ts)
-        done = ready.where("compared").groupBy(host).agg(F.max(ts).alias("_done"))
-        fresh = found.join(done, host, "left").where(F.col("_done").isNull() | (F.col(ts) > F.col("_done")))
-        changes.write(fresh.drop("_done"), batch_id)
-        newest = ready.groupBy(host).agg(F.max(ts).alias(ts))
-        kept = ready.join(newest, [host, ts], "left_semi").withColumn("compared", F.lit(True))
-        last.write(kept.unionByName(ripe.where("not closed")).drop("closed"), batch_id)
-
-    each_batch(df, step, checkpoint)
-
-
 def drop_versions(table: VersionedTable, keep: int = 2) -> None:
     """Retention: removes all but the newest ``keep`` versions of a state table."""
     for version in sorted(table.versions())[:-keep]:
