@@ -27,8 +27,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+import string
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from tokenizers import Tokenizer
 
 _REMEMBERED = 1 << 19
 _SHORT = 64
+_SHORT_SIZES = (2, 1)
 
 
 class Tokens:
@@ -55,48 +57,87 @@ class Tokens:
         self.inner = {t: i for t, i in vocab.items() if not self.suffix or not t.endswith(self.suffix)}
         self.final = {t[:-len(self.suffix)]: i for t, i in vocab.items() if t.endswith(self.suffix)
                       } if self.suffix else self.inner
-        alphabet = Tokenizer.from_str(source).pre_tokenizer
-        self.longest = max(map(len, chain(self.inner, self.final)))
+        # Lengths of the tokens with the same last three symbols, longest first; shorter ones are always tried.
+        self.inner_sizes, self.final_sizes = _sizes_by_end(self.inner), _sizes_by_end(self.final)
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        listed = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(listed)}
+        self.products = [*(c for _, _, c in listed), -1]
         self.symbols = {i: [self.inner[c] for c in t] for t, i in self.inner.items() if all(c in self.inner for c in t)}
         if self.suffix:
             self.symbols |= {i: [*(self.inner[c] for c in t[:-1]), self.final[t[-1]]] for t, i in self.final.items()
                              if t and t[-1] in self.final and all(c in self.inner for c in t[:-1])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_id = {i: t for t, i in chain(vocab.items(), self.special.items())}
-        self.split = _splitter(source, alphabet, self.special)
+        library = Tokenizer.from_str(source)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
+                                 ) if self.special else None
         self.drops_space = all(not re.search(r"[\sĠ]", w) for w in self.split(" a \t\n b\x0b\x0c"))
+        # Whether a run of ASCII letters is always one word, in small letters.
+        probes = [string.ascii_letters, string.ascii_letters[::-1], *string.ascii_letters]
+        self.plain_letters = self.drops_space and all(self.split(p) == [p.lower()] for p in probes)
         self.byte_level = bool(spec["decoder"]) and spec["decoder"]["type"] == "ByteLevel"
         if spec["decoder"] and not self.byte_level:
             raise ValueError("the file must have no decoder or one of bytes")
 
+    def _words(self, text: str) -> list[str]:
+        plain = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [w for w, _ in self.splitter.pre_tokenize_str(plain)] if plain else []
+
+    def split(self, text: str) -> list[str]:
+        """Words of a normalised text; special tokens are words of their own."""
+        if self._marks is None or not self._marks.search(text):
+            return self._words(text)
+        return [w for part in self._marks.split(text) if part
+                for w in ([part] if part in self.special else self._words(part))]
+
+    def split_all(self, texts: list[str]) -> list[list[str]]:
+        """Words of texts without ASCII white space, for a tokenizer that drops it: one call for all of them."""
+        out: list[list[str]] = [[] for _ in texts]
+        together = []
+        for k, text in enumerate(texts):
+            if self.plain_letters and text.isalpha() and text.isascii():
+                out[k].append(text.lower())
+                continue
+            # White space of any kind is not printable, so it can't be taken for a border.
+            if text.isprintable() and not (self._marks and self._marks.search(text)):
+                together.append(k)
+            else:
+                out[k] = self.split(text)
+        plain = " ".join(texts[k] for k in together)
+        plain = self.normalizer.normalize_str(plain) if self.normalizer else plain
+        borders = [k - 1 for k in accumulate(len(part) + 1 for part in plain.split(" "))][:-1]
+        if len(borders) != len(together) - 1:  # the normaliser adds or takes spaces
+            return [self.split(text) for text in texts]
+        at = 0
+        for word, (start, _) in self.splitter.pre_tokenize_str(plain) if plain else ():
+            while at < len(borders) and start > borders[at]:
+                at += 1
+            out[together[at]].append(word)
+        return out
+
     def merged(self, symbols: list[int]) -> list[int]:
         """Merges neighbours of the lowest rank, the leftmost first, as long as there are any."""
-        row = list(symbols)
-        while True:
-            best = min(((self.merges[p][0], k) for k, p in enumerate(zip(row, row[1:])) if p in self.merges), default=None)
-            if best is None:
-                return row
-            k = best[1]
-            row[k:k + 2] = [self.merges[row[k], row[k + 1]][1]]
-
-
-def _splitter(source: str, pre_tokenizer, special: dict[str, int]) -> Callable[[str], list[str]]:
-    """A function that normalises a text and cuts it into words; special tokens are words of their own."""
-    normalizer = Tokenizer.from_str(source).normalizer
-    marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-
-    def words(text: str) -> list[str]:
-        plain = normalizer.normalize_str(text) if normalizer else text
-        return [w for w, _ in pre_tokenizer.pre_tokenize_str(plain)] if plain else []
-
-    def split(text: str) -> list[str]:
-        if marks is None or not marks.search(text):
-            return words(text)
-        return [w for part in marks.split(text) if part for w in ([part] if part in special else words(part))]
-
-    return split
+        row, rank_of, none = list(symbols), self.ranks, len(self.products) - 1
+        ranks = [rank_of.get(pair, none) for pair in zip(row, row[1:])]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            row[k:k + 2] = [self.products[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank_of.get((row[k - 1], row[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank_of.get((row[k], row[k + 1]), none)
+        return row
+
+
+def _sizes_by_end(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    found: dict[str, set[int]] = {}
+    for token in table:
+        if len(token) > 2:
+            found.setdefault(token[-3:], set()).add(len(token))
+    return {end: (*sorted(sizes, reverse=True), 2, 1) for end, sizes in found.items()}
 
 
 class Encoder:
@@ -107,6 +148,7 @@ class Encoder:
         self._follows: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
         self._chunks: dict[bytes, tuple[int, ...]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
 
     def _stands_alone(self, token: int) -> bool:
         known = self._alone.get(token)
@@ -114,20 +156,27 @@ class Encoder:
             known = self._alone[token] = self.tokens.merged(self.tokens.symbols.get(token, [])) == [token]
         return known
 
-    def _may_follow(self, before: int, token: int) -> bool:
-        known = self._follows.get((before, token))
-        if known is None:
-            both = self.tokens.symbols[before] + self.tokens.symbols.get(token, [])
-            known = self._follows[before, token] = self.tokens.merged(both) == [before, token]
+    def _may_follow(self, pair: tuple[int, int]) -> bool:
+        both = [s for token in pair for s in self.tokens.symbols.get(token, ())]
+        known = self._follows[pair] = self.tokens.merged(both) == list(pair)
         return known
 
-    def _last(self, path: str, end: int, table: dict[str, int], last: list[int]) -> tuple[int, int]:
+    def _last(self, path: str, end: int, inside: bool, last: list[int]) -> tuple[int, int]:
         """The last token of the first ``end`` symbols of ``path`` and its length, from the states before."""
-        for size in range(min(end, self.tokens.longest), 0, -1):
-            token = table.get(path[end - size:end])
-            if token is not None and (self._may_follow(last[end - size - 1], token) if size < end
-                                      else self._stands_alone(token)):
-                return token, size
+        tokens = self.tokens
+        table, sizes = (tokens.inner, tokens.inner_sizes) if inside else (tokens.final, tokens.final_sizes)
+        follows = self._follows
+        for size in sizes.get(path[end - 3:end], _SHORT_SIZES) if end > 2 else _SHORT_SIZES:
+            if size < end:
+                token = table.get(path[end - size:end])
+                if token is not None:
+                    pair = last[end - size - 1], token
+                    if follows[pair] if pair in follows else self._may_follow(pair):
+                        return token, size
+            elif size == end:
+                token = table.get(path[:end])
+                if token is not None and self._stands_alone(token):
+                    return token, size
         raise ValueError(f"no token for {path[end - 1]!r}")
 
     def words(self, distinct: Iterable[str]) -> dict[str, tuple[int, ...]]:
@@ -136,43 +185,50 @@ class Encoder:
         last: list[int] = []  # last token of each prefix on the path, and its length in symbols
         size: list[int] = []
         path = ""
-        inner, final = self.tokens.inner, self.tokens.final
+        step = self._last
         for word in sorted(distinct):
-            shared, most = 0, min(len(path), len(word) - 1, len(last))
+            length = len(word)
+            shared, most = 0, min(len(path), length - 1, len(last))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
             del last[shared:], size[shared:]
             path = word
-            for end in range(shared + 1, len(word)):
-                token, n = self._last(word, end, inner, last)
+            for end in range(shared + 1, length):
+                token, n = step(word, end, True, last)
                 last.append(token)
                 size.append(n)
-            token, n = self._last(word, len(word), final, last)
-            ids, at = [token], len(word) - n
+            token, n = step(word, length, False, last)
+            ids, at = [token], length - n
             while at:
                 ids.append(last[at - 1])
                 at -= size[at - 1]
-            out[word] = tuple(reversed(ids))
+            ids.reverse()
+            out[word] = tuple(ids)
         return out
 
-    def texts(self, batch: list[str | None]) -> list[list[int]]:
-        """Token ids of every text of a batch."""
+    def texts(self, batch: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of a batch of texts laid end to end, and where each text's begin, with the end."""
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch]
         # Where white space is dropped it can't be inside a word, so the runs between are looked up as they are.
         rows = [r.split() for r in raw] if self.tokens.drops_space else [[r] if r else [] for r in raw]
-        if len(self._chunks) > _REMEMBERED:
-            self._chunks.clear()
-        if len(self._follows) > _REMEMBERED:
-            self._follows.clear()
-        fresh = {c: self.tokens.split(c.decode("utf-8", "replace")) for c in set(chain.from_iterable(rows))
-                 if c not in self._chunks}
-        special = self.tokens.special
-        ids = self.words({w for words in fresh.values() for w in words if w not in special})
-        ids |= {w: (i,) for w, i in special.items()}
-        found = {c: tuple(chain.from_iterable(ids[w] for w in words)) for c, words in fresh.items()}
-        out = [list(chain.from_iterable(found[c] if c in found else self._chunks[c] for c in row)) for row in rows]
-        self._chunks.update((c, i) for c, i in found.items() if len(c) <= _SHORT)
-        return out
+        for table in (self._chunks, self._words, self._follows):
+            if len(table) > _REMEMBERED:
+                table.clear()
+        known, met, special = self._chunks, self._words, self.tokens.special
+        fresh = [c for c in set(chain.from_iterable(rows)) if c not in known]
+        texts = [c.decode("utf-8", "replace") for c in fresh]
+        words = self.tokens.split_all(texts) if self.tokens.drops_space else list(map(self.tokens.split, texts))
+        distinct = set(chain.from_iterable(words)) - special.keys()
+        new = {w: np.array(i, np.int32).tobytes() for w, i in self.words(distinct - met.keys()).items()}
+        ids = {w: np.int32(i).tobytes() for w, i in special.items()} | {w: met[w] for w in distinct & met.keys()} | new
+        met.update((w, i) for w, i in new.items() if len(w) <= _SHORT)
+        known.update((c, ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own)))
+                     for c, own in zip(fresh, words))
+        out = [b"".join(map(known.__getitem__, row)) for row in rows]
+        for c in fresh:
+            if len(c) > _SHORT:
+                del known[c]
+        return np.frombuffer(b"".join(out), np.int32), np.cumsum([0] + [len(r) // 4 for r in out])
 
 
 _built: dict[str, Tokens] = {}
@@ -205,11 +261,9 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                lists = encoder.texts(part.column(1).to_pylist())
-                ends = np.cumsum([0] + [len(i) for i in lists]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
+                flat, first = encoder.texts(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     return chosen.mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", id_column)
 
