@@ -73,10 +73,18 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", capacity: int = 256) -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts the one with the smallest id, all columns as they are."""
-    own = free_name(docs, "own_digest")
+    """The rows of ``docs`` that stay: of equal texts the one with the smallest id, all columns as they are.
+
+    Which rows stay is settled with ids and digests; whole rows are shuffled once, by the key of id and digest, and rows
+    that repeat it are dropped on the same partitioning. Of rows with equal id and text, whatever their other columns,
+    the one that is met first stays.
+    """
+    own = free_name(docs, "own_key")
+
+    def key(of: str, digested: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col(of).cast("string"), F.lit("null")), digested)
+
     kept = duplicate_groups(docs, id_column, text, capacity).where("kept").select(
-        F.col(id_column).alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    keyed = docs.withColumn(own, digest(text))
-    same = keyed[id_column].eqNullSafe(kept["kept_id"]) & (keyed[own] == kept["kept_digest"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_column, own]).select(*docs.columns)
+        key(id_column, F.col("text_sha256")).alias(own))
+    keyed = docs.withColumn(own, key(id_column, digest(text)))
+    return keyed.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)

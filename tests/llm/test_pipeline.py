@@ -5,8 +5,8 @@ import pytest
 import corpus_pipeline as C
 from argosift.llm import language_id, packing
 from test_exact_dedup import brute as exact
+from test_near_copies import plain_groups
 from test_packing import check
-from test_simhash_dedup import plain_components, plain_fingerprint
 from test_substring_dedup import brute as repeats
 
 
@@ -30,11 +30,11 @@ def test_stages_match_plain_versions(spark, corpus):
         return {r.doc_id: r.text for r in steps[name].collect()}
 
     model = language_id.fit(language_id.training_rows(df))
-    want = {r.doc_id: r.text for r in rows if not model.predict([r.text], 0.25)[2][0]}
+    want = {r.doc_id: r.text for r in rows if not model.predict([r.text], 0.5)[2][0]}
     assert texts("language_id") == want
     want = {d: want[d] for d, _, _, kept, _ in exact(want.items()) if kept}
     assert texts("exact_dedup") == want
-    roots = plain_components([(d, plain_fingerprint(t)) for d, t in want.items()])
+    roots = plain_groups(want.items())
     want = {d: t for d, t in want.items() if roots[d] == d}
     assert texts("simhash_dedup") == want
     got = texts("substring_dedup")
