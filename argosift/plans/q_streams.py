@@ -186,7 +186,8 @@ def session_rows(t: Inputs):
     """Sessions over three deliveries, appended once the watermark has closed them."""
     path, checkpoint = new_path(t.spark, "sessions"), new_path(t.spark, "sessions-checkpoint")
     _arrivals(t, lambda ev: SS.sessions(ev, ["user_id"], path, checkpoint, "30 minutes"))
-    return t.spark.read.parquet(path).select("user_id", F.col("started").cast("string").alias("started"), "events")
+    rows = t.spark.read.schema("user_id long, started timestamp_ntz, ended timestamp_ntz, events long").parquet(path)
+    return rows.select("user_id", F.col("started").cast("string").alias("started"), "events")
 
 
 @query("i6_interval_join", with_views(
@@ -205,7 +206,8 @@ def preceding_warnings(t: Inputs):
         SS.preceded_by(log.where("severity = 'error'"), log.where("severity = 'warning'"), ["host_id"], 900, path, checkpoint)
 
     _arrivals(t, run)
-    return t.spark.read.parquet(path).select(F.col("event_id").alias("later_id"), "host_id", "matches", "nearest")
+    rows = t.spark.read.schema("event_id long, host_id string, matches long, nearest long").parquet(path)
+    return rows.select(F.col("event_id").alias("later_id"), "host_id", "matches", "nearest")
 
 
 @query("i7_retention", with_views(
@@ -509,5 +511,5 @@ def snapshot_stream(t: Inputs):
         SS.snapshot_changes(rows, "pid", path, checkpoint)
 
     _arrivals(t, run)
-    return t.spark.read.parquet(path).select("host_id", F.col("snapshot_ts").cast("string").alias("seen_at"), "pid",
-                                             "change")
+    rows = t.spark.read.schema("host_id string, snapshot_ts timestamp_ntz, pid long, change string").parquet(path)
+    return rows.select("host_id", F.col("snapshot_ts").cast("string").alias("seen_at"), "pid", "change")
