@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as C
-from argosift.llm import language_id, packing
+from argosift.llm import language_id
 from test_exact_dedup import brute as exact
 from test_near_copies import plain_groups
 from test_packing import check
