@@ -177,17 +177,19 @@ def tumbling_counts(t: Inputs):
     return rows.select(F.col("window_start").cast("string").alias("slot"), "closed", "events", "threats")
 
 
-@query("i5_sessions", """select user_id, cast(min(ts) as varchar) as started, count(*)::bigint as events from (
+@query("i5_sessions", """select user_id, cast(min(ts) as varchar) as started, count(*)::bigint as events,
+    max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 10 minutes as closed from (
     select user_id, ts, sum(fresh) over (partition by user_id order by ts, event_id) as s from (select *,
       case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end
-      as fresh from events)) group by user_id, s
-    having max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 10 minutes""")
+      as fresh from events)) group by user_id, s""")
 def session_rows(t: Inputs):
-    """Sessions over three deliveries, appended once the watermark has closed them."""
+    """Sessions over three deliveries: those that the watermark has closed, and the open ones that the state holds."""
     path, checkpoint = new_path(t.spark, "sessions"), new_path(t.spark, "sessions-checkpoint")
     _arrivals(t, lambda ev: SS.sessions(ev, ["user_id"], path, checkpoint, "30 minutes"))
-    rows = t.spark.read.schema("user_id long, started timestamp_ntz, ended timestamp_ntz, events long").parquet(path)
-    return rows.select("user_id", F.col("started").cast("string").alias("started"), "events")
+    done = t.spark.read.schema("user_id long, started timestamp_ntz, ended timestamp_ntz, events long").parquet(path)
+    held = SS.open_sessions(t.spark, checkpoint, ["user_id"], "30 minutes")
+    rows = done.withColumn("closed", F.lit(True)).unionByName(held.withColumn("closed", F.lit(False)))
+    return rows.select("user_id", F.col("started").cast("string").alias("started"), "events", "closed")
 
 
 @query("i6_interval_join", with_views(

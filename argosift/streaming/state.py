@@ -33,6 +33,14 @@ def stored(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame
     return rows.select("key.*", "value.*")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str, keys: Sequence[str], gap: str = "5 minutes") -> DataFrame:
+    """The sessions of :func:`sessions` that are not final yet, as (keys, started, ended, events)."""
+    held = spark.read.format("statestore").load(checkpoint).select("value.*")
+    ended = (F.col("session_window.end") - F.expr(f"interval {gap}")).cast("timestamp_ntz")
+    return held.select(*keys, F.col("session_window.start").cast("timestamp_ntz").alias("started"), ended.alias("ended"),
+                       F.col("count").alias("events"))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Counts per key over all batches, kept as aggregation state; read them with :func:`stored`."""
     prepare_state(df.sparkSession)

@@ -79,6 +79,16 @@ def test_pairs(spark, ends):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("ends", [[200], [3, 150, 200]], ids=["one", "uneven"])
+def test_open_sessions_are_held(spark, ends):
+    out, cp = new_path(spark, "out"), new_path(spark, "cp")
+    deliver(spark, cut(data(), ends), lambda ev: S.sessions(ev, ["host_id"], out, cp, "90 seconds"))
+    held = S.open_sessions(spark, cp, ["host_id"], "90 seconds")
+    assert held.count() > 1
+    got = spark.read.parquet(out).unionByName(held)
+    assert sorted(tuple(r) for r in got.collect()) == sessions_of(data(), timedelta(seconds=90))
+
+
 def test_totals_and_eviction(spark):
     cp = new_path(spark, "cp")
     deliver(spark, cut(data(), [50, 120, 200]), lambda ev: S.running_totals(ev, ["host_id"], cp))
