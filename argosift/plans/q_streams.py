@@ -196,11 +196,10 @@ def session_rows(t: Inputs):
     """select a.event_id as later_id, a.host_id, count(b.event_id)::bigint as matches,
          arg_max(b.event_id, {'t': b.ts, 'i': b.event_id}) as nearest from sec_log a left join sec_log b
          on a.host_id=b.host_id and b.ts<=a.ts and b.ts>=a.ts - interval 900 seconds and b.severity='warning'
-       where a.severity='error' and a.ts <= (select least(max(ts) filter (where severity='error'),
-         max(ts) filter (where severity='warning')) - interval 10 minutes - interval 900 seconds from sec_log)
-       group by 1,2""", "sec_log"))
+       where a.severity='error' group by 1,2""", "sec_log"))
 def preceding_warnings(t: Inputs):
-    """Per error the warnings of its host in the 15 minutes before it, once both streams have passed them."""
+    """Per error the warnings of its host in the 15 minutes before it, over three deliveries; errors that the streams
+    have not passed yet come from the state."""
     path, checkpoint = new_path(t.spark, "pairs"), new_path(t.spark, "pairs-checkpoint")
 
     def run(ev: DataFrame) -> None:
@@ -208,7 +207,8 @@ def preceding_warnings(t: Inputs):
         SS.preceded_by(log.where("severity = 'error'"), log.where("severity = 'warning'"), ["host_id"], 900, path, checkpoint)
 
     _arrivals(t, run)
-    rows = t.spark.read.schema("event_id long, host_id string, matches long, nearest long").parquet(path)
+    done = t.spark.read.schema("event_id long, host_id string, matches long, nearest long").parquet(path)
+    rows = done.unionByName(SS.open_matches(t.spark, checkpoint, ["host_id"]))
     return rows.select(F.col("event_id").alias("later_id"), "host_id", "matches", "nearest")
 
 

@@ -41,6 +41,20 @@ def open_sessions(spark: SparkSession, checkpoint: str, keys: Sequence[str], gap
                        F.col("count").alias("events"))
 
 
+def open_matches(spark: SparkSession, checkpoint: str, keys: Sequence[str], tie: str = "event_id") -> DataFrame:
+    """The later events of :func:`preceded_by` that are not final yet, with what they have met so far.
+
+    Pairs reach the counts as soon as both sides are there; an event without any is still in the join's state.
+    """
+    met = stored(spark, checkpoint).select("at", tie, *keys, F.col("count").alias("matches"), F.col("max").alias("newest"))
+    waiting = spark.read.format("statestore").option("operatorId", 1).option("joinSide", "left").load(checkpoint)
+    alone = waiting.select("value.at", f"value.{tie}", *[f"value.{k}" for k in keys], F.lit(0).cast("long").alias("matches"),
+                           F.lit(None).cast(met.schema["newest"].dataType).alias("newest"))
+    both = met.unionByName(alone).groupBy("at", tie, *keys).agg(
+        F.sum("matches").alias("matches"), F.max("newest").alias("newest"))
+    return both.select(tie, *keys, "matches", F.col("newest.b_id").alias("nearest"))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Counts per key over all batches, kept as aggregation state; read them with :func:`stored`."""
     prepare_state(df.sparkSession)

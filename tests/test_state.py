@@ -89,6 +89,25 @@ def test_open_sessions_are_held(spark, ends):
     assert sorted(tuple(r) for r in got.collect()) == sessions_of(data(), timedelta(seconds=90))
 
 
+@pytest.mark.parametrize("seconds", [20, 120])
+@pytest.mark.parametrize("ends", [[200], [3, 150, 200]], ids=["one", "uneven"])
+def test_open_pairs_are_held(spark, ends, seconds):
+    out, cp = new_path(spark, "out"), new_path(spark, "cp")
+    deliver(spark, cut(data(), ends), lambda ev: S.preceded_by(
+        ev.where("severity = 'error'"), ev.where("severity = 'warning'"), ["host_id"], seconds, out, cp))
+    want = []
+    for i, at, host, kind in data():
+        if kind == "error":
+            near = [(t, j) for j, t, h, k in data() if k == "warning" and h == host
+                    and timedelta(0) <= at - t <= timedelta(seconds=seconds)]
+            want.append((i, host, len(near), max(near)[1] if near else None))
+    assert any(w[2] == 0 for w in want[-5:]) or seconds > 20
+    held = S.open_matches(spark, cp, ["host_id"])
+    assert held.count() > 1
+    got = spark.read.parquet(out).select("event_id", "host_id", "matches", "nearest").unionByName(held)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_totals_and_eviction(spark):
     cp = new_path(spark, "cp")
     deliver(spark, cut(data(), [50, 120, 200]), lambda ev: S.running_totals(ev, ["host_id"], cp))
