@@ -1,4 +1,4 @@
-"""Near copies by the likeness of their word shingles, found by an exact set-similarity join.
+"""Near copies by SimHash groups that are checked exactly, completed by an exact set-similarity join.
 
 Two texts are linked if the Jaccard likeness of their sets of ``words``-word shingles is at least ``percent`` / 100;
 the components of these links are the groups. Shingles are compared by 64-bit hashes.
@@ -8,10 +8,13 @@ n - ceil(t n) + 1 of each, so equality joins on these prefixes meet every linked
 would be with fingerprints. The order puts shingles that are frequent in a bounded sample of documents last, so common
 passages rarely get into a prefix. The sample shapes the order only; any order gives the same links.
 
-Equal sets are merged first. Documents that share a prefix shingle are compared with one leader of the shingle, in two
-rounds with other leaders; then all pairs that are still in different groups are compared. So a large group of near
-copies gives a few rows a document, not pairs. A bitmap of parities (1,024 bits a set) bounds the difference of two sets
-from below and drops most other pairs; the rest are counted on the whole sets, so every link is exact.
+Equal sets are merged first. SimHash (``simhash_dedup``: majority fingerprints of the same shingles, vantage-point
+trees, components of links within 4 bits) gives the first groups; each member is compared with the leader of its group.
+A likeness of 0.8 is about 10 differing bits, so fingerprints miss links and the join completes them. Documents that
+share a prefix shingle are compared with one leader of the shingle, in two rounds with other leaders; then all pairs that
+are still in different groups are compared. So a large group of near copies gives a few rows a document, not pairs.
+Bitmaps of parities bound the difference of two sets from below and drop most other pairs: first 1,024 bits a set, then
+at least a bit a shingle, which tells long texts apart. The rest are counted on the whole sets, so every link is exact.
 
 Defined cases: null, empty and white-space texts have the empty set and are one group; fewer words than a shingle give
 one shingle of them all; null ids are larger than any other; other columns are not read.
@@ -24,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from argosift.llm import simhash_dedup
 from argosift.llm.common import Words, components, free_name, map_arrow
 from argosift.session import cut
 
@@ -46,6 +50,23 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def fine_parities(own: np.ndarray) -> bytes:
+    """Parities of a set of hashes, a power of two of them and at least one a hash; halves xored give half as many."""
+    many = 1 << max(6, len(own).bit_length())
+    odd = np.bincount((own & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """How many hashes two sets with these :func:`fine_parities` differ in at least."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(v) for v in values]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
@@ -74,16 +95,19 @@ def _frequent(docs: DataFrame, text: str, words: int, sample_rows: int, most: in
 
 def _nodes(docs: DataFrame, id_column: str, text: str, words: int, percent: int,
            frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (doc_id, text_hash, key, n, prefix) and the parities; ``key`` is a hash of the whole set, ``n`` its size."""
+    """Rows (doc_id, text_hash, key, n, prefix, fp, fine) and the parities; ``key`` is a hash of the whole set, ``n`` its
+    size, ``fp`` its SimHash."""
     common, often = frequent
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, prefixes, bits = [], [], [], []
+        keys, sizes, prefixes, bits, prints, fine = [], [], [], [], [], []
         for t in batch.column(2).to_pylist():
             own = shingles(t, words)
             keys.append(xxhash.xxh64_intdigest(own.tobytes()))
             sizes.append(len(own))
             bits.append(parities(own))
+            prints.append(simhash_dedup.fingerprint(t, words))
+            fine.append(fine_parities(own))
             rank = np.zeros(len(own), np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common, own), len(common) - 1)
@@ -91,22 +115,52 @@ def _nodes(docs: DataFrame, id_column: str, text: str, words: int, percent: int,
             prefixes.append(own[np.lexsort((own, rank))[:len(own) + (-percent * len(own) // 100) + 1]])
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)),
-             pa.array(sizes, pa.int32()), _lists(prefixes), *(pa.array(x) for x in np.array(bits).T.copy())],
-            names=["doc_id", "text_hash", "key", "n", "prefix", *_BITS])
+             pa.array(sizes, pa.int32()), _lists(prefixes), pa.array(np.array(prints, np.uint64).view(np.int64)),
+             pa.array(fine, pa.binary()), *(pa.array(x) for x in np.array(bits).T.copy())],
+            names=["doc_id", "text_hash", "key", "n", "prefix", "fp", "fine", *_BITS])
 
     chosen = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text)
     kind = chosen.schema["doc_id"].dataType.simpleString()
     return map_arrow(chosen, run, f"doc_id {kind}, text_hash long, key long, n int, prefix array<long>, "
+                     "fp long, fine binary, "
                      + ", ".join(f"{b} long" for b in _BITS), rows=128)
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Rows (a, na, b, nb): every set of a SimHash group and the leader of the group."""
+    sets = cut(nodes.select("key", "n", "fp").distinct())
+    grouped = simhash_dedup.link_edges(cut(sets.select("fp").distinct()))
+    roots = components(grouped, "a", "b").withColumnRenamed("node", "fp")
+    placed = cut(sets.join(roots, "fp", "left").select("key", "n", F.coalesce("root", "fp").alias("group")))
+    leaders = placed.groupBy("group").agg(F.min(F.struct("key", "n")).alias("led"))
+    return placed.join(leaders, "group").where(F.col("key") != F.col("led.key")).select(
+        F.col("key").alias("a"), F.col("n").alias("na"), F.col("led.key").alias("b"), F.col("led.n").alias("nb"))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """Rows (node, root): the group of every set that has a link."""
     place = W.partitionBy("shingle")
     prefixes = nodes.select("key", "n", F.explode("prefix").alias("shingle"))
     shared = cut(prefixes.withColumn("of", F.count(F.lit(1)).over(place)).where("of > 1").drop("of").distinct())
     bitmaps = cut(nodes.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
-        F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), *(F.min(b).alias(b) for b in _BITS)))
+        F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("fine").alias("fine"),
+        *(F.min(b).alias(b) for b in _BITS)))
+
+    def not_far(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, na, nb, fa, fb = (c.to_pylist() for c in batch.columns)
+        near = [least_difference(x, y) * (100 + percent) <= (m + n) * (100 - percent)
+                for x, y, m, n in zip(fa, fb, na, nb)]
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near, known = [], (None, None)
+        for x, b, y in zip(*(batch.column(c).to_pylist() for c in ("ta", "b", "tb"))):
+            # Rows of one leader mostly stand together.
+            known = known if known[0] == b else (b, shingles(y, words))
+            own, other = shingles(x, words), known[1]
+            met = len(np.intersect1d(own, other, assume_unique=True))
+            near.append(met * 100 >= (len(own) + len(other) - met) * percent)
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are alike."""
@@ -115,19 +169,33 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: in
         # Sets of likeness t differ in at most (1 - t) / (1 + t) of their sizes' sum.
         near = apart * (100 + percent) <= (F.col("of_a.n") + F.col("of_b.n")) * (100 - percent)
         close = cut(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
+        fa, fb = (bitmaps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}"))
+                  for k in ("a", "b"))
+        close = cut(map_arrow(close.join(fa, "a").join(fb, "b").select("a", "b", "na", "nb", "fa", "fb"), not_far,
+                              "a long, b long", rows=4096))
         keys = close.select(F.col("a").alias("key")).union(close.select(F.col("b").alias("key"))).distinct()
         wanted = cut(bitmaps.join(keys, "key", "left_semi").select("key", "text_hash"))
-        texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash")
-        sets = cut(_sets(texts.dropDuplicates(["key"]).select("key", "text"), words))
-        both = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(
-            sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-        met, either = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        return both.where(met * 100 >= (either - met) * percent).select("a", "b")
+        texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(
+            wanted, "text_hash").dropDuplicates(["key"])
+        # Texts take less room in a shuffle than their sets.
+        both = close.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(
+            texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        return map_arrow(both.select("a", "b", "ta", "tb"), linked, "a long, b long", rows=128)
 
     edges, roots = None, None
+    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+
+    def join_in(pairs: DataFrame) -> None:
+        nonlocal edges, roots
+        found = cut(alike(pairs.where(sized).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        edges = found if edges is None else edges.union(found)
+        roots = cut(components(edges, "a", "b"))
+
+    join_in(fingerprint_pairs(nodes))
     for salt in (1, 2, None):
-        rows = shared.withColumn("root", F.col("key")) if roots is None else shared.join(
-            roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rows = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+            "root", F.coalesce("root", "key"))
         # Prefix shingles of one group only have nothing left to tell.
         rows = rows.withColumn("low", F.min("root").over(place)).withColumn("high", F.max("root").over(place)).where(
             "low <> high").drop("low", "high")
@@ -141,12 +209,7 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: in
             left = rows.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
             right = rows.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
             met = left.join(right, "shingle").where("a < b")
-        sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        pairs = met.where((F.col("ra") != F.col("rb")) & sized).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = cut(alike(pairs))
-        edges = found if edges is None else edges.union(found)
-        roots = cut(components(edges, "a", "b"))
+        join_in(met.where(F.col("ra") != F.col("rb")))
     return roots
 
 
@@ -170,8 +233,19 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: the one with the smallest id of each group, all columns as they are."""
     own = free_name(docs, "own_hash")
-    kept = near_groups(docs, id_column, text, **options).where("kept").select(
-        F.col(id_column).alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    groups = cut(near_groups(docs, id_column, text, **options).select(
+        F.col(id_column).alias("group_id"), F.col("text_hash").alias("group_hash"), "kept"))
     keyed = docs.withColumn(own, F.xxhash64(text))
-    same = keyed[id_column].eqNullSafe(kept["kept_id"]) & (keyed[own] == kept["kept_hash"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_column, own]).select(*docs.columns)
+
+    def among(rows: DataFrame):
+        return keyed[id_column].eqNullSafe(rows["group_id"]) & (keyed[own] == rows["group_hash"])
+
+    # Rows that go and rows that repeat are few, so the others are not shuffled.
+    dropped = cut(groups.where("not kept").select("group_id", "group_hash").distinct())
+    again = cut(groups.where("kept").groupBy("group_id", "group_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if again.isEmpty():
+        return keyed.join(dropped, among(dropped), "left_anti").select(*docs.columns)
+    others = dropped.union(again.drop("n"))
+    once = keyed.join(others, among(others), "left_anti")
+    twice = keyed.join(again, among(again), "left_semi").dropDuplicates([id_column, own])
+    return once.union(twice).select(*docs.columns)

@@ -25,7 +25,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: sets of five-word shingles with a likeness of at least 0.8."""
+    """One document of each group of near copies: sets of five-word shingles with a likeness of at least 0.8.
+
+    Groups of near SimHashes are checked exactly; a set-similarity join adds the links that fingerprints miss.
+    """
     return near_copies.deduplicate(docs)
 
 

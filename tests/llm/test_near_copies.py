@@ -84,3 +84,37 @@ def test_edge_cases(documents):
     assert got == [(-1, 8), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8), (10, 8), (10, 8), (11, 11)]
     assert sorted(r.doc_id for r in N.deduplicate(documents(rows)).collect()) == [5, 8, 11]
     assert N.near_groups(documents([])).count() == 0
+
+
+def test_groups_of_fingerprints_come_first(documents, monkeypatch):
+    """Near copies reach their group through SimHash."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(edited(rng, base, 1))) for i in range(6)] + [(9, " ".join(f"z{i}" for i in range(300)))]
+    docs = documents(rows)
+    seen, plain = [], N.simhash_dedup.link_edges
+
+    def links(distinct, *rest):
+        seen.append(distinct.count())
+        return plain(distinct, *rest)
+
+    monkeypatch.setattr(N.simhash_dedup, "link_edges", links)
+    nodes = N._nodes(docs, "doc_id", "text", 5, 80, N._frequent(docs, "text", 5, 100, 10))
+    near = {frozenset((r.a, r.b)) for r in N.fingerprint_pairs(nodes).collect()}
+    assert 0 < len(near) <= 5 and seen
+    kept = dict(C.STAGES)["simhash_dedup"](docs.sparkSession, docs, "/nowhere")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9] and len(seen) == 2
+
+
+def test_fine_parities_bound_the_difference():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n, extra in ((0, 3), (50, 20), (1000, 100), (1000, 500), (5000, 40)):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[extra // 2:], rng.integers(0, 2 ** 63, extra).astype(np.uint64))))
+        bound = N.least_difference(N.fine_parities(a), N.fine_parities(b))
+        assert bound <= len(np.setxor1d(a, b)) and bound == N.least_difference(N.fine_parities(b), N.fine_parities(a))
+        if extra <= 100:
+            assert bound > len(np.setxor1d(a, b)) * 0.5
+    far = [np.unique(rng.integers(0, 2 ** 63, 5000).astype(np.uint64)) for _ in range(2)]
+    assert N.least_difference(*map(N.fine_parities, far)) * 180 > 10_000 * 20
