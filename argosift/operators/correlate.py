@@ -121,13 +121,15 @@ def attack_chains(df: DataFrame, keys: Sequence[str] = ("host_id",), ts: str = "
     named = {key: f"stage_{list(chains).index(key[0])}_{key[1]}" for key in tests}
     rows = df.select(*keys, ts, tie, *[t.alias(named[k]) for k, t in tests.items()])
     if ordered:
+        # Every step reads its rows several times; unless they are written, a step repeats all those before it.
+        rows = cut(rows)
         depth = max(map(len, chains.values()))
         at = micros(F.col(ts))
         for i in range(depth):
             level = [k for k in tests if k[1] == i]
             if i:
                 before = {f"from_{named[k]}": F.col(f"start_{named[(k[0], i - 1)]}") for k in level}
-                rows = running_max(rows, keys, ts, before, strict=True)
+                rows = cut(running_max(rows, keys, ts, before, strict=True))
             rows = rows.withColumns({f"start_{named[k]}": F.when(F.col(named[k]), F.col(f"from_{named[k]}") if i else at)
                                      for k in level})
         rows = running_max(rows, keys, ts, {f"seen_{named[k]}": F.col(f"start_{named[k]}") for k in tests})

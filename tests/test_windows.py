@@ -72,3 +72,17 @@ def test_no_group_holds_a_whole_hot_key(rows):
     plan = OW.number_rows(rows, ["host_id"], "ts", "event_id")._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
     assert windows and all("_cell" in line for line in windows)
+
+
+def test_ordered_chains_do_not_repeat_earlier_steps(spark):
+    """The plan that is left does not grow with the length of the chains."""
+    from argosift.operators import correlate as K
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), "h", "metric", 0.5 + i / 10, "x") for i in range(4)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, host_id string, source_type string, "
+                                     "anomaly_score double, reason_text string")
+    windows = []
+    for depth in (2, 4):
+        found = K.attack_chains(df, chains={"c": [{"min_score": 0.5 + i / 10} for i in range(depth)]}, ordered=True)
+        assert found.orderBy("event_id").select("event_id", "stages").collect()[-1] == (3, depth)
+        windows.append(found._jdf.queryExecution().optimizedPlan().toString().count("Window "))
+    assert windows[0] == windows[1]
