@@ -4,11 +4,13 @@ A text is tokenised whole by both: byte-level BPE (A) over a space and the text,
 space itself. Both token rows spell the same bytes. Byte offsets where tokens of both end cut them into groups, and the
 two tokens that end there are linked.
 
-Words start alike in both vocabularies, with a token that begins with a space. So the alignment is anchored there: an
-offset before a space-marked token of A and of B, where both rows verifiably have a token end, splits the text into
-windows of token ids, a word or two long. What a window's groups are depends on its ids only, so it is worked out once
-and remembered by the pair of id rows; groups never cross a window's border, as the border is a shared end. Texts are
-taken in batches whose token rows are laid end to end, and offsets, anchors and sums are arrays over the batch.
+Words start alike in both vocabularies, with a token that begins with a space. So the alignment is anchored there: a
+single space between two characters that are no white space splits the text into windows, a word long. A's pattern
+starts a new match at such a space, and no piece of B holds the mark behind another character (a model that has such
+pieces gets whole texts as windows), so both tokenizers end a token before it whatever stands around. The tokens and
+groups of a window then depend on its own characters only: they are worked out once and remembered by its text, and
+groups never cross a window's border, as the border is a shared end. Texts are taken in batches, whose new windows are
+tokenized together; token rows are laid end to end, and offsets and sums are arrays over the batch.
 
 ``groups`` returns the tokens and where their groups end. ``scored`` counts links over the corpus. Documents are read
 once: a block of documents (about ``block_links`` links) is written with its links as numbers into the block's table of
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -46,7 +49,9 @@ from argosift.session import cut
 #: Fixed value: the pattern by which byte-level BPE of this kind splits text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MARK = "▁"
-_REMEMBERED = 1 << 18
+#: Python's white space includes all of the pattern's.
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
+_REMEMBERED = 1 << 18  # windows, of 64 characters on average at most
 _NONE = np.zeros(0, np.uint32)
 
 
@@ -87,22 +92,29 @@ class Aligner:
             self.a_bytes[i] = t
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode()
                         for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self._lengths = [list(map(len, table)) for table in (self.a_bytes, self.b_bytes)]
-        self._names = list(map(str, range(max(map(len, self._lengths)))))
-        self._sizes = [np.array(sizes, np.int64) for sizes in self._lengths]
-        self._marked = [np.array([t[:1] == b" " for t in table]) for table in (self.a_bytes, self.b_bytes)]
-        self._known: dict[tuple[bytes, bytes], int] = {}  # in order of their numbers
+        self._sizes = [np.array(list(map(len, table)), np.int64) for table in (self.a_bytes, self.b_bytes)]
+        decimal = [str(i).encode() for i in range(max(map(len, self._sizes)))]
+        self._digits = np.frombuffer(b"".join(d.ljust(8, b"\0") for d in decimal), "<u8")
+        self._n_digits = np.array(list(map(len, decimal)), np.int64)
+        crossing = re.compile(f"[^{_MARK}]{_MARK}")
+        self._split = not any(crossing.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
+        self._known: dict[str, int] = {}  # windows by their text, in order of their numbers
+        self._length = 0  # characters of the windows known
         self._texts: list[str] = []
-        self._ends: list[tuple[int, ...]] = []  # per window: tokens of A and of B up to the end of each group, in turn
+        # Per window, as 32-bit numbers: tokens of A, tokens of B, tokens of both up to the end of each group in turn.
+        self._rows: list[list[bytes]] = [[], [], []]
         self._uses = np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Keeps the windows met more than once since the last time, unless they fill most of the room."""
-        kept = np.flatnonzero(self._uses > 1).tolist()
-        kept = kept if len(kept) < _REMEMBERED // 2 else []
         keys = list(self._known)
-        self._known = {keys[k]: n for n, k in enumerate(kept)}
-        self._texts, self._ends = [self._texts[k] for k in kept], [self._ends[k] for k in kept]
+        kept = np.flatnonzero(self._uses > 1).tolist()
+        length = sum(len(keys[k]) for k in kept)
+        if len(kept) >= _REMEMBERED // 2 or length >= 32 * _REMEMBERED:
+            kept, length = [], 0
+        self._known, self._length = {keys[k]: n for n, k in enumerate(kept)}, length
+        self._texts = [self._texts[k] for k in kept]
+        self._rows = [[rows[k] for k in kept] for rows in self._rows]
         self._uses = np.zeros(len(kept), np.int64)
 
     def tokens(self, batch: list[str | None]) -> tuple[list[np.ndarray], list[list[int]]]:
@@ -118,74 +130,80 @@ class Aligner:
                 rows_a[i], rows_b[i] = _NONE, []
         return rows_a, rows_b
 
-    def _window(self, a: bytes, b: bytes) -> int:
-        """Number of a window, whose groups are worked out here the first time."""
-        ids_a, ids_b = memoryview(a).cast("i").tolist(), memoryview(b).cast("i").tolist()
-        (size_a, size_b), names = self._lengths, self._names
-        if len(ids_a) == len(ids_b) == 1:
-            return self._numbered((a, b), f"{ids_a[0]}|{ids_b[0]}", (1, 1))
-        ends, groups = [], []
-        i = j = k = m = at_a = at_b = 0
-        left_a, left_b = len(ids_a), len(ids_b)
-        while i < left_a or j < left_b:
-            if at_a <= at_b:
-                at_a += size_a[ids_a[i]]
-                i += 1
+    def _learn(self, windows: list[str], a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> None:
+        """Works out the groups of new windows whose tokens lie end to end; a window that is not spelled has none."""
+        ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self._sizes, (a, b)))
+        at = np.searchsorted(ends_b, ends_a)
+        shared = np.flatnonzero(ends_b[np.minimum(at, len(b) - 1)] == ends_a) if len(b) else at
+        to_a, to_b = shared + 1, at[shared] + 1
+        from_a, from_b = (np.concatenate(([0], to[:-1])) if len(to) else to for to in (to_a, to_b))
+        # Tokens with what follows them, each in eight bytes: those of A in a group, then those of B.
+        places = [np.arange(len(a)) + np.repeat(from_b, to_a - from_a), np.arange(len(b)) + np.repeat(to_a, to_b - from_b)]
+        written, length = np.zeros(len(a) + len(b), "<u8"), np.zeros(len(a) + len(b) + 1, np.int64)
+        for place, ids, to, last in zip(places, (a, b), (to_a, to_b), b"|;"):
+            mark = np.full(len(ids), ord(","), "<u8")
+            mark[to - 1] = last
+            written[place] = self._digits[ids] | mark << np.uint64(56)
+            length[place + 1] = self._n_digits[ids] + 1
+        text = written.tobytes().translate(None, b"\0").decode()
+        upto = np.cumsum(length)[cuts_a + cuts_b].tolist()
+        first = np.searchsorted(to_a, cuts_a, side="right")
+        own = np.diff(first)
+        ends = np.stack([to_a - np.repeat(cuts_a[:-1], own), to_b - np.repeat(cuts_b[:-1], own)], axis=1)
+        number = len(self._texts)
+        self._known.update(zip(windows, range(number, number + len(windows))))
+        self._length += sum(map(len, windows))
+        self._texts += [text[i:max(i, j - 1)] for i, j in zip(upto, upto[1:])]
+        for rows, values, cuts in zip(self._rows, (a, b, ends), (4 * cuts_a, 4 * cuts_b, 8 * first)):
+            raw, cuts = values.astype(np.int32).tobytes(), cuts.tolist()
+            rows += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _learn_all(self, windows: list[str]) -> None:
+        """New windows; those that may stand side by side in a text are tokenized as one."""
+        alone, joined = ([], []) if self._split else (windows, [])
+        if self._split:
+            for w in windows:
+                (alone if _MARK in w or w[0].isspace() or w[-1].isspace() else joined).append(w)
+        if joined:
+            (a,), (b,) = self.tokens([" ".join(joined)])
+            if len(a):
+                a, b = a.astype(np.int64), np.array(b, np.int64)
+                starts = np.cumsum([0] + [len(w.encode()) + 1 for w in joined])
+                self._learn(joined, a, b, *(np.searchsorted(np.cumsum(size[ids]), starts, side="right")
+                                            for size, ids in zip(self._sizes, (a, b))))
             else:
-                at_b += size_b[ids_b[j]]
-                j += 1
-            if at_a == at_b:
-                ends += (i, j)
-                one = names[ids_a[k]] if i == k + 1 else ",".join([names[x] for x in ids_a[k:i]])
-                other = names[ids_b[m]] if j == m + 1 else ",".join([names[x] for x in ids_b[m:j]])
-                groups.append(one + "|" + other)
-                k, m = i, j
-        return self._numbered((a, b), ";".join(groups), tuple(ends))
-
-    def _numbered(self, key: tuple[bytes, bytes], text: str, ends: tuple[int, ...]) -> int:
-        number = self._known[key] = len(self._texts)
-        self._texts.append(text)
-        self._ends.append(ends)
-        return number
+                alone = windows
+        if alone:
+            rows = self.tokens(alone)
+            self._learn(alone, *(np.fromiter(chain.from_iterable(x), np.int64) for x in rows),
+                        *(np.cumsum([0] + [len(ids) for ids in x]) for x in rows))
 
     def batch(self, texts: list[str | None]) -> Batch:
         """Tokens, windows and groups of a batch of texts."""
-        if len(self._known) > _REMEMBERED:
+        if len(self._known) > _REMEMBERED or self._length > 64 * _REMEMBERED:
             self.forget()
-        rows_a, rows_b = self.tokens(texts)
-        first_a, first_b = (np.cumsum([0] + [len(r) for r in rows]) for rows in (rows_a, rows_b))
-        a = np.concatenate([_NONE, *rows_a]).astype(np.int32)
-        b = np.fromiter(chain.from_iterable(rows_b), np.int32, first_b[-1])
-        starts = [np.cumsum(size[ids]) - size[ids] for size, ids in zip(self._sizes, (a, b))]
-        marks = []
-        for at, marked, ids, first in zip(starts, self._marked, (a, b), (first_a, first_b)):
-            opens = marked[ids]
-            opens[first[:-1][np.diff(first) > 0]] = True
-            marks.append(np.flatnonzero(opens))
-        # Each row spells its text from its first token on, so equal starts are shared ends of the tokens before.
-        cuts_a, cuts_b = _shared(starts[0], marks[0], starts[1], marks[1])
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        bytes_a, bytes_b = ([*(4 * cuts).tolist(), len(raw)] for cuts, raw in ((cuts_a, raw_a), (cuts_b, raw_b)))
-        known, new = self._known, self._window
-        numbers = []
-        for i, j, k, m in zip(bytes_a, bytes_a[1:], bytes_b, bytes_b[1:]):
-            key = raw_a[i:j], raw_b[k:m]
-            number = known.get(key)
-            numbers.append(new(*key) if number is None else number)
-        own = np.array(numbers, np.int64)
-        met = np.bincount(own, minlength=len(self._texts))
-        met[:len(self._uses)] += self._uses
-        self._uses = met
-        return Batch(a, b, first_a, first_b, cuts_a, cuts_b, own, self._texts, self._ends)
-
-
-def _shared(starts_a: np.ndarray, some_a: np.ndarray, starts_b: np.ndarray, some_b: np.ndarray) -> list[np.ndarray]:
-    """Of some tokens of both rows those that start at the same offset."""
-    at = [starts_a[some_a], starts_b[some_b]]
-    seen = [np.zeros(max(int(x.max(initial=-1)) for x in at) + 1, bool) for _ in at]
-    for flags, x in zip(seen, at):
-        flags[x] = True
-    return [some_a[seen[1][at[0]]], some_b[seen[0][at[1]]]]
+        split = _BORDER.split if self._split else lambda t: [t]
+        parts = [split(t) if t else [] for t in texts]
+        known = self._known
+        self._learn_all([w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in known])
+        numbers = [list(map(known.__getitem__, p)) for p in parts]
+        uses = np.bincount(np.fromiter(chain.from_iterable(numbers), np.int64), minlength=len(self._texts))
+        uses[:len(self._uses)] += self._uses
+        self._uses = uses
+        # A text with a window that is not spelled as it is has no tokens.
+        spelled = self._rows[0]
+        numbers = [row if all(map(spelled.__getitem__, row)) else [] for row in numbers]
+        first = np.cumsum([0] + [len(row) for row in numbers])
+        own = list(chain.from_iterable(numbers))
+        (a, cuts_a), (b, cuts_b), (ends, cuts) = (_end_to_end([rows[n] for n in own]) for rows in self._rows)
+        return Batch(a, b, cuts_a[first], cuts_b[first], cuts_a[:-1], cuts_b[:-1], first, [self._texts[n] for n in own],
+                     ends.reshape(-1, 2), cuts // 2)
+
+
+def _end_to_end(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 32-bit numbers laid end to end: all numbers, and where each row begins with the end."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    return np.frombuffer(b"".join(rows), np.int32), np.concatenate(([0], np.cumsum(sizes)))
 
 
 @dataclass
@@ -198,26 +216,20 @@ class Batch:
     first_b: np.ndarray
     cuts_a: np.ndarray
     cuts_b: np.ndarray
-    numbers: np.ndarray
-    texts: list[str]
-    ends: list[tuple[int, ...]]
+    windows: np.ndarray  # first window of each text, and the end
+    texts: list[str]  # groups of each window
+    ends: np.ndarray  # per group, tokens of A and of B up to its end in its window
+    first_group: np.ndarray  # first group of each window, and the end
 
     def window_range(self) -> np.ndarray:
         """First window of each text, and the end."""
-        return np.searchsorted(self.cuts_a, self.first_a)
+        return self.windows
 
     def group_ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of A and of B up to the end of every group, and the first group of every window with the end."""
-        place, used = pd.factorize(self.numbers)
-        lists = [self.ends[w] for w in used.tolist()]
-        sizes = np.array([len(x) // 2 for x in lists], np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.int64, 2 * int(sizes.sum())).reshape(-1, 2)
-        offset = np.cumsum(sizes) - sizes
-        of_window = sizes[place]
-        first = np.concatenate(([0], np.cumsum(of_window)))
-        at = np.arange(first[-1]) - np.repeat(first[:-1], of_window) + np.repeat(offset[place], of_window)
-        ends = flat[at]
-        return ends[:, 0] + np.repeat(self.cuts_a, of_window), ends[:, 1] + np.repeat(self.cuts_b, of_window), first
+        of_window = np.diff(self.first_group)
+        return (self.ends[:, 0] + np.repeat(self.cuts_a, of_window), self.ends[:, 1] + np.repeat(self.cuts_b, of_window),
+                self.first_group)
 
 
 _made: dict[int, Aligner] = {}
@@ -271,8 +283,7 @@ class _Block:
     def add(self, ids: pa.Array, found: Batch) -> None:
         ends_a, ends_b, first = found.group_ends()
         windows = found.window_range()
-        words = list(map(found.texts.__getitem__, found.numbers.tolist()))
-        digests = [hashlib.sha256(";".join(words[i:j]).encode()).hexdigest() if j > i else ""
+        digests = [hashlib.sha256(";".join(found.texts[i:j]).encode()).hexdigest() if j > i else ""
                    for i, j in zip(windows.tolist(), windows[1:].tolist())]
         self.codes.append(found.a[ends_a - 1].astype(np.int64) << 32 | found.b[ends_b - 1])
         self.parts.append((ids, np.diff(found.first_a), np.diff(found.first_b), np.diff(first[windows]), digests))

@@ -143,3 +143,29 @@ def test_empty_table_and_other_columns(spark, documents, models):
     df = documents([(1, "a b")]).withColumn("block", F.lit("x")).withColumn("links", F.lit(1))
     assert [r.n_groups for r in A.scored(df, models).collect()] == [2]
     assert A.groups(df, models).columns == ["doc_id", "a_ids", "b_ids", "a_ends", "b_ends"]
+
+
+def test_known_words_are_not_tokenized_again(models):
+    aligner = A.Aligner(models)
+    aligner.batch(["the cat and the dog", None])
+    seen = []
+    tokens = aligner.tokens
+    aligner.tokens = lambda texts: seen.extend(texts) or tokens(texts)
+    found = aligner.batch(["dog and cat", "the bird"])
+    assert "".join(seen).split() in (["bird"], ["dog", "bird"])  # the first word of a text is a window like any other
+    assert len(found.group_ends()[0]) and found.window_range().tolist() == [0, 3, 5]
+
+
+def test_windows_do_not_depend_on_what_surrounds_them(models):
+    split, whole = A.Aligner(models), A.Aligner(models)
+    whole._split = False
+    points = [*map(chr, [*range(1, 0x3100), *range(0x3100, 0xD800, 0x61), *range(0xE000, 0x110000, 0x301)])]
+    texts = [f"a{c} b{c}  {c}c {c} {c} '{c}s {c}" for c in points] + [None, "", " ", "a ", " a", "▁", "a ▁ b", "a▁b c"]
+    for at in range(0, len(texts), 500):
+        one, other = (x.batch(texts[at:at + 500]) for x in (split, whole))
+        for name in ("a", "b", "first_a", "first_b"):
+            assert getattr(one, name).tolist() == getattr(other, name).tolist(), at
+        for k in (0, 1):
+            assert one.group_ends()[k].tolist() == other.group_ends()[k].tolist(), at
+        joined = [[";".join(x.texts[i:j]) for i, j in zip(x.window_range(), x.window_range()[1:])] for x in (one, other)]
+        assert joined[0] == joined[1], at
