@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from argosift.llm.common import free_name, map_arrow
+from argosift.session import small_batches
 
 UNKNOWN = "und"
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -66,8 +67,11 @@ class Model:
                 some[i] = True
                 out[i] = np.log1p(found) * self.idf
                 band[i] = min(_BANDS, int(found.sum()).bit_length()) - 1
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(length > 0, length, 1), some, band
+        # A few rows at a time, in place: the norm of all would hold a second copy.
+        for part in (out[k:k + 64] for k in range(0, len(out), 64)):
+            length = np.linalg.norm(part, axis=1, keepdims=True)
+            part /= np.where(length > 0, length, 1)
+        return out, some, band
 
     def predict(self, texts: list[str | None], slack: float) -> tuple[list[str], list[float], list[bool]]:
         vectors, some, band = self.vectors(texts)
@@ -107,6 +111,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
     The driver gets ``dims`` frequencies, ``clusters`` centroids and a histogram of cosines per language, whatever the
     number of rows.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
 
@@ -147,7 +152,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
         vectors, some, _ = plain.vectors(texts)
         if not some.any():
             return pa.table({"label": pa.array([], pa.string()), "centroid": pa.array([], pa.binary())})
-        centroids, _ = spherical_kmeans(vectors[some], clusters)
+        if not some.all():
+            vectors = vectors[some]
+        centroids, _ = spherical_kmeans(vectors, clusters)
         return pa.table({"label": pa.array([key[0].as_py()] * len(centroids), pa.string()),
                          "centroid": pa.array([c.tobytes() for c in centroids], pa.binary())})
 

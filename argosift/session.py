@@ -42,6 +42,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Rows go to Python workers by at most ``rows``: texts may be long, and the JVM and the worker hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written tables.
 

@@ -80,3 +80,30 @@ def test_cuts_follow_the_length_of_texts():
     histogram[0, 6, 700] = 1
     cuts = L.low_cosines(histogram)[0]
     assert cuts[2] == 0.1 and cuts[5] == 0.8 and cuts[6] == 0.8 and cuts[0] == 0.1
+
+
+def test_python_gets_small_batches(spark, corpus):
+    from argosift.llm.common import map_arrow
+    import pyarrow as pa
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.range(0, 9000, 1, 1)
+    sizes = map_arrow(df, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]), "n long", rows=10_000)
+    assert sizes.agg(F.max("n")).first()[0] <= 2048
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    L.fit(L.training_rows(corpus[0]), per_language=20, clusters=1)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2048
+
+
+def test_vectors_are_not_copied():
+    import tracemalloc
+
+    import numpy as np
+
+    plain = L.Model(np.ones(8192, np.float32), [], np.zeros((0, 8192), np.float32), np.zeros((0, 32)))
+    texts = ["the cat and the dog"] * 500
+    tracemalloc.start()
+    vectors = plain.vectors(texts)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * vectors.nbytes
