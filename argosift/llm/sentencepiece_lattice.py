@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argosift.session import cut
+from argosift.session import cut, small_batches
 
 MARK = "▁"
 # Everything but letters and marks of words: ASCII, Latin-1, general and CJK punctuation, digits and symbols.
@@ -108,6 +108,7 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield flush()
         yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -211,11 +212,18 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
+        pieces_of = pa.array(table, pa.large_binary())
+        sizes = np.array(list(map(len, table)), np.int64)
         for batch in batches:
             lists = batch.column(at)
-            parts = list(map(table.__getitem__, lists.flatten().to_pylist()))
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
-            texts = [b"".join(parts[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+            own = lists.flatten()
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(
+                zero_copy_only=False)))).astype(np.int64)
+            # The bytes of all pieces laid end to end, and where each row's begin.
+            raw = memoryview(pieces_of.take(own).buffers()[2] or b"")
+            upto = np.concatenate(([0], np.cumsum(sizes[own.to_numpy(zero_copy_only=False)])))
+            cuts = upto[ends].tolist()
+            texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
             yield batch.append_column(out, pa.array(texts, pa.string()))
 
     return rows.mapInArrow(run, f"{kinds}, `{out}` string")

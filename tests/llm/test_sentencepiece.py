@@ -124,3 +124,16 @@ def test_runs_cover_the_words(corpus, pieces):
             assert first == at
             at += n
         assert at == len(P.words(r.text))
+
+
+def test_decode_odd_rows_in_small_batches(spark, documents, pieces):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    a, byte = pieces.texts.index(b"a"), pieces.byte_ids
+    rows = [(1, [a, a]), (2, None), (3, []), (4, [byte[0xC3]]), (5, [byte[0xA9], a]), (6, [byte[0xC3], byte[0xA9]]), (7, [0])]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    got = {r.k: r.text for r in P.decode(df, pieces).collect()}
+    assert got == {1: "aa", 2: "", 3: "", 4: "�", 5: "�a", 6: "é", 7: ""}
+    assert P.decode(df.where("k < 0"), pieces).count() == 0
+    P.encode(documents([(1, "a b")]), pieces)
+    assert int(spark.conf.get(key)) <= 2048
