@@ -11,8 +11,10 @@ passages rarely get into a prefix. The sample shapes the order only; any order g
 Equal sets are merged first. SimHash (``simhash_dedup``: majority fingerprints of the same shingles, vantage-point
 trees, components of links within 4 bits) gives the first groups; each member is compared with the leader of its group.
 A likeness of 0.8 is about 10 differing bits, so fingerprints miss links and the join completes them. Documents that
-share a prefix shingle are compared with one leader of the shingle, in two rounds with other leaders; then all pairs that
-are still in different groups are compared. So a large group of near copies gives a few rows a document, not pairs.
+share a prefix shingle are compared with one leader of the shingle, in two rounds: first with the one that has the fewest
+shingles before it, as the least edited member of a group is alike to most others, then with one at random. Then all
+pairs that are still in different groups are compared if their positions allow a link: shingles before the first that
+both have are not shared, so these count as differences. So a large group of near copies gives a few rows a document.
 Bitmaps of parities bound the difference of two sets from below and drop most other pairs: first 1,024 bits a set, then
 at least a bit a shingle, which tells long texts apart. The rest are counted on the whole sets, so every link is exact.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from argosift.llm import simhash_dedup
 from argosift.llm.common import Words, components, free_name, map_arrow
@@ -137,10 +139,39 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
         F.col("key").alias("a"), F.col("n").alias("na"), F.col("led.key").alias("b"), F.col("led.n").alias("nb"))
 
 
+def _few(apart: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Sets of likeness t differ in at most (1 - t) / (1 + t) of their sizes' sum."""
+    return apart * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, na, ra, b, nb, rb) of the pairs that share a shingle, are in different groups and may be linked.
+
+    ``rows`` are (shingle, pos, key, n, root). A pair's first common shingle has nothing common before it, so it differs
+    in as many shingles as stand before that one, and behind it in as many as one has more than the other. The join is
+    by shingle and position, so it meets only pairs whose positions add up to little enough. Members of the group of
+    a shingle's first row, which is mostly the largest, are met by the others only.
+    """
+    place = W.partitionBy("shingle")
+    first = F.min(F.struct("pos", "key", "root")).over(place)
+    rows = cut(rows.withColumn("main", first["root"]).withColumn("places", F.collect_set("pos").over(place)))
+    right = rows.select("shingle", F.col("pos").alias("pb"), F.col("key").alias("b"), F.col("n").alias("nb"),
+                        F.col("root").alias("rb"))
+    left = rows.where("root <> main").select(
+        "shingle", "main", F.col("pos").alias("pa"), F.col("key").alias("a"), F.col("n").alias("na"),
+        F.col("root").alias("ra"), F.explode("places").alias("pb"))
+    # The same bound for the largest set that this one can be linked with.
+    left = left.where((F.col("pa") + F.col("pb")) * percent <= F.col("na") * (100 - percent))
+    apart = F.col("pa") + F.col("pb") + F.abs(F.col("na") - F.col("pa") - F.col("nb") + F.col("pb"))
+    return left.join(right, ["shingle", "pb"]).where(
+        (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
+        & _few(apart, F.col("na"), F.col("nb"), percent)).select("a", "na", "ra", "b", "nb", "rb")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """Rows (node, root): the group of every set that has a link."""
     place = W.partitionBy("shingle")
-    prefixes = nodes.select("key", "n", F.explode("prefix").alias("shingle"))
+    prefixes = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
     shared = cut(prefixes.withColumn("of", F.count(F.lit(1)).over(place)).where("of > 1").drop("of").distinct())
     bitmaps = cut(nodes.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
         F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("fine").alias("fine"),
@@ -166,8 +197,7 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: in
         """The pairs (a, b) whose whole sets are alike."""
         x, y = (bitmaps.select(F.col("key").alias(k), F.struct("n", *_BITS).alias(f"of_{k}")) for k in ("a", "b"))
         apart = sum((F.bit_count(F.col(f"of_a.{b}").bitwiseXOR(F.col(f"of_b.{b}"))) for b in _BITS), F.lit(0))
-        # Sets of likeness t differ in at most (1 - t) / (1 + t) of their sizes' sum.
-        near = apart * (100 + percent) <= (F.col("of_a.n") + F.col("of_b.n")) * (100 - percent)
+        near = _few(apart, F.col("of_a.n"), F.col("of_b.n"), percent)
         close = cut(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
         fa, fb = (bitmaps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}"))
                   for k in ("a", "b"))
@@ -193,22 +223,20 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: in
         roots = cut(components(edges, "a", "b"))
 
     join_in(fingerprint_pairs(nodes))
-    for salt in (1, 2, None):
+    for order in (F.struct("pos", F.xxhash64("key", F.lit(1)).alias("h")),
+                  F.struct(F.xxhash64("key", F.lit(2)).alias("h")), None):
         rows = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
             "root", F.coalesce("root", "key"))
         # Prefix shingles of one group only have nothing left to tell.
         rows = rows.withColumn("low", F.min("root").over(place)).withColumn("high", F.max("root").over(place)).where(
             "low <> high").drop("low", "high")
-        if salt:
-            led = F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("h"), "key", "n", "root")).over(place)
+        if order is not None:
+            led = F.min(F.struct(order.alias("order"), "key", "n", "root")).over(place)
             met = rows.withColumn("led", led).select(
                 F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("led.key").alias("b"),
                 F.col("led.n").alias("nb"), F.col("led.root").alias("rb")).where("a <> b")
         else:
-            rows = cut(rows)
-            left = rows.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            right = rows.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            met = left.join(right, "shingle").where("a < b")
+            met = _possible(rows, percent)
         join_in(met.where(F.col("ra") != F.col("rb")))
     return roots
 

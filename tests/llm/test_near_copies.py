@@ -118,3 +118,29 @@ def test_fine_parities_bound_the_difference():
             assert bound > len(np.setxor1d(a, b)) * 0.5
     far = [np.unique(rng.integers(0, 2 ** 63, 5000).astype(np.uint64)) for _ in range(2)]
     assert N.least_difference(*map(N.fine_parities, far)) * 180 > 10_000 * 20
+
+
+def test_last_round_meets_every_link_and_few_other_pairs(spark):
+    """Copies with many edits of one text share its shingles, but only those with few edits can be linked with them."""
+    rng = random.Random(11)
+    base = list(range(1000, 1100))
+    sets = {}
+    for key in range(240):
+        gone = set(rng.sample(base, 4 if key < 80 else 8 if key < 160 else 16))
+        sets[key] = [key * 10_000 + 10_000_000 + i for i in range(len(gone))] + [x for x in base if x not in gone]
+    sets[240] = [1] + sets[100][1:]
+    # Rare shingles first, as in a prefix; members with few edits are one group already.
+    rows = [(s, pos, key, len(own), 0 if key < 80 else key) for key, own in sets.items()
+            for pos, s in enumerate(own[:len(own) // 5 + 1])]
+    df = spark.createDataFrame(rows, "shingle long, pos int, key long, n int, root long")
+    got = {frozenset((r.a, r.b)) for r in N._possible(df, 80).collect()}
+    want, met = set(), set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and (a >= 80 or b >= 80):
+                if 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)):
+                    want.add(frozenset((a, b)))
+                if set(x[:len(x) // 5 + 1]) & set(y[:len(y) // 5 + 1]):
+                    met.add(frozenset((a, b)))
+    assert {100, 240} in want and len(want) > 50
+    assert want <= got <= met and len(got - want) < (len(met) - len(want)) / 2
