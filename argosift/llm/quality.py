@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argosift.llm.common import Words, map_arrow
-from argosift.session import cut
+from argosift.session import cut, small_batches
 
 
 def buckets(text: str | None, n_buckets: int) -> np.ndarray:
@@ -41,15 +41,18 @@ def models(texts: DataFrame, text: str = "text", good: str = "good", n_buckets:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
         for batch in batches:
-            for t, is_good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(buckets(t, n_buckets), minlength=n_buckets)
-                raw += found
-                if is_good:
-                    target += found
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for t, is_good in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = np.bincount(buckets(t, n_buckets), minlength=n_buckets)
+                    raw += found
+                    if is_good:
+                        target += found
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_buckets)), pa.array(raw), pa.array(target)],
                                          names=["bucket", "raw", "target"])
 
     chosen = texts.select(text, F.coalesce(F.col(good), F.lit(False)).alias("good"))
+    small_batches(texts.sparkSession)
     rows = chosen.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
@@ -74,7 +77,7 @@ def score(docs: DataFrame, ratio: np.ndarray, id_column: str = "doc_id", text: s
 
     noise = F.xxhash64("doc_id", "text", F.lit(seed)).alias("noise")
     scored = map_arrow(chosen.select("doc_id", "text", noise), run,
-                       f"doc_id {kind}, noise long, n_grams long, log_weight double")
+                       f"doc_id {kind}, noise long, n_grams long, log_weight double", rows=64)
     # The hash as a number strictly between 0 and 1.
     uniform = (F.shiftrightunsigned("noise", 12).cast("double") + 0.5) / float(1 << 52)
     return scored.select(

@@ -57,3 +57,15 @@ def test_edge_cases(documents):
     got = Q.resample(documents(rows).withColumn("good", F.lit(5)), documents([]).select("doc_id"), share=1.0).collect()
     assert len(got) == 4 and all(r.selected and r.log_weight == 0 for r in got)
     assert Q.resample(documents([]), documents([]).select("doc_id")).count() == 0
+
+
+def test_both_passes_over_the_texts_take_small_batches(spark, documents):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    rows = [(i, "good text" if i % 2 else "bad | text") for i in range(300)]
+    ratio = Q.models(documents(rows).withColumn("good", F.col("doc_id") % 2 == 1), n_buckets=97)
+    assert int(spark.conf.get(key)) <= 2048
+    pairs = [np.bincount(Q.buckets(t, 97), minlength=97) * 150 for t in ("good text", "bad | text")]
+    raw, target = pairs[0] + pairs[1], pairs[0]
+    want = np.log((target + 1) / (target.sum() + 97)) - np.log((raw + 1) / (raw.sum() + 97))
+    assert np.allclose(ratio, want)
