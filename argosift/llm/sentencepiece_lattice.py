@@ -7,9 +7,9 @@ and other characters (``load`` makes sure of it). Each distinct word of the corp
 1. its substrings of at most the longest piece's length are exploded and joined with the piece table by equality
    (the table is broadcast; its size is the model's, not the data's);
 2. the matches are the edges of the word's lattice; a start without a one-character piece gets an edge for an unknown
-   character. Edges are grouped by word, on the partitioning that the distinct words already have;
-3. a higher-order ``aggregate`` folds the edges in order of their end to the best score of every position (Viterbi),
-   and a second one walks back. Ties go to the edge with the smallest start. Unknown characters become byte pieces.
+   character. The edges of a word stand together, on the partitioning that the distinct words already have;
+3. many lattices at once are folded in order of the edges' ends to the best score of every position (Viterbi), and
+   walked back. Ties go to the edge with the smallest start. Unknown characters become byte pieces.
 
 Texts are then written as rows of word runs: the ``frequent`` most frequent words (a fixed bound) are looked up where
 the text is read, all others are joined with the dictionary by word. Rows of one text, in order of ``first_word``,
@@ -45,6 +45,7 @@ _OTHERS = (r"\x00-\x09\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7"
            r"\u2000-\u2580\u2582-\u2bff\u3000-\u303f")
 _WORD = re.compile(rf"{MARK}*[^{_OTHERS}\n{MARK}]+|{MARK}*[{_OTHERS}]+|{MARK}+|\n")
 _UNKNOWN_PENALTY = 10.0
+_EDGES = 1 << 17  # folded together, and those of one longer word
 
 
 @dataclass
@@ -120,40 +121,85 @@ def encode_words(found: DataFrame, pieces: Pieces) -> DataFrame:
     spans = starts.select("word", "n", "start", F.explode(
         F.expr(f"sequence(start + 1, least(start + {pieces.longest}, char_length(word)))")).alias("end"))
     edges = spans.withColumn("piece", F.expr("substring(word, start + 1, end - start)")).join(
-        table, "piece", "left").where("id is not null or end = start + 1").select(
-        "word", "n", F.struct("end", "start", F.coalesce("id", F.lit(-1)).alias("id"),
-                              F.coalesce("score", F.lit(pieces.unknown_score)).alias("score")).alias("edge"))
-    # The hash first: rows are sorted by it, which is cheaper than by words with common beginnings.
-    lattice = edges.groupBy(F.xxhash64("word").alias("key"), "word", "n").agg(
-        F.sort_array(F.collect_list("edge")).alias("edges"))
-    node = "named_struct('score', {0}, 'start', {1}, 'id', {2})"
-    fold = f"""
-        aggregate(edges,
-          named_struct('done', array({node.format("cast(0 as double)", "-1", "-1")}), 'end', 0,
-                       'open', {node.format("cast(0 as double)", "-1", "-1")}),
-          (s, e) -> case
-            when e.end = s.end and s.done[e.start].score + e.score > s.open.score then named_struct(
-              'done', s.done, 'end', s.end, 'open', {node.format("s.done[e.start].score + e.score", "e.start", "e.id")})
-            when e.end = s.end then s
-            else named_struct(
-              'done', if(s.end = 0, s.done, concat(s.done, array(s.open))), 'end', e.end,
-              'open', named_struct('score', if(e.start = s.end, if(s.end = 0, s.done[0].score, s.open.score),
-                                               s.done[e.start].score) + e.score, 'start', e.start, 'id', e.id)) end,
-          s -> concat(s.done, array(s.open)))"""
-    back = """
-        aggregate(nodes,
-          named_struct('at', size(nodes) - 1, 'path', cast(array() as array<struct<start: int, id: int>>)),
-          (s, x) -> if(s.at = 0, s, named_struct('at', nodes[s.at].start, 'path', concat(s.path, array(
-            named_struct('start', nodes[s.at].start, 'id', nodes[s.at].id))))),
-          s -> reverse(s.path))"""
-    byte_ids = f"array({', '.join(map(str, pieces.byte_ids))})"
-    ids = f"""
-        flatten(transform(path, p -> if(p.id >= 0, array(p.id), transform(
-          sequence(1, octet_length(substring(word, p.start + 1, 1))),
-          i -> {byte_ids}[cast(conv(hex(substring(encode(substring(word, p.start + 1, 1), 'utf-8'), i, 1)), 16, 10)
-                               as int)]))))"""
-    return lattice.withColumn("nodes", F.expr(fold)).withColumn("path", F.expr(back)).select(
-        "word", "n", F.expr(ids).alias("ids"))
+        table, "piece", "left").where("id is not null or end = start + 1")
+    # A word's edges follow each other; the first goes from 0 to 1 and alone has the word.
+    head = F.expr("start = 0 and end = 1")
+    lattice = edges.select(F.when(head, F.col("word")).alias("word"), F.when(head, F.col("n")).alias("n"), "start",
+                           "end", F.coalesce("id", F.lit(-1)).alias("id"))
+    scores = np.full(len(pieces.texts) + 1, pieces.unknown_score)  # of id -1, the last
+    for _, i, score in pieces.usable:
+        scores[i] = score
+    byte_ids = np.array(pieces.byte_ids, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            heads = np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            if size + batch.num_rows >= _EDGES and len(heads):
+                whole = pa.Table.from_batches([*waiting, batch.slice(0, int(heads[-1]))])
+                if whole.num_rows:
+                    yield best_paths(whole.combine_chunks(), scores, byte_ids)
+                batch = batch.slice(int(heads[-1]))
+                waiting, size = [], 0
+            waiting.append(batch)
+            size += batch.num_rows
+        if size:
+            yield best_paths(pa.Table.from_batches(waiting).combine_chunks(), scores, byte_ids)
+
+    small_batches(spark)
+    return lattice.mapInArrow(run, "word string, n long, ids array<int>")
+
+
+def best_paths(edges: pa.Table, scores: np.ndarray, byte_ids: np.ndarray) -> pa.RecordBatch:
+    """Rows (word, n, ids) of the lattices (word, n, start, end, id), whose edges are in order of word and start."""
+    start, end, ids = (edges[c].to_numpy() for c in ("start", "end", "id"))
+    is_head = pc.is_valid(edges["word"]).to_numpy()
+    which = np.cumsum(is_head) - 1
+    heads = edges.filter(pc.is_valid(edges["word"])).select(["word", "n"]).combine_chunks()
+    words_ = heads["word"].to_pylist()
+    lengths = np.array(list(map(len, words_)), np.int64)
+    if not is_head[0] or (np.bincount(which[end == start + 1], minlength=len(words_)) != lengths).any():
+        raise RuntimeError("the edges of a word do not stand together")
+    base = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
+    # Stable, so that edges with one end stay in order of word and start.
+    order = np.argsort(end.astype(np.uint16) if end.max() < 1 << 16 else end, kind="stable")
+    start, which, ids = start[order], which[order], ids[order]
+    source, score = base[which] + start, scores[ids]
+    target = base[which] + end[order]
+    new = np.concatenate(([True], target[1:] != target[:-1]))
+    node, first = np.cumsum(new) - 1, np.flatnonzero(new)  # one node for each end of a word
+    levels = np.concatenate(([0], np.cumsum(np.bincount(end))))
+    best, via = np.zeros(int(base[-1] + lengths[-1] + 1)), np.zeros(int(base[-1] + lengths[-1] + 1), np.int64)
+    for lo, hi in zip(levels[1:-1].tolist(), levels[2:].tolist()):
+        reached = best[source[lo:hi]] + score[lo:hi]
+        own = first[node[lo]:node[hi - 1] + 1]
+        top = np.maximum.reduceat(reached, own - lo)
+        at = np.flatnonzero(reached == top[node[lo:hi] - node[lo]])
+        of = node[lo + at]
+        at = at[np.concatenate(([True], of[1:] != of[:-1]))]
+        best[target[own]], via[target[own]] = top, lo + at
+    walked, active, here = [], np.arange(len(words_)), base + lengths
+    while len(active):
+        step = via[here]
+        walked.append(step)
+        here = source[step]
+        more = here != base[active]
+        active, here = active[more], here[more]
+    path = np.concatenate(walked)
+    path = path[np.lexsort((start[path], which[path]))]
+    found, many = ids[path], np.ones(len(path), np.int64)
+    unknown = {int(i): words_[which[path[i]]][start[path[i]]].encode() for i in np.flatnonzero(found < 0)}
+    for i, raw in unknown.items():
+        many[i] = len(raw)
+    upto = np.concatenate(([0], np.cumsum(many)))
+    values = np.repeat(found, many).astype(np.int32)
+    for i, raw in unknown.items():
+        values[upto[i]:upto[i + 1]] = byte_ids[list(raw)]
+    pieces_of = np.bincount(which[path], minlength=len(words_))
+    ends = upto[np.concatenate(([0], np.cumsum(pieces_of)))].astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [heads["word"].combine_chunks(), heads["n"].combine_chunks(),
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["word", "n", "ids"])
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text: str = "text",
@@ -167,41 +213,51 @@ def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text: str
     chosen = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequent_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                row, first, count, ids, rare = [], [], [], [], []
+                row, first, count, ids = [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    found = words(t)
-                    coded = list(map(table.get, found))
+                    coded = list(map(table.get, words(t)))
                     begin = 0
-                    for j in [*(k for k, c in enumerate(coded) if c is None), len(found)]:
+                    for j in [*(k for k, c in enumerate(coded) if c is None), len(coded)]:
                         if j > begin:
                             row.append(i)
                             first.append(begin)
                             count.append(j - begin)
                             ids.append(b"".join(coded[begin:j]))
-                            rare.append(None)
-                        if j < len(found):
-                            row.append(i)
-                            first.append(j)
-                            count.append(1)
-                            ids.append(b"")
-                            rare.append(found[j])
                         begin = j + 1
                 ends = np.cumsum([0, *(len(b) // 4 for b in ids)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int32()),
-                     pa.array(count, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values),
-                     pa.array(rare, pa.string())], names=["doc_id", "first_word", "n_words", "ids", "word"])
+                     pa.array(count, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)],
+                    names=["doc_id", "first_word", "n_words", "ids"])
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                count, first, rare = [], [], []
+                for t in part.column(1).to_pylist():
+                    found = words(t)
+                    places = [k for k, w in enumerate(found) if w not in table]
+                    count.append(len(places))
+                    first += places
+                    rare += [found[k] for k in places]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(first, pa.int32()),
+                     pa.array(rare, pa.string())], names=["doc_id", "first_word", "word"])
 
-    runs = chosen.mapInArrow(run, f"doc_id {kind}, first_word int, n_words int, ids array<int>, word string")
-    looked_up = runs.where(F.col("word").isNotNull()).drop("ids").join(dictionary.select("word", "ids"), "word")
-    return runs.where(F.col("word").isNull()).drop("word").union(
-        looked_up.select("doc_id", "first_word", "n_words", "ids")).withColumnRenamed("doc_id", id_column)
+    # Either pass gives the rows that it needs only: most of the cost of a row is its way between Python and the JVM.
+    runs = chosen.mapInArrow(frequent_runs, f"doc_id {kind}, first_word int, n_words int, ids array<int>")
+    rest = chosen.mapInArrow(rare_words, f"doc_id {kind}, first_word int, word string")
+    looked_up = rest.join(dictionary.select("word", "ids"), "word")
+    return runs.union(looked_up.select("doc_id", "first_word", F.lit(1).alias("n_words"), "ids")).withColumnRenamed(
+        "doc_id", id_column)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -222,9 +278,15 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text")
             # The bytes of all pieces laid end to end, and where each row's begin.
             raw = memoryview(pieces_of.take(own).buffers()[2] or b"")
             upto = np.concatenate(([0], np.cumsum(sizes[own.to_numpy(zero_copy_only=False)])))
-            cuts = upto[ends].tolist()
-            texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
-            yield batch.append_column(out, pa.array(texts, pa.string()))
+            cuts = upto[ends]
+            texts = pa.StringArray.from_buffers(
+                batch.num_rows, pa.py_buffer((cuts - cuts[0]).astype(np.int32)), pa.py_buffer(raw[cuts[0]:cuts[-1]]))
+            try:
+                texts.validate(full=True)
+            except pa.ArrowInvalid:  # bytes that are no text
+                cuts = cuts.tolist()
+                texts = pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])], pa.string())
+            yield batch.append_column(out, texts)
 
     return rows.mapInArrow(run, f"{kinds}, `{out}` string")
 

@@ -137,3 +137,30 @@ def test_decode_odd_rows_in_small_batches(spark, documents, pieces):
     assert P.decode(df.where("k < 0"), pieces).count() == 0
     P.encode(documents([(1, "a b")]), pieces)
     assert int(spark.conf.get(key)) <= 2048
+
+
+def test_many_lattices_are_folded_at_once(spark, pieces, plain, monkeypatch):
+    """Words that end in any batch, and one longer than all that is folded together."""
+    monkeypatch.setattr(P, "_EDGES", 50)
+    texts = ["the", "▁thing", "▁ontion", "x", "漢字", "é🙂", "▁" + "abcd" * 300, "\n", "▁and"]
+    found = spark.createDataFrame([(w, i) for i, w in enumerate(texts)], "word string, n long").coalesce(1)
+    monkeypatch.setattr(P, "words", lambda text: [text])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.word: (r.n, r.ids) for r in P.encode_words(found, pieces).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
+    assert got == {w: (i, plain(w)) for i, w in enumerate(texts)}
+
+
+def test_edges_of_a_word_must_stand_together(pieces):
+    import numpy as np
+    import pyarrow as pa
+    rows = [("ab", 1, 0, 1, 5), ("c", 2, 0, 1, 6), (None, None, 1, 2, 7)]
+    edges = pa.table([pa.array(c, t) for c, t in zip(
+        zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["word", "n", "start", "end", "id"])
+    scores = np.zeros(len(pieces.texts) + 1)
+    with pytest.raises(RuntimeError):
+        P.best_paths(edges, scores, np.array(pieces.byte_ids))
+    got = P.best_paths(edges.take([0, 2, 1]).combine_chunks(), scores, np.array(pieces.byte_ids))
+    assert got.to_pylist() == [{"word": "ab", "n": 1, "ids": [5, 7]}, {"word": "c", "n": 2, "ids": [6]}]
