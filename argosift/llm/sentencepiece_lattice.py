@@ -4,8 +4,8 @@ The piece table comes from a public model file. Text is normalised as that model
 piece mark) and cut into words, where no piece can cross: before a run of marks, around line breaks, and between letters
 and other characters (``load`` makes sure of it). Each distinct word of the corpus is encoded once:
 
-1. its substrings of at most the longest piece's length are exploded and joined with the piece table by equality
-   (the table is broadcast; its size is the model's, not the data's);
+1. its substrings of at most the length of the longest piece with the same beginning are exploded and joined with the
+   piece table by equality (the table is broadcast; its size is the model's, not the data's);
 2. the matches are the edges of the word's lattice; a start without a one-character piece gets an edge for an unknown
    character. The edges of a word stand together, on the partitioning that the distinct words already have;
 3. many lattices at once are folded in order of the edges' ends to the best score of every position (Viterbi), and
@@ -45,6 +45,7 @@ _OTHERS = (r"\x00-\x09\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7"
            r"\u2000-\u2580\u2582-\u2bff\u3000-\u303f")
 _WORD = re.compile(rf"{MARK}*[^{_OTHERS}\n{MARK}]+|{MARK}*[{_OTHERS}]+|{MARK}+|\n")
 _UNKNOWN_PENALTY = 10.0
+_BEGIN = 4  # characters
 _EDGES = 1 << 17  # folded together, and those of one longer word
 
 
@@ -116,12 +117,24 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
 def encode_words(found: DataFrame, pieces: Pieces) -> DataFrame:
     """Rows (word, n, ids) from rows (word, n) that are partitioned by word."""
     spark = found.sparkSession
-    table = F.broadcast(spark.createDataFrame(pieces.usable, "piece string, id int, score double"))
-    starts = found.select("word", "n", F.explode(F.expr("sequence(0, char_length(word) - 1)")).alias("start"))
-    spans = starts.select("word", "n", "start", F.explode(
-        F.expr(f"sequence(start + 1, least(start + {pieces.longest}, char_length(word)))")).alias("end"))
-    edges = spans.withColumn("piece", F.expr("substring(word, start + 1, end - start)")).join(
-        table, "piece", "left").where("id is not null or end = start + 1")
+    # Looked up by 64-bit hashes, which is cheaper than by strings; the piece itself is compared after that.
+    table = F.broadcast(spark.createDataFrame(pieces.usable, "found string, id int, score double").select(
+        F.xxhash64("found").alias("key"), "found", "id"))
+    longest: dict[str, int] = {}
+    for p, _, _ in pieces.usable:
+        if len(p) >= _BEGIN:
+            longest[p[:_BEGIN]] = max(longest.get(p[:_BEGIN], 0), len(p))
+    # How long a piece with this beginning can be; equal hashes of two beginnings only give spans that match nothing.
+    reach = F.broadcast(spark.createDataFrame([*longest.items()], "begin string, reach int").groupBy(
+        F.xxhash64("begin").alias("begin")).agg(F.max("reach").alias("reach")))
+    starts = found.select("word", "n", F.explode(F.expr("sequence(0, char_length(word) - 1)")).alias("start")).withColumn(
+        "rest", F.expr(f"substring(word, start + 1, {pieces.longest})")).withColumn(
+        "begin", F.expr(f"xxhash64(left(rest, {_BEGIN}))")).join(reach, "begin", "left")
+    spans = starts.select("word", "n", "start", "rest", F.explode(
+        F.expr(f"sequence(1, least(char_length(rest), coalesce(reach, {_BEGIN - 1})))")).alias("size"))
+    edges = spans.select("word", "n", "start", F.expr("start + size").alias("end"), F.expr("left(rest, size)").alias(
+        "piece")).withColumn("key", F.xxhash64("piece")).join(table, "key", "left").withColumn(
+        "id", F.expr("if(found = piece, id, null)")).where("id is not null or end = start + 1")
     # A word's edges follow each other; the first goes from 0 to 1 and alone has the word.
     head = F.expr("start = 0 and end = 1")
     lattice = edges.select(F.when(head, F.col("word")).alias("word"), F.when(head, F.col("n")).alias("n"), "start",
