@@ -90,6 +90,17 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def positions(values: list, wanted: object) -> list[int]:
+    """Where ``wanted`` stands in ``values``."""
+    found, at = [], -1
+    try:
+        while True:
+            at = values.index(wanted, at + 1)
+            found.append(at)
+    except ValueError:
+        return found
+
+
 def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (word, n) of all texts."""
 
@@ -235,7 +246,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text: str
                 for i, t in enumerate(part.column(1).to_pylist()):
                     coded = list(map(table.get, words(t)))
                     begin = 0
-                    for j in [*(k for k, c in enumerate(coded) if c is None), len(coded)]:
+                    for j in [*positions(coded, None), len(coded)]:
                         if j > begin:
                             row.append(i)
                             first.append(begin)
@@ -257,7 +268,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_column: str = "doc_id", text: str
                 count, first, rare = [], [], []
                 for t in part.column(1).to_pylist():
                     found = words(t)
-                    places = [k for k, w in enumerate(found) if w not in table]
+                    places = positions(list(map(table.__contains__, found)), False)
                     count.append(len(places))
                     first += places
                     rare += [found[k] for k in places]
