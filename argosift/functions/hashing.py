@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 from argosift import constants as C
@@ -41,3 +43,8 @@ def genesis() -> Column:
 
 def link(previous: Column, content: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit(":"), content), 256)
+
+
+def link_text(previous: str, content: str) -> str:
+    """:func:`link` of two texts."""
+    return hashlib.sha256(f"{previous}:{content}".encode()).hexdigest()

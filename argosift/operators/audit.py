@@ -8,8 +8,10 @@ built and verified in parallel and none is larger than ``segment_rows``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from argosift import constants as C
@@ -38,30 +40,42 @@ def sequence(df: DataFrame, chain: str = "host_id", ts: str = "ts", tie: str = "
 
 def link_records(df: DataFrame, chain: str = "host_id", seq: str = "sequence_number", content: str = "content_hash",
                  record: str = "record_id", segment_rows: int = SEGMENT_ROWS,
-                 heads: DataFrame | None = None) -> DataFrame:
-    """Record links: chain, segment, sequence number, record, content, previous and chain hash.
+                 heads: DataFrame | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Record links: chain, segment, sequence number, record, content, previous and chain hash, and columns ``also``.
 
     ``heads`` (chain, last_sequence, last_hash) continues the chains of an earlier batch.
     """
     seg = F.floor((F.col(seq) - 1) / F.lit(segment_rows)).cast("long")
-    rows = df.select(chain, seg.alias("segment"), F.struct(
-        F.col(seq).alias("seq"), F.col(record).alias("id"), F.col(content).alias("c")).alias("r"))
-    start = None
-    if heads is not None:
+    rows = df.select(chain, seg.alias("segment"), F.col(seq).alias("sequence_number"), record, content, *also)
+    if heads is None:
+        placed = rows.withColumn("_start", F.lit(None).cast("string"))
+    else:
         open_seg = F.floor(F.col("last_sequence") / F.lit(segment_rows)).cast("long")
         inside = F.col("last_sequence") % segment_rows != 0
         start = heads.where(inside).select(chain, open_seg.alias("segment"), F.col("last_hash").alias("_start"))
-    packed = rows.groupBy(chain, "segment").agg(F.array_sort(F.collect_list("r")).alias("_r"))
-    if start is not None:
-        packed = packed.join(start, [chain, "segment"], "left")
-    first = F.coalesce(F.col("_start"), H.genesis()) if start is not None else H.genesis()
-    hashes = F.aggregate("_r", F.array(first).cast("array<string>"), lambda acc, r: F.concat(
-        acc, F.array(H.link(F.element_at(acc, -1), r["c"]))))
-    linked = packed.select(chain, "segment", "_r", hashes.alias("_h"))
-    flat = linked.select(chain, "segment", "_h", F.posexplode("_r").alias("i", "r"))
-    return flat.select(chain, "segment", F.col("r.seq").alias("sequence_number"), F.col("r.id").alias(record),
-                       F.col("r.c").alias(content), F.col("_h")[F.col("i")].alias("previous_hash"),
-                       F.col("_h")[F.col("i") + 1].alias("chain_hash"))
+        placed = rows.join(start, [chain, "segment"], "left")
+    # The rows of a segment follow each other, so a task holds one hash and no segment.
+    ordered = placed.repartition(chain, "segment").sortWithinPartitions(chain, "segment", "sequence_number", record, content)
+    names = [chain, "segment", "sequence_number", record, content]
+    first = hashlib.sha256(C.GENESIS.encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last = None, None
+        for batch in batches:
+            previous, hashes = [], []
+            columns = (batch.column(c).to_pylist() for c in (chain, "segment", content, "_start"))
+            for of, segment, value, begin in zip(*columns):
+                if (of, segment) != here:
+                    here, last = (of, segment), first if begin is None else begin
+                previous.append(last)
+                last = None if last is None or value is None else H.link_text(last, value)
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(previous, pa.string()), pa.array(hashes, pa.string()),
+                 *(batch.column(c) for c in also)], names=[*names, "previous_hash", "chain_hash", *also])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | {"previous_hash": "string", "chain_hash": "string"}
+    return ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "previous_hash", "chain_hash", *also]))
 
 
 def segment_heads(links: DataFrame, chain: str = "host_id") -> DataFrame:

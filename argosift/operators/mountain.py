@@ -14,6 +14,8 @@ the second has one row in 512.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argosift.session import cut
@@ -44,44 +46,67 @@ def _parents(nodes: Column) -> Column:
     return F.filter(pairs, lambda p: p["hash"].isNotNull()).cast(_NODES)
 
 
-def _tier(new: DataFrame, peaks: DataFrame | None, base: int, chain: str) -> DataFrame:
-    """Nodes of the levels above ``base``, up to ``base + _BITS``, that new nodes of level ``base`` complete."""
+def _tier(new: DataFrame, peaks: DataFrame | None, base: int, chain: str, only_peaks: bool) -> DataFrame:
+    """Nodes of the levels above ``base``, up to ``base + _BITS``, that new nodes of level ``base`` complete.
+
+    With ``only_peaks``, of each level from ``base`` on only the last node without a neighbour, and all of the top level.
+    """
     own = new.select(chain, F.shiftright("idx", _BITS).alias("tree"), F.lit(base).alias("level"), "idx", "hash")
     if peaks is not None:
         inside = peaks.where(F.col("level").between(base, base + _BITS - 1))
         tree = F.expr(f"shiftright(idx, {base + _BITS} - level)")
         own = own.unionByName(inside.select(chain, tree.alias("tree"), "level", "idx", "hash"))
-    packed = own.groupBy(chain, "tree").agg(F.array_sort(F.collect_list(F.struct("level", "idx", "hash"))).alias("_r"))
+    lowest = F.col("level") == base
+    packed = own.groupBy(chain, "tree").agg(
+        F.sort_array(F.collect_list(F.when(lowest, F.struct("idx", "hash")))).cast(_NODES).alias("_low"),
+        F.collect_list(F.when(~lowest, F.struct("level", "idx", "hash"))).alias("_high"))
+
+    def at_level(nodes: Column, level: Column) -> Column:
+        return F.transform(nodes, lambda p: F.struct(level.cast("int").alias("level"), p["idx"].alias("idx"),
+                                                     p["hash"].alias("hash")))
 
     def climb(acc: Column, step: Column) -> Column:
-        here = F.transform(F.filter("_r", lambda r: (r["level"] == step + base)), lambda r: F.struct(
+        here = F.transform(F.filter("_high", lambda r: (r["level"] == step + base)), lambda r: F.struct(
             r["idx"].alias("idx"), r["hash"].alias("hash"))).cast(_NODES)
+
+        def kept(cur: Column, up: Column) -> Column:
+            if not only_peaks:
+                return at_level(up, step + base + 1)
+            alone = F.filter(F.slice(cur, -1, 1), lambda p: p["idx"] % 2 == 0)
+            top = F.when(step == _BITS - 1, up).otherwise(F.array().cast(_NODES))
+            return F.concat(at_level(alone, step + base), at_level(top, step + base + 1))
+
         # A peak stands to the left of what the batch has added at its level.
         return _let(F.concat(here, acc["up"]), lambda cur: _let(_parents(cur), lambda up: F.struct(
-            up.alias("up"),
-            F.concat(acc["out"], F.transform(up, lambda p: F.struct(
-                (step + base + 1).cast("int").alias("level"), p["idx"].alias("idx"), p["hash"].alias("hash")))
-            ).cast(_OUT).alias("out"))))
+            up.alias("up"), F.concat(acc["out"], kept(cur, up)).cast(_OUT).alias("out"))))
 
-    start = F.struct(F.array().cast(_NODES).alias("up"), F.array().cast(_OUT).alias("out"))
+    start = F.struct(F.col("_low").alias("up"), F.array().cast(_OUT).alias("out"))
     folded = F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), start, climb, lambda acc: acc["out"])
     return packed.select(chain, F.inline(folded))
 
 
 def grow(records: DataFrame, chain: str = "host_id", seq: str = "sequence_number", content: str = "content_hash",
-         peaks: DataFrame | None = None) -> DataFrame:
+         peaks: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = cut,
+         only_peaks: bool = False) -> DataFrame:
     """The nodes (chain, level, idx, hash) that new records add, leaves included.
 
-    ``records`` continue each chain without gaps; ``peaks`` are the nodes of :func:`peaks_of` before them.
+    ``records`` continue each chain without gaps; ``peaks`` are the nodes of :func:`peaks_of` before them. Each part of
+    the nodes is written once, by ``store``, which gives rows to continue from that include the part. With
+    ``only_peaks`` the result holds every peak of the grown chains that is not among ``peaks`` and few other nodes; it
+    may have a node twice, and the leaves are not written.
     """
     at = F.col(seq).cast("long")
-    level = cut(records.select(chain, F.lit(0).alias("level"), (at - 1).alias("idx"), leaf_hash(at, F.col(content)).alias(
-        "hash")))
-    longest = level.agg(F.max("idx")).first()[0]
-    nodes, base = level, 0
-    while longest is not None and (longest + 1) >> base > 1:
-        found = cut(_tier(level, peaks, base, chain))
-        nodes = nodes.unionByName(found)
+    leaves = records.select(chain, F.lit(0).alias("level"), (at - 1).alias("idx"), leaf_hash(at, F.col(content)).alias(
+        "hash"))
+    nodes = level = leaves if only_peaks else store(leaves).where("level = 0")
+    longest, base = records.agg(F.max(at)).first()[0], 0
+    while longest is not None and longest >> base > 1:
+        found = store(_tier(level, peaks, base, chain, only_peaks))
+        if only_peaks:
+            nodes = nodes.unionByName(found) if base else found
+        else:
+            found = found.where(F.col("level").between(base + 1, base + _BITS))
+            nodes = nodes.unionByName(found)
         base += _BITS
         level = found.where(F.col("level") == base)
     return nodes
@@ -117,13 +142,20 @@ def exploded_peaks(heads: DataFrame, chain: str = "host_id") -> DataFrame:
 
 
 def advance(heads: DataFrame | None, batch: DataFrame, chain: str = "host_id", seq: str = "sequence_number",
-            content: str = "content_hash") -> tuple[DataFrame, DataFrame]:
-    """New nodes and the heads after a batch of linked records; reads the batch and the heads only."""
+            content: str = "content_hash", store: Callable[[DataFrame], DataFrame] = cut,
+            only_peaks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """New nodes and the heads after a batch of linked records; reads the batch and the heads only.
+
+    ``store`` and ``only_peaks`` are those of :func:`grow`.
+    """
     old = None if heads is None else cut(exploded_peaks(heads, chain))
-    nodes = grow(batch, chain, seq, content, old)
+    nodes = grow(batch, chain, seq, content, old, store, only_peaks)
     grown = sizes(batch, chain, seq)
     known = nodes if old is None else nodes.unionByName(old)
-    return nodes, roots(peaks_of(known, grown, chain), grown, chain)
+    tops = peaks_of(known, grown, chain)
+    if only_peaks:
+        tops = tops.dropDuplicates([chain, "level", "idx"])
+    return nodes, roots(tops, grown, chain)
 
 
 def audit_growth(before: DataFrame | None, batch: DataFrame, after: DataFrame, chain: str = "host_id",
@@ -132,7 +164,7 @@ def audit_growth(before: DataFrame | None, batch: DataFrame, after: DataFrame, c
 
     A chain whose earlier part was rewritten, whose batch has a gap or whose stored root is another is not valid.
     """
-    _, now = advance(before, batch, chain, seq, content)
+    _, now = advance(before, batch, chain, seq, content, only_peaks=True)
     start = F.coalesce("_before", F.lit(0).cast("long"))
     lengths = batch.groupBy(chain).agg(F.count(F.lit(1)).alias("_rows"), F.min(seq).alias("_first"),
                                        F.max(seq).alias("_last"), F.count_distinct(seq).alias("_numbers"))

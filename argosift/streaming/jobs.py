@@ -117,6 +117,15 @@ class BatchTable:
     def write(self, df: DataFrame, batch_id: int, *parts: str) -> None:
         df.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.path}/batch={batch_id}")
 
+    def add(self, df: DataFrame, batch_id: int, *parts: str) -> None:
+        """Adds rows to a batch of which a part is written."""
+        df.write.mode("append").partitionBy(*parts).parquet(f"{self.path}/batch={batch_id}")
+
+    def of(self, batch_id: int, like: DataFrame) -> DataFrame:
+        """The rows of one batch, with the columns of ``like``."""
+        rows = self.spark.read.schema(like.schema).parquet(f"{self.path}/batch={batch_id}")
+        return rows.select(*like.columns)
+
     def remove(self, before: int) -> None:
         """Deletes the rows of batches older than ``before``."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -342,21 +351,31 @@ def append_chain(df: DataFrame, links: BatchTable, heads: VersionedTable, checkp
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         old = heads.before(batch_id)
-        new = batch.dropDuplicates([record]).withColumn("day", F.to_date(ts))
+        dated = batch.withColumn("day", F.to_date(ts))
+        new = dated.dropDuplicates([record])
         if old is not None:
             # One row per day in the batch.
-            days = [r[0] for r in new.select("day").distinct().collect()]
+            days = [r[0] for r in dated.select("day").distinct().collect()]
             # Only earlier batches: a repeated batch must not take its own rows for known.
             known = links.read(before=batch_id).where(F.col("day").isin(days)).select("day", record)
             new = new.join(known, ["day", record], "left_anti")
-        numbered = A.sequence(new, chain, ts, record, old)
-        linked = A.link_records(numbered, chain, record=record, segment_rows=segment_rows, heads=old)
-        dated = cut(linked.join(numbered.select(record, "day"), record))
-        links.write(dated, batch_id, "day")
-        latest = A.last_links(dated, chain)
+        # Which of the rows with one id is taken is settled here, as the numbering reads them several times.
+        numbered = A.sequence(cut(new), chain, ts, record, old)
+        linked = A.link_records(numbered, chain, record=record, segment_rows=segment_rows, heads=old, also=["day"]).where(
+            F.col(record).isNotNull())
+        links.write(linked, batch_id, "day")
+        added = links.of(batch_id, linked)
+        latest = A.last_links(added, chain)
         if nodes is not None:
-            added, grown = M.advance(old, dated, chain)
-            nodes.write(added, batch_id, "level")
+            begun = False
+
+            def store(part: DataFrame) -> DataFrame:
+                nonlocal begun
+                (nodes.add if begun else nodes.write)(part, batch_id, "level")
+                begun = True
+                return nodes.of(batch_id, part)
+
+            _, grown = M.advance(old, added, chain, store=store)
             latest = latest.join(grown.select(chain, "peaks", "root"), chain)
         if old is not None:
             latest = latest.unionByName(old.join(latest.select(chain), chain, "left_anti"))

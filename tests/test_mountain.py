@@ -100,6 +100,17 @@ def test_growth_audit(spark, grown):
     assert verdicts(before, rest, heads.withColumn("root", F.lit("x"))) == {"b": False, "c": False}
 
 
+def test_audit_writes_peaks_only(spark, grown):
+    own, rows, nodes, heads = grown
+    before = M.advance(None, rows.where("sequence_number <= 512"))[1]
+    rest = rows.where("sequence_number > 512")
+    for old, batch in ((None, rows), (before, rest)):
+        few, now = M.advance(old, batch, only_peaks=True)
+        want = {r["host_id"]: (r["last_sequence"], r["peaks"], r["root"]) for r in M.advance(old, batch)[1].collect()}
+        assert {r["host_id"]: (r["last_sequence"], r["peaks"], r["root"]) for r in now.collect()} == want
+        assert few.count() <= 30
+
+
 def test_empty_batch(spark, grown):
     nodes, heads = M.advance(grown[3], frame(spark, []))
     assert nodes.count() == 0 and heads.count() == 0
