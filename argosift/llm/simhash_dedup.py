@@ -201,16 +201,13 @@ def link_edges(distinct: DataFrame, distance: int = 4, shard_rows: int = 16384,
             names=["leaf", "fp", "home"])
 
     routed = cut(map_arrow(distinct.select("fp"), route, "leaf int, fp long, home boolean", rows=1 << 16))
-    # One row per leaf: the number of leaves is bounded by the sample.
-    load = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    split = {leaf: -(-n // block_rows) for leaf, n in load.items() if n > block_rows}
-    parts = F.lit(1)
-    for leaf, n in split.items():
-        parts = F.when(F.col("leaf") == leaf, F.lit(n)).otherwise(parts)
-    own_block = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    as_query = routed.select("leaf", own_block.alias("block"), "fp", "home", F.lit(True).alias("query"))
-    as_target = routed.where("home").select(
-        "leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("block"), "fp", "home", own_block.alias("own")
+    # One row per leaf, as many as the sample allows; conditions nested by leaf would be too deep to plan.
+    load = cut(routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts")))
+    dealt = routed.join(F.broadcast(load), "leaf").withColumn(
+        "own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    as_query = dealt.select("leaf", F.col("own").alias("block"), "fp", "home", F.lit(True).alias("query"))
+    as_target = dealt.where("home and parts > 1").select(
+        "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "fp", "home", "own"
     ).where("block <> own").select("leaf", "block", "fp", "home", F.lit(False).alias("query"))
 
     def search(key: tuple, part: pa.Table) -> pa.Table:
@@ -222,6 +219,7 @@ def link_edges(distinct: DataFrame, distance: int = 4, shard_rows: int = 16384,
         linked = label != np.arange(len(values))
         return pa.table({"a": values[linked], "b": values[label[linked]]})
 
+    split = not load.where("parts > 1").isEmpty()
     tasks = as_query.union(as_target) if split else as_query
     return tasks.groupBy("leaf", "block").applyInArrow(search, "a long, b long")
 

@@ -74,6 +74,21 @@ def test_all_links_of_random_and_chained_fingerprints(spark):
             r: sorted(v for v in values if want[v] == r) for r in set(want.values())}
 
 
+def test_many_leaves_of_several_blocks(spark):
+    values = planted(5, 1500, 40)
+    want = plain_components([(v, v) for v in values])
+    df = spark.createDataFrame([(v - 2 ** 64 if v >= 2 ** 63 else v,) for v in values], "fp long")
+    # About 1,000 leaves, nearly all of several blocks, are more than conditions nested by leaf could be planned for.
+    edges = S.link_edges(df, shard_rows=2, block_rows=40)
+    tree = {r.node: r.root for r in common.components(edges, "a", "b").collect()}
+    got = {}
+    for v in values:
+        s = v - 2 ** 64 if v >= 2 ** 63 else v
+        got.setdefault(tree.get(s, s), []).append(v)
+    assert {min(g): sorted(g) for g in got.values()} == {
+        r: sorted(v for v in values if want[v] == r) for r in set(want.values())}
+
+
 def test_group_of_near_copies_gives_one_row_each(spark):
     centre = 0x0123456789ABCDEF
     values = [centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
